@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import arrow_output, byte_bpe, packing
+from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, quality
+from vitrine.llm.common import remainder, written
 
 LIBRARY_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -29,6 +30,21 @@ def op5_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))}
+    dealt = histogram_shards.shard_rows(_table(spark, sf_dir, "documents"), 40, kept)
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return dealt.select("row.doc_id", "size", "row.text_crc32", "law", "shard", "slot", grown)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, _ = written(quality.with_statistics(_table(spark, sf_dir, "documents")), "statistics")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality.fit(quality.training_rows(stats, _table(spark, sf_dir, "labels"), ~held_out), "label")
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return quality.scored(stats, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
     back = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -44,6 +60,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_packing": op4_packing,
     "op5_arrow_output": op5_arrow_output,
+    "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
