@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, quality
+from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, quality, simhash
 from vitrine.llm.common import remainder, written
 
 LIBRARY_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -45,6 +45,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(stats, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return found.select("doc_id", shown, F.col("component").alias("component_id"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
     back = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -62,6 +68,7 @@ QUERIES = {
     "op5_arrow_output": op5_arrow_output,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op8_simhash": op8_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
