@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, quality, simhash
+from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, pq_dedup, projected_search, quality, simhash
 from vitrine.llm.common import remainder, written
 
 LIBRARY_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    kept = (F.col("vec_id") == F.col("component")).alias("kept")
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), kept)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(LIBRARY_FILE))
     return pieces.select(
@@ -51,6 +57,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown, F.col("component").alias("component_id"))
 
 
+def op9_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return projected_search.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
     back = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -64,11 +75,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
     "op5_arrow_output": op5_arrow_output,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_projected_search": op9_projected_search,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
