@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, pq_dedup, projected_search, quality, simhash
+from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, pq_dedup, projected_search, quality, simhash, suffix_dedup
 from vitrine.llm.common import remainder, written
 
 LIBRARY_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    columns = {
+        "n_bytes": F.col("n_bytes"),
+        "n_removed": width,
+        "n_spans": F.size("spans").cast("long"),
+        "kept_sha256": F.sha2("kept", 256),
+    }
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"), columns)
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
     kept = (F.col("vec_id") == F.col("component")).alias("kept")
@@ -75,6 +86,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
     "op5_arrow_output": op5_arrow_output,
