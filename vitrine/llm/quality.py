@@ -13,11 +13,13 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from vitrine.llm.common import whole_text
+from vitrine.llm.common import whole_text, written
 
 STATISTICS = (
     "log_bytes", "upper", "digit", "space", "line_end", "stop", "symbol", "wide",
@@ -146,3 +148,28 @@ def training_rows(stats: DataFrame, labels: DataFrame, learn, label_col: str = "
     an id with several labels takes the largest; null ids have no label."""
     one = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     return stats.where(learn).join(one, id_col).select("stats", "label")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``.
+
+    The model is fitted on the labelled rows for which ``learn`` holds.  Statistics are computed once and staged beside
+    the rows, so that every row is kept or dropped by its own text, whatever its id.
+    """
+    names = list(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [statistics(t or "") for t in batch.column(names.index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*names, "__stats"])
+
+    schema = StructType([*docs.schema.fields, StructField("__stats", ArrayType(DoubleType()))])
+    staged, _ = written(docs.mapInArrow(run, schema), "with-statistics")
+    known = staged.select(F.col(id_col), F.col("__stats").alias("stats"))
+    model = fit(training_rows(known, labels, learn, id_col=id_col), "label")
+
+    @F.pandas_udf("double")
+    def score(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(stats.to_numpy())) if len(stats) else [], dtype=float)
+
+    return staged.where(score("__stats") >= threshold).select(*[F.col(f"`{c}`") for c in names])

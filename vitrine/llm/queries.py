@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, pq_dedup, projected_search, quality, simhash, suffix_dedup
+from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, pq_dedup, projected_search, quality, simhash, suffix_dedup, suffix_tree_lm
 from vitrine.llm.common import remainder, written
 
 LIBRARY_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -27,6 +27,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(_table(spark, sf_dir, "documents"), columns)
 
 
+def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    scored = suffix_tree_lm.score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
     kept = (F.col("vec_id") == F.col("component")).alias("kept")
@@ -87,6 +95,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_suffix_tree_lm": op2_suffix_tree_lm,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
     "op5_arrow_output": op5_arrow_output,

@@ -177,3 +177,15 @@ def near_duplicates(
     group = named.groupBy("root").agg(F.min("least").alias("component"))
     labels = named.select("fp", "root").join(group, "root").select("fp", "component")
     return marked.join(labels, "fp").select(id_col, "fp", "component")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of near-duplicates.
+
+    Rows are told apart by a number of the staged table, so null and repeated ids make no difference; the row with the
+    least number stays.
+    """
+    staged, _ = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(staged, radius, width, seed, "__row", text_col)
+    kept = found.where(F.col("__row") == F.col("component")).select("__row")
+    return staged.join(kept, "__row", "left_semi").drop("__row")

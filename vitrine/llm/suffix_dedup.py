@@ -284,6 +284,8 @@ def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
 def repeats(
     docs: DataFrame,
     columns: dict[str, Column] | None = None,
+    carry: dict[str, Column] | None = None,
+    whole_characters: bool = False,
     length: int = 200,
     gram: int = GRAM,
     group: int = GROUP,
@@ -293,7 +295,8 @@ def repeats(
     """Repeated strings of ``length`` UTF-8 bytes, overlapping ones and those within one text included.
 
     Returns the id and ``columns``, which may use n_bytes, spans (array of [start, end) in bytes, maximal and in order)
-    and kept (the bytes outside the spans, as binary); by default those three.  One row for each input row.  A null text
+    and kept (the bytes outside the spans, as binary); by default those three.  ``carry`` names further columns of the
+    input to return.  With ``whole_characters`` kept also loses the rest of characters that a span's end cuts.  One row for each input row.  A null text
     is empty and has no spans, like any text shorter than ``length``; texts that occur in several rows are covered
     whole; ids may be null or repeated; an empty table gives no rows; other columns are not carried.
     """
@@ -334,7 +337,8 @@ def repeats(
                 starts = [*[s for s, _ in merged], len(raw)]
                 sizes.append(len(raw))
                 spans.append([{"start": s, "end": e} for s, e in merged])
-                kept.append(b"".join(raw[a:b] for a, b in zip(ends, starts)))
+                left = b"".join(raw[a:b] for a, b in zip(ends, starts))
+                kept.append(left.decode("utf-8", "ignore").encode() if whole_characters else left)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
@@ -344,4 +348,6 @@ def repeats(
     joined = texts.join(covered, ["h", "g"], "left").select("h", "g", "text", "n", "covered")
     done = joined.mapInArrow(cut, "h long, g int, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     done, _ = written(done.select("h", "g", *[c.alias(name) for name, c in columns.items()]), "repeats")
-    return docs.select(F.col(id_col), *class_key(text_col)).join(done, ["h", "g"]).select(id_col, *columns)
+    carried = F.struct(F.col(id_col), *[c.alias(name) for name, c in (carry or {}).items()]).alias("row")
+    joined = docs.select(carried, *class_key(text_col)).join(done, ["h", "g"])
+    return joined.select("row.*", *columns)
