@@ -306,7 +306,8 @@ def repeats(
     found = texts.where(F.octet_length("text") >= length).select("h", "g", "text")
     places, _ = written(found.mapInArrow(lambda b: _anchor_rows(b, length, gram), schema), "anchors")
     grams = places.groupBy("a").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    grams = grams.where("n > 1").select("a", (F.col("x0") != F.col("x1")).alias("differ"))
+    # written, so that the join below is one of two plain exchanges, whose large partitions Spark can split
+    grams, _ = written(grams.where("n > 1").select("a", (F.col("x0") != F.col("x1")).alias("differ")), "repeated-grams")
     again, _ = written(places.join(grams, "a"), "repeated-anchors")
     # one copy of each different context, of grams that have several
     first = F.min(F.struct("h", "g", "place", "left", "right")).alias("o")
