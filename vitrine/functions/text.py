@@ -42,7 +42,7 @@ def slugify(col: Column) -> Column:
 
 def truncate_words(col: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut back to a word boundary, with an ellipsis where something was cut."""
-    cut = F.regexp_replace(F.substring(col, 1, limit), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring(col, 1, limit), r"\s+\S*\z", "")
     return F.when(F.length(col) <= limit, col).otherwise(F.concat(cut, F.lit("…")))
 
 
