@@ -24,7 +24,7 @@ from vitrine.llm import chunks
 from vitrine.llm.common import whole_text
 
 #: Entries of a worker's memo of pair tests before it starts anew.
-PAIR_ENTRIES = 2_000_000
+PAIR_ENTRIES = 1_000_000
 
 
 class RankEncoder:

@@ -14,7 +14,7 @@ from itertools import chain, filterfalse
 import numpy as np
 
 #: Chunks kept by a worker before its memo starts anew, and the longest chunk that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 800_000, 64
 
 #: The id of a line end in both byte-level vocabularies of the 50k family.
 LINE_END = 198

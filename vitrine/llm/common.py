@@ -9,17 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Where that is unset (tests, one machine) a local folder is made and
-    the setting is filled in, so that every operator of the session uses the same one.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, the checkpoint folder that the context was given
+    otherwise; where there is none (tests, one machine) a local folder, the same one for the whole application.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        name = spark.sparkContext.applicationId
+        if name not in _LOCAL:
+            _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _LOCAL[name]
     return folder.rstrip("/")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import shuffle_width, whole_text, written
+from vitrine.llm.common import dropped, shuffle_width, whole_text, written
 from vitrine.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -171,8 +171,9 @@ def near_duplicates(
     """
     marked, _ = written(with_fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
     least = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
-    links, _ = written(linked(least.select("fp"), radius), "links")
+    links, path = written(linked(least.select("fp"), radius), "links")
     roots, _ = written(components(links), "roots")
+    dropped(docs.sparkSession, path)
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     group = named.groupBy("root").agg(F.min("least").alias("component"))
     labels = named.select("fp", "root").join(group, "root").select("fp", "component")

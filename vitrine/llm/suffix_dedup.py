@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import scratch_path, shuffle_width, whole_text, written
+from vitrine.llm.common import dropped, scratch_path, shuffle_width, whole_text, written
 from vitrine.llm.suffix_sort import common_prefix, sort_strings
 
 #: Bytes of an anchor's gram, windows handled at once, and different contexts of a gram that one task sorts.
@@ -195,16 +195,17 @@ def _spans(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _text_classes(docs: DataFrame, text_col: str) -> DataFrame:
-    """Different texts as a table bucketed by (h, g): h, g, text, n."""
+def _text_classes(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """Different texts as a table bucketed by (h, g): h, g, text, n; and its path."""
     spark, name = docs.sparkSession, f"vitrine_{uuid.uuid4().hex}"
     text = whole_text(text_col).alias("text")
     one = docs.select(text).select(*class_key("text"), "text").groupBy("h", "g").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    writer = one.write.option("compression", "zstd").option("path", scratch_path(spark, "texts"))
+    path = scratch_path(spark, "texts")
+    writer = one.write.option("compression", "zstd").option("path", path)
     writer.bucketBy(shuffle_width(spark), "h", "g").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, and the table read above knows them
-    return table
+    return table, path
 
 
 def class_key(text_col: str) -> list[Column]:
@@ -301,24 +302,29 @@ def repeats(
     whole; ids may be null or repeated; an empty table gives no rows; other columns are not carried.
     """
     columns = columns or {c: F.col(c) for c in ("n_bytes", "spans", "kept")}
-    texts = _text_classes(docs, text_col)
+    texts, *paths = _text_classes(docs, text_col)
     schema = "h long, g int, place long, left int, right int, a long, x long"
     found = texts.where(F.octet_length("text") >= length).select("h", "g", "text")
-    places, _ = written(found.mapInArrow(lambda b: _anchor_rows(b, length, gram), schema), "anchors")
+    places, path = written(found.mapInArrow(lambda b: _anchor_rows(b, length, gram), schema), "anchors")
+    paths.append(path)
     grams = places.groupBy("a").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     # written, so that the join below is one of two plain exchanges, whose large partitions Spark can split
-    grams, _ = written(grams.where("n > 1").select("a", (F.col("x0") != F.col("x1")).alias("differ")), "repeated-grams")
-    again, _ = written(places.join(grams, "a"), "repeated-anchors")
+    grams, path = written(grams.where("n > 1").select("a", (F.col("x0") != F.col("x1")).alias("differ")), "repeated-grams")
+    paths.append(path)
+    again, path = written(places.join(grams, "a"), "repeated-anchors")
+    paths.append(path)
     # one copy of each different context, of grams that have several
     first = F.min(F.struct("h", "g", "place", "left", "right")).alias("o")
     distinct = again.where("differ").groupBy("a", "x").agg(first, F.count("*").alias("n")).select("a", "x", "n", "o.*")
-    contexts, _ = written(_contexts(texts, distinct), "contexts")
+    contexts, path = written(_contexts(texts, distinct), "contexts")
+    paths.append(path)
     large, _ = written(contexts.groupBy("a").count().where(F.col("count") > group).select("a"), "large-groups")
     parts = _sorted_groups(contexts.join(large, "a", "left_anti") if large.limit(1).count() else contexts, length)
     if large.limit(1).count():
         parts = parts.unionByName(_counted_windows(contexts.join(large, "a", "left_semi"), length))
     copies = contexts.where("n > 1").select("a", "x", F.array(F.struct(F.octet_length("before").alias("l"), F.octet_length("after").alias("r"))).alias("parts"))
-    parts, _ = written(parts.unionByName(copies), "parts")
+    parts, path = written(parts.unionByName(copies), "parts")
+    paths.append(path)
     # intervals of all texts
     whole = again.where("not differ").select("h", "g", (F.col("place") - F.col("left")).alias("s"), (F.col("place") + F.col("right")).alias("e"))
     some = again.where("differ").join(parts, ["a", "x"]).select("h", "g", "place", F.explode("parts").alias("p"))
@@ -349,6 +355,7 @@ def repeats(
     joined = texts.join(covered, ["h", "g"], "left").select("h", "g", "text", "n", "covered")
     done = joined.mapInArrow(cut, "h long, g int, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     done, _ = written(done.select("h", "g", *[c.alias(name) for name, c in columns.items()]), "repeats")
+    dropped(docs.sparkSession, *paths)  # all that the result still reads is the table just written
     carried = F.struct(F.col(id_col), *[c.alias(name) for name, c in (carry or {}).items()]).alias("row")
     joined = docs.select(carried, *class_key(text_col)).join(done, ["h", "g"])
     return joined.select("row.*", *columns)
