@@ -136,3 +136,63 @@ def split_submissions(submissions: DataFrame, per_file: bool = True) -> DataFram
     if per_file:
         return submissions.select("id", F.posexplode("files").alias("position", "file"))
     return submissions.select("id", F.lit(0).alias("position"), F.get("files", F.lit(0)).alias("file"))
+
+
+LOCATIONS = "array<struct<location_name string, location_type string, coordinates array<double>, narrative_role string, flags array<string>>>"
+
+
+def validated_locations(answers: DataFrame, types: list[str], roles: list[str], flags: list[str]) -> DataFrame:
+    """Places out of answers (item_id, answer): entries with a name, a known type and role; coordinates only as two
+    numbers, flags only known ones."""
+    parsed = F.from_json(outer_list(strip_fences(F.col("answer"))), LOCATIONS)
+    good = F.filter(parsed, lambda r: (F.trim(r["location_name"]) != "") & r["location_type"].isin(types) & r["narrative_role"].isin(roles))
+    rows = answers.select("item_id", F.explode(good).alias("r"))
+    known = F.array(*[F.lit(f) for f in flags]).cast("array<string>")
+    pair = F.when((F.size("r.coordinates") == 2) & F.forall("r.coordinates", lambda x: x.isNotNull()), F.col("r.coordinates"))
+    return rows.select(
+        "item_id", F.trim("r.location_name").alias("name"), F.col("r.location_type").alias("type"), F.col("r.narrative_role").alias("role"),
+        pair.alias("coordinates"), F.coalesce(F.array_intersect("r.flags", known), F.array().cast("array<string>")).alias("flags"),
+    )
+
+
+def backfilled_dates(credits: DataFrame, dated: DataFrame) -> DataFrame:
+    """(item_id, date) to insert: the first ISO date of a credit text, for items without a date."""
+    found = credits.select("item_id", F.regexp_extract("credit", r"(\d{4}-\d{2}-\d{2})", 1).alias("date")).where("date != ''")
+    return found.groupBy("item_id").agg(F.min("date").alias("date")).join(dated.select("item_id").distinct(), "item_id", "left_anti")
+
+
+def curated(members: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Members of a set after decisions (id, keep, outlet): dropped where keep is false, with the outlet where given;
+    decided items that are kept and weren't members join."""
+    kept = decisions.where("keep").select("id", "outlet")
+    undecided = members.join(decisions.select("id"), "id", "left_anti").select("id", F.lit(None).cast("string").alias("outlet"))
+    return undecided.unionByName(kept)
+
+
+def reconciled(rows: DataFrame) -> DataFrame:
+    """What to do for reconciled rows (url, action, matched_id): insert, link or nothing, and to which item."""
+    step = F.when(F.col("action") == "create", "insert").when((F.col("action") == "add_existing") & F.col("matched_id").isNotNull(), "link").otherwise("none")
+    return rows.select("url", step.alias("step"), F.when(step == "link", F.col("matched_id")).alias("target"))
+
+
+def enrichment_requests(items: DataFrame, cached: DataFrame, size: int = 500) -> DataFrame:
+    """Items with text that aren't cached, in batches of ``size`` by id: (item_id, text, batch)."""
+    from vitrine.operators.statistics import batches
+
+    waiting = items.where(F.trim("text") != "").join(cached.select("item_id").distinct(), "item_id", "left_anti")
+    return batches(waiting, "item_id", size)
+
+
+def sprint_flags(wide: DataFrame) -> DataFrame:
+    """One boolean column per field that a clean-up sprint would offer: (id, no_date, bad_date, no_size, no_motif,
+    repeated_motif, no_category)."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    return wide.select(
+        "id",
+        blank("date").alias("no_date"),
+        (~blank("date") & ~F.col("date").rlike(r"^(c\. )?\d{4}$|^∅$|^undated$")).alias("bad_date"),
+        (blank("height") | blank("width")).alias("no_size"),
+        (F.size("motifs") == 0).alias("no_motif"),
+        (F.size(F.array_distinct("motifs")) < F.size("motifs")).alias("repeated_motif"),
+        blank("category").alias("no_category"),
+    )
