@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import is_noise
+from vitrine.functions.text import is_noise, upper_words
 from vitrine.operators import cleaning, extraction, items, pages, rounds
 from vitrine.operators import suggestion as sg
 from vitrine.plans.cleaning_queries import RECORDS_SQL, _records
@@ -72,20 +73,18 @@ SELECT h.id, rank, lang FROM h LEFT JOIN documents ON doc_id = h.id""",
 )
 def hydrated_hits(spark, sf_dir):
     best = table(spark, sf_dir, "events").orderBy(F.desc("value"), "event_id").limit(100).select(F.col("event_id").alias("id"), "value")
-    from pyspark.sql import Window
-
     ranked = best.select("id", F.row_number().over(Window.orderBy(F.desc("value"), "id")).alias("rank"))
     return pages.hydrated(ranked, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"))
 
 
 @register(
     "word_snippets",
-    """WITH w AS (SELECT doc_id, regexp_split_to_array(trim(text, ' '), '\\s+') AS w FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$') AND text <> ''),
+    """WITH w AS (SELECT doc_id, regexp_split_to_array(trim(text, ' '), '\\s+') AS w FROM documents),
 p AS (SELECT doc_id, w, greatest(coalesce(list_position(list_transform(w, lambda x: contains(lower(x), 'the')), true), 1) - 6, 1) AS s FROM w)
 SELECT doc_id, CASE WHEN s > 1 THEN '...' ELSE '' END || array_to_string(w[s:s + 11], ' ') || CASE WHEN len(w) >= s + 12 THEN '...' ELSE '' END AS snippet FROM p""",
 )
 def word_snippets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^\s|\s\z") & (F.col("text") != ""))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pages.word_snippet(F.col("text"), F.lit("the")).alias("snippet"))
 
 
@@ -228,8 +227,6 @@ def sprint_flags(spark, sf_dir):
   n >= 50 AND ((list_contains(w, 'THE') AND len(list_filter(w, lambda x: length(x) >= 12)) > 3) OR len(list_filter(w, lambda x: length(x) >= 12)) > 8) AS again FROM w""",
 )
 def second_pass(spark, sf_dir):
-    from vitrine.functions.text import upper_words
-
     words = F.array_distinct(upper_words(F.col("text")))
     left = F.size(F.filter(words, lambda x: F.length(x) >= 12))
     again = extraction.needs_second_pass(F.length("text"), F.array_contains(words, "THE").cast("int"), left)
