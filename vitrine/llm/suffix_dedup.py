@@ -305,7 +305,8 @@ def repeats(
     texts, *paths = _text_classes(docs, text_col)
     schema = "h long, g int, place long, left int, right int, a long, x long"
     found = texts.where(F.octet_length("text") >= length).select("h", "g", "text")
-    places, path = written(found.mapInArrow(lambda b: _anchor_rows(b, length, gram), schema), "anchors")
+    found = found.mapInArrow(lambda b: _anchor_rows(b, length, gram), schema)
+    places, path = written(found.withColumn("p", F.spark_partition_id()), "anchors")
     paths.append(path)
     grams = places.groupBy("a").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     # written, so that the join below is one of two plain exchanges, whose large partitions Spark can split
@@ -326,10 +327,14 @@ def repeats(
     parts, path = written(parts.unionByName(copies), "parts")
     paths.append(path)
     # intervals of all texts
-    whole = again.where("not differ").select("h", "g", (F.col("place") - F.col("left")).alias("s"), (F.col("place") + F.col("right")).alias("e"))
-    some = again.where("differ").join(parts, ["a", "x"]).select("h", "g", "place", F.explode("parts").alias("p"))
-    some = some.select("h", "g", (F.col("place") - F.col("p.l")).alias("s"), (F.col("place") + F.col("p.r")).alias("e"))
-    covered = whole.unionByName(some).groupBy("h", "g").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
+    interval = lambda place, left, right: F.struct((place - left).alias("s"), (place + right).alias("e"))
+    whole = again.where("not differ").select("h", "g", F.array(interval(F.col("place"), F.col("left"), F.col("right"))).alias("c"))
+    # A context's places within one input partition meet its parts as one row, so that a context which many documents
+    # share isn't repeated for each of them; such a list is no longer than what one partition holds.
+    lists = again.where("differ").groupBy("a", "x", "p").agg(F.collect_list(F.struct("h", "g", "place")).alias("at"))
+    some = lists.join(parts, ["a", "x"]).select(F.explode("at").alias("o"), "parts")
+    some = some.select("o.h", "o.g", F.transform("parts", lambda p: interval(F.col("o.place"), p["l"], p["r"])).alias("c"))
+    covered = whole.unionByName(some).groupBy("h", "g").agg(F.flatten(F.collect_list("c")).alias("covered"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
