@@ -175,7 +175,9 @@ def near_duplicates(
     roots, _ = written(components(links), "roots")
     dropped(docs.sparkSession, path)
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    group = named.groupBy("root").agg(F.min("least").alias("component"))
+    # both written, so that the join of a large group's fingerprints is one of plain exchanges, which Spark can split
+    named, _ = written(named, "named")
+    group, _ = written(named.groupBy("root").agg(F.min("least").alias("component")), "groups")
     labels = named.select("fp", "root").join(group, "root").select("fp", "component")
     return marked.join(labels, "fp").select(id_col, "fp", "component")
 
