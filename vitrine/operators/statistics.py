@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.dates import norm_year
 from vitrine.operators.items import public_items
+from vitrine.operators.numbering import row_numbers
 from vitrine.sources.catalog import PROPERTIES, Catalog
 
 
@@ -162,11 +163,5 @@ def new_terms(known: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, order: str, size: int = 500) -> DataFrame:
-    """Number rows into batches of ``size`` in order.  Row numbers come from per-range counts, not from one task."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    numbered = ranged.withColumn("__i", inside)
-    held = numbered.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = held.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = numbered.join(F.broadcast(before.select("__p", "__b")), "__p")
-    return placed.withColumn("batch", F.floor((F.col("__b") + F.col("__i") - 1) / size)).drop("__p", "__i", "__b")
+    """Number rows into batches of ``size`` in the order of a numeric key."""
+    return row_numbers(df, order, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size)).drop("__n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import extraction as ex
 from vitrine.operators import suggestion as sg
+from vitrine.operators.numbering import row_numbers
 from vitrine.plans.registry import register
 from vitrine.sources.catalog import table
 
@@ -141,7 +142,7 @@ def page_corpus(spark, sf_dir):
 
 @register("numbered_pages", "SELECT page_id, row_number() OVER (ORDER BY page_id) AS seq FROM pages")
 def numbered_pages(spark, sf_dir):
-    return ex.numbered(table(spark, sf_dir, "pages").select("page_id"), "page_id")
+    return row_numbers(table(spark, sf_dir, "pages").select("page_id"), "page_id", "seq")
 
 
 def _vectors(spark, sf_dir):
