@@ -95,10 +95,11 @@ class Discriminant:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit(labelled: DataFrame, label_col: str, shrink: float = 0.1, ridge: float = 0.05) -> Discriminant:
+def fit(labelled: DataFrame, label_col: str, shrink: float = 0.5, ridge: float = 0.01) -> Discriminant:
     """Fit on all rows of ``labelled`` (stats, label 0 or 1).
 
-    ``shrink`` is the weight of the pooled covariance in each class's, ``ridge`` that of the diagonal.  Where a class
+    ``shrink`` is the weight of the pooled covariance in each class's, ``ridge`` that of the diagonal; the defaults come
+    from cross-validation within training rows.  Where a class
     has fewer than two rows there is no model and every score is the smoothed share of class 1.
     """
     d = len(STATISTICS)
