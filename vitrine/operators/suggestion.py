@@ -119,8 +119,8 @@ def band_totals(found: DataFrame) -> DataFrame:
     return found.groupBy("band").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("items"))
 
 
-def pre_tag(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Suggestions for all vectors (id, v) from labels (id, label) and, if given, prompt vectors (label, v)."""
+def label_scores(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """(id, label, score, method) of all vectors (id, v) from labels (id, label) and, if given, prompt vectors (label, v)."""
     parts = {
         "centroid": z_scores(centroid_scores(vectors, labels).where(F.col("score").isNotNull())),
         "knn": z_scores(neighbour_votes(vectors, labels, k)),
@@ -129,7 +129,13 @@ def pre_tag(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = N
         asked = F.broadcast(prompts.select("label", unit(F.col("v")).alias("p")))
         rows = vectors.select("id", unit(F.col("v")).alias("u")).crossJoin(asked)  # the prompts are a vocabulary
         parts["text"] = z_scores(rows.select("id", "label", dot(F.col("u"), F.col("p")).alias("score")))
-    scored = combined(parts)
+    return combined(parts)
+
+
+def pre_tag(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """Suggestions for all vectors, in bands by thresholds calibrated on the labelled ones; where no score down the list
+    of a label is precise enough there are none."""
+    scored = label_scores(vectors, labels, prompts, k)
     marked = scored.join(labels.select("id").distinct(), "id", "left_semi").join(labels.withColumn("own", F.lit(1)), ["id", "label"], "left")
     calibration = marked.select("label", "score", F.coalesce("own", F.lit(0)).alias("hit"))
     return suggestions(scored, thresholds(calibration, {"high": 0.9, "medium": 0.6}), labels)

@@ -215,7 +215,7 @@ def precision_at(spark, sf_dir):
     return sg.precision_at(calibration, events.where("id % 2 = 0")).withColumn("confidence", F.round("confidence", 6))
 
 
-@register("pre_tag")
-def pre_tag(spark, sf_dir):
-    """The whole suggestion pipeline; its parts have SQL of their own."""
-    return sg.pre_tag(*_vectors(spark, sf_dir))
+@register("label_scores")
+def label_scores(spark, sf_dir):
+    """Combined scores of every vector and label; their parts have SQL of their own."""
+    return sg.label_scores(*_vectors(spark, sf_dir))
