@@ -65,9 +65,9 @@ def ingest_rows(wide: DataFrame, host: str) -> DataFrame:
 
 def normalized_results(hits: DataFrame) -> DataFrame:
     """Results whose fields have several names: (id, title, url, thumb), first non-null of each, ids above 0, of the same
-    id the first by ``pos``.  ``hits``: pos and a struct ``payload`` with omeka_item_id, id, title, label, url, item_url,
+    id the first by ``pos``.  ``hits``: pos and a struct ``payload`` with item_id, id, title, label, url, item_url,
     thumb, thumb_url."""
     p = lambda *names: F.coalesce(*[F.col(f"payload.{n}") for n in names])
-    rows = hits.select("pos", p("omeka_item_id", "id").alias("id"), p("title", "label").alias("title"), p("item_url", "url").alias("url"), p("thumb_url", "thumb").alias("thumb"))
+    rows = hits.select("pos", p("item_id", "id").alias("id"), p("title", "label").alias("title"), p("item_url", "url").alias("url"), p("thumb_url", "thumb").alias("thumb"))
     first = F.min_by(F.struct("title", "url", "thumb"), "pos").alias("r")
     return rows.where(F.col("id") > 0).groupBy("id").agg(first).select("id", "r.*")

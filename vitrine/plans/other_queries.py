@@ -94,7 +94,7 @@ def normalized_results(spark, sf_dir):
     key, none = F.col("event_id"), F.lit(None).cast("string")
     address = F.concat(F.lit("u"), key.cast("string"))
     payload = F.struct(
-        F.when(key % 2 == 0, F.col("user_id")).alias("omeka_item_id"), (F.col("user_id") - 1).alias("id"),
+        F.when(key % 2 == 0, F.col("user_id")).alias("item_id"), (F.col("user_id") - 1).alias("id"),
         F.when(key % 3 == 0, F.col("event_type")).alias("title"), F.col("event_type").alias("label"), address.alias("url"), none.alias("item_url"),
         F.concat(F.lit("t"), key.cast("string")).alias("thumb"), none.alias("thumb_url"),
     )
