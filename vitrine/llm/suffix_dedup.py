@@ -297,43 +297,44 @@ def repeats(
 
     Returns the id and ``columns``, which may use n_bytes, spans (array of [start, end) in bytes, maximal and in order)
     and kept (the bytes outside the spans, as binary); by default those three.  ``carry`` names further columns of the
-    input to return.  With ``whole_characters`` kept also loses the rest of characters that a span's end cuts.  One row for each input row.  A null text
-    is empty and has no spans, like any text shorter than ``length``; texts that occur in several rows are covered
+    input to return.  With ``whole_characters`` kept also loses the rest of characters that a span's end cuts.  One row for
+    each input row.  A null text is empty and has no spans, like any text shorter than ``length``; texts that occur in several rows are covered
     whole; ids may be null or repeated; an empty table gives no rows; other columns are not carried.
     """
     columns = columns or {c: F.col(c) for c in ("n_bytes", "spans", "kept")}
     texts, *paths = _text_classes(docs, text_col)
     schema = "h long, g int, place long, left int, right int, a long, x long"
     found = texts.where(F.octet_length("text") >= length).select("h", "g", "text")
-    found = found.mapInArrow(lambda b: _anchor_rows(b, length, gram), schema)
-    places, path = written(found.withColumn("p", F.spark_partition_id()), "anchors")
+    places, path = written(found.mapInArrow(lambda b: _anchor_rows(b, length, gram), schema), "anchors")
     paths.append(path)
-    grams = places.groupBy("a").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    # written, so that the join below is one of two plain exchanges, whose large partitions Spark can split
-    grams, path = written(grams.where("n > 1").select("a", (F.col("x0") != F.col("x1")).alias("differ")), "repeated-grams")
+    # Counts of contexts and grams, so that one join tells every anchor whether its context is repeated as a whole.
+    # They are written, so that the joins are of plain exchanges, whose large partitions Spark can split.
+    counts, path = written(places.groupBy("a", "x").agg(F.count("*").alias("n")), "contexts-counted")
     paths.append(path)
-    again, path = written(places.join(grams, "a"), "repeated-anchors")
+    grams = counts.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
+    grams, path = written(grams.select("a", (F.col("kinds") > 1).alias("differ")), "repeated-grams")
     paths.append(path)
+    known, path = written(counts.join(grams, "a"), "known-contexts")
+    paths.append(path)
+    again, path = written(places.join(known, ["a", "x"]), "repeated-anchors")
+    dropped(docs.sparkSession, *paths[1:])  # all but the texts
+    paths[1:] = [path]
     # one copy of each different context, of grams that have several
     first = F.min(F.struct("h", "g", "place", "left", "right")).alias("o")
-    distinct = again.where("differ").groupBy("a", "x").agg(first, F.count("*").alias("n")).select("a", "x", "n", "o.*")
+    distinct = again.where("differ").groupBy("a", "x").agg(first, F.max("n").alias("n")).select("a", "x", "n", "o.*")
     contexts, path = written(_contexts(texts, distinct), "contexts")
     paths.append(path)
     large, _ = written(contexts.groupBy("a").count().where(F.col("count") > group).select("a"), "large-groups")
     parts = _sorted_groups(contexts.join(large, "a", "left_anti") if large.limit(1).count() else contexts, length)
     if large.limit(1).count():
         parts = parts.unionByName(_counted_windows(contexts.join(large, "a", "left_semi"), length))
-    copies = contexts.where("n > 1").select("a", "x", F.array(F.struct(F.octet_length("before").alias("l"), F.octet_length("after").alias("r"))).alias("parts"))
-    parts, path = written(parts.unionByName(copies), "parts")
+    parts, path = written(parts, "parts")
     paths.append(path)
-    # intervals of all texts
-    interval = lambda place, left, right: F.struct((place - left).alias("s"), (place + right).alias("e"))
-    whole = again.where("not differ").select("h", "g", F.array(interval(F.col("place"), F.col("left"), F.col("right"))).alias("c"))
-    # A context's places within one input partition meet its parts as one row, so that a context which many documents
-    # share isn't repeated for each of them; such a list is no longer than what one partition holds.
-    lists = again.where("differ").groupBy("a", "x", "p").agg(F.collect_list(F.struct("h", "g", "place")).alias("at"))
-    some = lists.join(parts, ["a", "x"]).select(F.explode("at").alias("o"), "parts")
-    some = some.select("o.h", "o.g", F.transform("parts", lambda p: interval(F.col("o.place"), p["l"], p["r"])).alias("c"))
+    # intervals of all texts; a context that occurs twice is covered whole, only the others need their parts
+    interval = lambda left, right: F.struct((F.col("place") - left).alias("s"), (F.col("place") + right).alias("e"))
+    whole = again.where("n > 1").select("h", "g", F.array(interval(F.col("left"), F.col("right"))).alias("c"))
+    some = again.where("n = 1 and differ").join(parts, ["a", "x"])
+    some = some.select("h", "g", F.transform("parts", lambda p: interval(p["l"], p["r"])).alias("c"))
     covered = whole.unionByName(some).groupBy("h", "g").agg(F.flatten(F.collect_list("c")).alias("covered"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
