@@ -49,6 +49,32 @@ def test_embedding_dedup(spark, data, vectors):
     assert pq_dedup.near_duplicates(vectors.where("vec_id in (440, 441)")).count() == 2
 
 
+def test_probes_lose_no_link_of_a_hot_group_in_few_dimensions():
+    rng = np.random.default_rng(8)
+    noise = np.zeros((3000, 64))
+    noise[:, :4] = rng.normal(size=(3000, 4)) * 0.12
+    hot = rng.normal(size=64)
+    units = pq_dedup._units(np.vstack([rng.normal(size=(3000, 64)), hot / np.linalg.norm(hot) + noise]))
+    index = pq_dedup.fit(units, len(units) // 128, 8, 16)
+    own, probes = index.cells(units, 0.95)
+    sees = np.zeros((len(units), len(index.centroids)), dtype=bool)
+    for i, p in enumerate(probes):
+        sees[i, p] = True
+    a, b = np.nonzero(np.triu(units @ units.T >= 0.95, 1))
+    assert len(a) > 100_000 and len(set(own[3000:])) > 5 and (sees[a, own[b]] | sees[b, own[a]]).all()
+
+
+def test_embedding_dedup_of_a_hot_group(spark):
+    rng = np.random.default_rng(9)
+    hot = np.append(np.ones(2), np.zeros(14)) + np.hstack([rng.normal(size=(900, 3)) * 0.2, np.zeros((900, 13))])
+    table = np.vstack([rng.normal(size=(900, 16)), hot])
+    units = table / np.linalg.norm(table, axis=1)[:, None]
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    vectors = spark.createDataFrame(list(enumerate(table.tolist())), "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicates(vectors).collect()}
+    assert [found[i] for i in range(len(table))] == links.tolist() and links.sum() > 100_000
+
+
 def test_search(spark, data, vectors):
     good = [(i, np.array(v, dtype=float)) for i, v in data if usable(v)]
     found = projected_search.nearest(vectors, vectors.where("vec_id % 20 = 0 or vec_id = 441"), k=7, confidence=0.999).collect()

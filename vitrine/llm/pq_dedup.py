@@ -1,10 +1,11 @@
 """Operator 3: near-duplicate embeddings through coarse inverted lists and product quantisation.
 
 Equal vectors are collapsed first.  K-means centroids cut the unit sphere into cells; the residual of each vector in its
-cell is coded by subspace codebooks.  A vector probes every cell that is at most a margin farther than its own, and in
-each of them asymmetric distances, summed from a table of its inner products with the codewords, leave only candidates
-that can be near enough given their own coding error; exact cosines decide.  A pair that can be found from both sides is
-counted on one.  Tasks hold bounded blocks of a cell's list and of its probes, and give out one count and one link to a
+cell is coded by subspace codebooks.  The two ends of a link lie on either side of the plane halfway between their cells'
+centroids, so one of them is within half the link's length of it: a vector probes every cell whose plane is that near,
+and no link is lost.  In each cell asymmetric distances, summed from a table of inner products with the codewords, leave
+only candidates that can be near enough given their own coding error; exact cosines decide.  A pair that can be found
+from both sides is counted on one.  Tasks hold bounded blocks of a cell's list and of its probes, and give out one count and one link to a
 representative per vector, never the pairs.
 """
 
@@ -48,12 +49,17 @@ class Index:
     centroids: np.ndarray
     books: np.ndarray
 
-    def cells(self, units: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each vector's own cell, and all that it probes."""
-        squares = 1 + (self.centroids**2).sum(axis=1) - 2 * units @ self.centroids.T
-        distance = np.sqrt(np.maximum(squares, 0))
-        own = distance.argmin(axis=1)
-        near = distance <= distance.min(axis=1)[:, None] + margin
+    def cells(self, units: np.ndarray, cosine: float, margin: float = 0.0) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each vector's own cell, and all that it probes: those whose bisecting plane with the own one is at most half
+        as far as two vectors of ``cosine`` can be apart, and those at most ``margin`` farther than the own one."""
+        sizes = (self.centroids**2).sum(axis=1)
+        squares = np.maximum(1 + sizes - 2 * units @ self.centroids.T, 0)
+        own, least = squares.argmin(axis=1), squares.min(axis=1)[:, None]
+        apart = np.sqrt(np.maximum(sizes[:, None] + sizes - 2 * self.centroids @ self.centroids.T, 0))
+        # the distance to the plane is (square - least) / (2 * apart)
+        near = squares - least <= math.sqrt(max(2 - 2 * cosine, 0)) * (apart[own] + 1e-6) + 1e-9
+        if margin > 0:
+            near |= np.sqrt(squares) <= np.sqrt(least) + margin
         return own, [np.flatnonzero(row) for row in near]
 
     def encode(self, units: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +96,7 @@ def _match(index: Index, cell: int, listed: pa.Table, probing: pa.Table, cosine:
     probes = [set(x) for x in listed["probes"].to_pylist()]
     codes, stand = index.encode(units, cell)
     error = np.sqrt(((units - stand) ** 2).sum(axis=1))
-    reach = (math.sqrt(2 - 2 * cosine) + error + 1e-9) ** 2
+    reach = (math.sqrt(max(2 - 2 * cosine, 0)) + error + 1e-9) ** 2
     norms = (stand**2).sum(axis=1)
     centre, width = index.centroids[cell], index.books.shape[2]
     counts: dict[int, int] = {}
@@ -128,7 +134,7 @@ def _match(index: Index, cell: int, listed: pa.Table, probing: pa.Table, cosine:
 def near_duplicates(
     vectors: DataFrame,
     cosine: float = 0.95,
-    margin: float = 0.08,
+    margin: float = 0.0,
     subspaces: int = 8,
     codes: int = 256,
     id_col: str = "vec_id",
@@ -137,7 +143,7 @@ def near_duplicates(
     """(id, n_links, component): other vectors of cosine at least ``cosine``, and the least id reachable over such links.
 
     One row for each input row.  Vectors that are null, zero, hold null or non-finite components, or are not as long as
-    most, have no links and are their own component.  Equal vectors are linked to each other.  Rows with the same id are
+    most, have no links and are their own component.  No link is missed; a ``margin`` above 0 only adds probes.  Equal vectors are linked to each other.  Rows with the same id are
     separate vectors that share the id; rows with a null id have no links and a null component.  Centroids and codebooks
     are fitted on at most ``SAMPLE_ROWS`` different vectors, those with the smallest hash; every vector is indexed.  An
     empty table gives no rows.
@@ -162,7 +168,7 @@ def near_duplicates(
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                cells, probes = shared.value.cells(_units(matrix(part.column(2))), margin)
+                cells, probes = shared.value.cells(_units(matrix(part.column(2))), cosine, margin)
                 lists = pa.array([p.tolist() for p in probes], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells.astype(np.int32)), lists], names=["h", "g", "v", "id", "n", "cell_own", "probes"])
 
