@@ -125,6 +125,32 @@ def test_language_model_learns_contexts(spark):
 # operators 4 and 5
 
 
+def test_language_model_keeps_contexts_of_a_large_corpus(spark):
+    # "mu nu" occurs 12 times among 1.2 million tokens: once a share of the corpus, now a number of occurrences
+    rows = [(i, "filler " * 20_000) for i in range(60)] + [(100 + i, "mu nu") for i in range(13)] + [(200, "xi nu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in suffix_tree_lm.score_texts(docs, F.col("doc_id") < 112).where("doc_id >= 112").collect()}
+    # after "mu", "nu" has (12 - 0.75) / 12 and more: its part of the score is almost 0
+    assert found[112]["score"] > found[112]["base_score"] + 4 and found[200]["score"] < -9
+
+
+def test_language_model_gives_the_same_scores_from_the_tables(spark, docs, rows):
+    learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["base_score"])
+    runs = [suffix_tree_lm.score_texts(docs, learn, hot=hot, word_share=share).collect() for hot, share in ((10**6, 2e-7), (0, 2e-7), (40, 1e-3))]
+    want, *others = [sorted(((*key(r)[:3], round(r["base_score"], 6), round(r["score"], 6)) for r in run)) for run in runs]
+    assert any(w[3] != w[4] for w in want) and len(want) == len(rows)
+    for got in others:
+        assert [w[:3] for w in want] == [g[:3] for g in got]
+        assert max(abs(a - b) for w, g in zip(want, got) for a, b in zip(w[3:], g[3:])) < 1e-4
+
+
+def test_hashes_equal_sparks(spark):
+    a, b = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, size=(2, 50))
+    table = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
+    assert [r[0] for r in table.select(F.xxhash64("a", "b")).collect()] == suffix_tree_lm.keyed(a, b).tolist()
+
+
 def test_packing(spark, rows, docs, none, tokenizer):
     found = packing.pack(docs, PATH, capacity=256).collect()
     want = collections.Counter()

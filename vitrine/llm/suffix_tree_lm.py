@@ -6,22 +6,22 @@ Distributions are smoothed by absolute discounting: an entry keeps its count les
 the suffix's distribution, down to the root's add-one estimate.  A token is scored in the state of the longest kept
 suffix of the words before it.
 
-All counts cover the whole training corpus and are summed in Spark.  The parts that every task needs are limited by
-shares of the corpus, not by its size: words with at least a share ``word_share`` of all tokens, contexts with
-``context_share`` and entries with ``entry_share``, so there are at most one over that share of each, whatever the
-corpus.  The other words, whose number grows with the corpus, are counted and joined in Spark.
+All counts cover the whole training corpus and are summed in Spark.  The minima are numbers of occurrences, the same for
+every corpus, so contexts and entries grow with it; they stay tables in Spark.  Words and contexts are known by hashes
+of 64 bits.  Tasks hold only what is bounded: filters of ``FILTER_BITS`` bits that never reject a key of their table,
+words with at least a share ``word_share`` of all tokens, and the most frequent kept contexts with all of their entries.
+A token that these can't score for certain is joined to the tables by its contexts; no token gets a coarser model.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +32,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The end token's place among the words: no word is empty.
 END = b""
 
-#: Bits of a symbol in a pair's key.
-BITS = 23
+#: Bits of a filter (a power of two), and words that a task remembers.
+FILTER_BITS, MEMO_WORDS = 1 << 27, 1_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -43,35 +43,64 @@ def tokens(text: str) -> list[bytes]:
     return found
 
 
+def chained(values: np.ndarray, seeds) -> np.ndarray:
+    """Spark's xxhash64 of longs with seeds: ``xxhash64(a, b)`` is ``chained(b, chained(a, 42))``."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    with np.errstate(over="ignore"):
+        seeds = np.uint64(seeds) if isinstance(seeds, int) else seeds.view(np.uint64)
+        h = (seeds + five + np.uint64(8)) ^ turned(values.view(np.uint64) * two, 31) * one
+        h = turned(h, 27) * one + four
+        h = (h ^ h >> np.uint64(33)) * two
+        h = (h ^ h >> np.uint64(29)) * three
+        return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def keyed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``xxhash64(a, b)`` of two columns of longs."""
+    return chained(b, chained(a, 42))
+
+
+def filter_of(keys: DataFrame, column: str) -> np.ndarray:
+    """The bits of a table's keys; the driver gets at most ``FILTER_BITS`` / 64 words."""
+    slot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = keys.select(F.shiftright(slot, 6).alias("i"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b"))
+    found = bits.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    made = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    made[found["i"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return made
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that the filter's table doesn't have."""
+    raw = keys.view(np.uint64)
+    word = bits[((raw & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)).view(np.int64)]
+    return (word >> (raw & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 @dataclass
 class Vocabulary:
-    """Frequent words by falling count, so that a share of the corpus is a range of ids."""
+    """Hashes of the frequent words in order, and their counts."""
 
-    words: pa.Array
+    keys: np.ndarray
     counts: np.ndarray
     total: int
     distinct: int
-    contexts: int
-    symbols: int
-    name: str
-
-    def lookup(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
 
 @dataclass
 class States:
-    """Kept contexts of one depth: ``keys`` in order, the weight of the suffix's distribution in each, and the entries
-    (context's place, symbol) in order with their probabilities."""
+    """The most frequent kept contexts of one depth: ``keys`` in order, the weight of the suffix's distribution in each,
+    the hashes of all their entries (context, symbol) in order with their probabilities, and a filter of the others."""
 
     keys: np.ndarray
     backoff: np.ndarray
     entries: np.ndarray
     values: np.ndarray
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of contexts, -1 where one isn't kept."""
-        return _find(self.keys, keys)
+    others: np.ndarray
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -81,20 +110,31 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-_IDS: dict[str, dict[bytes, int]] = {}
+class _Memo(dict):
+    """Numbers of the words that a task has met, their hashes, and their places in a table."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new, self.hashes, self.places = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(xxhash.xxh64_intdigest(word, 42))
+        return n
 
-def _ids(shared) -> dict[bytes, int]:
-    """The vocabulary's dictionary, made once per worker."""
-    vocabulary = shared.value[0]
-    if vocabulary.name not in _IDS:
-        _IDS.clear()
-        _IDS[vocabulary.name] = vocabulary.lookup()
-    return _IDS[vocabulary.name]
+    def settle(self) -> None:
+        made = np.array(self.new, dtype=np.uint64).view(np.int64)
+        self.hashes, self.places = np.append(self.hashes, made), np.append(self.places, _find(self.table, made))
+        self.new = []
 
 
-def _streams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], column: int, chars: int = 4_000_000):
-    """(batch, first row, word lists, ids end to end, starts) of groups of rows; unknown words have id -1."""
+def _streams(batches: Iterator[pa.RecordBatch], column: int, table: np.ndarray, chars: int = 4_000_000):
+    """(batch, first row, word lists, hashes end to end, their places in ``table``, starts) of groups of rows."""
+    memo = _Memo(table)
     for batch in batches:
         texts, at = batch.column(column).to_pylist(), 0
         while at < len(texts):
@@ -104,9 +144,11 @@ def _streams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], column: i
                 size += len(texts[at])
                 at += 1
             sizes = np.array([len(x) for x in lists])
-            get = ids.get
-            flat = np.fromiter((get(w, -1) for x in lists for w in x), dtype=np.int64, count=int(sizes.sum()))
-            yield batch, first, lists, flat, np.cumsum(sizes) - sizes
+            if len(memo) > MEMO_WORDS:
+                memo.reset()
+            flat = np.fromiter((memo[w] for x in lists for w in x), dtype=np.int64, count=int(sizes.sum()))
+            memo.settle()
+            yield batch, first, lists, memo.hashes[flat], memo.places[flat], np.cumsum(sizes) - sizes
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -130,46 +172,47 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def _count_keys(texts: DataFrame, shared, keys_of) -> DataFrame:
-    """(k, n): counts of the integer keys that ``keys_of(ids, starts)`` finds in the texts."""
+def _count_entries(texts: DataFrame, shared, depth: int) -> DataFrame:
+    """(c, s, n): how often a symbol follows a context of ``depth`` words, of those that pass the filters in ``shared``
+    (words, contexts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], names=["k", "n"])
-
-        for _, _, _, ids, starts in _streams(batches, _ids(shared), 0):
-            held.append(keys_of(shared.value, ids, starts))
-            size += len(held[-1])
-            if size > 8_000_000:
+            if held:
+                c, s = (np.concatenate(x) for x in zip(*held))
+                _, at, n = np.unique(keyed(c, s), return_index=True, return_counts=True)
+                for a in range(0, len(at), 100_000):
+                    part = at[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[part], s[part], n[a : a + 100_000])], names=["c", "s", "n"])
+
+        words, wanted = shared.value
+        for _, _, _, ids, _, starts in _streams(batches, 0, np.zeros(0, np.int64)):
+            contexts = _contexts(ids, starts)[depth - 1]
+            known = passes(words, ids)
+            ok = (contexts != 0) & known
+            ok[ok] = passes(wanted, contexts[ok])
+            held.append((contexts[ok], ids[ok]))
+            size += int(ok.sum())
+            if size > 4_000_000:
                 yield from flush()
                 held, size = [], 0
         yield from flush()
 
-    return texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n"))
 
 
-def _pairs(value, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    vocabulary = value[0]
-    before, after = ids[:-1], ids[1:]
+def _contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the one and two words before each token; 0 where there are fewer."""
     inside = np.ones(len(ids), dtype=bool)
     inside[starts] = False
-    ok = inside[1:] & (before >= 0) & (before < vocabulary.contexts) & (after >= 0) & (after < vocabulary.symbols)
-    return before[ok] << BITS | after[ok]
-
-
-def _triples(value, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    vocabulary, candidates = value[:2]
-    if len(ids) < 3:
-        return np.zeros(0, np.int64)
-    inside = np.ones(len(ids), dtype=bool)
-    inside[starts] = False
-    ok = inside[1:-1] & inside[2:] & (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0) & (ids[2:] < vocabulary.symbols)
-    place = _find(candidates, ids[:-2][ok] << BITS | ids[1:-1][ok])
-    return place[place >= 0] << BITS | ids[2:][ok][place >= 0]
+    one = np.where(inside, np.append(0, ids[:-1]), 0)
+    deep = inside & np.append(False, inside[:-1])
+    earlier = np.append(0, one[:-1])
+    two = np.zeros(len(ids), dtype=np.int64)
+    two[deep] = keyed(earlier[deep], one[deep])
+    return one, two
 
 
 def _kept(entries: DataFrame, cost: float) -> DataFrame:
@@ -186,29 +229,31 @@ def _kept(entries: DataFrame, cost: float) -> DataFrame:
     return found.where(F.col("gain") + other >= cost * F.col("k") * F.log(F.col("size") + 1)).select("c", "size", "stored", "k")
 
 
-def _states(entries: DataFrame, kept: DataFrame, discount: float) -> States:
-    """Bring kept contexts to the driver: at most one over the context share, with one over the entry share entries."""
-    contexts = kept.toArrow().sort_by("c")
-    keys, size = contexts["c"].to_numpy(), contexts["size"].to_numpy().astype(float)
-    stored, k = contexts["stored"].to_numpy(), contexts["k"].to_numpy()
-    rows = entries.join(kept.select("c"), "c", "left_semi").select("c", "s", "n").toArrow()
-    place = np.searchsorted(keys, rows["c"].to_numpy())
-    code = place << BITS | rows["s"].to_numpy()
-    order = np.argsort(code)
-    values = ((rows["n"].to_numpy() - discount) / size[place])[order] if len(keys) else np.zeros(0)
-    return States(keys, (size - stored + discount * k) / size, code[order], values)
+def _states(entries: DataFrame, kept: DataFrame, discount: float, hot: int) -> States:
+    """Bring to the driver the most frequent kept contexts that have at most ``hot`` entries together."""
+    sizes = kept.groupBy("size").agg(F.sum("k").alias("k")).toArrow().sort_by([("size", "descending")])  # numbers that occur
+    fits = int((np.cumsum(sizes["k"].to_numpy()) <= hot).sum())
+    least = sizes["size"][fits - 1].as_py() if fits else float("inf")
+    some = kept.where(F.col("size") >= least)
+    contexts = some.select("c", _backoff(discount).alias("backoff")).toArrow().sort_by("c")
+    rows = entries.join(some.select("c", "size"), "c").select(F.xxhash64("c", "s").alias("e"), ((F.col("n") - discount) / F.col("size")).alias("v"))
+    rows = rows.toArrow().sort_by("e")
+    others = filter_of(kept.where(F.col("size") < least), "c")
+    return States(*[t[c].to_numpy() for t, c in ((contexts, "c"), (contexts, "backoff"), (rows, "e"), (rows, "v"))], others)
+
+
+def _backoff(discount: float) -> Column:
+    return (F.col("size") - F.col("stored") + discount * F.col("k")) / F.col("size")
 
 
 def score_texts(
     docs: DataFrame,
     learn: Column,
     word_share: float = 2e-7,
-    symbol_share: float = 2e-6,
-    context_share: float = 2e-5,
-    entry_share: float = 5e-7,
     least: int = 3,
     discount: float = 0.75,
     cost: float = 0.5,
+    hot: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -217,58 +262,70 @@ def score_texts(
     Returns (id, n_tokens, n_known, train_tokens, base_score, score), one row for each input row; scores are log10
     probabilities, ``base_score`` that of the add-one root alone.  A null or empty text is the end token alone.  Null
     and repeated ids are scored like others.  Without training rows every probability is 1.  Other columns are not
-    carried.  An entry needs ``least`` occurrences, and ``cost`` is what one costs in units of the logarithm of its
-    context's count.
+    carried.  An entry needs ``least`` occurrences and a context twice as many, whatever the corpus; ``cost`` is what an
+    entry costs in units of the logarithm of its context's count.  ``word_share`` and ``hot`` set only what tasks hold.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     training = rows.where("learn").select("text")
-    counts, _ = written(count_words(training), "word-counts")
+    counts, _ = written(count_words(training).withColumn("h", F.xxhash64("w")), "word-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
-    frequent = counts.where(F.col("n") >= word_share * total)
-    found = frequent.toArrow()  # at most one over the share
-    order = pc.sort_indices(found, [("n", "descending"), ("w", "ascending")]).to_numpy()
-    words, n = found["w"].combine_chunks().take(pa.array(order)), found["n"].to_numpy()[order]
-    vocabulary = Vocabulary(words, n, total, distinct, int((n >= context_share * total).sum()), int((n >= symbol_share * total).sum()), uuid.uuid4().hex)
-    end = next((i for i, w in enumerate(words[: vocabulary.symbols + 1].to_pylist()) if w == END), -1)
-    entry_least = max(least, entry_share * total)
-    context_least = max(2 * least, context_share * total)
-
-    # contexts of one word; the tasks know a context's count from the vocabulary
-    shared = spark.sparkContext.broadcast((vocabulary,))
-    pairs, pairs_path = written(_count_keys(training, shared, _pairs).where(F.col("n") >= entry_least), "pairs")
-    known = spark.createDataFrame(pa.table({"s": pa.array(np.arange(vocabulary.symbols)), "m": pa.array(n[: vocabulary.symbols])}))
-    root = known.select("s", ((F.col("m") + 1) / (total + distinct + 1)).alias("p"))
-    first, symbol = F.shiftright("k", BITS), F.col("k").bitwiseAND((1 << BITS) - 1)
-    ones = pairs.select(first.alias("c"), symbol.alias("s"), "n").where(F.col("c") != end)
-    sized = ones.join(known.select(F.col("s").alias("c"), F.col("m").alias("size")), "c").join(root, "s")
-    kept_one, one_path = written(_kept(sized, cost), "contexts-1")
-    depth_one = _states(ones, kept_one, discount)
+    found = counts.where(F.col("n") >= word_share * total).select("h", "n").toArrow().sort_by("h")  # at most one over the share
+    vocabulary = Vocabulary(found["h"].to_numpy(), found["n"].to_numpy(), total, distinct)
+    end = np.uint64(xxhash.xxh64_intdigest(END, 42)).view(np.int64).item()
+    several = counts.where(F.col("n") >= least).select("h", "n")
+    words = filter_of(several, "h")
+
+    # contexts of one word
+    one_words = several.where((F.col("n") >= 2 * least) & (F.col("h") != end)).select(F.col("h").alias("c"), F.col("n").alias("size"))
+    shared = spark.sparkContext.broadcast((words, filter_of(one_words, "c")))
+    ones, pairs_path = written(_count_entries(training, shared, 1).where(F.col("n") >= least), "pairs")
+    root = several.select(F.col("h").alias("s"), ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))
+    kept_one, one_path = written(_kept(ones.join(one_words, "c").join(root, "s"), cost), "contexts-1")
+    depth_one = _states(ones, kept_one, discount, hot)
 
     # contexts of two words; their suffix's distribution is that of the second word, if kept, or the root's
-    last = symbol != end
-    frequent_pairs = pairs.where((F.col("n") >= context_least) & last & (symbol < vocabulary.contexts) & (first != end)).select("k", "n").toArrow().sort_by("k")
-    candidates = frequent_pairs["k"].to_numpy()
-    shared_two = spark.sparkContext.broadcast((vocabulary, candidates))
-    triples, triples_path = written(_count_keys(training, shared_two, _triples).where(F.col("n") >= entry_least), "triples")
-    named = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(candidates))), "c": pa.array(candidates), "size": frequent_pairs["n"]}))
-    twos = triples.select(first.alias("i"), symbol.alias("s"), "n").join(named, "i").select("c", "s", "n", "size")
-    suffix = kept_one.select(F.col("c").alias("b"), F.col("size").alias("size_b"), ((F.col("size") - F.col("stored") + discount * F.col("k")) / F.col("size")).alias("backoff"))
+    frequent = ones.where((F.col("n") >= 2 * least) & (F.col("s") != end))
+    two_words = frequent.select(F.xxhash64("c", "s").alias("c"), F.col("s").alias("b"), F.col("n").alias("size"))
+    shared_two = spark.sparkContext.broadcast((words, filter_of(two_words, "c")))
+    twos, triples_path = written(_count_entries(training, shared_two, 2).where(F.col("n") >= least), "triples")
+    suffix = kept_one.select(F.col("c").alias("b"), F.col("size").alias("size_b"), _backoff(discount).alias("backoff"))
     from_suffix = ones.select(F.col("c").alias("b"), "s", F.col("n").alias("n_b"))
-    placed = twos.withColumn("b", F.col("c").bitwiseAND((1 << BITS) - 1)).join(root, "s").join(suffix, "b", "left").join(from_suffix, ["b", "s"], "left")
+    placed = twos.join(two_words, "c").join(root, "s").join(suffix, "b", "left").join(from_suffix, ["b", "s"], "left")
     at_suffix = F.coalesce((F.col("n_b") - discount) / F.col("size_b"), F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("p")
     kept_two, two_path = written(_kept(placed.select("c", "s", "n", "size", at_suffix.alias("p")), cost), "contexts-2")
-    depth_two = _states(twos.select("c", "s", "n"), kept_two, discount)
+    depth_two = _states(twos, kept_two, discount, hot)
 
-    dropped(spark, pairs_path, triples_path, one_path, two_path)
+    shared.unpersist()
+    shared_two.unpersist()
     model = spark.sparkContext.broadcast((vocabulary, depth_one, depth_two))
     scored, _ = written(_score(rows.select(id_col, "text"), model, id_col), "scored")
+    cold = scored.select("row", F.inline("cold"))
+    if cold.limit(1).count():
+        # the distinct contexts and symbols that tasks couldn't score, joined to the tables
+        keys, keys_path = written(cold.select("c2", "c1", "s").distinct(), "cold")
+        seen = keys.join(counts.select(F.col("h").alias("s"), F.col("n").alias("n0")), "s", "left")
+        for d, kept, entries in ((1, kept_one, ones), (2, kept_two, twos)):
+            seen = seen.join(kept.select(F.col("c").alias(f"c{d}"), F.col("size").alias(f"size{d}"), _backoff(discount).alias(f"back{d}")), f"c{d}", "left")
+            seen = seen.join(entries.select(F.col("c").alias(f"c{d}"), "s", F.col("n").alias(f"n{d}")), [f"c{d}", "s"], "left")
+        p_root = (F.coalesce("n0", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
+        p = p_root
+        for d in (1, 2):
+            p = F.coalesce((F.col(f"n{d}") - discount) / F.col(f"size{d}"), F.lit(0.0)) + F.coalesce(f"back{d}", F.lit(1.0)) * p
+        own = F.when(F.coalesce("n0", F.lit(0)) < word_share * total, F.log10(p_root)).otherwise(0.0)  # a rare word's is added below
+        logs, _ = written(seen.select("c2", "c1", "s", (F.log10(p) - own).alias("log")), "cold-logs")
+        joined = cold.join(logs, ["c2", "c1", "s"]).groupBy("row").agg(F.sum("log").alias("cold_log"))
+        joined, _ = written(joined, "cold-sums")
+        dropped(spark, keys_path)
+    else:
+        joined = scored.limit(0).select("row", F.lit(0.0).alias("cold_log"))
+    dropped(spark, pairs_path, triples_path, one_path, two_path)
     rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").count()
     rare = rare.join(counts.where(F.col("n") < word_share * total), "w", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
     sums = rare.groupBy("row").agg(F.sum(F.col("count") * log).alias("rare_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("count")).otherwise(0)).alias("rare_known"))
-    both = scored.drop("rare").join(sums, "row", "left")
+    both = scored.drop("rare", "cold").join(sums, "row", "left").join(joined, "row", "left")
     add = F.coalesce("rare_log", F.lit(0.0))
     return both.select(
         id_col,
@@ -276,49 +333,46 @@ def score_texts(
         (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + add).alias("base_score"),
-        (F.col("tree") + add).alias("score"),
+        (F.col("tree") + add + F.coalesce("cold_log", F.lit(0.0))).alias("score"),
     )
 
 
 def _score(rows: DataFrame, model, id_col: str) -> DataFrame:
-    """(id, n_tokens, frequent, base, tree, rare, row): scores without the rare words' own probabilities, and these
-    words; ``row`` numbers the rows."""
+    """(id, n_tokens, frequent, base, tree, rare, cold, row): scores without the rare words' own probabilities and
+    without the tokens that need the tables, and these words and tokens; ``row`` numbers the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, one, two = model.value
-        table = _ids(model)
+        vocabulary, *depths = model.value
         log_root = np.append(np.log10((vocabulary.counts + 1) / (vocabulary.total + vocabulary.distinct + 1)), 0.0)
         root = 10.0**log_root  # 1 at the end, for words that aren't frequent: index -1
-        for batch, first, lists, ids, starts in _streams(batches, table, 1):
-            p = root[ids]
-            base = log_root[ids]
-            inside = np.ones(len(ids), dtype=bool)
-            inside[starts] = False
-            before = np.where(inside, np.append(-1, ids[:-1]), -1)
-            p = _step(p, one, np.where((before >= 0) & (before < vocabulary.contexts), before, -1), ids)
-            earlier = np.where(inside & (before >= 0), np.append(-1, before[:-1]), -1)
-            p = _step(p, two, np.where(earlier >= 0, earlier << BITS | np.maximum(before, 0), -1), ids)
-            sums = [np.add.reduceat(x, starts) for x in (np.ones(len(ids), np.int64), (ids >= 0).astype(np.int64), base, np.log10(p))]
-            missing, rare = ids < 0, []
-            for words, a, some in zip(lists, starts.tolist(), np.add.reduceat(missing, starts).tolist()):
+        for batch, first, lists, ids, places, starts in _streams(batches, 1, vocabulary.keys):
+            p, base, missing = root[places], log_root[places], places < 0
+            contexts = _contexts(ids, starts)
+            cold = np.zeros(len(ids), dtype=bool)
+            for states, keys in zip(depths, contexts):
+                cold |= (keys != 0) & passes(states.others, keys)
+                where, value, backoff = _step(states, keys, ids)
+                cold[where] |= missing[where] & (value > 0)  # the word's own probability isn't at hand
+                p[where] = value + backoff * p[where]
+            p[cold] = 1.0
+            sums = [np.add.reduceat(x, starts) for x in (np.ones(len(ids), np.int64), (~missing).astype(np.int64), base, np.log10(p))]
+            rare = []
+            for words, a, some in zip(lists, starts.tolist(), np.add.reduceat(missing.astype(np.int64), starts).tolist()):
                 rare.append([w for w, m in zip(words, missing[a : a + len(words)].tolist()) if m] if some else [])
+            offsets = np.append(0, np.cumsum(np.add.reduceat(cold.astype(np.int64), starts))).astype(np.int32)
+            left = pa.StructArray.from_arrays([pa.array(x[cold]) for x in (contexts[1], contexts[0], ids)], names=["c2", "c1", "s"])
             columns = [batch.column(0).slice(first, len(lists)), *[pa.array(x) for x in sums], pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "frequent", "base", "tree", "rare"])
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), left))
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "frequent", "base", "tree", "rare", "cold"])
 
-    schema = f"{id_col} {dict(rows.dtypes)[id_col]}, n_tokens long, frequent long, base double, tree double, rare array<binary>"
+    schema = f"{id_col} {dict(rows.dtypes)[id_col]}, n_tokens long, frequent long, base double, tree double, rare array<binary>, cold array<struct<c2: long, c1: long, s: long>>"
     return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def _step(p: np.ndarray, states: States, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Probabilities one context deeper, where that context is kept."""
-    where = np.flatnonzero(contexts >= 0)
-    place = states.find(contexts[where])
-    where, place = where[place >= 0], place[place >= 0]
-    if not len(where):
-        return p
-    entry = _find(states.entries, place << BITS | np.maximum(ids[where], 0))
-    known = (entry >= 0) & (ids[where] >= 0)
-    value = np.where(known, states.values[np.maximum(entry, 0)] if len(states.values) else 0.0, 0.0)
-    p = p.copy()
-    p[where] = value + states.backoff[place] * p[where]
-    return p
+def _step(states: States, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens whose context is at hand, their entries' probabilities or 0, the weights of the suffix's)."""
+    place = _find(states.keys, contexts)
+    where = np.flatnonzero((place >= 0) & (contexts != 0))
+    entry = _find(states.entries, keyed(contexts[where], ids[where]))
+    value = np.where(entry >= 0, states.values[np.maximum(entry, 0)] if len(states.values) else 0.0, 0.0)
+    return where, value, states.backoff[place[where]]
