@@ -33,7 +33,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b""
 
 #: Bits of a filter (a power of two), and words that a task remembers.
-FILTER_BITS, MEMO_WORDS = 1 << 27, 1_000_000
+FILTER_BITS, MEMO_WORDS = 1 << 27, 500_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -174,7 +174,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def _count_entries(texts: DataFrame, shared, depth: int) -> DataFrame:
     """(c, s, n): how often a symbol follows a context of ``depth`` words, of those that pass the filters in ``shared``
-    (words, contexts)."""
+    (words, contexts, and for two words the entries of the last one: a passage occurs no more often than its end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -187,15 +187,17 @@ def _count_entries(texts: DataFrame, shared, depth: int) -> DataFrame:
                     part = at[a : a + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[part], s[part], n[a : a + 100_000])], names=["c", "s", "n"])
 
-        words, wanted = shared.value
+        words, wanted, *ends = shared.value
         for _, _, _, ids, _, starts in _streams(batches, 0, np.zeros(0, np.int64)):
-            contexts = _contexts(ids, starts)[depth - 1]
-            known = passes(words, ids)
-            ok = (contexts != 0) & known
+            one, two = _contexts(ids, starts)
+            contexts = one if depth == 1 else two
+            ok = (contexts != 0) & passes(words, ids)
             ok[ok] = passes(wanted, contexts[ok])
+            for bits in ends:
+                ok[ok] = passes(bits, keyed(one[ok], ids[ok]))
             held.append((contexts[ok], ids[ok]))
             size += int(ok.sum())
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from flush()
                 held, size = [], 0
         yield from flush()
@@ -288,7 +290,7 @@ def score_texts(
     # contexts of two words; their suffix's distribution is that of the second word, if kept, or the root's
     frequent = ones.where((F.col("n") >= 2 * least) & (F.col("s") != end))
     two_words = frequent.select(F.xxhash64("c", "s").alias("c"), F.col("s").alias("b"), F.col("n").alias("size"))
-    shared_two = spark.sparkContext.broadcast((words, filter_of(two_words, "c")))
+    shared_two = spark.sparkContext.broadcast((words, filter_of(two_words, "c"), filter_of(ones.select(F.xxhash64("c", "s").alias("e")), "e")))
     twos, triples_path = written(_count_entries(training, shared_two, 2).where(F.col("n") >= least), "triples")
     suffix = kept_one.select(F.col("c").alias("b"), F.col("size").alias("size_b"), _backoff(discount).alias("backoff"))
     from_suffix = ones.select(F.col("c").alias("b"), "s", F.col("n").alias("n_b"))
