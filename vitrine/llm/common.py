@@ -9,21 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Where that is unset, the checkpoint folder that the context was given
-    otherwise; where there is none (tests, one machine) a local folder, the same one for the whole application.
-    """
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``, or where that is unset
+    the checkpoint folder that the context was given.  There is no other place to fall back on."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.startswith("local"):
+        # one machine, one process: its own folder is shared
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        name = spark.sparkContext.applicationId
-        if name not in _LOCAL:
-            _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        folder = _LOCAL[name]
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -44,6 +40,20 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFr
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, *keys: str, placed: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder in as many buckets of ``keys`` as there are shuffle partitions, and read it back:
+    (the table, its path).  What later meets it by these keys comes to it; the table itself is not moved again.
+    ``placed``: the rows are in partitions by these keys already."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"vitrine_{uuid.uuid4().hex}"
+    moved = df if placed else df.repartition(shuffle_width(spark), *keys)
+    writer = moved.write.option("compression", "zstd").option("path", path)
+    writer.bucketBy(shuffle_width(spark), *keys).saveAsTable(table)
+    back = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the table read above knows them
+    return back, path
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that nothing reads any more."""
     jvm = spark._jvm

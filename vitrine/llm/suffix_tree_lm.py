@@ -1,39 +1,47 @@
 """Operator 2: language-model scores from a probabilistic suffix tree over words.
 
-The tree's nodes are contexts of one or two words.  A context is kept if it is frequent and if the distribution of what
-follows it diverges enough from that of its suffix: its gain in log likelihood must exceed the cost of its entries.
-Distributions are smoothed by absolute discounting: an entry keeps its count less a discount, and what is left goes to
-the suffix's distribution, down to the root's add-one estimate.  A token is scored in the state of the longest kept
-suffix of the words before it.
-
-All counts cover the whole training corpus and are summed in Spark.  The minima are numbers of occurrences, the same for
-every corpus, so contexts and entries grow with it; they stay tables in Spark.  Words and contexts are known by hashes
-of 64 bits.  Tasks hold only what is bounded: filters of ``FILTER_BITS`` bits that never reject a key of their table,
-words with at least a share ``word_share`` of all tokens, and the most frequent kept contexts with all of their entries.
-A token that these can't score for certain is joined to the tables by its contexts; no token gets a coarser model.
+The tree's nodes are contexts of up to ``depth`` words.  A context is kept if the distribution of what follows it diverges
+enough from that of its suffix: its gain in log likelihood must exceed the cost of its entries.  Distributions are
+smoothed by absolute discounting: an entry keeps its count less a discount, and what is left goes to the suffix's
+distribution, down to the root's add-one estimate.  A token is scored in the state of the longest kept suffix of the
+words before it.
+
+All counts cover the whole training corpus; what the tree holds grows with it, and no task or driver ever holds the tree.
+Texts are tokenised once, into chunks.  For each length of sequences in turn, every chunk asks for the counts of its
+different sequences: the questions go to buckets by hash, where they are added up, and the answers come back to the
+chunks.  A sequence is only asked about if both sequences one word shorter were frequent.  One of the chunks that hold a
+frequent sequence adds it to the sums of its context; the contexts that pass the test answer once more.  So each token
+ends with exactly the probability that the whole tree gives it.  Words and sequences are known by hashes of 64 bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import dropped, whole_text, written
+from vitrine.llm.common import bucketed, dropped, shuffle_width, whole_text, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 #: The end token's place among the words: no word is empty.
 END = b""
 
-#: Bits of a filter (a power of two), and words that a task remembers.
-FILTER_BITS, MEMO_WORDS = 1 << 27, 500_000
+#: Characters of a chunk, and tokens for each bucket of questions.
+CHUNK_CHARS, BUCKET_TOKENS = 1_500_000, 2_000_000
+
+#: What a chunk holds beside its rows' ids: their numbers of tokens and whether they are learnt from; the hashes of its
+#: different words in order and each token's place among them; the words' counts; each token's probability so far; the
+#: counts of the sequences that end at each token, of the last length and of the next one; and sums for contexts.
+BLOBS = {
+    "sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64, "p": np.float32, "count": np.int64, "next": np.int64,
+    "sum_key": np.int64, "sum_size": np.int64, "sum_k": np.int64, "sum_stored": np.int64, "sum_gain": np.float64, "sum_mass": np.float64,
+}
 
 
 def tokens(text: str) -> list[bytes]:
@@ -43,338 +51,345 @@ def tokens(text: str) -> list[bytes]:
     return found
 
 
-def chained(values: np.ndarray, seeds) -> np.ndarray:
-    """Spark's xxhash64 of longs with seeds: ``xxhash64(a, b)`` is ``chained(b, chained(a, 42))``."""
-    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of all but the last word and that of the last word."""
+    with np.errstate(over="ignore"):
+        h = before.view(np.uint64) * np.uint64(0x9E3779B185EBCA87) + after.view(np.uint64)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0x165667B19E3779F9)
+        return (h ^ h >> np.uint64(29)).view(np.int64)
+
+
+class Chunk:
+    """One chunk's arrays, and what they say about sequences of words."""
+
+    def __init__(self, row: dict):
+        self.chunk, self.ids = row["chunk"], row["ids"]
+        for name, kind in BLOBS.items():
+            setattr(self, name, np.frombuffer(row[name] or b"", dtype=kind))
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = starts
+        self.inside = np.arange(len(self.place)) - np.repeat(starts, self.sizes)
+        self.token = self.words[self.place]
+        self.learnt = np.repeat(self.learn, self.sizes)
+
+    def sequences(self, n: int) -> np.ndarray:
+        """Hash of the ``n`` words that end at each token; without meaning where there are fewer."""
+        h = self.token
+        for _ in range(n - 1):
+            h = np.append(self.token[:1], joined(h[:-1], self.token[1:]))
+        return h
+
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens with a frequent context of ``depth`` words, its hash, its count)."""
+        at = np.flatnonzero((self.inside >= depth) & (np.append(0, self.count[:-1]) > 0))
+        return at, self.sequences(depth)[at - 1], self.count[at - 1]
+
+    def entries(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens whose context of ``depth`` words is frequent, and whose suffix with the token is, the hash of context
+        and token, that of the context, its count)."""
+        at, context, size = self.contexts(depth)
+        some = self.count[at] > 0
+        at, context, size = at[some], context[some], size[some]
+        return at, joined(context, self.token[at]), context, size
+
+    def row(self, **changed: np.ndarray) -> dict:
+        return {"chunk": self.chunk, "ids": self.ids} | {n: np.asarray(changed.get(n, getattr(self, n)), k).tobytes() for n, k in BLOBS.items()}
+
+
+def _table(rows: list[dict], ids_kind: pa.DataType) -> pa.Table:
+    fields = [("chunk", pa.int64()), ("ids", ids_kind), *[(n, pa.binary()) for n in BLOBS]]
+    return pa.Table.from_pylist(rows, schema=pa.schema(fields))
+
+
+def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
+    """id, text, learn -> chunks."""
+    ids, lists, learn, size, n = [], [], [], 0, 0
+    ids_kind = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        flat = [w for x in lists for w in x]
+        different = dict.fromkeys(flat)
+        number = dict(zip(different, range(len(different))))
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in different], dtype=np.uint64).view(np.int64)
+        words, to = np.unique(hashes, return_inverse=True)
+        place = to[np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))]
+        row = {"chunk": TaskContext.get().partitionId() << 32 | n, "ids": list(ids)}
+        arrays = {"sizes": [len(x) for x in lists], "learn": learn, "words": words, "place": place}
+        row |= {name: np.asarray(arrays.get(name, ()), kind).tobytes() for name, kind in BLOBS.items()}
+        yield from _table([row], ids_kind).to_batches()
 
-    def turned(x: np.ndarray, by: int) -> np.ndarray:
-        return x << np.uint64(by) | x >> np.uint64(64 - by)
+    for batch in batches:
+        ids_kind = pa.list_(batch.schema.field(0).type)
+        for key, text, taught in zip(*[c.to_pylist() for c in batch.columns]):
+            ids.append(key)
+            lists.append(tokens(text))
+            learn.append(taught)
+            size += len(text)
+            if size >= chars:
+                yield from close()
+                ids, lists, learn, size, n = [], [], [], 0, n + 1
+    if ids:
+        yield from close()
 
-    with np.errstate(over="ignore"):
-        seeds = np.uint64(seeds) if isinstance(seeds, int) else seeds.view(np.uint64)
-        h = (seeds + five + np.uint64(8)) ^ turned(values.view(np.uint64) * two, 31) * one
-        h = turned(h, 27) * one + four
-        h = (h ^ h >> np.uint64(33)) * two
-        h = (h ^ h >> np.uint64(29)) * three
-        return (h ^ h >> np.uint64(32)).view(np.int64)
 
+def _dealt(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket, and where each bucket starts and the last one ends."""
+    bucket = np.mod(keys, width)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(width + 1))
 
-def keyed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``xxhash64(a, b)`` of two columns of longs."""
-    return chained(b, chained(a, 42))
 
+def _asked(chunks: DataFrame, question: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
+    """(bucket, chunk, keys, counts): every chunk's different keys and how often it adds them, dealt into buckets."""
 
-def filter_of(keys: DataFrame, column: str) -> np.ndarray:
-    """The bits of a table's keys; the driver gets at most ``FILTER_BITS`` / 64 words."""
-    slot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = keys.select(F.shiftright(slot, 6).alias("i"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b"))
-    found = bits.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
-    made = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    made[found["i"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
-    return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                keys, counts = question(chunk)
+                order, starts = _dealt(keys, width)
+                keys, counts = keys[order], counts[order].astype(np.int64)
+                some = [(b, keys[a:z].tobytes(), counts[a:z].tobytes()) for b, (a, z) in enumerate(zip(starts.tolist(), starts[1:].tolist())) if z > a]
+                columns = list(zip(*some)) if some else ([], [], [])
+                kinds = [pa.int32(), pa.binary(), pa.binary()]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([arrays[0], pa.array([chunk.chunk] * len(some), pa.int64()), *arrays[1:]], names=["bucket", "chunk", "keys", "counts"])
 
+    return chunks.mapInArrow(run, "bucket int, chunk long, keys binary, counts binary")
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False only for keys that the filter's table doesn't have."""
-    raw = keys.view(np.uint64)
-    word = bits[((raw & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)).view(np.int64)]
-    return (word >> (raw & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+def _parts(flat: np.ndarray, sizes: list[int]) -> list[bytes]:
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
-@dataclass
-class Vocabulary:
-    """Hashes of the frequent words in order, and their counts."""
 
-    keys: np.ndarray
-    counts: np.ndarray
-    total: int
-    distinct: int
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[int], list[np.ndarray], list[np.ndarray]]:
+    """The rows of one bucket: buckets, chunks, keys, counts."""
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    for batch in batches:
+        for held, column in zip(rows, batch.columns):
+            held.extend(column.to_pylist())
+    return rows[0], rows[1], [np.frombuffer(k, np.int64) for k in rows[2]], [np.frombuffer(c, np.int64) for c in rows[3]]
 
 
-@dataclass
-class States:
-    """The most frequent kept contexts of one depth: ``keys`` in order, the weight of the suffix's distribution in each,
-    the hashes of all their entries (context, symbol) in order with their probabilities, and a filter of the others."""
+def _counted(questions: DataFrame, width: int, least: int) -> DataFrame:
+    """(chunk, bucket, answer, total, different): the summed count of every asked key, 0 below ``least``.
 
-    keys: np.ndarray
-    backoff: np.ndarray
-    entries: np.ndarray
-    values: np.ndarray
-    others: np.ndarray
+    Of the chunks that asked for a key one gets its count negative: that one speaks for it.  ``total`` and ``different``
+    are set in one row of a bucket.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, chunks, keys, counts = _gathered(batches)
+        if not chunks:
+            return
+        _, first, to = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        sums = np.zeros(len(first), dtype=np.int64)
+        np.add.at(sums, to, np.concatenate(counts))
+        said = np.where(sums >= least, sums, 0)
+        answer = said[to]
+        answer[first] = -said
+        none = [0] * (len(chunks) - 1)
+        columns = [pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(_parts(answer, [len(k) for k in keys]), pa.binary())]
+        columns += [pa.array([int(sums.sum()), *none], pa.int64()), pa.array([int((sums > 0).sum()), *none], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "answer", "total", "different"])
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+    return questions.repartitionById(width, "bucket").mapInArrow(run, "chunk long, bucket int, answer binary, total long, different long")
 
 
-class _Memo(dict):
-    """Numbers of the words that a task has met, their hashes, and their places in a table."""
+def _looked_up(questions: DataFrame, table: DataFrame, width: int) -> DataFrame:
+    """(chunk, bucket, answer): the value that ``table`` (key, value) has for every asked key, 0 where it has none."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.reset()
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        answers = []
+        if asked.num_rows:
+            keys = [np.frombuffer(k, np.int64) for k in asked["keys"].to_pylist()]
+            flat, value = np.concatenate(keys), np.zeros(sum(map(len, keys)))
+            if known.num_rows:
+                order = np.argsort(known["key"].to_numpy())
+                have, values = known["key"].to_numpy()[order], known["value"].to_numpy()[order]
+                at = np.minimum(np.searchsorted(have, flat), len(have) - 1)
+                value = np.where(have[at] == flat, values[at], 0.0)
+            answers = _parts(value, [len(k) for k in keys])
+        return pa.table([asked["chunk"], asked["bucket"], pa.array(answers, pa.binary())], names=["chunk", "bucket", "answer"])
 
-    def reset(self) -> None:
-        self.clear()
-        self.new, self.hashes, self.places = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    placed = table.withColumn("bucket", F.pmod("key", F.lit(width)).cast("int"))
+    return questions.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(run, "chunk long, bucket int, answer binary")
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(xxhash.xxh64_intdigest(word, 42))
-        return n
 
-    def settle(self) -> None:
-        made = np.array(self.new, dtype=np.uint64).view(np.int64)
-        self.hashes, self.places = np.append(self.hashes, made), np.append(self.places, _find(self.table, made))
-        self.new = []
+def _told(chunks: DataFrame, answers: DataFrame, width: int, kind: type, change: Callable[[Chunk, Callable], dict]) -> DataFrame:
+    """Chunks after ``change``, which gets the chunk and a function that gives the answers for its keys."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            parts = [x for _, x in sorted(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))]
+            flat = np.frombuffer(b"".join(parts), dtype=kind)
 
-def _streams(batches: Iterator[pa.RecordBatch], column: int, table: np.ndarray, chars: int = 4_000_000):
-    """(batch, first row, word lists, hashes end to end, their places in ``table``, starts) of groups of rows."""
-    memo = _Memo(table)
-    for batch in batches:
-        texts, at = batch.column(column).to_pylist(), 0
-        while at < len(texts):
-            lists, size, first = [], 0, at
-            while at < len(texts) and size < chars:
-                lists.append(tokens(texts[at]))
-                size += len(texts[at])
-                at += 1
-            sizes = np.array([len(x) for x in lists])
-            if len(memo) > MEMO_WORDS:
-                memo.reset()
-            flat = np.fromiter((memo[w] for x in lists for w in x), dtype=np.int64, count=int(sizes.sum()))
-            memo.settle()
-            yield batch, first, lists, memo.hashes[flat], memo.places[flat], np.cumsum(sizes) - sizes
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(w binary, n) over all tokens of ``texts`` (one text column), end tokens included."""
+            def said(keys: np.ndarray) -> np.ndarray:
+                out = np.zeros(len(keys), dtype=kind)
+                out[_dealt(keys, width)[0]] = flat
+                return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+            rows.append(change(Chunk(row), said))
+        return _table(rows, left.schema.field("ids").type)
 
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
-            held.clear()
-            return made
+    answers = answers.select("chunk", "bucket", "answer")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, chunks.schema)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens(text))
-                if len(held) > 400_000:
-                    yield flush()
-        yield flush()
 
-    return texts.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+def _ask_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    return chunk.words, np.bincount(chunk.place, weights=chunk.learnt, minlength=len(chunk.words))
+
+
+def _ask_entries(depth: int) -> Callable[[Chunk], tuple[np.ndarray, np.ndarray]]:
+    def asked(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        at, keys, _, _ = chunk.entries(depth)
+        different, to = np.unique(keys, return_inverse=True)
+        return different, np.bincount(to, weights=chunk.learnt[at], minlength=len(different))
+
+    return asked
+
+
+def _ask_contexts(depth: int) -> Callable[[Chunk], tuple[np.ndarray, np.ndarray]]:
+    def asked(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        different = np.unique(chunk.contexts(depth)[1])
+        return different, np.zeros(len(different))
+
+    return asked
+
 
+def _learn_words(scale: float, least: int) -> Callable[[Chunk, Callable], dict]:
+    """Words' counts, and the root's probability of every token."""
 
-def _count_entries(texts: DataFrame, shared, depth: int) -> DataFrame:
-    """(c, s, n): how often a symbol follows a context of ``depth`` words, of those that pass the filters in ``shared``
-    (words, contexts, and for two words the entries of the last one: a passage occurs no more often than its end)."""
+    def change(chunk: Chunk, said: Callable) -> dict:
+        freq = np.abs(said(chunk.words))
+        frequent = np.where(freq >= least, freq, 0)
+        return chunk.row(freq=freq, count=frequent[chunk.place], p=((freq + 1) / scale)[chunk.place])
+
+    return change
+
+
+def _learn_entries(depth: int) -> Callable[[Chunk, Callable], dict]:
+    """Counts of sequences one word longer, and for those that the chunk speaks for the sums of their contexts."""
+
+    def change(chunk: Chunk, said: Callable) -> dict:
+        at, keys, context, size = chunk.entries(depth)
+        different, first, to = np.unique(keys, return_index=True, return_inverse=True)
+        answer = said(different)
+        n = np.zeros(len(chunk.place), dtype=np.int64)
+        n[at] = np.abs(answer)[to]
+        own = first[answer < 0]
+        sums, where, group = np.unique(context[own], return_index=True, return_inverse=True)
+        stored, p = n[at[own]], chunk.p[at[own]].astype(np.float64)
+        gain = stored * np.log(stored / size[own] / p)
+        added = {name: np.bincount(group, weights=x, minlength=len(sums)) for name, x in (("sum_stored", stored), ("sum_gain", gain), ("sum_mass", p))}
+        return chunk.row(next=n, sum_key=sums, sum_size=size[own][where], sum_k=np.bincount(group, minlength=len(sums)), **added)
+
+    return change
+
+
+def _learn_contexts(depth: int, discount: float) -> Callable[[Chunk, Callable], dict]:
+    """Probabilities in the contexts of ``depth`` words that are kept."""
+
+    def change(chunk: Chunk, said: Callable) -> dict:
+        at, context, size = chunk.contexts(depth)
+        different, to = np.unique(context, return_inverse=True)
+        backoff = said(different)[to]
+        n, p = chunk.next[at], chunk.p.astype(np.float64)
+        p[at] = np.where(backoff > 0, np.maximum(n - discount, 0) / size + backoff * p[at], p[at])
+        return chunk.row(p=p, count=chunk.next, next=(), **{name: () for name in BLOBS if name.startswith("sum_")})
+
+    return change
+
+
+def _kept(chunks: DataFrame, cost: float, discount: float) -> DataFrame:
+    """(key, value): contexts whose divergence pays for their entries, and the weight of their suffix's distribution."""
+    names = [n for n in BLOBS if n.startswith("sum_")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                c, s = (np.concatenate(x) for x in zip(*held))
-                _, at, n = np.unique(keyed(c, s), return_index=True, return_counts=True)
-                for a in range(0, len(at), 100_000):
-                    part = at[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[part], s[part], n[a : a + 100_000])], names=["c", "s", "n"])
-
-        words, wanted, *ends = shared.value
-        for _, _, _, ids, _, starts in _streams(batches, 0, np.zeros(0, np.int64)):
-            one, two = _contexts(ids, starts)
-            contexts = one if depth == 1 else two
-            ok = (contexts != 0) & passes(words, ids)
-            ok[ok] = passes(wanted, contexts[ok])
-            for bits in ends:
-                ok[ok] = passes(bits, keyed(one[ok], ids[ok]))
-            held.append((contexts[ok], ids[ok]))
-            size += int(ok.sum())
-            if size > 2_000_000:
-                yield from flush()
-                held, size = [], 0
-        yield from flush()
-
-    return texts.mapInArrow(run, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n"))
-
-
-def _contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the one and two words before each token; 0 where there are fewer."""
-    inside = np.ones(len(ids), dtype=bool)
-    inside[starts] = False
-    one = np.where(inside, np.append(0, ids[:-1]), 0)
-    deep = inside & np.append(False, inside[:-1])
-    earlier = np.append(0, one[:-1])
-    two = np.zeros(len(ids), dtype=np.int64)
-    two[deep] = keyed(earlier[deep], one[deep])
-    return one, two
-
-
-def _kept(entries: DataFrame, cost: float) -> DataFrame:
-    """Contexts whose divergence pays for their entries: (c, size, stored, k).
-
-    ``entries``: context c, its count size, an entry's count n and the probability p of its symbol at the suffix.
-    """
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("size") / F.col("p")))
-    found = entries.groupBy("c").agg(
-        F.first("size").alias("size"), F.sum("n").alias("stored"), F.count("*").alias("k"), gain.alias("gain"), F.sum("p").alias("mass")
-    )
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[n] or b"", BLOBS[n])) for n in names], names=["key", "size", "k", "stored", "gain", "mass"])
+
+    rows = chunks.select(*names).mapInArrow(run, "key long, size long, k long, stored long, gain double, mass double")
+    found = rows.groupBy("key").agg(F.max("size").alias("size"), *[F.sum(c).alias(c) for c in ("k", "stored", "gain", "mass")])
     rest = F.col("size") - F.col("stored")
     other = F.when((rest > 0) & (F.col("mass") < 1), rest * F.log(rest / F.col("size") / (1 - F.col("mass")))).otherwise(0.0)
-    return found.where(F.col("gain") + other >= cost * F.col("k") * F.log(F.col("size") + 1)).select("c", "size", "stored", "k")
+    passing = found.where(F.col("gain") + other >= cost * F.col("k") * F.log(F.col("size") + 1))
+    return passing.select("key", ((rest + discount * F.col("k")) / F.col("size")).alias("value"))
 
 
-def _states(entries: DataFrame, kept: DataFrame, discount: float, hot: int) -> States:
-    """Bring to the driver the most frequent kept contexts that have at most ``hot`` entries together."""
-    sizes = kept.groupBy("size").agg(F.sum("k").alias("k")).toArrow().sort_by([("size", "descending")])  # numbers that occur
-    fits = int((np.cumsum(sizes["k"].to_numpy()) <= hot).sum())
-    least = sizes["size"][fits - 1].as_py() if fits else float("inf")
-    some = kept.where(F.col("size") >= least)
-    contexts = some.select("c", _backoff(discount).alias("backoff")).toArrow().sort_by("c")
-    rows = entries.join(some.select("c", "size"), "c").select(F.xxhash64("c", "s").alias("e"), ((F.col("n") - discount) / F.col("size")).alias("v"))
-    rows = rows.toArrow().sort_by("e")
-    others = filter_of(kept.where(F.col("size") < least), "c")
-    return States(*[t[c].to_numpy() for t, c in ((contexts, "c"), (contexts, "backoff"), (rows, "e"), (rows, "v"))], others)
+def _scores(chunks: DataFrame, scale: float, id_type: str, id_col: str) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of every row of the chunks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            for i, row in enumerate(batch.to_pylist()):
+                chunk = Chunk(row)
+                freq = chunk.freq[chunk.place]
+                sums = [np.add.reduceat(x, chunk.starts) for x in ((freq > 0).astype(np.int64), np.log10((freq + 1) / scale), np.log10(chunk.p.astype(np.float64)))]
+                columns = [ids.slice(i, 1).flatten(), pa.array(chunk.sizes), *[pa.array(x) for x in sums]]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "n_known", "base_score", "score"])
 
-def _backoff(discount: float) -> Column:
-    return (F.col("size") - F.col("stored") + discount * F.col("k")) / F.col("size")
+    return chunks.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_texts(
     docs: DataFrame,
     learn: Column,
-    word_share: float = 2e-7,
-    least: int = 3,
+    depth: int = 4,
+    least: int = 2,
     discount: float = 0.75,
     cost: float = 0.5,
-    hot: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    chunk_chars: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Score every whole text by a tree learnt from the rows where ``learn`` holds (null counts as false).
 
     Returns (id, n_tokens, n_known, train_tokens, base_score, score), one row for each input row; scores are log10
     probabilities, ``base_score`` that of the add-one root alone.  A null or empty text is the end token alone.  Null
-    and repeated ids are scored like others.  Without training rows every probability is 1.  Other columns are not
-    carried.  An entry needs ``least`` occurrences and a context twice as many, whatever the corpus; ``cost`` is what an
-    entry costs in units of the logarithm of its context's count.  ``word_share`` and ``hot`` set only what tasks hold.
+    and repeated ids are scored like others.  Without training rows every probability is 1.  An empty table gives no
+    rows.  Other columns are not carried.  A context and an entry need ``least`` occurrences, whatever the corpus;
+    ``cost`` is what an entry costs in units of the logarithm of its context's count; ``depth`` is the longest context
+    in words.  ``chunk_chars`` sets only how much text a task handles at once; no text is cut.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    training = rows.where("learn").select("text")
-    counts, _ = written(count_words(training).withColumn("h", F.xxhash64("w")), "word-counts")
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = sums["n"] or 0, sums["v"]
-    found = counts.where(F.col("n") >= word_share * total).select("h", "n").toArrow().sort_by("h")  # at most one over the share
-    vocabulary = Vocabulary(found["h"].to_numpy(), found["n"].to_numpy(), total, distinct)
-    end = np.uint64(xxhash.xxh64_intdigest(END, 42)).view(np.int64).item()
-    several = counts.where(F.col("n") >= least).select("h", "n")
-    words = filter_of(several, "h")
-
-    # contexts of one word
-    one_words = several.where((F.col("n") >= 2 * least) & (F.col("h") != end)).select(F.col("h").alias("c"), F.col("n").alias("size"))
-    shared = spark.sparkContext.broadcast((words, filter_of(one_words, "c")))
-    ones, pairs_path = written(_count_entries(training, shared, 1).where(F.col("n") >= least), "pairs")
-    root = several.select(F.col("h").alias("s"), ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))
-    kept_one, one_path = written(_kept(ones.join(one_words, "c").join(root, "s"), cost), "contexts-1")
-    depth_one = _states(ones, kept_one, discount, hot)
-
-    # contexts of two words; their suffix's distribution is that of the second word, if kept, or the root's
-    frequent = ones.where((F.col("n") >= 2 * least) & (F.col("s") != end))
-    two_words = frequent.select(F.xxhash64("c", "s").alias("c"), F.col("s").alias("b"), F.col("n").alias("size"))
-    shared_two = spark.sparkContext.broadcast((words, filter_of(two_words, "c"), filter_of(ones.select(F.xxhash64("c", "s").alias("e")), "e")))
-    twos, triples_path = written(_count_entries(training, shared_two, 2).where(F.col("n") >= least), "triples")
-    suffix = kept_one.select(F.col("c").alias("b"), F.col("size").alias("size_b"), _backoff(discount).alias("backoff"))
-    from_suffix = ones.select(F.col("c").alias("b"), "s", F.col("n").alias("n_b"))
-    placed = twos.join(two_words, "c").join(root, "s").join(suffix, "b", "left").join(from_suffix, ["b", "s"], "left")
-    at_suffix = F.coalesce((F.col("n_b") - discount) / F.col("size_b"), F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("p")
-    kept_two, two_path = written(_kept(placed.select("c", "s", "n", "size", at_suffix.alias("p")), cost), "contexts-2")
-    depth_two = _states(twos, kept_two, discount, hot)
-
-    shared.unpersist()
-    shared_two.unpersist()
-    model = spark.sparkContext.broadcast((vocabulary, depth_one, depth_two))
-    scored, _ = written(_score(rows.select(id_col, "text"), model, id_col), "scored")
-    cold = scored.select("row", F.inline("cold"))
-    if cold.limit(1).count():
-        # the distinct contexts and symbols that tasks couldn't score, joined to the tables
-        keys, keys_path = written(cold.select("c2", "c1", "s").distinct(), "cold")
-        seen = keys.join(counts.select(F.col("h").alias("s"), F.col("n").alias("n0")), "s", "left")
-        for d, kept, entries in ((1, kept_one, ones), (2, kept_two, twos)):
-            seen = seen.join(kept.select(F.col("c").alias(f"c{d}"), F.col("size").alias(f"size{d}"), _backoff(discount).alias(f"back{d}")), f"c{d}", "left")
-            seen = seen.join(entries.select(F.col("c").alias(f"c{d}"), "s", F.col("n").alias(f"n{d}")), [f"c{d}", "s"], "left")
-        p_root = (F.coalesce("n0", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
-        p = p_root
-        for d in (1, 2):
-            p = F.coalesce((F.col(f"n{d}") - discount) / F.col(f"size{d}"), F.lit(0.0)) + F.coalesce(f"back{d}", F.lit(1.0)) * p
-        own = F.when(F.coalesce("n0", F.lit(0)) < word_share * total, F.log10(p_root)).otherwise(0.0)  # a rare word's is added below
-        logs, _ = written(seen.select("c2", "c1", "s", (F.log10(p) - own).alias("log")), "cold-logs")
-        joined = cold.join(logs, ["c2", "c1", "s"]).groupBy("row").agg(F.sum("log").alias("cold_log"))
-        joined, _ = written(joined, "cold-sums")
-        dropped(spark, keys_path)
-    else:
-        joined = scored.limit(0).select("row", F.lit(0.0).alias("cold_log"))
-    dropped(spark, pairs_path, triples_path, one_path, two_path)
-    rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").count()
-    rare = rare.join(counts.where(F.col("n") < word_share * total), "w", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    sums = rare.groupBy("row").agg(F.sum(F.col("count") * log).alias("rare_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("count")).otherwise(0)).alias("rare_known"))
-    both = scored.drop("rare", "cold").join(sums, "row", "left").join(joined, "row", "left")
-    add = F.coalesce("rare_log", F.lit(0.0))
-    return both.select(
-        id_col,
-        "n_tokens",
-        (F.col("frequent") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"),
-        (F.col("tree") + add + F.coalesce("cold_log", F.lit(0.0))).alias("score"),
-    )
-
-
-def _score(rows: DataFrame, model, id_col: str) -> DataFrame:
-    """(id, n_tokens, frequent, base, tree, rare, cold, row): scores without the rare words' own probabilities and
-    without the tokens that need the tables, and these words and tokens; ``row`` numbers the rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, *depths = model.value
-        log_root = np.append(np.log10((vocabulary.counts + 1) / (vocabulary.total + vocabulary.distinct + 1)), 0.0)
-        root = 10.0**log_root  # 1 at the end, for words that aren't frequent: index -1
-        for batch, first, lists, ids, places, starts in _streams(batches, 1, vocabulary.keys):
-            p, base, missing = root[places], log_root[places], places < 0
-            contexts = _contexts(ids, starts)
-            cold = np.zeros(len(ids), dtype=bool)
-            for states, keys in zip(depths, contexts):
-                cold |= (keys != 0) & passes(states.others, keys)
-                where, value, backoff = _step(states, keys, ids)
-                cold[where] |= missing[where] & (value > 0)  # the word's own probability isn't at hand
-                p[where] = value + backoff * p[where]
-            p[cold] = 1.0
-            sums = [np.add.reduceat(x, starts) for x in (np.ones(len(ids), np.int64), (~missing).astype(np.int64), base, np.log10(p))]
-            rare = []
-            for words, a, some in zip(lists, starts.tolist(), np.add.reduceat(missing.astype(np.int64), starts).tolist()):
-                rare.append([w for w, m in zip(words, missing[a : a + len(words)].tolist()) if m] if some else [])
-            offsets = np.append(0, np.cumsum(np.add.reduceat(cold.astype(np.int64), starts))).astype(np.int32)
-            left = pa.StructArray.from_arrays([pa.array(x[cold]) for x in (contexts[1], contexts[0], ids)], names=["c2", "c1", "s"])
-            columns = [batch.column(0).slice(first, len(lists)), *[pa.array(x) for x in sums], pa.array(rare, pa.list_(pa.binary()))]
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets), left))
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "frequent", "base", "tree", "rare", "cold"])
-
-    schema = f"{id_col} {dict(rows.dtypes)[id_col]}, n_tokens long, frequent long, base double, tree double, rare array<binary>, cold array<struct<c2: long, c1: long, s: long>>"
-    return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-
-
-def _step(states: States, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens whose context is at hand, their entries' probabilities or 0, the weights of the suffix's)."""
-    place = _find(states.keys, contexts)
-    where = np.flatnonzero((place >= 0) & (contexts != 0))
-    entry = _find(states.entries, keyed(contexts[where], ids[where]))
-    value = np.where(entry >= 0, states.values[np.maximum(entry, 0)] if len(states.values) else 0.0, 0.0)
-    return where, value, states.backoff[place[where]]
+    id_type = dict(rows.dtypes)[id_col]
+    schema = ", ".join(["chunk long", f"ids array<{id_type}>", *[f"{n} binary" for n in BLOBS]])
+    made = rows.mapInArrow(lambda batches: _made(batches, chunk_chars), schema)
+    chunks, path = bucketed(made, "chunks", "chunk")
+    volume = chunks.agg(F.sum(F.octet_length("place") / 4)).first()[0] or 0
+    width = max(shuffle_width(spark), int(volume // BUCKET_TOKENS))
+
+    def next_chunks(answers: DataFrame, kind: type, change: Callable[[Chunk, Callable], dict]) -> None:
+        nonlocal chunks, path
+        after, new = bucketed(_told(chunks, answers, width, kind, change), "chunks", "chunk", placed=True)
+        dropped(spark, path)
+        chunks, path = after, new
+
+    answers, used = written(_counted(_asked(chunks, _ask_words, width), width, 1), "word-counts")
+    sums = answers.agg(F.sum("total").alias("n"), F.sum("different").alias("v")).first()
+    total, distinct = sums["n"] or 0, sums["v"] or 0
+    scale = float(total + distinct + 1)
+    next_chunks(answers, np.int64, _learn_words(scale, least))
+    dropped(spark, used)
+    for d in range(1, depth + 1):
+        answers, used = written(_counted(_asked(chunks, _ask_entries(d), width), width, least), "entry-counts")
+        next_chunks(answers, np.int64, _learn_entries(d))
+        kept, kept_path = written(_kept(chunks, cost, discount), "contexts")
+        some = kept.limit(1).count()
+        if some:
+            answers, again = written(_looked_up(_asked(chunks, _ask_contexts(d), width), kept, width), "context-weights")
+            next_chunks(answers, np.float64, _learn_contexts(d, discount))
+            dropped(spark, again)
+        dropped(spark, used, kept_path)
+        if not some:
+            break
+    scored, _ = written(_scores(chunks, scale, id_type, id_col), "scores")
+    dropped(spark, path)
+    return scored.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
