@@ -2,7 +2,7 @@
 
 import pytest
 from compare import compare, connect
-from conftest import SF
+from tables import SF
 from vitrine.plans import registry
 
 registry.load()

@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: English words that carry no meaning of their own: fixed values.
 STOPWORDS = (
-    "a an and are as at be but by for from had has have he her his i in is it its me my not of on or our she so that the "
-    "their them they this to was we were what when which who will with you your"
+    "a about above after again against all am an and any are as at be because been before being below between both but by "
+    "can could did do does doing down during each few for from further get got had has have having he her here hers herself "
+    "him himself his how i if in into is it its itself just let may me might more most my myself no nor not now of off on "
+    "once only or other our ours ourselves out over own same shall she should so some such than that the their theirs them "
+    "themselves then there these they this those through to too under until up us very was we were what when where which "
+    "while who whom why will with would you your yours yourself yourselves"
 ).split()
 
 
+def _folds() -> tuple[str, str]:
+    """Letters with accents and their plain letters; then combining marks, which stand for nothing."""
+    plain = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+    letters = [c for c in plain if plain[c] != c]
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(plain[c] for c in letters)
+
+
+ACCENTED, PLAIN = _folds()
+
+
+def folded(col: Column) -> Column:
+    """Lower case without accents."""
+    return F.lower(F.translate(col, ACCENTED, PLAIN))
+
+
+def folded_words(col: Column) -> Column:
+    """Runs of letters and digits in order, lower case without accents."""
+    return F.regexp_extract_all(folded(col), F.lit(r"([\p{L}\p{N}]+)"))
+
+
+def query_phrases(query: str) -> list[list[str]]:
+    """The words of each part of a query between white space, as ``folded_words`` gives them; parts without any are left
+    out and repeated ones count once."""
+    plain = query.translate({**str.maketrans(ACCENTED[: len(PLAIN)], PLAIN), **{ord(c): None for c in ACCENTED[len(PLAIN) :]}}).lower()
+    words = [tuple("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in part).split()) for part in plain.split()]
+    return [list(w) for w in dict.fromkeys(words) if w]
+
+
 def tokenize(col: Column) -> Column:
     """Distinct lower-case runs of letters and digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9]+)")))
@@ -59,13 +93,18 @@ def preprocess(col: Column) -> Column:
 
 
 def sanitize_ocr(col: Column, cap: int = 1500) -> Column:
-    """Drop blank lines, lines with a run of six equal characters, and lines of eight or more characters whose first 80
-    have under 15 % different ones; at most ``cap`` characters."""
-    lines = F.transform(F.split(col, "\n"), lambda x: F.trim(x))
+    """Lines without white space at their ends, less blank ones and garbage: without its white space, a garbage line has a
+    run of six equal characters, or eight or more of which the first 80 have under 15 % different ones.  At most ``cap``
+    characters, without white space at the end where it was cut; null is empty."""
+    space = r"(?U)[\s\x1c-\x1f]"
+    lines = F.transform(F.split(col, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, f"^{space}+|{space}+$", ""))
+    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_replace(x, space, "").alias("bare")))
     head = lambda x: F.substring(x, 1, 80)
     variety = lambda x: F.size(F.array_distinct(F.split(head(x), ""))) / F.length(head(x))
-    good = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"(.)\1{5}") & ((F.length(x) < 8) | (variety(x) >= 0.15)))
-    return F.substring(F.array_join(good, "\n"), 1, cap)
+    good = F.filter(marked, lambda x: (x["bare"] != "") & ~x["bare"].rlike(r"(.)\1{5}") & ((F.length(x["bare"]) < 8) | (variety(x["bare"]) >= 0.15)))
+    cleaned = F.array_join(F.transform(good, lambda x: x["line"]), "\n")
+    cut = F.regexp_replace(F.substring(cleaned, 1, cap), f"{space}+$", "")
+    return F.coalesce(F.when(F.length(cleaned) > cap, cut).otherwise(cleaned), F.lit(""))
 
 
 def box_category(col: Column) -> Column:

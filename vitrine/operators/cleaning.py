@@ -13,25 +13,24 @@ from vitrine.operators.upsert import without_repeats
 def atomic_values(value: DataFrame, mapping: DataFrame, allowed: DataFrame) -> DataFrame:
     """Composite values as several atomic ones: (item_id, value).
 
-    ``mapping``: value, atomic (one row per part).  Values that are neither mapped nor allowed are left out.  Both
-    tables are hand-made vocabularies.
+    ``mapping``: value, atomic (one row per part).  Values that are neither mapped nor allowed are left out.
     """
-    mapped = value.join(F.broadcast(mapping), "value").select("item_id", F.col("atomic").alias("value"))
-    kept = value.join(F.broadcast(allowed.select("value")), "value", "left_semi").select("item_id", "value")
+    mapped = value.join(mapping, "value").select("item_id", F.col("atomic").alias("value"))
+    kept = value.join(allowed.select("value"), "value", "left_semi").select("item_id", "value")
     return mapped.unionByName(kept).distinct()
 
 
 def seeded_motifs(boxes: DataFrame, mapping: DataFrame, known: DataFrame) -> DataFrame:
     """Motifs that box labels stand for and items don't have yet: (item_id, motif).  ``mapping``: category, motif."""
     named = boxes.select("item_id", box_category(F.col("value")).alias("category"))
-    found = named.join(F.broadcast(mapping), "category").select("item_id", "motif").distinct()
+    found = named.join(mapping, "category").select("item_id", "motif").distinct()
     return found.join(known.select("item_id", "motif"), ["item_id", "motif"], "left_anti")
 
 
 def clean_vocabulary(value: DataFrame, actions: DataFrame) -> DataFrame:
     """Apply actions to values: drop removes, canon renames, split makes several; others stay.  Of the same value twice
     at an item the smallest id stays.  ``value``: id, item_id, value; ``actions``: value, action, target array."""
-    joined = value.join(F.broadcast(actions), "value", "left")
+    joined = value.join(actions, "value", "left")
     targets = F.when(F.col("action") == "drop", F.array().cast("array<string>")).when(F.col("action").isin("canon", "split"), F.col("target"))
     rows = joined.select("id", "item_id", F.explode(F.coalesce(targets, F.array("value"))).alias("value"))
     return without_repeats(rows, ["item_id", "value"], "id")
@@ -40,7 +39,7 @@ def clean_vocabulary(value: DataFrame, actions: DataFrame) -> DataFrame:
 def action_report(value: DataFrame, actions: DataFrame) -> DataFrame:
     """(value, count, action, target): how often each value occurs and what would be done with it."""
     counts = value.groupBy("value").agg(F.count("*").alias("count"))
-    joined = counts.join(F.broadcast(actions), "value", "left")
+    joined = counts.join(actions, "value", "left")
     return joined.select("value", "count", F.coalesce("action", F.lit("keep")).alias("action"), F.coalesce(F.array_join("target", "|"), F.lit("")).alias("target"))
 
 

@@ -31,15 +31,28 @@ def build_dictionary(names: DataFrame, ambiguous: list[str], fuzzy_length: int =
 
 
 def phrase_matches(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Tier 1: phrases that occur in a text.  Texts and phrases meet on the phrase's first word, so that only texts with
-    that word are searched."""
-    phrases = dictionary.where("tier = 1").withColumn("first", F.regexp_extract("trigger", "[A-Z]{2,}(?:'[A-Z]+)?", 0)).where("first != ''")
+    """Tier 1: phrases that occur anywhere in a text, in any case.
+
+    Texts and phrases meet on the end of a word and the beginning of the next one: what a phrase has around its first
+    space is also around a space of any text that holds it.  A text's candidates come together as one array, beside
+    which it is searched in place, so every text is joined once.
+    """
+    first, second = F.split_part("trigger", F.lit(" "), F.lit(1)), F.split_part("trigger", F.lit(" "), F.lit(2))
+    phrases = dictionary.where("tier = 1").select("trigger", "canonical", "type", first.alias("a"), second.alias("b")).where("a != '' and b != ''")
+    phrases = phrases.withColumn("x", F.least(F.length("a"), F.lit(2))).withColumn("y", F.least(F.length("b"), F.lit(3)))
+    joint = lambda a, b, x, y: F.concat(F.right(a, x), F.lit(" "), F.left(b, y))
+    known = phrases.select(joint(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("key"), F.struct("trigger", "canonical", "type").alias("p"))
+    shapes = [(r["x"], r["y"]) for r in phrases.select("x", "y").distinct().collect()]  # six at most
     upper = texts.select("item_id", F.upper(preprocess(F.col("text"))).alias("t"))
-    firsts = texts.select("item_id", F.explode(F.array_distinct(upper_words(F.col("text")))).alias("first"))
-    pairs = firsts.join(phrases, "first").select("item_id", "trigger", "canonical", "type").join(upper, "item_id")
-    hit = pairs.where(F.col("t").contains(F.col("trigger")))
-    reps = (F.length("t") - F.length(F.replace("t", "trigger"))) / F.length("trigger")
-    return hit.select("item_id", "canonical", "type", F.col("trigger").alias("form"), reps.cast("long").alias("reps"), F.lit(1).alias("tier"))
+    words = F.split("t", " ")
+    nexts = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    keys = [F.zip_with(F.slice(words, F.lit(1), F.size(nexts)), nexts, lambda a, b: joint(a, b, F.lit(x), F.lit(y))) for x, y in shapes]  # noqa: B023
+    around = upper.select("item_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *keys))).alias("key"))
+    candidates = around.join(known, "key").groupBy("item_id").agg(F.collect_list("p").alias("c"))
+    reps = lambda p: ((F.length("t") - F.length(F.replace("t", p["trigger"]))) / F.length(p["trigger"])).cast("long")
+    hits = F.transform(F.filter("c", lambda p: F.contains(F.col("t"), p["trigger"])), lambda p: F.struct(p.alias("p"), reps(p).alias("reps")))
+    found = upper.join(candidates, "item_id").select("item_id", F.inline(hits))
+    return found.select("item_id", "p.canonical", "p.type", F.col("p.trigger").alias("form"), "reps", F.lit(1).alias("tier"))
 
 
 def word_matches(words: DataFrame, dictionary: DataFrame, common: list[str]) -> DataFrame:
@@ -73,7 +86,7 @@ def fuzzy_matches(words: DataFrame, dictionary: DataFrame, common: list[str], le
 def context_matches(words: DataFrame, rules: DataFrame, least: int = 2) -> DataFrame:
     """Tier 4: ambiguous words with at least ``least`` of their context words in the same text.  ``rules``: word,
     canonical, type, context array."""
-    hit = words.join(F.broadcast(rules), "word").select("item_id", "word", "canonical", "type", "reps", F.explode("context").alias("other"))
+    hit = words.join(rules, "word").select("item_id", "word", "canonical", "type", "reps", F.explode("context").alias("other"))
     found = hit.join(words.select("item_id", F.col("word").alias("other")), ["item_id", "other"])
     counted = found.groupBy("item_id", "word", "canonical", "type").agg(F.countDistinct("other").alias("n"), F.max("reps").alias("reps"))
     return counted.where(F.col("n") >= least).select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(4).alias("tier"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import tokenize
+from vitrine.functions.text import folded_words, query_phrases, tokenize
+
+#: Vectors on either side of a task that compares blocks.
+BLOCK_ROWS = 16384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,63 +72,87 @@ def similar(
     return scored.orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def similar_all(df: DataFrame, k: int, blocks: int = 8, id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """The ``k`` most similar other items of every item: (id, other, score, rank).
+def similar_all(df: DataFrame, k: int, candidates: DataFrame | None = None, id_col: str = "id", vector: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` most similar others of every item among ``candidates`` (by default all items): (id, other, score, rank),
+    ties to the smaller id; rows with the same id are not others of each other.
 
-    Items are dealt into blocks; each pair of blocks is one task, a matrix product that gives only its best ``k`` of
-    every row; the best of all blocks are kept.  The number of blocks sets the tasks' size.
+    Both sides are dealt into blocks of about ``block_rows`` rows, however many there are; each pair of blocks is one
+    task, a matrix product that gives only its best ``k`` of every row, and the best of all blocks are kept.
     """
-    clean = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"))
-    deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.array(*[F.lit(i) for i in range(blocks)]))
-    rows = clean.select(deal.alias("i"), every.alias("j"), "id", "v")
-    columns = clean.select(every.alias("i"), deal.alias("j"), "id", "v")
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
+
+    def clean(side: DataFrame) -> DataFrame:
+        return side.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"))
+
+    def dealt(side: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return side.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own), every.alias(other), "id", "v")
+
+    left = clean(df)
+    right = left if candidates is None else clean(candidates)
+    sizes = [max(1, math.ceil(side.count() / block_rows)) for side in ((left,) if candidates is None else (left, right))]
+    rows = dealt(left, "i", sizes[0], "j", sizes[-1])
+    columns = dealt(right, "j", sizes[-1], "i", sizes[0])
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
             return pd.DataFrame({"id": [], "other": [], "score": []})
-        ids, others, b = left.id.to_numpy(), right.id.to_numpy(), np.stack(right.v.to_numpy())
-        order = np.argsort(others, kind="stable")
-        others, b = others[order], b[order]
+        ids, order = one.id.to_numpy(), np.argsort(two.id.to_numpy(), kind="stable")
+        others, b = two.id.to_numpy()[order], np.stack(two.v.to_numpy()[order])
         parts = []
-        for at in range(0, len(ids), 1024):
-            scores = np.stack(left.v.to_numpy()[at : at + 1024]) @ b.T
-            scores[ids[at : at + 1024, None] == others[None, :]] = -np.inf
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            values = np.take_along_axis(scores, top, axis=1)
-            parts.append(pd.DataFrame({"id": np.repeat(ids[at : at + 1024], top.shape[1]), "other": others[top].ravel(), "score": values.ravel()}))
-        found = pd.concat(parts)
-        return found[np.isfinite(found.score)]
+        for at in range(0, len(ids), 256):
+            scores = np.stack(one.v.to_numpy()[at : at + 256]) @ b.T
+            scores[ids[at : at + 256, None] == others[None, :]] = -np.inf
+            least = np.partition(scores, max(len(others) - k, 0), axis=1)[:, max(len(others) - k, 0)]
+            row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            value = scores[row, column]
+            sort = np.lexsort((column, -value, row))  # ties at the k-th place go to the smaller id
+            row, column, value = row[sort], column[sort], value[sort]
+            top = np.arange(len(row)) - np.searchsorted(row, row) < k
+            parts.append(pd.DataFrame({"id": ids[at : at + 256][row[top]], "other": others[column[top]], "score": value[top]}))
+        return pd.concat(parts)
 
     found = rows.groupBy("i", "j").cogroup(columns.groupBy("i", "j")).applyInPandas(best, "id long, other long, score double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
-    """(id, token, tf, length): token counts of each document; accents are ignored."""
-    plain = F.lower(F.translate(F.col(text), "ÁÀÂÄÃáàâäãÉÈÊËéèêëÍÌÎÏíìîïÓÒÔÖÕóòôöõÚÙÛÜúùûüÑñÇç", "AAAAAaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuNnCc"))
-    tokens = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"))
-    rows = docs.select(id_col, tokens.alias("__t")).select(id_col, F.size("__t").alias("length"), F.explode("__t").alias("token"))
-    return rows.groupBy(id_col, "token").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+def _frequency(words: Column, phrase: list[str]) -> Column:
+    """How often the words of a phrase follow each other in an array of words."""
+    if len(phrase) == 1:
+        return F.size(F.filter(words, lambda w: w == phrase[0]))
+    starts = F.sequence(F.lit(1), F.size(words) - len(phrase) + 1)
+    here = lambda i: reduce(Column.__and__, [F.element_at(words, (i + n).cast("int")) == w for n, w in enumerate(phrase)])
+    found = F.when(F.size(words) >= len(phrase), F.size(F.filter(starts, here))).otherwise(0)
+    return F.when(F.array_contains(words, phrase[0]), found).otherwise(0)
 
 
-def lexical_search(docs: DataFrame, query: str, limit: int = 50, offset: int = 0, k1: float = 1.2, b: float = 0.75, text: str = "text", id_col: str = "id") -> DataFrame:
-    """Documents that have every word of a query, by BM25: (id, score), best first, ties to the smaller id.
+def lexical_search(
+    docs: DataFrame, query: str, limit: int = 50, offset: int = 0, version: int | None = None, k1: float = 1.2, b: float = 0.75, text: str = "text", id_col: str = "id"
+) -> DataFrame:
+    """Documents that have every part of a query, by BM25: (id, score), best first, ties to the smaller id.
 
-    Only the query's words are kept of the postings before anything is grouped; a query without words finds nothing.
+    The parts of a query lie between white space; one with several words (``self-portrait``) is a phrase, whose words
+    follow each other.  Case and accents make no difference on either side.  ``version`` keeps documents of one version
+    (column ``version``); the weights are those of all documents.  A query without words finds nothing.  Texts are
+    reduced to one frequency for each part where they are read; no words are moved.
     """
-    words = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
-    every = postings(docs, text, id_col)
-    sizes = docs.select(F.size(F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+)"))).alias("n"))
-    corpus = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    hits = every.where(F.col("token").isin(words)) if words else every.where(F.lit(False))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    joined = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(corpus))  # the query's words; one row
-    weight = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = joined.groupBy(id_col).agg(F.sum(part).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(words))
-    return scored.select(id_col, "score").orderBy(F.desc("score"), id_col).offset(offset).limit(limit)
+    phrases = query_phrases(query)
+    words = folded_words(F.coalesce(F.col(text), F.lit("")))
+    frequency = [f"__f{i}" for i in range(len(phrases))]
+    kept = [id_col, "version"] if version is not None else [id_col]
+    # one variable for the words, so that they are cut once a text however often they are looked at
+    said = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("__n"), *[_frequency(w, p).alias(c) for p, c in zip(phrases, frequency)]))
+    counted = docs.select(*kept, F.inline(said))
+    corpus = counted.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_docs") for c in frequency])
+    hits = counted.where(reduce(Column.__and__, [F.col(c) > 0 for c in frequency], F.lit(bool(phrases))))
+    if version is not None:
+        hits = hits.where(F.col("version") == version)
+    joined = hits.crossJoin(F.broadcast(corpus))  # one row
+    score = F.lit(0.0)
+    for c in frequency:
+        weight = F.log((F.col("__docs") - F.col(f"{c}_docs") + 0.5) / (F.col(f"{c}_docs") + 0.5) + 1)
+        score = score + weight * F.col(c) * (k1 + 1) / (F.col(c) + k1 * (1 - b + b * F.col("__n") / F.col("__mean")))
+    return joined.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).offset(offset).limit(limit)
 
 
 def boosted(hits: DataFrame, query: str, tag_boost: float = 0.1, blob_boost: float = 0.03) -> DataFrame:
@@ -135,21 +164,23 @@ def boosted(hits: DataFrame, query: str, tag_boost: float = 0.1, blob_boost: flo
     return hits.withColumn("boosted", score + F.when(F.arrays_overlap(words, F.array_except(blob, tags)), blob_boost).otherwise(0.0))
 
 
-def fused(semantic: DataFrame, lexical: DataFrame, weight: float = 0.6, k: int = 60, id_col: str = "id") -> DataFrame:
-    """Weighted reciprocal-rank fusion of two scored lists: (id, score, normal), normalised to a best of 1.
+def fused(semantic: DataFrame, lexical: DataFrame, weight: float = 0.6, k: int = 60, id_col: str = "id", payload: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted reciprocal-rank fusion of two scored lists: (id, score, normal), normalised to a best of 1, and of each
+    column in ``payload`` (both lists have it) the first that isn't null, the semantic list's before the other's.
 
     The lists are result pages, so ranking them needs no more than one task.
     """
     w = min(max(weight, 0.0), 1.0)
 
-    def part(hits: DataFrame, share: float) -> DataFrame:
+    def part(hits: DataFrame, share: float, side: int) -> DataFrame:
         rank = F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1
-        return hits.select(id_col, (F.lit(share) / (F.lit(k) + rank + 1)).alias("part"))
+        return hits.select(id_col, (F.lit(share) / (F.lit(k) + rank + 1)).alias("part"), F.lit(side).alias("side"), *payload)
 
-    both = part(semantic, w).unionByName(part(lexical, 1 - w)).groupBy(id_col).agg(F.sum("part").alias("score"))
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("side"))).alias(c) for c in payload]
+    both = part(semantic, w, 0).unionByName(part(lexical, 1 - w, 1)).groupBy(id_col).agg(F.sum("part").alias("score"), *firsts)
     top = both.agg(F.max("score").alias("top"))
     joined = both.crossJoin(F.broadcast(top))  # one row
-    return joined.select(id_col, "score", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("normal"))
+    return joined.select(id_col, "score", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("normal"), *payload)
 
 
 def seed_pairs(df: DataFrame, ids: list[int], id_col: str = "id", vector: str = "vector") -> DataFrame:
@@ -166,7 +197,7 @@ def seed_pairs(df: DataFrame, ids: list[int], id_col: str = "id", vector: str =
     scored = scored.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 4).alias("score"))
 
     def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = pd.concat(list(batches)).sort_values(["score", "a", "b"], ascending=False)
+        edges = pd.concat([pd.DataFrame({"a": [], "b": [], "score": []}), *batches]).sort_values(["score", "a", "b"], ascending=False)
         used, out = set(), []
         for a, b, score in edges.itertuples(index=False):
             if a not in used and b not in used:

@@ -74,7 +74,7 @@ def facet_counts(catalog: Catalog, ids: DataFrame, eq: list[int], linked: bool =
 
 
 def needle_counts(catalog: Catalog, prop: int, needles: DataFrame) -> DataFrame:
-    """Items per needle whose value of a property contains it; ``needles``: a small table with column ``needle``."""
+    """Items per needle whose value of a property contains it; ``needles``: a bounded list of search terms, column ``needle``."""
     value = catalog.value.where(F.col("property_id") == prop)
     hit = value.join(F.broadcast(needles), F.col("value").contains(F.col("needle")))
     return hit.groupBy("needle").agg(F.countDistinct("resource_id").alias("items"))
@@ -89,7 +89,7 @@ def completeness(catalog: Catalog, template: DataFrame) -> DataFrame:
     """For each property of a template: items, and items without a non-blank value.  ``template``: property_id."""
     total = catalog.resource.agg(F.countDistinct("id").alias("total"))
     filled = catalog.value.where(F.trim("value") != "").groupBy("property_id").agg(F.countDistinct("resource_id").alias("filled"))
-    joined = F.broadcast(template).join(filled, "property_id", "left").crossJoin(F.broadcast(total))
+    joined = template.join(filled, "property_id", "left").crossJoin(F.broadcast(total))
     return joined.select("property_id", "total", (F.col("total") - F.coalesce("filled", F.lit(0))).alias("missing"))
 
 

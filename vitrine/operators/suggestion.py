@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.operators.search import dot, similar_all, unit
+from vitrine.operators.search import BLOCK_ROWS, dot, similar_all, unit
 
 #: Weights of centroid, neighbours and prompt: fixed values of the method.
 WEIGHTS = {"centroid": 0.5, "knn": 0.3, "text": 0.2}
@@ -20,25 +24,53 @@ def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return arrays.select("label", unit(total).alias("centroid"), total.alias("total"), "n")
 
 
-def centroid_scores(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def centroid_scores(vectors: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, label, score): inner product of each unit vector with each label's centroid; for the label's own rows with
-    the centroid of the others, null where there are none.  The labels are a vocabulary, small beside the vectors."""
-    found = F.broadcast(centroids(vectors, labels))
-    own = labels.select("id", "label", F.lit(True).alias("own"))
-    rows = vectors.select("id", unit(F.col("v")).alias("u")).crossJoin(found).join(own, ["id", "label"], "left")
-    without = unit(F.zip_with("total", "u", lambda s, x: s - x))
-    score = F.when(F.col("own").isNull(), dot(F.col("u"), F.col("centroid"))).when(F.col("n") > 1, dot(F.col("u"), without))
-    return rows.select("id", "label", score.alias("score"))
-
-
-def neighbour_votes(vectors: DataFrame, labels: DataFrame, k: int = 10, blocks: int = 8) -> DataFrame:
-    """(id, label, score): the share of each label among the similarities of the ``k`` nearest labelled others."""
-    near = similar_all(vectors.withColumnRenamed("v", "vector"), 4 * k, blocks)
-    marked = near.join(labels.select(F.col("id").alias("other")).distinct(), "other", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    chosen = marked.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("w", F.greatest("score", F.lit(0.0)))
+    the centroid of the others, null where there are none.  ``vectors``: id, v; ``labels``: id, label, string or number.
+
+    Centroids are dealt into blocks, which meet the vectors as matrix products; only scores come out of a task.
+    """
+    found = centroids(vectors, labels)
+    own = labels.groupBy("id").agg(F.collect_set("label").alias("own"))
+    kind = dict(labels.dtypes)["label"]
+    blocks = max(1, math.ceil(labels.select("label").distinct().count() / block_rows))
+    rows = vectors.where(F.col("v").isNotNull()).select("id", unit(F.col("v")).alias("u")).join(own, "id", "left")
+    pieces = max(1, math.ceil(vectors.count() / block_rows))
+    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), "id", "u", "own")
+    right = found.select(F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("i"), F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("j"), "label", "total", "n")
+
+    def scores(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame({"id": [], "label": [], "score": []})
+        total, n, names = np.stack(two.total.to_numpy()), two.n.to_numpy(), two.label.to_numpy()
+        sizes, place = np.sqrt((total * total).sum(axis=1)), {label: c for c, label in enumerate(names)}
+        parts, step = [], max(1, 2_000_000 // len(names))
+        for at in range(0, len(one), step):
+            u, own = np.stack(one.u.to_numpy()[at : at + step]), one.own.to_numpy()[at : at + step]
+            score = u @ (total / np.where(sizes > 0, sizes, 1.0)[:, None]).T
+            for r, given in enumerate(own):
+                for label in given if given is not None else ():
+                    if (c := place.get(label)) is not None:
+                        rest = total[c] - u[r]
+                        size = np.sqrt(rest @ rest)
+                        score[r, c] = np.nan if n[c] < 2 else u[r] @ rest / size if size > 0 else 0.0
+            ids = one.id.to_numpy()[at : at + step]
+            parts.append(pd.DataFrame({"id": np.repeat(ids, len(names)), "label": np.tile(names, len(ids)), "score": score.ravel()}))
+        return pd.concat(parts)
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(scores, f"id long, label {kind}, score double")
+    return pairs.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+def neighbour_votes(vectors: DataFrame, labels: DataFrame, k: int = 25) -> DataFrame:
+    """(id, label, score): the share of each label among the similarities of the ``k`` nearest labelled others, negative
+    ones counting as none.  Only labelled vectors are candidates, and all of them; an item that nothing votes for has no
+    rows."""
+    named = vectors.withColumnRenamed("v", "vector")
+    marked = named.join(labels.select("id").distinct(), "id", "left_semi")
+    chosen = similar_all(named, k, marked).withColumn("w", F.greatest("score", F.lit(0.0)))
     total = chosen.groupBy("id").agg(F.sum("w").alias("total"))
-    votes = chosen.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "label").agg(F.sum("w").alias("w"))
+    votes = chosen.join(labels.distinct().withColumnRenamed("id", "other"), "other").groupBy("id", "label").agg(F.sum("w").alias("w"))
     return votes.join(total, "id").select("id", "label", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(0.0).alias("score"))
 
 
@@ -46,7 +78,7 @@ def z_scores(scores: DataFrame) -> DataFrame:
     """(id, label, z): scores standardised within each label by the population's deviation, at least 1e-6."""
     moments = scores.groupBy("label").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("d"))
     z = (F.col("score") - F.col("m")) / F.greatest("d", F.lit(1e-6))
-    return scores.join(F.broadcast(moments), "label").select("id", "label", z.alias("z"))
+    return scores.join(moments, "label").select("id", "label", z.alias("z"))
 
 
 def combined(parts: dict[str, DataFrame]) -> DataFrame:
@@ -99,7 +131,7 @@ def precision_at_ranks(scored: DataFrame, ranks: list[int]) -> DataFrame:
 def weak_positives(scored: DataFrame, share: float = 0.4) -> DataFrame:
     """Rows (label, score) at or above a quantile of their label's scores."""
     cut = scored.groupBy("label").agg(F.percentile("score", F.lit(share)).alias("cut"))
-    return scored.join(F.broadcast(cut), "label").where(F.col("score") >= F.col("cut")).drop("cut")
+    return scored.join(cut, "label").where(F.col("score") >= F.col("cut")).drop("cut")
 
 
 def band(score: Column, high: Column, medium: Column) -> Column:
@@ -108,7 +140,7 @@ def band(score: Column, high: Column, medium: Column) -> Column:
 
 def suggestions(scored: DataFrame, cuts: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
     """The best suggestions of every item in bands high and medium, labels that it has left out: + band, rank."""
-    marked = scored.join(F.broadcast(cuts), "label").withColumn("band", band(F.col("score"), F.col("high"), F.col("medium")))
+    marked = scored.join(cuts, "label").withColumn("band", band(F.col("score"), F.col("high"), F.col("medium")))
     free = marked.where("band != 'low'").join(labels, ["id", "label"], "left_anti")
     order = Window.partitionBy("id").orderBy(F.array_position(F.array(F.lit("high"), F.lit("medium")), F.col("band")), F.desc("score"), "label")
     return free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("id", "label", "score", "method", "band", "rank")
@@ -119,7 +151,7 @@ def band_totals(found: DataFrame) -> DataFrame:
     return found.groupBy("band").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("items"))
 
 
-def label_scores(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 10) -> DataFrame:
+def label_scores(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 25) -> DataFrame:
     """(id, label, score, method) of all vectors (id, v) from labels (id, label) and, if given, prompt vectors (label, v)."""
     parts = {
         "centroid": z_scores(centroid_scores(vectors, labels).where(F.col("score").isNotNull())),
@@ -132,7 +164,7 @@ def label_scores(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | Non
     return combined(parts)
 
 
-def pre_tag(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 10) -> DataFrame:
+def pre_tag(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 25) -> DataFrame:
     """Suggestions for all vectors, in bands by thresholds calibrated on the labelled ones; where no score down the list
     of a label is precise enough there are none."""
     scored = label_scores(vectors, labels, prompts, k)

@@ -51,10 +51,9 @@ def _phrases(spark, sf_dir):
 @register(
     "phrase_matches",
     """WITH p AS (SELECT DISTINCT regexp_extract(upper(replace(text, 'ß', 'ss')), '^\\s*([A-Z]{2,} [A-Z]{2,})', 1) AS c FROM documents), q AS (SELECT c FROM p WHERE c <> ''),
-t AS (SELECT doc_id AS item_id, upper(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, 'ß', 'ss'), '-\\s*\\n\\s*', '', 'g'), '\\n', ' ', 'g'), '\\s+', ' ', 'g'))) AS t,
-  """ + UP + """ AS w FROM documents)
+t AS (SELECT doc_id AS item_id, upper(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, 'ß', 'ss'), '-\\s*\\n\\s*', '', 'g'), '\\n', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM documents)
 SELECT item_id, c AS canonical, 'phrase' AS type, c AS form, (length(t) - length(replace(t, c, ''))) // length(c) AS reps, 1 AS tier
-FROM t JOIN q ON contains(t, c) AND list_contains(w, regexp_extract(c, '[A-Z]{2,}'))""",
+FROM t JOIN q ON contains(t, c)""",
 )
 def phrase_matches(spark, sf_dir):
     return ex.phrase_matches(_texts(spark, sf_dir), ex.build_dictionary(_phrases(spark, sf_dir), []))
@@ -215,7 +214,41 @@ def precision_at(spark, sf_dir):
     return sg.precision_at(calibration, events.where("id % 2 = 0")).withColumn("confidence", F.round("confidence", 6))
 
 
-@register("label_scores")
+NEAR_SQL = f"""{UNIT_SQL}, d AS (SELECT a.id, b.id AS other, b.label, list_inner_product(a.u, b.u) AS score FROM e a JOIN e b ON a.id <> b.id AND b.id % 3 <> 0),
+k AS (SELECT *, greatest(score, 0) AS w FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 25),
+votes AS (SELECT id, label, CASE WHEN t > 0 THEN s / t ELSE 0 END AS score FROM (SELECT id, label, sum(w) AS s FROM k GROUP BY 1, 2) JOIN (SELECT id, sum(w) AS t FROM k GROUP BY 1) USING (id))"""
+
+
+@register("neighbour_votes", f"WITH {NEAR_SQL} SELECT id, label, round(score, 6) AS score FROM votes")
+def neighbour_votes(spark, sf_dir):
+    return sg.neighbour_votes(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+COMBINED_SQL = NEAR_SQL + """, cs AS (SELECT e.id, c.label, CASE WHEN e.id % 3 = 0 OR e.label <> c.label THEN list_inner_product(u, total) / sqrt(list_inner_product(total, total))
+  WHEN n > 1 THEN (list_inner_product(u, total) - list_inner_product(u, u)) / sqrt(list_inner_product(total, total) - 2 * list_inner_product(u, total) + list_inner_product(u, u)) END AS score FROM e, c),
+zc AS (SELECT id, label, (score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-6) AS z FROM cs WHERE score IS NOT NULL WINDOW w AS (PARTITION BY label)),
+zk AS (SELECT id, label, (score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-6) AS z FROM votes WINDOW w AS (PARTITION BY label)),
+comb AS (SELECT coalesce(zc.id, zk.id) AS id, coalesce(zc.label, zk.label) AS label,
+  (coalesce(zc.z, 0) * 0.5 + coalesce(zk.z, 0) * 0.3) / (CASE WHEN zc.z IS NULL THEN 0 ELSE 0.5 END + CASE WHEN zk.z IS NULL THEN 0 ELSE 0.3 END) AS score,
+  CASE WHEN zk.z IS NULL OR zc.z >= zk.z THEN 'centroid' ELSE 'knn' END AS method FROM zc FULL JOIN zk ON zc.id = zk.id AND zc.label = zk.label)"""
+
+
+@register("label_scores", f"WITH {COMBINED_SQL} SELECT id, label, round(score, 5) AS score, method FROM comb")
 def label_scores(spark, sf_dir):
-    """Combined scores of every vector and label; their parts have SQL of their own."""
-    return sg.label_scores(*_vectors(spark, sf_dir))
+    """Combined scores of every vector and label."""
+    return sg.label_scores(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+@register(
+    "pre_tag",
+    f"""WITH {COMBINED_SQL}, cal AS (SELECT comb.label, comb.score, CAST(own.id IS NOT NULL AS INTEGER) AS hit FROM comb
+  LEFT JOIN (SELECT id, label FROM e WHERE id % 3 <> 0) own ON own.id = comb.id AND own.label = comb.label WHERE comb.id % 3 <> 0),
+r AS (SELECT *, row_number() OVER w AS n, sum(hit) OVER w / row_number() OVER w AS p FROM cal WINDOW w AS (PARTITION BY label ORDER BY score DESC, hit DESC ROWS UNBOUNDED PRECEDING)),
+cuts AS (SELECT label, arg_max(CASE WHEN p >= 0.9 THEN score END, CASE WHEN p >= 0.9 THEN n END) AS high, arg_max(CASE WHEN p >= 0.6 THEN score END, CASE WHEN p >= 0.6 THEN n END) AS medium
+  FROM r WHERE n >= 5 GROUP BY 1),
+b AS (SELECT comb.*, CASE WHEN score >= high THEN 'high' WHEN score >= medium THEN 'medium' ELSE 'low' END AS band FROM comb JOIN cuts USING (label)
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id % 3 <> 0 AND e.id = comb.id AND e.label = comb.label))
+SELECT id, label, round(score, 5) AS score, method, band, row_number() OVER (PARTITION BY id ORDER BY band, b.score DESC, label) AS rank FROM b WHERE band <> 'low' QUALIFY rank <= 5""",
+)
+def pre_tag(spark, sf_dir):
+    return sg.pre_tag(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))

@@ -77,9 +77,13 @@ def index_blobs(spark, sf_dir):
 
 @register(
     "clean_lines",
-    """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
-g AS (SELECT doc_id, p, x FROM l WHERE x <> '' AND NOT regexp_matches(x, '(a{6}|!{6}|\\.{6})') AND (length(x) < 8 OR len(list_distinct(string_split(substr(x, 1, 80), ''))) / length(substr(x, 1, 80)) >= 0.15))
-SELECT d.doc_id, coalesce(substr(string_agg(x, chr(10) ORDER BY p), 1, 1500), '') AS cleaned FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY 1""",
+    """WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))), '^\\s+|\\s+$', '', 'g') AS x,
+  generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS p FROM documents),
+b AS (SELECT *, regexp_replace(x, '\\s', '', 'g') AS c FROM l),
+g AS (SELECT doc_id, p, x FROM b WHERE c <> '' AND len(list_filter(list_distinct(string_split(c, '')), lambda ch: contains(c, repeat(ch, 6)))) = 0
+  AND (length(c) < 8 OR len(list_distinct(string_split(substr(c, 1, 80), ''))) / length(substr(c, 1, 80)) >= 0.15)),
+j AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS j FROM g GROUP BY 1)
+SELECT d.doc_id, coalesce(CASE WHEN length(j) > 1500 THEN regexp_replace(substr(j, 1, 1500), '\\s+$', '') ELSE j END, '') AS cleaned FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
 )
 def clean_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.sanitize_ocr(F.col("text")).alias("cleaned"))

@@ -138,6 +138,41 @@ def lexical_search(spark, sf_dir):
     return search.lexical_search(docs, "the of").withColumn("score", F.round("score", 6))
 
 
+#: How often each part of a query occurs in the folded words, counted by position.
+PARTS_SQL = """WITH t AS (SELECT doc_id AS id, doc_id % 2 + 1 AS version, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+f AS (SELECT id, version, len(w) AS n, {frequencies} FROM t), c AS (SELECT count(*) AS docs, avg(n) AS mean, {documents} FROM f),
+s AS (SELECT id, {score} AS score FROM f, c WHERE {every})"""
+
+
+def _parts_sql(phrases: list[list[str]], extra: str = "") -> str:
+    counted = []
+    for i, words in enumerate(phrases):
+        here = " AND ".join(f"w[i + {n}] = '{x}'" for n, x in enumerate(words))
+        counted.append(f"len(list_filter(range(1, greatest(len(w) - {len(words) - 2}, 1)), lambda i: {here})) AS f{i}")
+    weight = lambda i: f"ln((docs - d{i} + 0.5) / (d{i} + 0.5) + 1) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))"
+    some = range(len(phrases))
+    return PARTS_SQL.format(
+        frequencies=", ".join(counted),
+        documents=", ".join(f"count_if(f{i} > 0) AS d{i}" for i in some),
+        score=" + ".join(map(weight, some)),
+        every=" AND ".join(f"f{i} > 0" for i in some) + extra,
+    )
+
+
+@register("lexical_accents", _parts_sql([["fur"], ["e"]]) + " SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 50")
+def lexical_accents(spark, sf_dir):
+    """Accents on either side make no difference."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.lexical_search(docs, "FÜR é").withColumn("score", F.round("score", 6))
+
+
+@register("lexical_phrase", _parts_sql([["the", "the"], ["of"]], " AND version = 2") + " SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20 OFFSET 3")
+def lexical_phrase(spark, sf_dir):
+    """A phrase, a word, and one version of the documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 2 + 1).alias("version"))
+    return search.lexical_search(docs, "the-The of", 20, 3, 2).withColumn("score", F.round("score", 6))
+
+
 @register(
     "boosted_hits",
     """WITH h AS (SELECT doc_id AS id, n_chars / 1000.0 AS score, list_distinct(regexp_extract_all(lower(source || ' ' || lang), '[a-z0-9]+')) AS tags,
