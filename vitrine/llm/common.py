@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, an execution's shuffle files go as soon as it has ended: what it wrote is read again, they are not."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: (the table, its path).
 
@@ -36,19 +50,21 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFr
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bucketed(df: DataFrame, name: str, *keys: str, placed: bool = False) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, name: str, *keys: str, placed: bool = False, compression: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder in as many buckets of ``keys`` as there are shuffle partitions, and read it back:
     (the table, its path).  What later meets it by these keys comes to it; the table itself is not moved again.
     ``placed``: the rows are in partitions by these keys already."""
     spark = df.sparkSession
     path, table = scratch_path(spark, name), f"vitrine_{uuid.uuid4().hex}"
     moved = df if placed else df.repartition(shuffle_width(spark), *keys)
-    writer = moved.write.option("compression", "zstd").option("path", path)
-    writer.bucketBy(shuffle_width(spark), *keys).saveAsTable(table)
+    writer = moved.write.option("compression", compression).option("path", path)
+    with _shuffles_removed(spark):
+        writer.bucketBy(shuffle_width(spark), *keys).saveAsTable(table)
     back = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the files stay, and the table read above knows them
     return back, path

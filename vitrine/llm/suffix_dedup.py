@@ -20,7 +20,6 @@ The texts are written once as a table bucketed by class, so that later passes jo
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import dropped, scratch_path, shuffle_width, whole_text, written
+from vitrine.llm.common import bucketed, dropped, shuffle_width, whole_text, written
 from vitrine.llm.suffix_sort import common_prefix, sort_strings
 
 #: Bytes of an anchor's gram, windows handled at once, and different contexts of a gram that one task sorts.
@@ -197,15 +196,9 @@ def _spans(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _text_classes(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
     """Different texts as a table bucketed by (h, g): h, g, text, n; and its path."""
-    spark, name = docs.sparkSession, f"vitrine_{uuid.uuid4().hex}"
     text = whole_text(text_col).alias("text")
     one = docs.select(text).select(*class_key("text"), "text").groupBy("h", "g").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    path = scratch_path(spark, "texts")
-    writer = one.write.option("compression", "zstd").option("path", path)
-    writer.bucketBy(shuffle_width(spark), "h", "g").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the files stay, and the table read above knows them
-    return table, path
+    return bucketed(one, "texts", "h", "g", placed=True)
 
 
 def class_key(text_col: str) -> list[Column]:

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ CHUNK_CHARS, BUCKET_TOKENS = 1_500_000, 2_000_000
 
 #: What a chunk holds beside its rows' ids: their numbers of tokens and whether they are learnt from; the hashes of its
 #: different words in order and each token's place among them; the words' counts; each token's probability so far; the
-#: counts of the sequences that end at each token, of the last length and of the next one; and sums for contexts.
+#: counts of the sequences that end at each token, of the last length and of the next one; and sums for contexts.  Each
+#: is a compressed array.
 BLOBS = {
     "sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64, "p": np.float32, "count": np.int64, "next": np.int64,
     "sum_key": np.int64, "sum_size": np.int64, "sum_k": np.int64, "sum_stored": np.int64, "sum_gain": np.float64, "sum_mass": np.float64,
@@ -60,13 +62,23 @@ def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return (h ^ h >> np.uint64(29)).view(np.int64)
 
 
+def packed(array, kind: type) -> bytes:
+    """An array of a type, compressed; no bytes for an empty one."""
+    raw = np.asarray(array, kind)
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes()) if len(raw) else b""
+
+
+def unpacked(blob: bytes | None, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob) if blob else b"", dtype=kind)
+
+
 class Chunk:
     """One chunk's arrays, and what they say about sequences of words."""
 
     def __init__(self, row: dict):
         self.chunk, self.ids = row["chunk"], row["ids"]
         for name, kind in BLOBS.items():
-            setattr(self, name, np.frombuffer(row[name] or b"", dtype=kind))
+            setattr(self, name, unpacked(row[name], kind))
         starts = np.cumsum(self.sizes) - self.sizes
         self.starts = starts
         self.inside = np.arange(len(self.place)) - np.repeat(starts, self.sizes)
@@ -94,11 +106,11 @@ class Chunk:
         return at, joined(context, self.token[at]), context, size
 
     def row(self, **changed: np.ndarray) -> dict:
-        return {"chunk": self.chunk, "ids": self.ids} | {n: np.asarray(changed.get(n, getattr(self, n)), k).tobytes() for n, k in BLOBS.items()}
+        return {"chunk": self.chunk, "tokens": len(self.place), "ids": self.ids} | {n: packed(changed.get(n, getattr(self, n)), k) for n, k in BLOBS.items()}
 
 
 def _table(rows: list[dict], ids_kind: pa.DataType) -> pa.Table:
-    fields = [("chunk", pa.int64()), ("ids", ids_kind), *[(n, pa.binary()) for n in BLOBS]]
+    fields = [("chunk", pa.int64()), ("tokens", pa.int64()), ("ids", ids_kind), *[(n, pa.binary()) for n in BLOBS]]
     return pa.Table.from_pylist(rows, schema=pa.schema(fields))
 
 
@@ -114,9 +126,9 @@ def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBa
         hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in different], dtype=np.uint64).view(np.int64)
         words, to = np.unique(hashes, return_inverse=True)
         place = to[np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))]
-        row = {"chunk": TaskContext.get().partitionId() << 32 | n, "ids": list(ids)}
+        row = {"chunk": TaskContext.get().partitionId() << 32 | n, "tokens": len(flat), "ids": list(ids)}
         arrays = {"sizes": [len(x) for x in lists], "learn": learn, "words": words, "place": place}
-        row |= {name: np.asarray(arrays.get(name, ()), kind).tobytes() for name, kind in BLOBS.items()}
+        row |= {name: packed(arrays.get(name, ()), kind) for name, kind in BLOBS.items()}
         yield from _table([row], ids_kind).to_batches()
 
     for batch in batches:
@@ -150,7 +162,7 @@ def _asked(chunks: DataFrame, question: Callable[[Chunk], tuple[np.ndarray, np.n
                 keys, counts = question(chunk)
                 order, starts = _dealt(keys, width)
                 keys, counts = keys[order], counts[order].astype(np.int64)
-                some = [(b, keys[a:z].tobytes(), counts[a:z].tobytes()) for b, (a, z) in enumerate(zip(starts.tolist(), starts[1:].tolist())) if z > a]
+                some = [(b, keys[a:z].tobytes(), packed(counts[a:z], np.int64)) for b, (a, z) in enumerate(zip(starts.tolist(), starts[1:].tolist())) if z > a]
                 columns = list(zip(*some)) if some else ([], [], [])
                 kinds = [pa.int32(), pa.binary(), pa.binary()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -161,7 +173,7 @@ def _asked(chunks: DataFrame, question: Callable[[Chunk], tuple[np.ndarray, np.n
 
 def _parts(flat: np.ndarray, sizes: list[int]) -> list[bytes]:
     ends = np.cumsum([0, *sizes]).tolist()
-    return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+    return [packed(flat[a:b], flat.dtype) for a, b in zip(ends, ends[1:])]
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[int], list[np.ndarray], list[np.ndarray]]:
@@ -170,7 +182,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[int],
     for batch in batches:
         for held, column in zip(rows, batch.columns):
             held.extend(column.to_pylist())
-    return rows[0], rows[1], [np.frombuffer(k, np.int64) for k in rows[2]], [np.frombuffer(c, np.int64) for c in rows[3]]
+    return rows[0], rows[1], [np.frombuffer(k, np.int64) for k in rows[2]], [unpacked(c, np.int64) for c in rows[3]]
 
 
 def _counted(questions: DataFrame, width: int, least: int) -> DataFrame:
@@ -224,8 +236,8 @@ def _told(chunks: DataFrame, answers: DataFrame, width: int, kind: type, change:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for row in left.to_pylist():
-            parts = [x for _, x in sorted(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))]
-            flat = np.frombuffer(b"".join(parts), dtype=kind)
+            parts = [unpacked(x, kind) for _, x in sorted(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))]
+            flat = np.concatenate([np.zeros(0, kind), *parts])
 
             def said(keys: np.ndarray) -> np.ndarray:
                 out = np.zeros(len(keys), dtype=kind)
@@ -311,7 +323,7 @@ def _kept(chunks: DataFrame, cost: float, discount: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[n] or b"", BLOBS[n])) for n in names], names=["key", "size", "k", "stored", "gain", "mass"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(row[n], BLOBS[n])) for n in names], names=["key", "size", "k", "stored", "gain", "mass"])
 
     rows = chunks.select(*names).mapInArrow(run, "key long, size long, k long, stored long, gain double, mass double")
     found = rows.groupBy("key").agg(F.max("size").alias("size"), *[F.sum(c).alias(c) for c in ("k", "stored", "gain", "mass")])
@@ -360,15 +372,15 @@ def score_texts(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     id_type = dict(rows.dtypes)[id_col]
-    schema = ", ".join(["chunk long", f"ids array<{id_type}>", *[f"{n} binary" for n in BLOBS]])
+    schema = ", ".join(["chunk long", "tokens long", f"ids array<{id_type}>", *[f"{n} binary" for n in BLOBS]])
     made = rows.mapInArrow(lambda batches: _made(batches, chunk_chars), schema)
-    chunks, path = bucketed(made, "chunks", "chunk")
-    volume = chunks.agg(F.sum(F.octet_length("place") / 4)).first()[0] or 0
+    chunks, path = bucketed(made, "chunks", "chunk", compression="none")
+    volume = chunks.agg(F.sum("tokens")).first()[0] or 0
     width = max(shuffle_width(spark), int(volume // BUCKET_TOKENS))
 
     def next_chunks(answers: DataFrame, kind: type, change: Callable[[Chunk, Callable], dict]) -> None:
         nonlocal chunks, path
-        after, new = bucketed(_told(chunks, answers, width, kind, change), "chunks", "chunk", placed=True)
+        after, new = bucketed(_told(chunks, answers, width, kind, change), "chunks", "chunk", placed=True, compression="none")
         dropped(spark, path)
         chunks, path = after, new
 
