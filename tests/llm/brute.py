@@ -77,6 +77,61 @@ def base_scores(rows):
     return out
 
 
+def tree_scores(rows, depth, least, discount=0.75, cost=0.5):
+    """rows: (key, text, learn) -> score of each by a plain suffix tree: dictionaries of whole sequences."""
+    texts = [[*words(text), None] for _, text, _ in rows]
+    counts = Counter()
+    for tokens, (_, _, learn) in zip(texts, rows):
+        if learn:
+            counts.update(tuple(tokens[i : i + k]) for k in range(1, depth + 2) for i in range(len(tokens) - k + 1))
+    total = sum(n for s, n in counts.items() if len(s) == 1)
+    distinct = sum(len(s) == 1 for s in counts)
+    follow = defaultdict(dict)
+    for s, n in counts.items():
+        if len(s) > 1 and n >= least:
+            follow[s[:-1]][s[-1]] = n
+    kept = {}
+
+    def p(context, symbol):
+        if not context:
+            return (counts[(symbol,)] + 1) / (total + distinct + 1)
+        lower = p(context[1:], symbol)
+        if context not in kept:
+            return lower
+        return max(follow[context].get(symbol, 0) - discount, 0) / counts[context] + kept[context] * lower
+
+    for d in range(1, depth + 1):
+        found = {}
+        for context, entries in follow.items():
+            if len(context) == d:
+                size, stored, mass = counts[context], sum(entries.values()), sum(p(context[1:], s) for s in entries)
+                gain = sum(n * math.log(n / size / p(context[1:], s)) for s, n in entries.items())
+                rest = size - stored
+                if rest > 0 and mass < 1:
+                    gain += rest * math.log(rest / size / (1 - mass))
+                if gain >= cost * len(entries) * math.log(size + 1):
+                    found[context] = (rest + discount * len(entries)) / size
+        kept.update(found)
+        if not found:
+            break
+    return [sum(math.log10(p(tuple(tokens[max(i - depth, 0) : i]), s)) for i, s in enumerate(tokens)) for tokens in texts]
+
+
+def similar_groups(texts, width=5, similarity=0.8):
+    """Number of the group of each text, by Jaccard similarity of all pairs' shingles."""
+    sets, groups = [], Sets()
+    for text in texts:
+        found = words(text)
+        sets.append(frozenset(" ".join(found[i : i + width]) for i in range(max(len(found) - width + 1, min(len(found), 1)))))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            both = len(a & b) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else -1
+            if both >= similarity * (len(a) + len(b) - both):
+                groups.join(i, j)
+    return [groups.root(i) for i in range(len(texts))]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 

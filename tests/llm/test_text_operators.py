@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from vitrine.llm import arrow_output, byte_bpe, chunks, histogram_shards, packing, quality, simhash, suffix_dedup, suffix_sort, suffix_tree_lm
+from vitrine.llm.common import bucketed
 from vitrine.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -134,21 +135,24 @@ def test_language_model_keeps_contexts_of_a_large_corpus(spark):
     assert found[112]["score"] > found[112]["base_score"] + 4 and found[200]["score"] < -9
 
 
-def test_language_model_gives_the_same_scores_from_the_tables(spark, docs, rows):
+@pytest.mark.parametrize(("depth", "least", "chars"), [(4, 2, 1_500_000), (3, 3, 2_000), (6, 2, 9_000)])
+def test_language_model_equals_a_plain_tree(spark, docs, rows, depth, least, chars):
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["base_score"])
-    runs = [suffix_tree_lm.score_texts(docs, learn, hot=hot, word_share=share).collect() for hot, share in ((10**6, 2e-7), (0, 2e-7), (40, 1e-3))]
-    want, *others = [sorted(((*key(r)[:3], round(r["base_score"], 6), round(r["score"], 6)) for r in run)) for run in runs]
-    assert any(w[3] != w[4] for w in want) and len(want) == len(rows)
-    for got in others:
-        assert [w[:3] for w in want] == [g[:3] for g in got]
-        assert max(abs(a - b) for w, g in zip(want, got) for a, b in zip(w[3:], g[3:])) < 1e-4
+    found = suffix_tree_lm.score_texts(docs, learn, depth=depth, least=least, chunk_chars=chars).collect()
+    data = [(r[0], r[1] or "", r[0] is None or r[0] % 3 != 0) for r in rows]
+    want = sorted(brute.tree_scores(data, depth, least))
+    got = sorted(r["score"] for r in found)
+    assert len(got) == len(want) and max(abs(a - b) / (1 + abs(b)) for a, b in zip(got, want)) < 1e-5
+    assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found) + 1000
 
 
-def test_hashes_equal_sparks(spark):
-    a, b = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, size=(2, 50))
-    table = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
-    assert [r[0] for r in table.select(F.xxhash64("a", "b")).collect()] == suffix_tree_lm.keyed(a, b).tolist()
+def test_language_model_knows_texts_that_occur_twice(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:10]])), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix_tree_lm.score_texts(docs, F.lit(True)).collect()}
+    assert min(found[i] for i in range(10)) > -1 > -1.5 > max(found[i] for i in range(10, 60))
 
 
 def test_packing(spark, rows, docs, none, tokenizer):
@@ -280,8 +284,29 @@ def test_simhash(spark, rows, docs, none):
     want = collections.Counter((key, fp, least[sets.root(fp)]) for key, fp in prints)
     assert collections.Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component"]) for r in found) == want
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_one_of_each_group_of_similar_texts(spark, rows, docs, none):
     kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.count() == len({sets.root(fp) for _, fp in prints})
+    assert kept.columns == docs.columns and kept.count() == len(set(brute.similar_groups([r[1] or "" for r in rows])))
+    assert simhash.one_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("limit", [2048, 4])
+def test_edited_copies_are_grouped_by_similarity(spark, limit):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    texts = []
+    for _ in range(40):
+        own = [rng.choice(words) for _ in range(rng.randint(60, 500))]
+        texts.append(" ".join(own))
+        for share in (0.003, 0.006, 0.01, 0.015, 0.02, 0.03, 0.05, 0.1):  # similarities from 0.98 down to 0.4
+            texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in own))
+    want = brute.similar_groups(texts)
+    staged, _ = bucketed(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), "texts", "row")
+    found = {r["row"]: r["root"] for r in simhash.similar_groups(staged, limit=limit).collect()}
+    missed = sum(want[i] != found[i] for i in range(len(texts)) if i in found)
+    assert 45 < len(set(want)) < 300 and missed <= 1  # a pair at the threshold may share no shard
 
 
 @pytest.mark.parametrize("limit", [4096, 3])
