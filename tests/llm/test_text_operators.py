@@ -142,7 +142,7 @@ def test_language_model_equals_a_plain_tree(spark, docs, rows, depth, least, cha
     data = [(r[0], r[1] or "", r[0] is None or r[0] % 3 != 0) for r in rows]
     want = sorted(brute.tree_scores(data, depth, least))
     got = sorted(r["score"] for r in found)
-    assert len(got) == len(want) and max(abs(a - b) / (1 + abs(b)) for a, b in zip(got, want)) < 1e-5
+    assert len(got) == len(want) and max(abs(a - b) / (1 + abs(b)) for a, b in zip(got, want)) < 3e-4  # logarithms are kept in steps
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found) + 1000
 
 

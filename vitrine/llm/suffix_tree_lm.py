@@ -34,15 +34,18 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b""
 
 #: Characters of a chunk, and tokens for each bucket of questions.
-CHUNK_CHARS, BUCKET_TOKENS = 1_500_000, 2_000_000
+CHUNK_CHARS, BUCKET_TOKENS = 4_000_000, 2_000_000
+
+#: Steps of a stored logarithm to a whole decade; 16 bits reach down to 10 ** -16.
+LOG_STEPS = 2048
 
 #: What a chunk holds beside its rows' ids: their numbers of tokens and whether they are learnt from; the hashes of its
-#: different words in order and each token's place among them; the words' counts; each token's probability so far; the
-#: counts of the sequences that end at each token, of the last length and of the next one; and sums for contexts.  Each
-#: is a compressed array.
+#: different words, the most frequent first, and each token's place among them; the words' counts; the logarithm of each
+#: token's probability so far (none at first: it is the root's); the counts of the sequences that end at each token, of
+#: the last length and of the next one; and sums for contexts.  Each is a compressed array.
 BLOBS = {
-    "sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64, "p": np.float32, "count": np.int64, "next": np.int64,
-    "sum_key": np.int64, "sum_size": np.int64, "sum_k": np.int64, "sum_stored": np.int64, "sum_gain": np.float64, "sum_mass": np.float64,
+    "sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64, "log": np.int16, "count": np.int64, "next": np.int64,
+    "sum_key": np.int64, "sum_size": np.int64, "sum_k": np.int64, "sum_stored": np.int64, "sum_gain": np.float32, "sum_mass": np.float32,
 }
 
 
@@ -85,6 +88,12 @@ class Chunk:
         self.token = self.words[self.place]
         self.learnt = np.repeat(self.learn, self.sizes)
 
+    def probabilities(self, scale: float) -> np.ndarray:
+        """Each token's probability so far; ``scale`` is that of the root's counts."""
+        if len(self.log):
+            return 10.0 ** (self.log / LOG_STEPS)
+        return ((self.freq + 1) / scale)[self.place]
+
     def sequences(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words that end at each token; without meaning where there are fewer."""
         h = self.token
@@ -126,6 +135,8 @@ def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBa
         hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in different], dtype=np.uint64).view(np.int64)
         words, to = np.unique(hashes, return_inverse=True)
         place = to[np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))]
+        order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
+        words, place = words[order], np.argsort(order)[place]
         row = {"chunk": TaskContext.get().partitionId() << 32 | n, "tokens": len(flat), "ids": list(ids)}
         arrays = {"sizes": [len(x) for x in lists], "learn": learn, "words": words, "place": place}
         row |= {name: packed(arrays.get(name, ()), kind) for name, kind in BLOBS.items()}
@@ -272,18 +283,18 @@ def _ask_contexts(depth: int) -> Callable[[Chunk], tuple[np.ndarray, np.ndarray]
     return asked
 
 
-def _learn_words(scale: float, least: int) -> Callable[[Chunk, Callable], dict]:
-    """Words' counts, and the root's probability of every token."""
+def _learn_words(least: int) -> Callable[[Chunk, Callable], dict]:
+    """Words' counts."""
 
     def change(chunk: Chunk, said: Callable) -> dict:
         freq = np.abs(said(chunk.words))
         frequent = np.where(freq >= least, freq, 0)
-        return chunk.row(freq=freq, count=frequent[chunk.place], p=((freq + 1) / scale)[chunk.place])
+        return chunk.row(freq=freq, count=frequent[chunk.place])
 
     return change
 
 
-def _learn_entries(depth: int) -> Callable[[Chunk, Callable], dict]:
+def _learn_entries(depth: int, scale: float) -> Callable[[Chunk, Callable], dict]:
     """Counts of sequences one word longer, and for those that the chunk speaks for the sums of their contexts."""
 
     def change(chunk: Chunk, said: Callable) -> dict:
@@ -294,7 +305,7 @@ def _learn_entries(depth: int) -> Callable[[Chunk, Callable], dict]:
         n[at] = np.abs(answer)[to]
         own = first[answer < 0]
         sums, where, group = np.unique(context[own], return_index=True, return_inverse=True)
-        stored, p = n[at[own]], chunk.p[at[own]].astype(np.float64)
+        stored, p = n[at[own]], chunk.probabilities(scale)[at[own]]
         gain = stored * np.log(stored / size[own] / p)
         added = {name: np.bincount(group, weights=x, minlength=len(sums)) for name, x in (("sum_stored", stored), ("sum_gain", gain), ("sum_mass", p))}
         return chunk.row(next=n, sum_key=sums, sum_size=size[own][where], sum_k=np.bincount(group, minlength=len(sums)), **added)
@@ -302,16 +313,16 @@ def _learn_entries(depth: int) -> Callable[[Chunk, Callable], dict]:
     return change
 
 
-def _learn_contexts(depth: int, discount: float) -> Callable[[Chunk, Callable], dict]:
+def _learn_contexts(depth: int, scale: float, discount: float) -> Callable[[Chunk, Callable], dict]:
     """Probabilities in the contexts of ``depth`` words that are kept."""
 
     def change(chunk: Chunk, said: Callable) -> dict:
         at, context, size = chunk.contexts(depth)
         different, to = np.unique(context, return_inverse=True)
         backoff = said(different)[to]
-        n, p = chunk.next[at], chunk.p.astype(np.float64)
+        n, p = chunk.next[at], chunk.probabilities(scale)
         p[at] = np.where(backoff > 0, np.maximum(n - discount, 0) / size + backoff * p[at], p[at])
-        return chunk.row(p=p, count=chunk.next, next=(), **{name: () for name in BLOBS if name.startswith("sum_")})
+        return chunk.row(log=np.rint(np.log10(p) * LOG_STEPS), count=chunk.next, next=(), **{name: () for name in BLOBS if name.startswith("sum_")})
 
     return change
 
@@ -319,11 +330,12 @@ def _learn_contexts(depth: int, discount: float) -> Callable[[Chunk, Callable],
 def _kept(chunks: DataFrame, cost: float, discount: float) -> DataFrame:
     """(key, value): contexts whose divergence pays for their entries, and the weight of their suffix's distribution."""
     names = [n for n in BLOBS if n.startswith("sum_")]
+    kinds = [np.int64] * 4 + [np.float64] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(row[n], BLOBS[n])) for n in names], names=["key", "size", "k", "stored", "gain", "mass"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(row[n], BLOBS[n]).astype(k)) for n, k in zip(names, kinds)], names=["key", "size", "k", "stored", "gain", "mass"])
 
     rows = chunks.select(*names).mapInArrow(run, "key long, size long, k long, stored long, gain double, mass double")
     found = rows.groupBy("key").agg(F.max("size").alias("size"), *[F.sum(c).alias(c) for c in ("k", "stored", "gain", "mass")])
@@ -342,7 +354,7 @@ def _scores(chunks: DataFrame, scale: float, id_type: str, id_col: str) -> DataF
             for i, row in enumerate(batch.to_pylist()):
                 chunk = Chunk(row)
                 freq = chunk.freq[chunk.place]
-                sums = [np.add.reduceat(x, chunk.starts) for x in ((freq > 0).astype(np.int64), np.log10((freq + 1) / scale), np.log10(chunk.p.astype(np.float64)))]
+                sums = [np.add.reduceat(x, chunk.starts) for x in ((freq > 0).astype(np.int64), np.log10((freq + 1) / scale), np.log10(chunk.probabilities(scale)))]
                 columns = [ids.slice(i, 1).flatten(), pa.array(chunk.sizes), *[pa.array(x) for x in sums]]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "n_known", "base_score", "score"])
 
@@ -363,7 +375,8 @@ def score_texts(
     """Score every whole text by a tree learnt from the rows where ``learn`` holds (null counts as false).
 
     Returns (id, n_tokens, n_known, train_tokens, base_score, score), one row for each input row; scores are log10
-    probabilities, ``base_score`` that of the add-one root alone.  A null or empty text is the end token alone.  Null
+    probabilities, that of a token to within half a step of ``LOG_STEPS``; ``base_score`` is that of the add-one root alone
+    and exact.  A null or empty text is the end token alone.  Null
     and repeated ids are scored like others.  Without training rows every probability is 1.  An empty table gives no
     rows.  Other columns are not carried.  A context and an entry need ``least`` occurrences, whatever the corpus;
     ``cost`` is what an entry costs in units of the logarithm of its context's count; ``depth`` is the longest context
@@ -388,16 +401,16 @@ def score_texts(
     sums = answers.agg(F.sum("total").alias("n"), F.sum("different").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0
     scale = float(total + distinct + 1)
-    next_chunks(answers, np.int64, _learn_words(scale, least))
+    next_chunks(answers, np.int64, _learn_words(least))
     dropped(spark, used)
     for d in range(1, depth + 1):
         answers, used = written(_counted(_asked(chunks, _ask_entries(d), width), width, least), "entry-counts")
-        next_chunks(answers, np.int64, _learn_entries(d))
+        next_chunks(answers, np.int64, _learn_entries(d, scale))
         kept, kept_path = written(_kept(chunks, cost, discount), "contexts")
         some = kept.limit(1).count()
         if some:
             answers, again = written(_looked_up(_asked(chunks, _ask_contexts(d), width), kept, width), "context-weights")
-            next_chunks(answers, np.float64, _learn_contexts(d, discount))
+            next_chunks(answers, np.float64, _learn_contexts(d, scale, discount))
             dropped(spark, again)
         dropped(spark, used, kept_path)
         if not some:
