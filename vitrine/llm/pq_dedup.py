@@ -20,12 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import written
+from vitrine.llm.common import dropped, written
 from vitrine.llm.components import components
 from vitrine.llm.vectors import dimension, matrix, usable
 
-#: Vectors that centroids and codebooks are fitted on, and list entries and probes that meet in one task.
-SAMPLE_ROWS, BLOCK_ROWS = 16384, 4096
+#: Vectors that centroids and codebooks are fitted on, vectors for each cell, and list entries and probes that meet in
+#: one task.
+SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS = 16384, 128, 4096
+
+
+def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    sizes = (centroids**2).sum(axis=1)
+    return np.concatenate([(sizes - 2 * points[at : at + 1024] @ centroids.T).argmin(axis=1) for at in range(0, len(points), 1024)])
 
 
 def k_means(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -33,7 +39,7 @@ def k_means(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centroids = points[rng.choice(len(points), size=min(k, len(points)), replace=False)].copy()
     for _ in range(rounds):
-        nearest = ((centroids**2).sum(axis=1) - 2 * points @ centroids.T).argmin(axis=1)
+        nearest = _nearest(points, centroids)
         counts = np.bincount(nearest, minlength=len(centroids))
         order = np.argsort(nearest, kind="stable")
         filled = np.flatnonzero(counts)
@@ -55,9 +61,9 @@ class Index:
         sizes = (self.centroids**2).sum(axis=1)
         squares = np.maximum(1 + sizes - 2 * units @ self.centroids.T, 0)
         own, least = squares.argmin(axis=1), squares.min(axis=1)[:, None]
-        apart = np.sqrt(np.maximum(sizes[:, None] + sizes - 2 * self.centroids @ self.centroids.T, 0))
+        apart = np.sqrt(np.maximum(sizes[own][:, None] + sizes - 2 * self.centroids[own] @ self.centroids.T, 0))
         # the distance to the plane is (square - least) / (2 * apart)
-        near = squares - least <= math.sqrt(max(2 - 2 * cosine, 0)) * (apart[own] + 1e-6) + 1e-9
+        near = squares - least <= math.sqrt(max(2 - 2 * cosine, 0)) * (apart + 1e-6) + 1e-9
         if margin > 0:
             near |= np.sqrt(squares) <= np.sqrt(least) + margin
         return own, [np.flatnonzero(row) for row in near]
@@ -77,7 +83,7 @@ class Index:
 def fit(sample: np.ndarray, cells: int, subspaces: int, codes: int, seed: int = 11) -> Index:
     """Fit on unit vectors; the dimension is a multiple of ``subspaces``."""
     centroids = k_means(sample, cells, 8, seed)
-    nearest = ((centroids**2).sum(axis=1) - 2 * sample @ centroids.T).argmin(axis=1)
+    nearest = _nearest(sample, centroids)
     residual, width = sample - centroids[nearest], sample.shape[1] // subspaces
     books = [k_means(residual[:, s * width : (s + 1) * width], codes, 8, seed + s) for s in range(subspaces)]
     return Index(centroids, np.array(books))
@@ -88,27 +94,35 @@ def _units(v: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
 
 
-def _match(index: Index, cell: int, listed: pa.Table, probing: pa.Table, cosine: float):
-    """Weighted link counts and star links of one block of a cell's list and one block of its probes."""
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of nodes after the pairs (a, b) have been joined; a label is the least node known to hang together with its
+    own, and ``label`` holds such labels before."""
+    while True:
+        one, two = label[a], label[b]
+        apart = one != two
+        if not apart.any():
+            return label
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (shorter := label[label]).tobytes() != label.tobytes():
+            label = shorter
+
+
+def _match(index: Index, cell: int, listed: pa.Table, probing: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, weighted link count, linked representative) of one block of a cell's list and one block of its probes."""
     ids, units, weights = listed["id"].to_numpy(), _units(matrix(listed["v"])), listed["n"].to_numpy()
     qids, qunits, qweights = probing["id"].to_numpy(), _units(matrix(probing["v"])), probing["n"].to_numpy()
-    qcell = probing["cell_own"].to_numpy()
-    probes = [set(x) for x in listed["probes"].to_pylist()]
+    qcell, cells = probing["cell_own"].to_numpy().astype(np.int64), len(index.centroids)
+    lists = listed["probes"].combine_chunks()
+    probes = np.sort(np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()) * cells + lists.flatten().to_numpy())
     codes, stand = index.encode(units, cell)
     error = np.sqrt(((units - stand) ** 2).sum(axis=1))
     reach = (math.sqrt(max(2 - 2 * cosine, 0)) + error + 1e-9) ** 2
     norms = (stand**2).sum(axis=1)
-    centre, width = index.centroids[cell], index.books.shape[2]
-    counts: dict[int, int] = {}
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for at in range(0, len(qids), 256):
+    centre, width, q = index.centroids[cell], index.books.shape[2], len(qids)
+    counts = np.zeros(q + len(ids), dtype=np.int64)
+    label = np.arange(q + len(ids))
+    for at in range(0, q, 256):
         part = qunits[at : at + 256]
         inner = np.repeat((part @ centre)[:, None], len(ids), axis=1)
         for s, book in enumerate(index.books):
@@ -116,19 +130,21 @@ def _match(index: Index, cell: int, listed: pa.Table, probing: pa.Table, cosine:
         near_q, near_l = np.nonzero(1 + norms - 2 * inner <= reach)
         near_q += at
         for lo in range(0, len(near_q), 65536):
-            a, b = near_q[lo : lo + 65536], near_l[lo : lo + 65536]
-            exact = (qunits[a] * units[b]).sum(axis=1) >= cosine
-            for i, j in zip(a[exact].tolist(), b[exact].tolist()):
-                x, y = int(qids[i]), int(ids[j])
-                # the same pair also turns up in x's own cell if y probes that; it counts where the smaller id probes
-                if x == y or x > y and int(qcell[i]) in probes[j]:
-                    continue
-                counts[x] = counts.get(x, 0) + int(weights[j])
-                counts[y] = counts.get(y, 0) + int(qweights[i])
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-    return counts, {x: root(x) for x in list(parent)}
+            i, j = near_q[lo : lo + 65536], near_l[lo : lo + 65536]
+            exact = (qunits[i] * units[j]).sum(axis=1) >= cosine
+            i, j = i[exact], j[exact]
+            # the same pair also turns up in the probe's own cell if the other one probes that; it counts where the
+            # smaller id probes
+            code = j * cells + qcell[i]
+            twice = probes[np.minimum(np.searchsorted(probes, code), len(probes) - 1)] == code
+            once = (qids[i] != ids[j]) & ~((qids[i] > ids[j]) & twice)
+            i, j = i[once], j[once]
+            np.add.at(counts, i, weights[j])
+            np.add.at(counts, q + j, qweights[i])
+            label = united(label, i, q + j)
+    some = np.flatnonzero(counts)
+    both = np.append(qids, ids)
+    return both[some], counts[some], both[label[some]]
 
 
 def near_duplicates(
@@ -153,53 +169,54 @@ def near_duplicates(
     size = dimension(raw, "v")
     ok = usable("v") & (F.size("v") == size) & F.col("id").isNotNull()
     named = raw.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    named, _ = written(named.select("id", "v", "ok", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")), "vectors")
+    named, named_path = written(named.select("id", "v", "ok", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")), "vectors")
     classes = named.where("ok").groupBy("h", "g").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("n"))
-    classes, _ = written(classes, "classes")
+    classes, class_path = written(classes, "classes")
     sample = [r["v"] for r in classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE_ROWS).select("v").collect()]
     if not sample:
         return named.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     total = classes.count()
-    pieces = next(s for s in range(min(subspaces, size), 0, -1) if size % s == 0)
-    index = fit(_units(np.array(sample, dtype=np.float64)), max(1, min(1024, total // 128)), pieces, codes)
-    shared = spark.sparkContext.broadcast(index)  # at most 1024 centroids and the codebooks
+    subspace_count = next(s for s in range(min(subspaces, size), 0, -1) if size % s == 0)
+    index = fit(_units(np.array(sample, dtype=np.float64)), max(1, min(len(sample) // 4, total // CELL_ROWS)), subspace_count, codes)
+    shared = spark.sparkContext.broadcast(index)  # at most a quarter of the sample's rows as centroids, and the codebooks
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 cells, probes = shared.value.cells(_units(matrix(part.column(2))), cosine, margin)
                 lists = pa.array([p.tolist() for p in probes], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells.astype(np.int32)), lists], names=["h", "g", "v", "id", "n", "cell_own", "probes"])
 
     kinds = dict(classes.dtypes)
     placed = classes.select("h", "g", "v", "id", "n").mapInArrow(place, f"h long, g long, v {kinds['v']}, id long, n long, cell_own int, probes array<int>")
-    placed, _ = written(placed, "placed")
-    cells = len(index.centroids)
-    lists = {r["cell_own"]: r["count"] for r in placed.groupBy("cell_own").count().collect()}
+    placed, placed_path = written(placed, "placed")
+    # pieces of each cell's list and of its probes; a cell without probes or list has one
     probed = placed.select("id", "v", "n", "cell_own", F.explode("probes").alias("cell"))
+    lists = {r["cell_own"]: r["count"] for r in placed.groupBy("cell_own").count().collect()}
     asks = {r["cell"]: r["count"] for r in probed.select("cell").groupBy("cell").count().collect()}
-    blocks = lambda held: F.array(*[F.lit(max(1, math.ceil(held.get(c, 0) / BLOCK_ROWS))) for c in range(cells)])
-    of = lambda held, cell: F.element_at(blocks(held), F.col(cell) + 1)
-    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = placed.select(F.col("cell_own").alias("cell"), deal(of(lists, "cell_own")).alias("i"), spread(of(asks, "cell_own")).alias("j"), "id", "v", "n", "probes")
-    right = probed.select("cell", spread(of(lists, "cell")).alias("i"), deal(of(asks, "cell")).alias("j"), "id", "v", "n", "cell_own")
+    sizes = [(c, math.ceil(lists.get(c, 0) / BLOCK_ROWS) or 1, math.ceil(asks.get(c, 0) / BLOCK_ROWS) or 1) for c in range(len(index.centroids))]
+    pieces = F.broadcast(spark.createDataFrame(sizes, "cell int, held int, asked int"))  # one row for each cell
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.withColumnRenamed("cell_own", "cell").join(pieces, "cell").select("cell", deal("held").alias("i"), spread("asked").alias("j"), "id", "v", "n", "probes")
+    right = probed.join(pieces, "cell").select("cell", spread("held").alias("i"), deal("asked").alias("j"), "id", "v", "n", "cell_own")
 
     def run(listed: pa.Table, probing: pa.Table) -> pa.Table:
-        counts, roots = {}, {}
+        columns: tuple = ([], [], [])
         if listed.num_rows and probing.num_rows:
-            counts, roots = _match(shared.value, listed["cell"][0].as_py(), listed, probing, cosine)
-        rows = [(x, counts.get(x, 0), r) for x, r in roots.items()]
-        columns = list(zip(*rows)) if rows else ([], [], [])
+            columns = _match(shared.value, listed["cell"][0].as_py(), listed, probing, cosine)
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "n_links", "root"])
 
     matched = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(run, "id long, n_links long, root long")
-    matched, _ = written(matched, "matched")
-    roots, _ = written(components(matched.select(F.col("id").alias("a"), F.col("root").alias("b"))), "roots")
+    matched, matched_path = written(matched, "matched")
+    roots, roots_path = written(components(matched.select(F.col("id").alias("a"), F.col("root").alias("b"))), "roots")
     counts = matched.groupBy("id").agg(F.sum("n_links").alias("linked"))
     known = classes.select("h", "g", "id", "n").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     known = known.select("h", "g", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))
     found = named.where("ok").select("id", "h", "g").join(known, ["h", "g"]).select("id", "n_links", "component")
     rest = named.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return found.unionByName(rest).withColumnRenamed("id", id_col)
+    result, _ = written(found.unionByName(rest).withColumnRenamed("id", id_col), "links-and-groups")
+    shared.unpersist()
+    dropped(spark, named_path, class_path, placed_path, matched_path, roots_path)
+    return result

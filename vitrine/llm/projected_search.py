@@ -1,17 +1,18 @@
 """Operator 9: nearest neighbours through low-dimensional stable projections in kd-trees.
 
-Inner products become distances in one more dimension, which lifts all vectors to the same length.  Gaussian (2-stable)
-projections to a few dimensions turn the squared distance of two points into itself times a chi-square variable.  Each
-shard of the candidates indexes its projections in a kd-tree.  A query takes the leaves in the order of their projected
-distance and verifies their points by exact inner products, until the chi-square test says that a point as near as the
-k-th best would, with the wanted confidence, have been projected nearer than anything not seen yet.
+Inner products become distances: the candidates are centred, which changes every score of a query by the same amount, and
+lifted by one more dimension to the same length, which the query is given too.  Gaussian (2-stable) projections to a few
+dimensions turn the squared distance of two points into itself times a chi-square variable.  Each shard of the
+candidates indexes its projections in a kd-tree.  A query takes the leaves in the order of their projected distance, and
+from them its projected neighbours one after the other: a point's turn comes when no unread leaf can hold a nearer one.
+Its inner product is then verified, until the chi-square test says that a point as near as the k-th best would, with the
+wanted confidence, have been projected nearer than the next one.
 
 Queries meet candidates in blocks of bounded size; each block gives its best k, and the best of all blocks are kept.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -24,6 +25,9 @@ from vitrine.llm.vectors import dimension, matrix, usable
 #: Candidates and queries that meet in one task.
 SHARD_ROWS, QUERY_ROWS = 16384, 4096
 
+#: Projected neighbours that are verified before the test is made again.
+PORTION = 64
+
 
 def chi_square_quantile(p: float, freedom: int) -> float:
     """The p-quantile of the chi-square distribution with an even number of degrees of freedom, by halving."""
@@ -45,91 +49,94 @@ def chi_square_quantile(p: float, freedom: int) -> float:
 
 
 class KDTree:
-    """A kd-tree over points, with leaves of at most ``leaf`` rows and the bounding box of every node."""
+    """A kd-tree over points: the rows in the order of its leaves, which hold at most ``leaf`` rows each (more of equal
+    points), and the leaves' spans and bounding boxes."""
 
     def __init__(self, points: np.ndarray, leaf: int = 128):
         self.order = np.arange(len(points))
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.span: list[tuple[int, int]] = []
-        self.below: list[tuple[int, int] | None] = []
-        self._build(points, 0, len(points), leaf)
-
-    def _build(self, points: np.ndarray, start: int, stop: int, leaf: int) -> int:
-        rows = points[self.order[start:stop]]
-        node = len(self.span)
-        self.low.append(rows.min(axis=0))
-        self.high.append(rows.max(axis=0))
-        self.span.append((start, stop))
-        self.below.append(None)
-        widest = int((self.high[node] - self.low[node]).argmax())
-        if stop - start > leaf and self.high[node][widest] > self.low[node][widest]:
-            half = (stop - start) // 2
-            self.order[start:stop] = self.order[start:stop][np.argpartition(rows[:, widest], half)]
-            self.below[node] = (self._build(points, start, start + half, leaf), self._build(points, start + half, stop, leaf))
-        return node
-
-    def leaves(self, query: np.ndarray):
-        """(squared distance to the box, rows) of the leaves, nearest box first."""
-        gap = np.maximum(np.maximum(np.array(self.low) - query, query - np.array(self.high)), 0)
-        distance = (gap * gap).sum(axis=1).tolist()
-        heap = [(distance[0], 0)]
-        while heap:
-            near, node = heapq.heappop(heap)
-            children = self.below[node]
-            if children is None:
-                start, stop = self.span[node]
-                yield near, self.order[start:stop]
+        self.leaf_span: list[tuple[int, int]] = []
+        boxes: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = [(0, len(points))]
+        while waiting:
+            start, stop = waiting.pop()
+            rows = points[self.order[start:stop]]
+            low, high = rows.min(axis=0), rows.max(axis=0)
+            widest = int((high - low).argmax())
+            if stop - start > leaf and high[widest] > low[widest]:
+                half = (stop - start) // 2
+                self.order[start:stop] = self.order[start:stop][np.argpartition(rows[:, widest], half)]
+                waiting += [(start + half, stop), (start, start + half)]
             else:
-                for child in children:
-                    heapq.heappush(heap, (distance[child], child))
-
-
-def _search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, top: float, dims: int, confidence: float, seed: int):
-    """(query ids, ids, scores) of the best ``k`` found for every query; ``top``: the largest squared norm."""
-    project = np.random.default_rng(seed).standard_normal((points.shape[1] + 1, dims))
-    lift = np.sqrt(np.maximum(top - (points * points).sum(axis=1), 0))
-    tree = KDTree(np.column_stack([points, lift]) @ project)
-    sought = queries @ project[:-1]
-    stop_at = chi_square_quantile(confidence, dims)
-    found: tuple[list, list, list] = ([], [], [])
-    for own, query, place in zip(query_ids.tolist(), queries, sought):
-        norm = float(query @ query) + top
-        scores, rows, worst, pending, held = np.zeros(0), np.zeros(0, dtype=np.int64), -np.inf, [], 0
-        for near, part in tree.leaves(place):
-            if worst > -np.inf and near >= stop_at * max(norm - 2 * worst, 0.0):
-                break
-            pending.append(part)
-            held += len(part)
-            if held < 512 and worst > -np.inf:
-                continue
-            new = np.concatenate(pending)
-            new = new[ids[new] != own]
-            pending, held = [], 0
-            scores, rows = np.concatenate([scores, points[new] @ query]), np.concatenate([rows, new])
-            if len(rows) > k:
-                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                keep = scores >= worst - 1e-9 * norm
-                scores, rows = scores[keep], rows[keep]
-            elif len(rows) == k:
-                worst = scores.min()
-        if pending:
-            new = np.concatenate(pending)
-            new = new[ids[new] != own]
-            rows = np.concatenate([rows, new])
-        exact = (points[rows] * query).sum(axis=1)  # row by row, so that equal vectors tie exactly
-        best = np.lexsort((ids[rows], -exact))[:k]
-        for out, values in zip(found, ([own] * len(best), ids[rows[best]].tolist(), exact[best].tolist())):
-            out.extend(values)
-    return found
+                self.leaf_span.append((start, stop))
+                boxes.append((low, high))
+        self.leaf_low, self.leaf_high = (np.array(x) for x in zip(*boxes))
+
+    def leaves(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the leaves, squared distances of their boxes), the nearest first."""
+        gap = np.maximum(np.maximum(self.leaf_low - query, query - self.leaf_high), 0)
+        distance = (gap * gap).sum(axis=1)
+        order = np.argsort(distance, kind="stable")
+        return order, distance[order]
+
+
+class Shard:
+    """The candidates of one task: their projections in a kd-tree, and how to search them.  ``centre`` and ``top`` are the
+    mean of all candidates and the largest squared distance from it."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, centre: np.ndarray, top: float, dims: int, confidence: float, seed: int):
+        self.ids, self.points, self.centre, self.top = ids, points, centre, top
+        self.project = np.random.default_rng(seed).standard_normal((points.shape[1] + 1, dims))
+        moved = points - centre
+        lift = np.sqrt(np.maximum(top - (moved * moved).sum(axis=1), 0))
+        self.places = np.column_stack([moved, lift]) @ self.project
+        self.tree = KDTree(self.places)
+        self.stop_at = chi_square_quantile(confidence, dims)
+        self.longest, self.verified = math.sqrt((points * points).sum(axis=1).max()), 0
+
+    def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best ``k`` found for a query, itself left out."""
+        scale = math.sqrt(self.top / float(query @ query))
+        place, offset = scale * query @ self.project[:-1], float(query @ self.centre)
+        leaves, boxes = self.tree.leaves(place)
+        slack = 1e-12 * self.longest * math.sqrt(float(query @ query))  # rounding must not break ties
+        scores, rows, limit, at = np.zeros(0), np.zeros(0, dtype=np.int64), np.inf, 0
+        waiting, distance = np.zeros(0, dtype=np.int64), np.zeros(0)
+        while at < len(leaves) and boxes[at] <= limit or len(distance) and distance.min() <= limit:
+            read = leaves[at : at + 8]
+            if len(read):
+                new = np.concatenate([self.tree.order[start:stop] for start, stop in (self.tree.leaf_span[i] for i in read)])
+                new = new[self.ids[new] != own]
+                gap = self.places[new] - place
+                waiting, distance = np.append(waiting, new), np.append(distance, (gap * gap).sum(axis=1))
+                at += len(read)
+            bound = boxes[at] if at < len(leaves) else np.inf
+            ready = np.flatnonzero(distance <= min(bound, limit))
+            ready = ready[np.argsort(distance[ready], kind="stable")]
+            for lo in range(0, len(ready), PORTION):
+                part = ready[lo : lo + PORTION]
+                if distance[part[0]] > limit:
+                    break
+                some = waiting[part]
+                self.verified += len(some)
+                scores, rows = np.append(scores, self.points[some] @ query), np.append(rows, some)
+                if len(rows) >= k:
+                    worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    keep = scores >= worst - slack
+                    scores, rows = scores[keep], rows[keep]
+                    limit = self.stop_at * max(2 * self.top - 2 * scale * (worst - offset), 0.0)
+            left = np.flatnonzero((distance > bound) & (distance <= limit))
+            waiting, distance = waiting[left], distance[left]
+        exact = (self.points[rows] * query).sum(axis=1)  # row by row, so that equal vectors tie exactly
+        first = np.lexsort((self.ids[rows], -exact))[:k]
+        return self.ids[rows[first]], exact[first]
 
 
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    dims: int = 8,
-    confidence: float = 0.97,
+    dims: int = 24,
+    confidence: float = 0.92,
     seed: int = 7,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -139,7 +146,7 @@ def nearest(
     Both tables have an id and a vector column; a candidate with the query's id is not its neighbour.  Vectors that are
     null, zero, hold null or non-finite components, or are not as long as most, take no part; rows with a null id
     neither.  Queries with the same id count once.  Ties go to the smaller id, and fewer than ``k`` candidates are all
-    returned.  ``confidence`` is that of the chi-square test: higher looks at more leaves.  Scores are exact inner
+    returned.  ``confidence`` is that of the chi-square test: higher verifies more points.  Scores are exact inner
     products in double precision.  Empty tables give no rows.
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -147,23 +154,28 @@ def nearest(
     clean = clean.where(usable("v") & (F.size("v") == size) & F.col("id").isNotNull())
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = asked.where(usable("v") & (F.size("v") == size) & F.col("id").isNotNull()).dropDuplicates(["id"])
-    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    known = clean.agg(F.count("*").alias("n"), F.max(square).alias("top")).first()
-    n_queries, top = asked.count(), known["top"] or 0.0
-    shards, blocks = max(1, math.ceil(known["n"] / SHARD_ROWS)), max(1, math.ceil(n_queries / QUERY_ROWS))
+    means = clean.agg(F.count("*").alias("n"), *[F.avg(F.get("v", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(size)]).first()
+    n, centre = means["n"], np.array([means[f"m{i}"] or 0.0 for i in range(size)])
+    apart = F.zip_with("v", F.array(*[F.lit(float(x)) for x in centre]).cast("array<double>"), lambda x, m: x.cast("double") - m)
+    square = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x * x)
+    top = clean.agg(F.max(square).alias("top")).first()["top"] or 0.0
+    n_queries = asked.count()
+    shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(n_queries / QUERY_ROWS))
     lots = lambda n: F.array(*[F.lit(i) for i in range(n)]) if n <= 100 else F.sequence(F.lit(0), F.lit(n - 1))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = clean.select(deal(shards).alias("shard"), F.explode(lots(blocks)).alias("block"), "id", "v")
     right = asked.select(F.explode(lots(shards)).alias("shard"), deal(blocks).alias("block"), "id", "v")
 
     def run(points: pa.Table, wanted: pa.Table) -> pa.Table:
-        columns = ([], [], [])
+        out: tuple[list, list, list] = ([], [], [])
         if points.num_rows and wanted.num_rows:
-            columns = _search(
-                points["id"].to_numpy(), matrix(points["v"]), wanted["id"].to_numpy(), matrix(wanted["v"]), k, top, dims, confidence, seed
-            )
+            shard = Shard(points["id"].to_numpy(), matrix(points["v"]), centre, top, dims, confidence, seed)
+            for own, query in zip(wanted["id"].to_pylist(), matrix(wanted["v"])):
+                found, scores = shard.best(own, query, k)
+                for held, values in zip(out, ([own] * len(found), found.tolist(), scores.tolist())):
+                    held.extend(values)
         kinds = [pa.int64(), pa.int64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=["query_id", "vec_id", "score"])
 
     pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
     found = pairs.applyInArrow(run, "query_id long, vec_id long, score double")
