@@ -135,14 +135,27 @@ def test_language_model_keeps_contexts_of_a_large_corpus(spark):
     assert found[112]["score"] > found[112]["base_score"] + 4 and found[200]["score"] < -9
 
 
-@pytest.mark.parametrize(("depth", "least", "chars"), [(4, 2, 1_500_000), (3, 3, 2_000), (6, 2, 9_000)])
+def test_word_hashes():
+    texts = ["", "A b  a\n", "Äb äB", "\x0b\x0c", "x" * 3000, "a\x00b \x00 a"]
+    found, sizes = suffix_tree_lm.word_hashes(texts)
+    want = [[*brute.words(t), None] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    names = {}
+    for h, w in zip(found.tolist(), [w for x in want for w in x]):
+        assert names.setdefault(h, w) == w
+    assert len(names) == len(set(names.values())) == len({w for x in want for w in x})
+
+
+@pytest.mark.parametrize(("depth", "least", "chars"), [(3, 2, 4_000_000), (5, 3, 2_000)])
 def test_language_model_equals_a_plain_tree(spark, docs, rows, depth, least, chars):
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
     found = suffix_tree_lm.score_texts(docs, learn, depth=depth, least=least, chunk_chars=chars).collect()
     data = [(r[0], r[1] or "", r[0] is None or r[0] % 3 != 0) for r in rows]
-    want = sorted(brute.tree_scores(data, depth, least))
-    got = sorted(r["score"] for r in found)
-    assert len(got) == len(want) and max(abs(a - b) / (1 + abs(b)) for a, b in zip(got, want)) < 3e-4  # logarithms are kept in steps
+    want = sorted((r[0] or -1, len(brute.words(r[1])) + 1, score) for r, score in zip(data, brute.tree_scores(data, depth, least)))
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in found)
+    assert [w[:2] for w in want] == [g[:2] for g in got]
+    # a token's logarithm is rounded once for each length
+    assert all(abs(w[2] - g[2]) <= w[1] * depth / 2 / suffix_tree_lm.LOG_STEPS + 1e-9 for w, g in zip(want, got))
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found) + 1000
 
 

@@ -17,10 +17,10 @@ ends with exactly the probability that the whole tree gives it.  Words and seque
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,30 +30,48 @@ from vitrine.llm.common import bucketed, dropped, shuffle_width, whole_text, wri
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-#: The end token's place among the words: no word is empty.
-END = b""
+#: The end token's hash, random numbers for bytes (none for white space), and the base of their powers.
+END = np.int64(0x1F83D9ABFB41BD6B)
+_CODES = np.random.default_rng(7).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CODES[[9, 10, 11, 12, 13, 32]] = 0
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: Characters of a chunk, and tokens for each bucket of questions.
 CHUNK_CHARS, BUCKET_TOKENS = 4_000_000, 2_000_000
 
-#: Steps of a stored logarithm to a whole decade; 16 bits reach down to 10 ** -16.
-LOG_STEPS = 2048
+#: Steps of a stored logarithm to a whole decade.
+LOG_STEPS = 1 << 16
 
 #: What a chunk holds beside its rows' ids: their numbers of tokens and whether they are learnt from; the hashes of its
 #: different words, the most frequent first, and each token's place among them; the words' counts; the logarithm of each
 #: token's probability so far (none at first: it is the root's); the counts of the sequences that end at each token, of
 #: the last length and of the next one; and sums for contexts.  Each is a compressed array.
 BLOBS = {
-    "sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64, "log": np.int16, "count": np.int64, "next": np.int64,
+    "sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64, "log": np.int32, "count": np.int64, "next": np.int64,
     "sum_key": np.int64, "sum_size": np.int64, "sum_k": np.int64, "sum_stored": np.int64, "sum_gain": np.float32, "sum_mass": np.float32,
 }
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words of a text in lower case (A-Z), then the end token."""
-    found = text.encode("utf-8", "replace").translate(_LOWER).split()
-    found.append(END)
-    return found
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every token of the texts end to end, number of tokens of each): words in lower case (A-Z), then the end
+    token.  A word's hash is a sum over its bytes of a random number for the byte times a power for its place."""
+    encoded = [t.encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer((b" ".join(encoded) + b" ").translate(_LOWER), dtype=np.uint8)
+    visible = np.append(False, _CODES[data] != 0)
+    starts = np.flatnonzero(visible[1:] & ~visible[:-1])
+    sizes = np.diff(np.append(starts, len(data)))  # with the white space after a word, which counts for nothing
+    with np.errstate(over="ignore"):
+        powers = np.full(min(int(sizes.max(initial=1)), len(data)), _BASE)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        place = np.arange(starts[0] if len(starts) else 0, len(data)) - np.repeat(starts, sizes)
+        sums = np.add.reduceat(_CODES[data[starts[0] :]] * powers[place], starts - starts[0]) if len(starts) else np.zeros(0, np.uint64)
+        sums = (sums ^ sums >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        sums = (sums ^ sums >> np.uint64(29)).view(np.int64)
+    ends = np.cumsum([len(e) + 1 for e in encoded])
+    counts = np.searchsorted(starts, ends)
+    tokens = np.insert(sums, counts, END)
+    return tokens, np.diff(np.append(0, counts)) + 1
 
 
 def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -67,55 +85,85 @@ def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def packed(array, kind: type) -> bytes:
     """An array of a type, compressed; no bytes for an empty one."""
-    raw = np.asarray(array, kind)
-    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes()) if len(raw) else b""
+    raw = np.ascontiguousarray(array, kind)
+    if not len(raw):
+        return b""
+    planes = raw.view(np.uint8).reshape(len(raw), -1).T  # bytes of one weight lie together
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(blob: bytes | None, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob) if blob else b"", dtype=kind)
+    if not blob:
+        return np.zeros(0, dtype=kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 class Chunk:
-    """One chunk's arrays, and what they say about sequences of words."""
-
-    def __init__(self, row: dict):
-        self.chunk, self.ids = row["chunk"], row["ids"]
-        for name, kind in BLOBS.items():
-            setattr(self, name, unpacked(row[name], kind))
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.starts = starts
-        self.inside = np.arange(len(self.place)) - np.repeat(starts, self.sizes)
-        self.token = self.words[self.place]
-        self.learnt = np.repeat(self.learn, self.sizes)
-
-    def probabilities(self, scale: float) -> np.ndarray:
-        """Each token's probability so far; ``scale`` is that of the root's counts."""
+    """One chunk's arrays, unpacked when they are asked for, and what they say about sequences of words."""
+
+    def __init__(self, row: dict, least: int):
+        self.made, self.least = row, least
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name not in BLOBS:
+            raise AttributeError(name)
+        found = unpacked(self.made[name], BLOBS[name])
+        setattr(self, name, found)
+        return found
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    @cached_property
+    def inside(self) -> np.ndarray:
+        """Each token's place in its text."""
+        return np.arange(len(self.place)) - np.repeat(self.starts, self.sizes)
+
+    @cached_property
+    def token(self) -> np.ndarray:
+        return self.words[self.place]
+
+    @cached_property
+    def learnt(self) -> np.ndarray:
+        return np.repeat(self.learn, self.sizes)
+
+    @cached_property
+    def reached(self) -> np.ndarray:
+        """Counts of the sequences that end at each token, of the last length; 0 of those that aren't frequent."""
+        return self.count if len(self.count) else np.where(self.freq >= self.least, self.freq, 0)[self.place]
+
+    def probabilities(self, scale: float, at: np.ndarray) -> np.ndarray:
+        """Probabilities so far of some tokens; ``scale`` is that of the root's counts."""
         if len(self.log):
-            return 10.0 ** (self.log / LOG_STEPS)
-        return ((self.freq + 1) / scale)[self.place]
-
-    def sequences(self, n: int) -> np.ndarray:
-        """Hash of the ``n`` words that end at each token; without meaning where there are fewer."""
-        h = self.token
-        for _ in range(n - 1):
-            h = np.append(self.token[:1], joined(h[:-1], self.token[1:]))
+            return 10.0 ** (self.log[at] / LOG_STEPS)
+        return ((self.freq + 1) / scale)[self.place[at]]
+
+    def sequences(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the ``n`` words that end at some tokens."""
+        h = self.token[at - (n - 1)]
+        for back in range(n - 2, -1, -1):
+            h = joined(h, self.token[at - back])
         return h
 
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens with a frequent context of ``depth`` words, its hash, its count)."""
-        at = np.flatnonzero((self.inside >= depth) & (np.append(0, self.count[:-1]) > 0))
-        return at, self.sequences(depth)[at - 1], self.count[at - 1]
+        at = np.flatnonzero(self.reached[:-1]) + 1
+        at = at[self.inside[at] >= depth]
+        return at, self.sequences(at - 1, depth), self.reached[at - 1]
 
     def entries(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens whose context of ``depth`` words is frequent, and whose suffix with the token is, the hash of context
         and token, that of the context, its count)."""
         at, context, size = self.contexts(depth)
-        some = self.count[at] > 0
+        some = self.reached[at] > 0
         at, context, size = at[some], context[some], size[some]
         return at, joined(context, self.token[at]), context, size
 
-    def row(self, **changed: np.ndarray) -> dict:
-        return {"chunk": self.chunk, "tokens": len(self.place), "ids": self.ids} | {n: packed(changed.get(n, getattr(self, n)), k) for n, k in BLOBS.items()}
+    def row(self, **changed) -> dict:
+        return self.made | {name: packed(array, BLOBS[name]) for name, array in changed.items()}
 
 
 def _table(rows: list[dict], ids_kind: pa.DataType) -> pa.Table:
@@ -125,20 +173,17 @@ def _table(rows: list[dict], ids_kind: pa.DataType) -> pa.Table:
 
 def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
     """id, text, learn -> chunks."""
-    ids, lists, learn, size, n = [], [], [], 0, 0
+    ids, texts, learn, size, n = [], [], [], 0, 0
     ids_kind = None
 
     def close() -> Iterator[pa.RecordBatch]:
-        flat = [w for x in lists for w in x]
-        different = dict.fromkeys(flat)
-        number = dict(zip(different, range(len(different))))
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in different], dtype=np.uint64).view(np.int64)
-        words, to = np.unique(hashes, return_inverse=True)
-        place = to[np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))]
+        found, sizes = word_hashes(texts)
+        words, place = np.unique(found, return_inverse=True)
         order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
-        words, place = words[order], np.argsort(order)[place]
-        row = {"chunk": TaskContext.get().partitionId() << 32 | n, "tokens": len(flat), "ids": list(ids)}
-        arrays = {"sizes": [len(x) for x in lists], "learn": learn, "words": words, "place": place}
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        row = {"chunk": TaskContext.get().partitionId() << 32 | n, "tokens": len(found), "ids": list(ids)}
+        arrays = {"sizes": sizes, "learn": learn, "words": words[order], "place": back[place]}
         row |= {name: packed(arrays.get(name, ()), kind) for name, kind in BLOBS.items()}
         yield from _table([row], ids_kind).to_batches()
 
@@ -146,12 +191,12 @@ def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBa
         ids_kind = pa.list_(batch.schema.field(0).type)
         for key, text, taught in zip(*[c.to_pylist() for c in batch.columns]):
             ids.append(key)
-            lists.append(tokens(text))
+            texts.append(text)
             learn.append(taught)
             size += len(text)
             if size >= chars:
                 yield from close()
-                ids, lists, learn, size, n = [], [], [], 0, n + 1
+                ids, texts, learn, size, n = [], [], [], 0, n + 1
     if ids:
         yield from close()
 
@@ -163,13 +208,13 @@ def _dealt(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(width + 1))
 
 
-def _asked(chunks: DataFrame, question: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
+def _asked(chunks: DataFrame, question: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int, least: int) -> DataFrame:
     """(bucket, chunk, keys, counts): every chunk's different keys and how often it adds them, dealt into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row)
+                chunk = Chunk(row, least)
                 keys, counts = question(chunk)
                 order, starts = _dealt(keys, width)
                 keys, counts = keys[order], counts[order].astype(np.int64)
@@ -177,7 +222,7 @@ def _asked(chunks: DataFrame, question: Callable[[Chunk], tuple[np.ndarray, np.n
                 columns = list(zip(*some)) if some else ([], [], [])
                 kinds = [pa.int32(), pa.binary(), pa.binary()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays([arrays[0], pa.array([chunk.chunk] * len(some), pa.int64()), *arrays[1:]], names=["bucket", "chunk", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([arrays[0], pa.array([row["chunk"]] * len(some), pa.int64()), *arrays[1:]], names=["bucket", "chunk", "keys", "counts"])
 
     return chunks.mapInArrow(run, "bucket int, chunk long, keys binary, counts binary")
 
@@ -241,7 +286,7 @@ def _looked_up(questions: DataFrame, table: DataFrame, width: int) -> DataFrame:
     return questions.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(run, "chunk long, bucket int, answer binary")
 
 
-def _told(chunks: DataFrame, answers: DataFrame, width: int, kind: type, change: Callable[[Chunk, Callable], dict]) -> DataFrame:
+def _told(chunks: DataFrame, answers: DataFrame, width: int, least: int, kind: type, change: Callable[[Chunk, Callable], dict]) -> DataFrame:
     """Chunks after ``change``, which gets the chunk and a function that gives the answers for its keys."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -255,7 +300,7 @@ def _told(chunks: DataFrame, answers: DataFrame, width: int, kind: type, change:
                 out[_dealt(keys, width)[0]] = flat
                 return out
 
-            rows.append(change(Chunk(row), said))
+            rows.append(change(Chunk(row, least), said))
         return _table(rows, left.schema.field("ids").type)
 
     answers = answers.select("chunk", "bucket", "answer")
@@ -283,15 +328,13 @@ def _ask_contexts(depth: int) -> Callable[[Chunk], tuple[np.ndarray, np.ndarray]
     return asked
 
 
-def _learn_words(least: int) -> Callable[[Chunk, Callable], dict]:
-    """Words' counts."""
-
-    def change(chunk: Chunk, said: Callable) -> dict:
-        freq = np.abs(said(chunk.words))
-        frequent = np.where(freq >= least, freq, 0)
-        return chunk.row(freq=freq, count=frequent[chunk.place])
-
-    return change
+def _learn_words(chunk: Chunk, said: Callable) -> dict:
+    """Words' counts.  Of words that aren't frequent only the count is kept: they are in no context and no entry."""
+    freq = np.abs(said(chunk.words))
+    kept = freq >= chunk.least
+    to = np.where(kept, np.cumsum(kept) - 1, kept.sum() + freq)
+    rare = np.arange(chunk.least)
+    return chunk.row(words=np.append(chunk.words[kept], rare), freq=np.append(freq[kept], rare), place=to[chunk.place])
 
 
 def _learn_entries(depth: int, scale: float) -> Callable[[Chunk, Callable], dict]:
@@ -305,7 +348,7 @@ def _learn_entries(depth: int, scale: float) -> Callable[[Chunk, Callable], dict
         n[at] = np.abs(answer)[to]
         own = first[answer < 0]
         sums, where, group = np.unique(context[own], return_index=True, return_inverse=True)
-        stored, p = n[at[own]], chunk.probabilities(scale)[at[own]]
+        stored, p = n[at[own]], chunk.probabilities(scale, at[own])
         gain = stored * np.log(stored / size[own] / p)
         added = {name: np.bincount(group, weights=x, minlength=len(sums)) for name, x in (("sum_stored", stored), ("sum_gain", gain), ("sum_mass", p))}
         return chunk.row(next=n, sum_key=sums, sum_size=size[own][where], sum_k=np.bincount(group, minlength=len(sums)), **added)
@@ -320,9 +363,12 @@ def _learn_contexts(depth: int, scale: float, discount: float) -> Callable[[Chun
         at, context, size = chunk.contexts(depth)
         different, to = np.unique(context, return_inverse=True)
         backoff = said(different)[to]
-        n, p = chunk.next[at], chunk.probabilities(scale)
-        p[at] = np.where(backoff > 0, np.maximum(n - discount, 0) / size + backoff * p[at], p[at])
-        return chunk.row(log=np.rint(np.log10(p) * LOG_STEPS), count=chunk.next, next=(), **{name: () for name in BLOBS if name.startswith("sum_")})
+        kept = backoff > 0
+        at, size, backoff = at[kept], size[kept], backoff[kept]
+        p = np.maximum(chunk.next[at] - discount, 0) / size + backoff * chunk.probabilities(scale, at)
+        log = chunk.log.copy() if len(chunk.log) else np.rint(np.log10((chunk.freq + 1) / scale) * LOG_STEPS).astype(np.int32)[chunk.place]
+        log[at] = np.rint(np.log10(p) * LOG_STEPS)
+        return chunk.row(log=log, count=chunk.next, next=(), **{name: () for name in BLOBS if name.startswith("sum_")})
 
     return change
 
@@ -352,9 +398,9 @@ def _scores(chunks: DataFrame, scale: float, id_type: str, id_col: str) -> DataF
         for batch in batches:
             ids = batch.column("ids")
             for i, row in enumerate(batch.to_pylist()):
-                chunk = Chunk(row)
+                chunk = Chunk(row, 1)
                 freq = chunk.freq[chunk.place]
-                sums = [np.add.reduceat(x, chunk.starts) for x in ((freq > 0).astype(np.int64), np.log10((freq + 1) / scale), np.log10(chunk.probabilities(scale)))]
+                sums = [np.add.reduceat(x, chunk.starts) for x in ((freq > 0).astype(np.int64), np.log10((freq + 1) / scale), np.log10(chunk.probabilities(scale, np.arange(len(chunk.place)))))]
                 columns = [ids.slice(i, 1).flatten(), pa.array(chunk.sizes), *[pa.array(x) for x in sums]]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "n_known", "base_score", "score"])
 
@@ -364,7 +410,7 @@ def _scores(chunks: DataFrame, scale: float, id_type: str, id_col: str) -> DataF
 def score_texts(
     docs: DataFrame,
     learn: Column,
-    depth: int = 4,
+    depth: int = 3,
     least: int = 2,
     discount: float = 0.75,
     cost: float = 0.5,
@@ -393,23 +439,23 @@ def score_texts(
 
     def next_chunks(answers: DataFrame, kind: type, change: Callable[[Chunk, Callable], dict]) -> None:
         nonlocal chunks, path
-        after, new = bucketed(_told(chunks, answers, width, kind, change), "chunks", "chunk", placed=True, compression="none")
+        after, new = bucketed(_told(chunks, answers, width, least, kind, change), "chunks", "chunk", placed=True, compression="none")
         dropped(spark, path)
         chunks, path = after, new
 
-    answers, used = written(_counted(_asked(chunks, _ask_words, width), width, 1), "word-counts")
+    answers, used = written(_counted(_asked(chunks, _ask_words, width, least), width, 1), "word-counts")
     sums = answers.agg(F.sum("total").alias("n"), F.sum("different").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0
     scale = float(total + distinct + 1)
-    next_chunks(answers, np.int64, _learn_words(least))
+    next_chunks(answers, np.int64, _learn_words)
     dropped(spark, used)
     for d in range(1, depth + 1):
-        answers, used = written(_counted(_asked(chunks, _ask_entries(d), width), width, least), "entry-counts")
+        answers, used = written(_counted(_asked(chunks, _ask_entries(d), width, least), width, least), "entry-counts")
         next_chunks(answers, np.int64, _learn_entries(d, scale))
         kept, kept_path = written(_kept(chunks, cost, discount), "contexts")
         some = kept.limit(1).count()
         if some:
-            answers, again = written(_looked_up(_asked(chunks, _ask_contexts(d), width), kept, width), "context-weights")
+            answers, again = written(_looked_up(_asked(chunks, _ask_contexts(d), width, least), kept, width), "context-weights")
             next_chunks(answers, np.float64, _learn_contexts(d, scale, discount))
             dropped(spark, again)
         dropped(spark, used, kept_path)
