@@ -11,7 +11,7 @@ Texts are tokenised once, into chunks.  For each length of sequences in turn, ev
 different sequences: the questions go to buckets by hash, where they are added up, and the answers come back to the
 chunks.  A sequence is only asked about if both sequences one word shorter were frequent.  One of the chunks that hold a
 frequent sequence adds it to the sums of its context; the contexts that pass the test answer once more.  So each token
-ends with exactly the probability that the whole tree gives it.  Words and sequences are known by hashes of 64 bits.
+ends with the probability that the whole tree gives it.  Words and sequences are known by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -42,15 +43,21 @@ CHUNK_CHARS, BUCKET_TOKENS = 4_000_000, 2_000_000
 #: Steps of a stored logarithm to a whole decade.
 LOG_STEPS = 1 << 16
 
-#: What a chunk holds beside its rows' ids: their numbers of tokens and whether they are learnt from; the hashes of its
-#: different words, the most frequent first, and each token's place among them; the words' counts; the logarithm of each
-#: token's probability so far (none at first: it is the root's); the counts of the sequences that end at each token, of
-#: the last length and of the next one; and sums for contexts.  Each is a compressed array.
-BLOBS = {
-    "sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64, "log": np.int32, "count": np.int64, "next": np.int64,
+#: What a chunk holds beside its rows' ids, as compressed arrays: their numbers of tokens and whether they are learnt from;
+#: the hashes of its different words, the most frequent first, and each token's place among them; the words' counts.
+BASE = {"sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64}
+
+#: What is known so far of a chunk: the logarithm of each token's probability; the counts of the sequences that end at each
+#: token, of the last length but one and of the last one; and sums for contexts.  Nothing at first: then the root gives
+#: the probabilities, and sequences are words.
+STATE = {
+    "log": np.int32, "count": np.int64, "next": np.int64,
     "sum_key": np.int64, "sum_size": np.int64, "sum_k": np.int64, "sum_stored": np.int64, "sum_gain": np.float32, "sum_mass": np.float32,
 }
 
+#: What a chunk asks: how often sequences occur, and the weights of contexts.
+ENTRIES, CONTEXTS = 0, 1
+
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every token of the texts end to end, number of tokens of each): words in lower case (A-Z), then the end
@@ -107,9 +114,10 @@ class Chunk:
         self.made, self.least = row, least
 
     def __getattr__(self, name: str) -> np.ndarray:
-        if name not in BLOBS:
+        kind = BASE.get(name) or STATE.get(name)
+        if kind is None:
             raise AttributeError(name)
-        found = unpacked(self.made[name], BLOBS[name])
+        found = unpacked(self.made.get(name), kind)
         setattr(self, name, found)
         return found
 
@@ -131,9 +139,19 @@ class Chunk:
         return np.repeat(self.learn, self.sizes)
 
     @cached_property
-    def reached(self) -> np.ndarray:
-        """Counts of the sequences that end at each token, of the last length; 0 of those that aren't frequent."""
-        return self.count if len(self.count) else np.where(self.freq >= self.least, self.freq, 0)[self.place]
+    def frequent(self) -> np.ndarray:
+        """The count of each token's word; 0 where it isn't frequent."""
+        return np.where(self.freq >= self.least, self.freq, 0)[self.place]
+
+    @property
+    def last(self) -> np.ndarray:
+        """Counts of the sequences of the last length that end at each token; 0 of those that aren't frequent."""
+        return self.next if len(self.next) else self.frequent
+
+    @property
+    def before(self) -> np.ndarray:
+        """The same of the last length but one."""
+        return self.count if len(self.count) else self.frequent
 
     def probabilities(self, scale: float, at: np.ndarray) -> np.ndarray:
         """Probabilities so far of some tokens; ``scale`` is that of the root's counts."""
@@ -148,27 +166,24 @@ class Chunk:
             h = joined(h, self.token[at - back])
         return h
 
-    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens with a frequent context of ``depth`` words, its hash, its count)."""
-        at = np.flatnonzero(self.reached[:-1]) + 1
+    def contexts(self, depth: int, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens with a frequent context of ``depth`` words, its hash, its count); ``count``: of sequences as long."""
+        at = np.flatnonzero(count[:-1]) + 1
         at = at[self.inside[at] >= depth]
-        return at, self.sequences(at - 1, depth), self.reached[at - 1]
+        return at, self.sequences(at - 1, depth), count[at - 1]
 
     def entries(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens whose context of ``depth`` words is frequent, and whose suffix with the token is, the hash of context
         and token, that of the context, its count)."""
-        at, context, size = self.contexts(depth)
-        some = self.reached[at] > 0
+        at, context, size = self.contexts(depth, self.last)
+        some = self.last[at] > 0
         at, context, size = at[some], context[some], size[some]
         return at, joined(context, self.token[at]), context, size
 
-    def row(self, **changed) -> dict:
-        return self.made | {name: packed(array, BLOBS[name]) for name, array in changed.items()}
 
-
-def _table(rows: list[dict], ids_kind: pa.DataType) -> pa.Table:
-    fields = [("chunk", pa.int64()), ("tokens", pa.int64()), ("ids", ids_kind), *[(n, pa.binary()) for n in BLOBS]]
-    return pa.Table.from_pylist(rows, schema=pa.schema(fields))
+def _rows(rows: list[dict], kinds: dict, ids_kind: pa.DataType | None = None) -> pa.Table:
+    head = [("chunk", pa.int64())] if ids_kind is None else [("chunk", pa.int64()), ("tokens", pa.int64()), ("ids", ids_kind)]
+    return pa.Table.from_pylist(rows, schema=pa.schema([*head, *[(n, pa.binary()) for n in kinds]]))
 
 
 def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
@@ -184,8 +199,8 @@ def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBa
         back[order] = np.arange(len(order))
         row = {"chunk": TaskContext.get().partitionId() << 32 | n, "tokens": len(found), "ids": list(ids)}
         arrays = {"sizes": sizes, "learn": learn, "words": words[order], "place": back[place]}
-        row |= {name: packed(arrays.get(name, ()), kind) for name, kind in BLOBS.items()}
-        yield from _table([row], ids_kind).to_batches()
+        row |= {name: packed(arrays.get(name, ()), kind) for name, kind in BASE.items()}
+        yield from _rows([row], BASE, ids_kind).to_batches()
 
     for batch in batches:
         ids_kind = pa.list_(batch.schema.field(0).type)
@@ -208,182 +223,174 @@ def _dealt(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(width + 1))
 
 
-def _asked(chunks: DataFrame, question: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], width: int, least: int) -> DataFrame:
-    """(bucket, chunk, keys, counts): every chunk's different keys and how often it adds them, dealt into buckets."""
+def _asked(chunks: DataFrame, questions: Callable[[Chunk], Iterator[tuple[int, np.ndarray, np.ndarray]]], width: int, least: int) -> DataFrame:
+    """(bucket, kind, chunk, keys, counts): every chunk's different keys and how often it adds them, dealt into buckets.
+    ``questions`` gives kinds, keys and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row, least)
-                keys, counts = question(chunk)
-                order, starts = _dealt(keys, width)
-                keys, counts = keys[order], counts[order].astype(np.int64)
-                some = [(b, keys[a:z].tobytes(), packed(counts[a:z], np.int64)) for b, (a, z) in enumerate(zip(starts.tolist(), starts[1:].tolist())) if z > a]
-                columns = list(zip(*some)) if some else ([], [], [])
-                kinds = [pa.int32(), pa.binary(), pa.binary()]
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-                yield pa.RecordBatch.from_arrays([arrays[0], pa.array([row["chunk"]] * len(some), pa.int64()), *arrays[1:]], names=["bucket", "chunk", "keys", "counts"])
-
-    return chunks.mapInArrow(run, "bucket int, chunk long, keys binary, counts binary")
-
-
-def _parts(flat: np.ndarray, sizes: list[int]) -> list[bytes]:
-    ends = np.cumsum([0, *sizes]).tolist()
-    return [packed(flat[a:b], flat.dtype) for a, b in zip(ends, ends[1:])]
+                rows = []
+                for kind, keys, counts in questions(Chunk(row, least)):
+                    order, starts = _dealt(keys, width)
+                    keys, counts = keys[order], counts[order]
+                    spans = enumerate(zip(starts.tolist(), starts[1:].tolist()))
+                    rows += [(b, kind, row["chunk"], keys[a:z].tobytes(), packed(counts[a:z], np.int64)) for b, (a, z) in spans if z > a]
+                columns = list(zip(*rows)) if rows else [()] * 5
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "kind", "chunk", "keys", "counts"])
 
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[int], list[np.ndarray], list[np.ndarray]]:
-    """The rows of one bucket: buckets, chunks, keys, counts."""
-    rows: tuple[list, list, list, list] = ([], [], [], [])
-    for batch in batches:
-        for held, column in zip(rows, batch.columns):
-            held.extend(column.to_pylist())
-    return rows[0], rows[1], [np.frombuffer(k, np.int64) for k in rows[2]], [unpacked(c, np.int64) for c in rows[3]]
+    return chunks.mapInArrow(run, "bucket int, kind int, chunk long, keys binary, counts binary")
 
 
-def _counted(questions: DataFrame, width: int, least: int) -> DataFrame:
-    """(chunk, bucket, answer, total, different): the summed count of every asked key, 0 below ``least``.
+def _answered(questions: DataFrame, weights: DataFrame, width: int, least: int) -> DataFrame:
+    """(chunk, kind, bucket, answer, total, different).
 
-    Of the chunks that asked for a key one gets its count negative: that one speaks for it.  ``total`` and ``different``
-    are set in one row of a bucket.
+    Entries: the summed count of every asked key, 0 below ``least``; of the chunks that asked for a key one gets its count
+    negative: that one speaks for it.  Contexts: the value that ``weights`` (key, value) has for every asked key, 0 where
+    it has none.  ``total`` and ``different`` are set in one row of a bucket's entries.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, chunks, keys, counts = _gathered(batches)
-        if not chunks:
-            return
+    def parts(flat: np.ndarray, keys: list[np.ndarray]) -> list[bytes]:
+        ends = np.cumsum([0, *map(len, keys)]).tolist()
+        return [packed(flat[a:b], flat.dtype) for a, b in zip(ends, ends[1:])]
+
+    def entries(keys: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], int, int]:
         _, first, to = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         sums = np.zeros(len(first), dtype=np.int64)
-        np.add.at(sums, to, np.concatenate(counts))
+        np.add.at(sums, to, np.concatenate([unpacked(c, np.int64) for c in counts]))
         said = np.where(sums >= least, sums, 0)
         answer = said[to]
         answer[first] = -said
-        none = [0] * (len(chunks) - 1)
-        columns = [pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(_parts(answer, [len(k) for k in keys]), pa.binary())]
-        columns += [pa.array([int(sums.sum()), *none], pa.int64()), pa.array([int((sums > 0).sum()), *none], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "answer", "total", "different"])
+        return parts(answer, keys), int(sums.sum()), int((sums > 0).sum())
 
-    return questions.repartitionById(width, "bucket").mapInArrow(run, "chunk long, bucket int, answer binary, total long, different long")
-
-
-def _looked_up(questions: DataFrame, table: DataFrame, width: int) -> DataFrame:
-    """(chunk, bucket, answer): the value that ``table`` (key, value) has for every asked key, 0 where it has none."""
+    def contexts(keys: list[np.ndarray], known: pa.Table) -> list[bytes]:
+        flat, value = np.concatenate(keys), np.zeros(sum(map(len, keys)), dtype=np.float32)
+        if known.num_rows:
+            order = np.argsort(known["key"].to_numpy())
+            have, values = known["key"].to_numpy()[order], known["value"].to_numpy()[order]
+            at = np.minimum(np.searchsorted(have, flat), len(have) - 1)
+            value = np.where(have[at] == flat, values[at], 0).astype(np.float32)
+        return parts(value, keys)
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        answers = []
-        if asked.num_rows:
-            keys = [np.frombuffer(k, np.int64) for k in asked["keys"].to_pylist()]
-            flat, value = np.concatenate(keys), np.zeros(sum(map(len, keys)))
-            if known.num_rows:
-                order = np.argsort(known["key"].to_numpy())
-                have, values = known["key"].to_numpy()[order], known["value"].to_numpy()[order]
-                at = np.minimum(np.searchsorted(have, flat), len(have) - 1)
-                value = np.where(have[at] == flat, values[at], 0.0)
-            answers = _parts(value, [len(k) for k in keys])
-        return pa.table([asked["chunk"], asked["bucket"], pa.array(answers, pa.binary())], names=["chunk", "bucket", "answer"])
-
-    placed = table.withColumn("bucket", F.pmod("key", F.lit(width)).cast("int"))
-    return questions.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(run, "chunk long, bucket int, answer binary")
-
-
-def _told(chunks: DataFrame, answers: DataFrame, width: int, least: int, kind: type, change: Callable[[Chunk, Callable], dict]) -> DataFrame:
-    """Chunks after ``change``, which gets the chunk and a function that gives the answers for its keys."""
+        found = []
+        for kind in (ENTRIES, CONTEXTS):
+            some = asked.filter(pa.compute.equal(asked["kind"], kind))
+            if some.num_rows:
+                keys, total, different = [np.frombuffer(k, np.int64) for k in some["keys"].to_pylist()], 0, 0
+                if kind == ENTRIES:
+                    answers, total, different = entries(keys, some["counts"].to_pylist())
+                else:
+                    answers = contexts(keys, known)
+                none = [0] * (some.num_rows - 1)
+                columns = [some["chunk"], some["kind"], some["bucket"], pa.array(answers, pa.binary()), pa.array([total, *none], pa.int64()), pa.array([different, *none], pa.int64())]
+                found.append(pa.table(columns, names=["chunk", "kind", "bucket", "answer", "total", "different"]))
+        kinds = [("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("answer", pa.binary()), ("total", pa.int64()), ("different", pa.int64())]
+        return pa.concat_tables(found) if found else pa.schema(kinds).empty_table()
+
+    placed = weights.withColumn("bucket", F.pmod("key", F.lit(width)).cast("int"))
+    schema = "chunk long, kind int, bucket int, answer binary, total long, different long"
+    return questions.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(run, schema)
+
+
+def _told(chunks: DataFrame, answers: DataFrame, width: int, least: int, change: Callable[[Chunk, Callable], dict], kinds: dict, schema: str) -> DataFrame:
+    """What ``change`` makes of the chunks; it gets a chunk and a function that gives the answers for keys of a kind."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for row in left.to_pylist():
-            parts = [unpacked(x, kind) for _, x in sorted(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))]
-            flat = np.concatenate([np.zeros(0, kind), *parts])
+            told = sorted(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["answer"].to_pylist()))
 
-            def said(keys: np.ndarray) -> np.ndarray:
-                out = np.zeros(len(keys), dtype=kind)
-                out[_dealt(keys, width)[0]] = flat
+            def said(kind: int, keys: np.ndarray) -> np.ndarray:
+                dtype = np.int64 if kind == ENTRIES else np.float32
+                out = np.zeros(len(keys), dtype=dtype)
+                out[_dealt(keys, width)[0]] = np.concatenate([np.zeros(0, dtype), *[unpacked(x, dtype) for k, _, x in told if k == kind]])  # noqa: B023
                 return out
 
-            rows.append(change(Chunk(row, least), said))
-        return _table(rows, left.schema.field("ids").type)
-
-    answers = answers.select("chunk", "bucket", "answer")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, chunks.schema)
-
-
-def _ask_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    return chunk.words, np.bincount(chunk.place, weights=chunk.learnt, minlength=len(chunk.words))
-
-
-def _ask_entries(depth: int) -> Callable[[Chunk], tuple[np.ndarray, np.ndarray]]:
-    def asked(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        at, keys, _, _ = chunk.entries(depth)
-        different, to = np.unique(keys, return_inverse=True)
-        return different, np.bincount(to, weights=chunk.learnt[at], minlength=len(different))
-
-    return asked
+            rows.append({"chunk": row["chunk"]} | change(Chunk(row, least), said))
+        return _rows(rows, kinds, left.schema.field("ids").type if kinds is BASE else None)
 
+    right = answers.select("chunk", "kind", "bucket", "answer")
+    return chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, schema)
 
-def _ask_contexts(depth: int) -> Callable[[Chunk], tuple[np.ndarray, np.ndarray]]:
-    def asked(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        different = np.unique(chunk.contexts(depth)[1])
-        return different, np.zeros(len(different))
 
-    return asked
+def _ask_words(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    yield ENTRIES, chunk.words, np.bincount(chunk.place, weights=chunk.learnt, minlength=len(chunk.words))
 
 
 def _learn_words(chunk: Chunk, said: Callable) -> dict:
     """Words' counts.  Of words that aren't frequent only the count is kept: they are in no context and no entry."""
-    freq = np.abs(said(chunk.words))
+    freq = np.abs(said(ENTRIES, chunk.words))
     kept = freq >= chunk.least
     to = np.where(kept, np.cumsum(kept) - 1, kept.sum() + freq)
     rare = np.arange(chunk.least)
-    return chunk.row(words=np.append(chunk.words[kept], rare), freq=np.append(freq[kept], rare), place=to[chunk.place])
+    changed = {"words": np.append(chunk.words[kept], rare), "freq": np.append(freq[kept], rare), "place": to[chunk.place]}
+    return chunk.made | {name: packed(array, BASE[name]) for name, array in changed.items()}
 
 
-def _learn_entries(depth: int, scale: float) -> Callable[[Chunk, Callable], dict]:
-    """Counts of sequences one word longer, and for those that the chunk speaks for the sums of their contexts."""
+def _ask(depth: int, most: int) -> Callable[[Chunk], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """Entries of ``depth`` words of context, up to ``most``, and the weights of contexts one word shorter."""
 
-    def change(chunk: Chunk, said: Callable) -> dict:
-        at, keys, context, size = chunk.entries(depth)
-        different, first, to = np.unique(keys, return_index=True, return_inverse=True)
-        answer = said(different)
-        n = np.zeros(len(chunk.place), dtype=np.int64)
-        n[at] = np.abs(answer)[to]
-        own = first[answer < 0]
-        sums, where, group = np.unique(context[own], return_index=True, return_inverse=True)
-        stored, p = n[at[own]], chunk.probabilities(scale, at[own])
-        gain = stored * np.log(stored / size[own] / p)
-        added = {name: np.bincount(group, weights=x, minlength=len(sums)) for name, x in (("sum_stored", stored), ("sum_gain", gain), ("sum_mass", p))}
-        return chunk.row(next=n, sum_key=sums, sum_size=size[own][where], sum_k=np.bincount(group, minlength=len(sums)), **added)
+    def asked(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if depth <= most:
+            at, keys, _, _ = chunk.entries(depth)
+            different, to = np.unique(keys, return_inverse=True)
+            yield ENTRIES, different, np.bincount(to, weights=chunk.learnt[at], minlength=len(different))
+        if depth > 1:
+            different = np.unique(chunk.contexts(depth - 1, chunk.before)[1])
+            yield CONTEXTS, different, np.zeros(len(different))
 
-    return change
+    return asked
 
 
-def _learn_contexts(depth: int, scale: float, discount: float) -> Callable[[Chunk, Callable], dict]:
-    """Probabilities in the contexts of ``depth`` words that are kept."""
+def _learn(depth: int, most: int, scale: float, discount: float) -> Callable[[Chunk, Callable], dict]:
+    """Probabilities in the contexts of ``depth`` - 1 words that are kept; then the counts of sequences one word longer,
+    and for those that the chunk speaks for the sums of their contexts."""
 
-    def change(chunk: Chunk, said: Callable) -> dict:
-        at, context, size = chunk.contexts(depth)
+    def weighed(chunk: Chunk, said: Callable) -> np.ndarray:
+        at, context, size = chunk.contexts(depth - 1, chunk.before)
         different, to = np.unique(context, return_inverse=True)
-        backoff = said(different)[to]
+        backoff = said(CONTEXTS, different)[to].astype(np.float64)
         kept = backoff > 0
         at, size, backoff = at[kept], size[kept], backoff[kept]
         p = np.maximum(chunk.next[at] - discount, 0) / size + backoff * chunk.probabilities(scale, at)
         log = chunk.log.copy() if len(chunk.log) else np.rint(np.log10((chunk.freq + 1) / scale) * LOG_STEPS).astype(np.int32)[chunk.place]
         log[at] = np.rint(np.log10(p) * LOG_STEPS)
-        return chunk.row(log=log, count=chunk.next, next=(), **{name: () for name in BLOBS if name.startswith("sum_")})
+        return log
+
+    def change(chunk: Chunk, said: Callable) -> dict:
+        made: dict[str, np.ndarray] = {}
+        if depth > 1:
+            chunk.log = made["log"] = weighed(chunk, said)
+        if depth <= most:
+            at, keys, context, size = chunk.entries(depth)
+            different, first, to = np.unique(keys, return_index=True, return_inverse=True)
+            answer = said(ENTRIES, different)
+            n = np.zeros(len(chunk.place), dtype=np.int64)
+            n[at] = np.abs(answer)[to]
+            own = first[answer < 0]
+            sums, where, group = np.unique(context[own], return_index=True, return_inverse=True)
+            stored, p = n[at[own]], chunk.probabilities(scale, at[own])
+            gain = stored * np.log(stored / size[own] / p)
+            made |= {name: np.bincount(group, weights=x, minlength=len(sums)) for name, x in (("sum_stored", stored), ("sum_gain", gain), ("sum_mass", p))}
+            made |= {"count": chunk.next, "next": n, "sum_key": sums, "sum_size": size[own][where], "sum_k": np.bincount(group, minlength=len(sums))}
+        return {name: packed(made.get(name, ()), kind) for name, kind in STATE.items()}
 
     return change
 
 
-def _kept(chunks: DataFrame, cost: float, discount: float) -> DataFrame:
+def _kept(state: DataFrame, cost: float, discount: float) -> DataFrame:
     """(key, value): contexts whose divergence pays for their entries, and the weight of their suffix's distribution."""
-    names = [n for n in BLOBS if n.startswith("sum_")]
+    names = [n for n in STATE if n.startswith("sum_")]
     kinds = [np.int64] * 4 + [np.float64] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(row[n], BLOBS[n]).astype(k)) for n, k in zip(names, kinds)], names=["key", "size", "k", "stored", "gain", "mass"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(row[n], STATE[n]).astype(k)) for n, k in zip(names, kinds)], names=["key", "size", "k", "stored", "gain", "mass"])
 
-    rows = chunks.select(*names).mapInArrow(run, "key long, size long, k long, stored long, gain double, mass double")
+    rows = state.select(*names).mapInArrow(run, "key long, size long, k long, stored long, gain double, mass double")
     found = rows.groupBy("key").agg(F.max("size").alias("size"), *[F.sum(c).alias(c) for c in ("k", "stored", "gain", "mass")])
     rest = F.col("size") - F.col("stored")
     other = F.when((rest > 0) & (F.col("mass") < 1), rest * F.log(rest / F.col("size") / (1 - F.col("mass")))).otherwise(0.0)
@@ -431,36 +438,30 @@ def score_texts(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     id_type = dict(rows.dtypes)[id_col]
-    schema = ", ".join(["chunk long", "tokens long", f"ids array<{id_type}>", *[f"{n} binary" for n in BLOBS]])
-    made = rows.mapInArrow(lambda batches: _made(batches, chunk_chars), schema)
-    chunks, path = bucketed(made, "chunks", "chunk", compression="none")
-    volume = chunks.agg(F.sum("tokens")).first()[0] or 0
+    base_schema = ", ".join(["chunk long, tokens long", f"ids array<{id_type}>", *[f"{n} binary" for n in BASE]])
+    state_schema = ", ".join(["chunk long", *[f"{n} binary" for n in STATE]])
+    made, made_path = bucketed(rows.mapInArrow(lambda batches: _made(batches, chunk_chars), base_schema), "chunks", "chunk", compression="none")
+    volume = made.agg(F.sum("tokens")).first()[0] or 0
     width = max(shuffle_width(spark), int(volume // BUCKET_TOKENS))
+    nothing = spark.createDataFrame([], "key long, value double")
 
-    def next_chunks(answers: DataFrame, kind: type, change: Callable[[Chunk, Callable], dict]) -> None:
-        nonlocal chunks, path
-        after, new = bucketed(_told(chunks, answers, width, least, kind, change), "chunks", "chunk", placed=True, compression="none")
-        dropped(spark, path)
-        chunks, path = after, new
-
-    answers, used = written(_counted(_asked(chunks, _ask_words, width, least), width, 1), "word-counts")
+    answers, used = written(_answered(_asked(made, _ask_words, width, least), nothing, width, 1), "answers")
     sums = answers.agg(F.sum("total").alias("n"), F.sum("different").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0
     scale = float(total + distinct + 1)
-    next_chunks(answers, np.int64, _learn_words)
-    dropped(spark, used)
-    for d in range(1, depth + 1):
-        answers, used = written(_counted(_asked(chunks, _ask_entries(d), width, least), width, least), "entry-counts")
-        next_chunks(answers, np.int64, _learn_entries(d, scale))
-        kept, kept_path = written(_kept(chunks, cost, discount), "contexts")
-        some = kept.limit(1).count()
-        if some:
-            answers, again = written(_looked_up(_asked(chunks, _ask_contexts(d), width, least), kept, width), "context-weights")
-            next_chunks(answers, np.float64, _learn_contexts(d, scale, discount))
-            dropped(spark, again)
-        dropped(spark, used, kept_path)
-        if not some:
-            break
-    scored, _ = written(_scores(chunks, scale, id_type, id_col), "scores")
-    dropped(spark, path)
+    base, base_path = bucketed(_told(made, answers, width, least, _learn_words, BASE, base_schema), "chunks", "chunk", placed=True, compression="none")
+    dropped(spark, used, made_path)
+    now, paths, kept, kept_path = base, [], nothing, None
+    for d in range(1, depth + 2):
+        answers, used = written(_answered(_asked(now, _ask(d, depth), width, least), kept, width, least), "answers")
+        state, path = bucketed(_told(now, answers, width, least, _learn(d, depth, scale, discount), STATE, state_schema), "state", "chunk", placed=True, compression="none")
+        dropped(spark, used, *paths, *([kept_path] if kept_path else []))
+        now, paths = base.join(state, "chunk"), [path]
+        if d <= depth:
+            kept, kept_path = written(_kept(state, cost, discount), "contexts")
+            if not kept.limit(1).count():
+                paths.append(kept_path)
+                break
+    scored, _ = written(_scores(now, scale, id_type, id_col), "scores")
+    dropped(spark, base_path, *paths)
     return scored.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
