@@ -11,7 +11,8 @@ Texts are tokenised once, into chunks.  For each length of sequences in turn, ev
 different sequences: the questions go to buckets by hash, where they are added up, and the answers come back to the
 chunks.  A sequence is only asked about if both sequences one word shorter were frequent.  One of the chunks that hold a
 frequent sequence adds it to the sums of its context; the contexts that pass the test answer once more.  So each token
-ends with the probability that the whole tree gives it.  Words and sequences are known by hashes of 64 bits.
+ends with the probability that the whole tree gives it.  Words and sequences are known by hashes of 64 bits,
+of which 48 travel within a bucket.
 """
 
 from __future__ import annotations
@@ -38,20 +39,24 @@ _CODES[[9, 10, 11, 12, 13, 32]] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: Characters of a chunk, and tokens for each bucket of questions.
-CHUNK_CHARS, BUCKET_TOKENS = 4_000_000, 2_000_000
+CHUNK_CHARS, BUCKET_TOKENS = 3_000_000, 2_000_000
+
+#: Bytes of text that are tokenised at once, if they aren't one text.
+SEGMENT = 1 << 18
 
 #: Steps of a stored logarithm to a whole decade.
-LOG_STEPS = 1 << 16
+LOG_STEPS = 1 << 14
 
 #: What a chunk holds beside its rows' ids, as compressed arrays: their numbers of tokens and whether they are learnt from;
 #: the hashes of its different words, the most frequent first, and each token's place among them; the words' counts.
 BASE = {"sizes": np.int64, "learn": np.bool_, "words": np.int64, "place": np.uint32, "freq": np.int64}
 
-#: What is known so far of a chunk: the logarithm of each token's probability; the counts of the sequences that end at each
+#: What is known so far of a chunk: the sum of each text's logarithms of probabilities that are final; the logarithms of the
+#: other tokens' probabilities so far; the counts of the sequences that end at each
 #: token, of the last length but one and of the last one; and sums for contexts.  Nothing at first: then the root gives
 #: the probabilities, and sequences are words.
 STATE = {
-    "log": np.int32, "count": np.int64, "next": np.int64,
+    "done": np.float64, "log": np.int32, "count": np.int64, "next": np.int64,
     "sum_key": np.int64, "sum_size": np.int64, "sum_k": np.int64, "sum_stored": np.int64, "sum_gain": np.float32, "sum_mass": np.float32,
 }
 
@@ -62,23 +67,34 @@ ENTRIES, CONTEXTS = 0, 1
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every token of the texts end to end, number of tokens of each): words in lower case (A-Z), then the end
     token.  A word's hash is a sum over its bytes of a random number for the byte times a power for its place."""
-    encoded = [t.encode("utf-8", "replace") for t in texts]
+    found, held, size = [], [], 0
+    for i, text in enumerate(texts, 1):
+        held.append(text.encode("utf-8", "replace"))
+        size += len(held[-1])
+        if size >= SEGMENT or i == len(texts):
+            found.append(_segment_hashes(held))
+            held, size = [], 0
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _segment_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer((b" ".join(encoded) + b" ").translate(_LOWER), dtype=np.uint8)
-    visible = np.append(False, _CODES[data] != 0)
+    codes = _CODES[data]
+    visible = np.append(False, codes != 0)
     starts = np.flatnonzero(visible[1:] & ~visible[:-1])
-    sizes = np.diff(np.append(starts, len(data)))  # with the white space after a word, which counts for nothing
-    with np.errstate(over="ignore"):
-        powers = np.full(min(int(sizes.max(initial=1)), len(data)), _BASE)
+    sums = np.zeros(0, dtype=np.int64)
+    if len(starts):
+        sizes = np.diff(np.append(starts, len(data)))  # with the white space after a word, which counts for nothing
+        powers = np.full(int(sizes.max()), _BASE)
         powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        place = np.arange(starts[0] if len(starts) else 0, len(data)) - np.repeat(starts, sizes)
-        sums = np.add.reduceat(_CODES[data[starts[0] :]] * powers[place], starts - starts[0]) if len(starts) else np.zeros(0, np.uint64)
-        sums = (sums ^ sums >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        sums = (sums ^ sums >> np.uint64(29)).view(np.int64)
-    ends = np.cumsum([len(e) + 1 for e in encoded])
-    counts = np.searchsorted(starts, ends)
-    tokens = np.insert(sums, counts, END)
-    return tokens, np.diff(np.append(0, counts)) + 1
+        with np.errstate(over="ignore"):
+            np.multiply.accumulate(powers, out=powers)
+            place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
+            h = np.add.reduceat(codes[starts[0] :] * powers[place], starts - starts[0])
+            h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            sums = (h ^ h >> np.uint64(29)).view(np.int64)
+    counts = np.searchsorted(starts, np.cumsum([len(e) + 1 for e in encoded]))
+    return np.insert(sums, counts, END), np.diff(np.append(0, counts)) + 1
 
 
 def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -223,6 +239,17 @@ def _dealt(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(width + 1))
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """The low 48 bits of keys: enough to tell those of one bucket apart."""
+    return keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<i8")
+
+
 def _asked(chunks: DataFrame, questions: Callable[[Chunk], Iterator[tuple[int, np.ndarray, np.ndarray]]], width: int, least: int) -> DataFrame:
     """(bucket, kind, chunk, keys, counts): every chunk's different keys and how often it adds them, dealt into buckets.
     ``questions`` gives kinds, keys and counts."""
@@ -235,7 +262,7 @@ def _asked(chunks: DataFrame, questions: Callable[[Chunk], Iterator[tuple[int, n
                     order, starts = _dealt(keys, width)
                     keys, counts = keys[order], counts[order]
                     spans = enumerate(zip(starts.tolist(), starts[1:].tolist()))
-                    rows += [(b, kind, row["chunk"], keys[a:z].tobytes(), packed(counts[a:z], np.int64)) for b, (a, z) in spans if z > a]
+                    rows += [(b, kind, row["chunk"], _short(keys[a:z]), packed(counts[a:z], np.int64)) for b, (a, z) in spans if z > a]
                 columns = list(zip(*rows)) if rows else [()] * 5
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "kind", "chunk", "keys", "counts"])
@@ -267,8 +294,9 @@ def _answered(questions: DataFrame, weights: DataFrame, width: int, least: int)
     def contexts(keys: list[np.ndarray], known: pa.Table) -> list[bytes]:
         flat, value = np.concatenate(keys), np.zeros(sum(map(len, keys)), dtype=np.float32)
         if known.num_rows:
-            order = np.argsort(known["key"].to_numpy())
-            have, values = known["key"].to_numpy()[order], known["value"].to_numpy()[order]
+            have = known["key"].to_numpy() & ((1 << 48) - 1)
+            order = np.argsort(have)
+            have, values = have[order], known["value"].to_numpy()[order]
             at = np.minimum(np.searchsorted(have, flat), len(have) - 1)
             value = np.where(have[at] == flat, values[at], 0).astype(np.float32)
         return parts(value, keys)
@@ -278,7 +306,7 @@ def _answered(questions: DataFrame, weights: DataFrame, width: int, least: int)
         for kind in (ENTRIES, CONTEXTS):
             some = asked.filter(pa.compute.equal(asked["kind"], kind))
             if some.num_rows:
-                keys, total, different = [np.frombuffer(k, np.int64) for k in some["keys"].to_pylist()], 0, 0
+                keys, total, different = [_long(k) for k in some["keys"].to_pylist()], 0, 0
                 if kind == ENTRIES:
                     answers, total, different = entries(keys, some["counts"].to_pylist())
                 else:
@@ -355,14 +383,20 @@ def _learn(depth: int, most: int, scale: float, discount: float) -> Callable[[Ch
         kept = backoff > 0
         at, size, backoff = at[kept], size[kept], backoff[kept]
         p = np.maximum(chunk.next[at] - discount, 0) / size + backoff * chunk.probabilities(scale, at)
-        log = chunk.log.copy() if len(chunk.log) else np.rint(np.log10((chunk.freq + 1) / scale) * LOG_STEPS).astype(np.int32)[chunk.place]
-        log[at] = np.rint(np.log10(p) * LOG_STEPS)
+        log = chunk.log / LOG_STEPS if len(chunk.log) else np.log10((chunk.freq + 1) / scale)[chunk.place]
+        log[at] = np.log10(p)
         return log
 
     def change(chunk: Chunk, said: Callable) -> dict:
         made: dict[str, np.ndarray] = {}
         if depth > 1:
-            chunk.log = made["log"] = weighed(chunk, said)
+            log = weighed(chunk, said)
+            left = np.zeros(len(log), dtype=bool)  # tokens whose longer contexts are still to be looked at
+            if depth <= most:
+                left[chunk.contexts(depth, chunk.last)[0]] = True
+            final = np.add.reduceat(np.where(left, 0.0, log), chunk.starts)
+            made["done"] = final + chunk.done if len(chunk.done) else final
+            chunk.log = made["log"] = np.where(left, np.rint(log * LOG_STEPS), 0).astype(np.int32)
         if depth <= most:
             at, keys, context, size = chunk.entries(depth)
             different, first, to = np.unique(keys, return_index=True, return_inverse=True)
@@ -407,7 +441,9 @@ def _scores(chunks: DataFrame, scale: float, id_type: str, id_col: str) -> DataF
             for i, row in enumerate(batch.to_pylist()):
                 chunk = Chunk(row, 1)
                 freq = chunk.freq[chunk.place]
-                sums = [np.add.reduceat(x, chunk.starts) for x in ((freq > 0).astype(np.int64), np.log10((freq + 1) / scale), np.log10(chunk.probabilities(scale, np.arange(len(chunk.place)))))]
+                known, score = np.add.reduceat((freq > 0).astype(np.int64), chunk.starts), np.add.reduceat(np.log10((freq + 1) / scale), chunk.starts)
+                tree = chunk.done + np.add.reduceat(chunk.log, chunk.starts) / LOG_STEPS if len(chunk.done) else score
+                sums = [known, score, tree]
                 columns = [ids.slice(i, 1).flatten(), pa.array(chunk.sizes), *[pa.array(x) for x in sums]]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "n_known", "base_score", "score"])
 
