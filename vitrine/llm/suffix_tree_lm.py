@@ -107,20 +107,34 @@ def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def packed(array, kind: type) -> bytes:
-    """An array of a type, compressed; no bytes for an empty one."""
+    """An array of a type, compressed; no bytes for an empty one.  Integers from 0 take the smallest type that holds them."""
     raw = np.ascontiguousarray(array, kind)
     if not len(raw):
         return b""
-    planes = raw.view(np.uint8).reshape(len(raw), -1).T  # bytes of one weight lie together
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    if raw.dtype.kind == "i" and raw.min() >= 0 or raw.dtype.kind == "u":
+        raw = raw.astype(np.min_scalar_type(int(raw.max())))
+    planes = raw.view(np.uint8).reshape(len(raw), -1).T if raw.itemsize > 1 else raw.view(np.uint8)  # bytes of one weight lie together
+    return raw.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(blob: bytes | None, kind: type) -> np.ndarray:
     if not blob:
         return np.zeros(0, dtype=kind)
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    found = np.dtype(blob[:1].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), dtype=np.uint8)
+    flat = planes if found.itemsize == 1 else np.ascontiguousarray(planes.reshape(found.itemsize, -1).T).reshape(-1)
+    return flat.view(found).astype(kind)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the different keys in order, where one of each is, each key's place among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    to = np.empty(len(keys), dtype=np.int64)
+    to[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], to
 
 
 class Chunk:
@@ -172,7 +186,7 @@ class Chunk:
     def probabilities(self, scale: float, at: np.ndarray) -> np.ndarray:
         """Probabilities so far of some tokens; ``scale`` is that of the root's counts."""
         if len(self.log):
-            return 10.0 ** (self.log[at] / LOG_STEPS)
+            return 10.0 ** (self.log[at] / -LOG_STEPS)
         return ((self.freq + 1) / scale)[self.place[at]]
 
     def sequences(self, at: np.ndarray, n: int) -> np.ndarray:
@@ -209,7 +223,7 @@ def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBa
 
     def close() -> Iterator[pa.RecordBatch]:
         found, sizes = word_hashes(texts)
-        words, place = np.unique(found, return_inverse=True)
+        words, _, place = grouped(found)
         order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
@@ -234,19 +248,19 @@ def _made(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBa
 
 def _dealt(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys by bucket, and where each bucket starts and the last one ends."""
-    bucket = np.mod(keys, width)
+    bucket = np.mod(keys, width).astype(np.min_scalar_type(width))  # small types sort in linear time
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(width + 1))
+    return order, np.append(0, np.cumsum(np.bincount(bucket, minlength=width)))
 
 
 def _short(keys: np.ndarray) -> bytes:
     """The low 48 bits of keys: enough to tell those of one bucket apart."""
-    return keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return keys.astype("<i8").view(np.uint16).reshape(-1, 4)[:, :3].tobytes()
 
 
 def _long(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(blob) // 6, 4), dtype=np.uint16)
+    out[:, :3] = np.frombuffer(blob, dtype=np.uint16).reshape(-1, 3)
     return out.reshape(-1).view("<i8")
 
 
@@ -273,8 +287,8 @@ def _asked(chunks: DataFrame, questions: Callable[[Chunk], Iterator[tuple[int, n
 def _answered(questions: DataFrame, weights: DataFrame, width: int, least: int) -> DataFrame:
     """(chunk, kind, bucket, answer, total, different).
 
-    Entries: the summed count of every asked key, 0 below ``least``; of the chunks that asked for a key one gets its count
-    negative: that one speaks for it.  Contexts: the value that ``weights`` (key, value) has for every asked key, 0 where
+    Entries: twice the summed count of every asked key, 0 below ``least``; of the chunks that asked for a key one gets 1
+    more: that one speaks for it.  Contexts: the value that ``weights`` (key, value) has for every asked key, 0 where
     it has none.  ``total`` and ``different`` are set in one row of a bucket's entries.
     """
 
@@ -283,12 +297,12 @@ def _answered(questions: DataFrame, weights: DataFrame, width: int, least: int)
         return [packed(flat[a:b], flat.dtype) for a, b in zip(ends, ends[1:])]
 
     def entries(keys: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], int, int]:
-        _, first, to = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        _, first, to = grouped(np.concatenate(keys))
         sums = np.zeros(len(first), dtype=np.int64)
         np.add.at(sums, to, np.concatenate([unpacked(c, np.int64) for c in counts]))
-        said = np.where(sums >= least, sums, 0)
+        said = 2 * np.where(sums >= least, sums, 0)
         answer = said[to]
-        answer[first] = -said
+        answer[first] += said > 0
         return parts(answer, keys), int(sums.sum()), int((sums > 0).sum())
 
     def contexts(keys: list[np.ndarray], known: pa.Table) -> list[bytes]:
@@ -349,7 +363,7 @@ def _ask_words(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _learn_words(chunk: Chunk, said: Callable) -> dict:
     """Words' counts.  Of words that aren't frequent only the count is kept: they are in no context and no entry."""
-    freq = np.abs(said(ENTRIES, chunk.words))
+    freq = said(ENTRIES, chunk.words) // 2
     kept = freq >= chunk.least
     to = np.where(kept, np.cumsum(kept) - 1, kept.sum() + freq)
     rare = np.arange(chunk.least)
@@ -363,7 +377,7 @@ def _ask(depth: int, most: int) -> Callable[[Chunk], Iterator[tuple[int, np.ndar
     def asked(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if depth <= most:
             at, keys, _, _ = chunk.entries(depth)
-            different, to = np.unique(keys, return_inverse=True)
+            different, _, to = grouped(keys)
             yield ENTRIES, different, np.bincount(to, weights=chunk.learnt[at], minlength=len(different))
         if depth > 1:
             different = np.unique(chunk.contexts(depth - 1, chunk.before)[1])
@@ -378,12 +392,12 @@ def _learn(depth: int, most: int, scale: float, discount: float) -> Callable[[Ch
 
     def weighed(chunk: Chunk, said: Callable) -> np.ndarray:
         at, context, size = chunk.contexts(depth - 1, chunk.before)
-        different, to = np.unique(context, return_inverse=True)
+        different, _, to = grouped(context)
         backoff = said(CONTEXTS, different)[to].astype(np.float64)
         kept = backoff > 0
         at, size, backoff = at[kept], size[kept], backoff[kept]
         p = np.maximum(chunk.next[at] - discount, 0) / size + backoff * chunk.probabilities(scale, at)
-        log = chunk.log / LOG_STEPS if len(chunk.log) else np.log10((chunk.freq + 1) / scale)[chunk.place]
+        log = chunk.log / -LOG_STEPS if len(chunk.log) else np.log10((chunk.freq + 1) / scale)[chunk.place]
         log[at] = np.log10(p)
         return log
 
@@ -396,15 +410,15 @@ def _learn(depth: int, most: int, scale: float, discount: float) -> Callable[[Ch
                 left[chunk.contexts(depth, chunk.last)[0]] = True
             final = np.add.reduceat(np.where(left, 0.0, log), chunk.starts)
             made["done"] = final + chunk.done if len(chunk.done) else final
-            chunk.log = made["log"] = np.where(left, np.rint(log * LOG_STEPS), 0).astype(np.int32)
+            chunk.log = made["log"] = np.where(left, np.rint(log * -LOG_STEPS), 0).astype(np.int32)
         if depth <= most:
             at, keys, context, size = chunk.entries(depth)
-            different, first, to = np.unique(keys, return_index=True, return_inverse=True)
+            different, first, to = grouped(keys)
             answer = said(ENTRIES, different)
             n = np.zeros(len(chunk.place), dtype=np.int64)
-            n[at] = np.abs(answer)[to]
-            own = first[answer < 0]
-            sums, where, group = np.unique(context[own], return_index=True, return_inverse=True)
+            n[at] = (answer // 2)[to]
+            own = first[answer % 2 == 1]
+            sums, where, group = grouped(context[own])
             stored, p = n[at[own]], chunk.probabilities(scale, at[own])
             gain = stored * np.log(stored / size[own] / p)
             made |= {name: np.bincount(group, weights=x, minlength=len(sums)) for name, x in (("sum_stored", stored), ("sum_gain", gain), ("sum_mass", p))}
@@ -442,7 +456,7 @@ def _scores(chunks: DataFrame, scale: float, id_type: str, id_col: str) -> DataF
                 chunk = Chunk(row, 1)
                 freq = chunk.freq[chunk.place]
                 known, score = np.add.reduceat((freq > 0).astype(np.int64), chunk.starts), np.add.reduceat(np.log10((freq + 1) / scale), chunk.starts)
-                tree = chunk.done + np.add.reduceat(chunk.log, chunk.starts) / LOG_STEPS if len(chunk.done) else score
+                tree = chunk.done + np.add.reduceat(chunk.log.astype(np.int64), chunk.starts) / -LOG_STEPS if len(chunk.done) else score
                 sums = [known, score, tree]
                 columns = [ids.slice(i, 1).flatten(), pa.array(chunk.sizes), *[pa.array(x) for x in sums]]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "n_known", "base_score", "score"])
