@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from vitrine.llm import chunks
 from vitrine.llm.common import whole_text
 
-#: Entries of a worker's memo of pair tests before it starts anew.
-PAIR_ENTRIES = 1_000_000
+#: Entries of a worker's memo of pair tests before it starts anew, and chunks in each half of its memo of chunks.
+PAIR_ENTRIES, MEMO_ENTRIES = 500_000, 250_000
 
 
 class RankEncoder:
@@ -129,13 +129,14 @@ class RankEncoder:
             out += self.encode_piece(piece.encode("utf-8").decode("latin-1"))
         return out
 
-    def encode_lines(self, lines: list[str]) -> np.ndarray:
-        """For each line a line-end id, then the line's ids."""
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts end to end, and where each text's begin."""
         out: list[int] = []
-        for line in lines:
-            out.append(chunks.LINE_END)
-            out += self.encode_text(line)
-        return np.array(out, dtype="<u4")
+        starts: list[int] = []
+        for part in parts:
+            starts.append(len(out))
+            out += self.encode_text(part)
+        return np.array(out, dtype="<u4"), np.array(starts, dtype=np.int64)
 
 
 _LOADED: dict[tuple[str, str], tuple[RankEncoder, chunks.ChunkEncoder, pa.Array]] = {}
@@ -147,7 +148,7 @@ def loaded(path: str, pattern: str) -> tuple[RankEncoder, chunks.ChunkEncoder, p
     if key not in _LOADED:
         encoder = RankEncoder(path, pattern)
         line_end = encoder.rank.get("\n")
-        memo = chunks.ChunkEncoder(encoder.encode_lines, encoder.encode_text)
+        memo = chunks.ChunkEncoder(encoder.encode_parts, encoder.encode_text, MEMO_ENTRIES)
         if line_end != chunks.LINE_END:  # another vocabulary: no cutting at white space
             memo.encode = lambda texts: [np.array(encoder.encode_text(t), dtype="<u4").tobytes() for t in texts]
         _LOADED[key] = encoder, memo, pa.array(encoder.tokens, pa.large_binary())

@@ -13,12 +13,15 @@ from itertools import chain, filterfalse
 
 import numpy as np
 
-#: Chunks kept by a worker before its memo starts anew, and the longest chunk that is kept.
+#: Chunks in each half of a worker's memo (about 170 bytes each), and the longest chunk that is kept.
 MEMO_ENTRIES, MEMO_CHARS = 800_000, 64
 
-#: The id of a line end in both byte-level vocabularies of the 50k family.
+#: The id of a line end in both byte-level vocabularies of the 50k family, for which the cuts above hold.
 LINE_END = 198
 
+#: Sentence marks: at the end of a chunk, after a letter or number, they are a token or several of their own.
+MARKS = ".,;:!?"
+
 
 def chunked(text: str) -> list[str]:
     """Chunks of ``text`` after a line end has been set before it: a chunk starting with a line end is the first of its
@@ -32,56 +35,98 @@ def is_safe(chunk: str) -> bool:
     return bool(visible) and not visible[0].isspace() and not visible[-1].isspace()
 
 
+class _Memo(dict):
+    """Ids of chunks, None for those that can't be cut safely; notes the chunks that it doesn't have."""
+
+    def __init__(self):
+        self.missing: list[str] = []
+        self.long: list[str] = []
+
+    def __missing__(self, chunk: str) -> bytes:
+        self.missing.append(chunk)
+        return b""
+
+
 class ChunkEncoder:
     """Encodes batches of texts to little-endian unsigned 32-bit ids.
 
-    ``encode_lines(list of single-line strings)`` must return, as one array, for each string a line-end id followed by
-    the string's ids; ``encode_text`` encodes one whole text.
+    ``encode_parts(chunks with the space or line end before them)`` must return all their ids as one array and where each
+    chunk's begin; ``encode_text`` encodes one whole text.  The memo has two halves: when the newer one is full it becomes
+    the older one, and a chunk that is met again moves to the newer one, so that frequent chunks stay.
     """
 
-    def __init__(self, encode_lines: Callable[[list[str]], np.ndarray], encode_text: Callable[[str], np.ndarray]):
-        self.encode_lines, self.encode_text = encode_lines, encode_text
-        self.memo: dict[str, bytes | None] = {}
+    def __init__(self, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_text: Callable[[str], np.ndarray], entries: int = MEMO_ENTRIES):
+        self.encode_parts, self.encode_text, self.entries = encode_parts, encode_text, entries
+        self.memo = _Memo()
+        self.older: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _raw(self, text: str) -> bytes:
+        return np.asarray(self.encode_text(text), dtype="<u4").tobytes()
 
     def _learn(self, chunks: Iterable[str]) -> None:
-        safe = []
+        ended, wanted = [], {}
         for chunk in chunks:
-            if is_safe(chunk):
-                safe.append(chunk)
-            else:
+            body = chunk[1:] if chunk[:1] == "\n" else chunk
+            if not (body.isprintable() and body) and not is_safe(chunk):  # nothing printable is white space here
                 self.memo[chunk] = None
-        if not safe:
-            return
-        lines = [c[1:] if c[0] == "\n" else " " + c for c in safe]
-        ids = np.asarray(self.encode_lines(lines), dtype="<u4")
-        starts = np.flatnonzero(ids == LINE_END)
-        if len(starts) != len(safe):
-            raise ValueError("the encoder's ids for line ends don't match its input")
-        raw = ids.tobytes()
-        ends = np.append(starts[1:], len(ids)) * 4
-        for chunk, a, b in zip(safe, (starts * 4).tolist(), ends.tolist()):
-            self.memo[chunk] = raw[a:b] if chunk[0] == "\n" else raw[a + 4 : b]
+                continue
+            core = chunk.rstrip(MARKS)
+            if core != chunk and core[-1:].isalnum():
+                ended.append((chunk, core, chunk[len(core) :]))
+                if core in self.memo:
+                    continue
+                chunk = core
+            wanted[chunk] = None
+        for opening in ("\n", " "):
+            some = [c for c in wanted if (c[0] == "\n") == (opening == "\n")]
+            if some:
+                ids, starts = self.encode_parts(some if opening == "\n" else [" " + c for c in some])
+                if len(starts) != len(some):
+                    raise ValueError("the encoder's ids don't match its input")
+                raw = np.asarray(ids, dtype="<u4").tobytes()
+                bounds = (np.append(starts, len(ids)) * 4).tolist()
+                self.memo.update(zip(some, map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
+        for chunk, core, marks in ended:
+            if marks not in self.marks:
+                self.marks[marks] = self._raw(marks)
+            self.memo[chunk] = self.memo[core] + self.marks[marks]
+        self.memo.long += [c for c in {**wanted, **dict.fromkeys(x for x, _, _ in ended)} if len(c) > MEMO_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        cut = [chunked(t) for t in texts]
-        missing = set(filterfalse(self.memo.__contains__, chain.from_iterable(cut)))
-        self._learn(missing)
-        out, get = [], self.memo.__getitem__
-        for text, chunks in zip(texts, cut):
+        if len(self.memo) > self.entries:
+            self.older, self.memo = self.memo, _Memo()
+        memo, cut, out, again = self.memo, [chunked(t) for t in texts], [b""] * len(texts), []
+        for i, chunks in enumerate(cut):
+            before = len(memo.missing)
             try:
-                out.append(b"".join(map(get, chunks))[4:])
-            except TypeError:  # a chunk that can't be cut safely
-                out.append(np.asarray(self.encode_text(text), dtype="<u4").tobytes())
-        for chunk in missing:
-            if len(chunk) > MEMO_CHARS:
-                del self.memo[chunk]
+                out[i] = b"".join(map(memo.__getitem__, chunks))[4:]
+            except TypeError:
+                again.append(i)
+            else:
+                if len(memo.missing) > before:
+                    again.append(i)
+        while missing := set(memo.missing):
+            memo.missing.clear()
+            known = missing.intersection(self.older)
+            memo.update(zip(known, map(self.older.__getitem__, known)))
+            self._learn(missing - known)
+            for i in again:
+                try:
+                    out[i] = b"".join(map(memo.__getitem__, cut[i]))[4:]
+                except TypeError:  # a chunk that can't be cut safely
+                    out[i] = b""
+            for chunk in memo.long:
+                del memo[chunk]
+            memo.long.clear()
+        for i in again:
+            if not out[i]:
+                out[i] = self._raw(texts[i])
         return out
 
 
-def slices(texts: list[str], chars: int = 250_000) -> Iterable[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 500_000) -> Iterable[tuple[int, int]]:
     """Ranges of consecutive texts of about ``chars`` characters, at least one text each."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -111,13 +156,17 @@ def library_encoder(path: str) -> ChunkEncoder:
         def encode_text(text: str) -> np.ndarray:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-        def encode_lines(lines: list[str]) -> np.ndarray:
-            blocks = ["\n" + "\n".join(lines[i : i + 200]) for i in range(0, len(lines), 200)]
+        names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        opens = np.array([n[:1] in ("Ġ", "Ċ") for n in names])  # a space or a line end
+
+        def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            blocks = ["".join(parts[i : i + 400]) for i in range(0, len(parts), 400)]
             done = tokenizer.encode_batch_fast(blocks, add_special_tokens=False)
-            return np.concatenate([np.array(e.ids, dtype="<u4") for e in done])
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in done])
+            return ids, np.flatnonzero(opens[ids])  # a part has one space or line end, at its start
 
         _SIZES[path] = tokenizer.get_vocab_size()
-        _LOADED[path] = ChunkEncoder(encode_lines, encode_text)
+        _LOADED[path] = ChunkEncoder(encode_parts, encode_text)
     return _LOADED[path]
 
 

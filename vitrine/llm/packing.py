@@ -4,8 +4,9 @@ Each document's ids are cut into full windows and one remainder.  Every task pac
 a bounded batch at a time: for the longest one left, a subset-sum dynamic programme over the counts of the other
 lengths, held in one bitset, finds the multiset that fills the rest of the window closest to its capacity; stepping back
 through the bitsets gives how many pieces of each length it takes, and the same multiset is used as often as the counts
-allow.  Windows without slack are given out, pieces without an exact partner wait for the next batch.  What is left when
-the task ends is laid end to end and cut into windows, the last of them into powers of two, which need no padding.  No
+allow.  Windows without slack are given out, pieces without an exact partner wait for the next batch, a bounded number of
+them; beyond it, and when the task ends, the longest are laid end to end and cut into windows, the very last into powers
+of two, which need no padding.  No
 ids are shuffled, and no task sees more than its partition.
 """
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from vitrine.llm import chunks
 from vitrine.llm.common import whole_text
 
-#: Remainders that a task holds before it packs them.
-BATCH_PIECES = 4096
+#: Remainders that a task gathers before it packs them, and those without a partner that it lets wait.
+BATCH_PIECES, MOST_WAITING = 4096, 12288
 
 
 def closest_fill(counts: Counter, room: int) -> tuple[dict[int, int], int]:
@@ -107,22 +108,31 @@ class _Packer:
                 self.fresh += 1
 
     def fill(self) -> None:
-        """Pack the waiting remainders into windows without slack."""
+        """Pack the waiting remainders into windows without slack; of those without a partner the longest are cut where
+        too many wait."""
         counts = Counter({length: len(x) for length, x in self.waiting.items() if x})
         for window, times in exact_windows(counts, self.capacity):
             for _ in range(times):
                 self._put([self.waiting[x].pop() for x, k in sorted(window.items(), reverse=True) for _ in range(k)])
+        self._settle()
+        if self.held > MOST_WAITING:
+            self._cut(self.held - BATCH_PIECES, False)
+
+    def _settle(self) -> None:
         self.waiting = defaultdict(list, {x: p for x, p in self.waiting.items() if p})
         self.held = sum(map(len, self.waiting.values()))
         self.fresh = 0
 
-    def close(self) -> None:
-        """Lay what is left end to end and cut it into windows, the last one into powers of two."""
-        self.fill()
-        left = [p for x in sorted(self.waiting, reverse=True) for p in self.waiting.pop(x)]
-        rest = sum(len(p[2]) for p in left) // 4
+    def _cut(self, pieces: int, last: bool) -> None:
+        """Lay the ``pieces`` longest remainders end to end and cut them into full windows; what is over waits on, or, if
+        these are the last, is cut into powers of two."""
+        left = []
+        for x in sorted(self.waiting, reverse=True):
+            while self.waiting[x] and len(left) < pieces:
+                left.append(self.waiting[x].pop())
         left.reverse()
-        while rest:
+        rest = sum(len(p[2]) for p in left) // 4
+        while rest >= self.capacity or last and rest:
             size = self.capacity if rest >= self.capacity else 1 << rest.bit_length() - 1
             window, room = [], size
             while room:
@@ -134,6 +144,14 @@ class _Packer:
                 room -= n
             self._put(window)
             rest -= size
+        for piece in left:
+            self.waiting[len(piece[2]) // 4].append(piece)
+        self._settle()
+
+    def close(self) -> None:
+        """Pack what is left."""
+        self.fill()
+        self._cut(self.held, True)
 
 
 def pack(
