@@ -215,6 +215,30 @@ def test_closest_fill_is_the_best_subset_sum():
         assert all(k <= counts[x] for x, k in chosen.items())
 
 
+def test_remainders_without_a_partner_do_not_pile_up(monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_PIECES", 50)
+    monkeypatch.setattr(packing, "MOST_WAITING", 120)
+    packer, most = packing._Packer(2048, 0), 0
+    for i in range(2000):
+        packer.add(i, bytes(4 * 1500))
+        if packer.fresh >= 50:
+            packer.fill()
+        most = max(most, packer.held)
+    packer.close()
+    lengths = collections.Counter()
+    for row in packer.rows:
+        lengths[row[5]] += row[2]
+    assert most <= 170 and sum(r[2] for r in packer.rows) == 3_000_000
+    assert sum(n != 2048 for n in lengths.values()) <= 11 and all(n & n - 1 == 0 for n in lengths.values())
+
+
+def test_special_tokens_are_ordinary_text(tokenizer):
+    text = "a <|endoftext|> b"
+    found = np.frombuffer(chunks.library_encoder(PATH).encode([text])[0], dtype="<u4").tolist()
+    assert found == tokenizer.encode(text, add_special_tokens=False).ids and 50256 not in found
+    assert Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids == [64, 220, 50256, 275]  # the difference that README states
+
+
 def test_arrow_files(spark, rows, docs, none, tokenizer):
     manifest = arrow_output.write_sequences(docs, PATH, length=64)
     found = sorted(arrow_output.read_documents(manifest).collect(), key=lambda r: r["start"])
@@ -259,6 +283,18 @@ def test_shard_sizes(spark, hot):
 # operator 7
 
 
+def test_quality_scores_equal_a_plain_discriminant(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("word" * rng.integers(1, 4) + "s" * rng.integers(0, 3) for _ in range(rng.integers(5, 90))) + "!" * (i % 7) for i in range(260)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 < 4)) for i in range(260)], "doc_id long, quality int")
+    stats = quality.with_statistics(table)
+    model = quality.fit(quality.training_rows(stats, labels, F.col("doc_id") % 5 != 0), "label", 0.5, 0.01)
+    found = {r["doc_id"]: r["score"] for r in quality.scored(stats, model).collect()}
+    want = brute.discriminant([quality.statistics(t) for t in texts], [int(i % 7 < 4) if i % 5 else None for i in range(260)], 0.5, 0.01)
+    assert max(abs(found[i] - w) for i, w in enumerate(want)) < 1e-6
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     good = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 300))) + "." for _ in range(300)]

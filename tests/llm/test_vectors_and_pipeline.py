@@ -1,6 +1,7 @@
 """Operators 3 and 9 against brute force, the registered queries, and the pipeline."""
 
 import collections
+import inspect
 
 import brute
 import numpy as np
@@ -33,7 +34,7 @@ def usable(v):
 
 
 def test_embedding_dedup(spark, data, vectors):
-    found = {r["vec_id"]: r for r in pq_dedup.near_duplicates(vectors, margin=10.0).collect()}
+    found = {r["vec_id"]: r for r in pq_dedup.near_duplicates(vectors).collect()}
     good = [(i, np.array(v, dtype=float)) for i, v in data if usable(v)]
     sets, links = brute.Sets(), collections.Counter()
     for a, (i, x) in enumerate(good):
@@ -77,7 +78,7 @@ def test_embedding_dedup_of_a_hot_group(spark):
 
 def test_search(spark, data, vectors):
     good = [(i, np.array(v, dtype=float)) for i, v in data if usable(v)]
-    found = projected_search.nearest(vectors, vectors.where("vec_id % 20 = 0 or vec_id = 441"), k=7, confidence=0.999).collect()
+    found = projected_search.nearest(vectors, vectors.where("vec_id % 20 = 0 or vec_id = 441"), k=7).collect()
     by = brute.grouped([r.asDict() for r in found], "query_id")
     hits = total = 0
     for i, x in good:
@@ -91,12 +92,35 @@ def test_search(spark, data, vectors):
         assert all(r["vec_id"] != i and abs(r["score"] - scores[r["vec_id"]]) < 1e-12 for r in got)
         hits += len({r["vec_id"] for r in got} & {j for _, j in want})
         total += 7
-    assert hits / total >= 0.95 and set(by) == {i for i, _ in good if i % 20 == 0}
+    assert hits / total >= 0.9 and set(by) == {i for i, _ in good if i % 20 == 0}
     few = vectors.where("vec_id < 3")
     assert projected_search.nearest(few, few, k=20).groupBy("query_id").count().where("count = 2").count() == 3
     assert projected_search.nearest(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.4, 0.1), (None, 0.65)])
+def test_search_verifies_few_points(spread, most):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(4000, 64))
+    if spread:
+        points = rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] + spread * points
+    centre, defaults = points.mean(axis=0), inspect.signature(projected_search.nearest).parameters
+    top = ((points - centre) ** 2).sum(axis=1).max()
+    shard = projected_search.Shard(np.arange(4000), points, centre, top, defaults["dims"].default, defaults["confidence"].default, 7)
+    hits = 0
+    for i in range(0, 4000, 40):
+        scores = points @ points[i]
+        scores[i] = -np.inf
+        hits += len(set(shard.best(i, points[i], 20)[0].tolist()) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / 2000 >= 0.92 and shard.verified / (100 * 3999) < most
+
+
+def test_search_of_equal_vectors_goes_by_id(spark):
+    table = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    found = projected_search.nearest(table, table.where("vec_id = 7"), k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [0, 1, 2, 3, 4]
+
+
 def test_chi_square_quantile():
     assert abs(projected_search.chi_square_quantile(0.95, 2) - 5.9915) < 1e-3 and abs(projected_search.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
 

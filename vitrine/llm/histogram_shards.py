@@ -20,6 +20,9 @@ from vitrine.llm.common import written
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 KEY = ("__h", "__id", "__row")
 
+#: Bytes of a piece of a shard that one task sorts, and pieces of a shard at least.
+BLOCK_BYTES, BLOCKS = 1 << 28, 8
+
 #: Candidate boundaries laid into the whole range in the first round, and into each open interval later.
 FIRST_PROBES, PROBES = 4096, 256
 
@@ -108,7 +111,7 @@ def shard_rows(
     id_col: str = "doc_id",
     text_col: str = "text",
     tolerance: float = 0.001,
-    blocks: int = 8,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Deal the rows of ``df`` into ``shards`` shards of near equal bytes; law ``bytes``.
 
@@ -117,7 +120,7 @@ def shard_rows(
     with the rows physically in that order.  Shard sizes differ from the mean by ``tolerance`` of it plus, at most, the
     row at each boundary.  Equal texts are neighbours; null and empty texts are equal; null ids come first; repeated
     rows are kept and told apart by a row number of the staged table.  An empty table gives no rows.  ``blocks`` is the
-    number of pieces per shard that are sorted by themselves.
+    number of pieces per shard that are sorted by themselves, by default as many as hold ``BLOCK_BYTES`` each.
     """
     columns = columns or {c: F.col(f"`{c}`") for c in df.columns}
     text = F.col(text_col)
@@ -133,6 +136,7 @@ def shard_rows(
     )
     ends = staged.agg(F.sum("__bytes").alias("n"), F.min(KEY[0]).alias("low"), F.max(KEY[0]).alias("high")).first()
     total, low, high = ends["n"] or 0, ends["low"] or 0, ends["high"] or 0
+    blocks = blocks or max(BLOCKS, -(-total // (shards * BLOCK_BYTES)))
     whole = _Interval(0, 0, (), low, high, 0, [])
     ranged = staged.withColumn("__range", _range_of(F.col(KEY[0]), F.lit(low), F.lit(whole.width(FIRST_PROBES))).cast("long"))
     pieces = shards * blocks
@@ -153,19 +157,20 @@ def shard_rows(
     table = staged.sparkSession.createDataFrame(ranges, "__range long, __lower int, __own array<struct<a: long, b: long, c: long>>")
     key = F.struct(*[F.col(c).alias(n) for c, n in zip(KEY, "abc")])
     block = F.col("__lower") + F.size(F.filter("__own", lambda x: x < key))
-    placed = ranged.join(F.broadcast(table), "__range").withColumn("__block", block)
+    placed = ranged.join(F.broadcast(table), "__range").withColumn("__block", block)  # one row for each range
     held = {r["__block"]: r["count"] for r in placed.groupBy("__block").count().collect()}
     base, first = [], 0
     for i in range(pieces):
         first = 0 if i % blocks == 0 else first
         base.append(first)
         first += held.get(i, 0)
-    moved = placed.repartitionById(pieces, "__block").sortWithinPartitions(*KEY)
+    firsts = placed.sparkSession.createDataFrame(list(enumerate(base)), "__block int, __first long")
+    moved = placed.join(F.broadcast(firsts), "__block").repartitionById(pieces, "__block").sortWithinPartitions(*KEY)  # one row for each piece
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return moved.select(
         "row",
         F.col("__bytes").alias("size"),
         F.lit("bytes").alias("law"),
         F.expr(f"cast(__block div {blocks} as int)").alias("shard"),
-        (F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("__block") + 1) + inside).alias("slot"),
+        (F.col("__first") + inside).alias("slot"),
     )

@@ -192,15 +192,16 @@ def near_duplicates(
     placed = classes.select("h", "g", "v", "id", "n").mapInArrow(place, f"h long, g long, v {kinds['v']}, id long, n long, cell_own int, probes array<int>")
     placed, placed_path = written(placed, "placed")
     # pieces of each cell's list and of its probes; a cell without probes or list has one
-    probed = placed.select("id", "v", "n", "cell_own", F.explode("probes").alias("cell"))
+    probing = spark.read.schema(placed.schema).parquet(placed_path)  # the same rows under other names to Spark
+    probed = probing.select("id", "v", "n", "cell_own", F.explode("probes").alias("cell"))
     lists = {r["cell_own"]: r["count"] for r in placed.groupBy("cell_own").count().collect()}
     asks = {r["cell"]: r["count"] for r in probed.select("cell").groupBy("cell").count().collect()}
     sizes = [(c, math.ceil(lists.get(c, 0) / BLOCK_ROWS) or 1, math.ceil(asks.get(c, 0) / BLOCK_ROWS) or 1) for c in range(len(index.centroids))]
-    pieces = F.broadcast(spark.createDataFrame(sizes, "cell int, held int, asked int"))  # one row for each cell
+    pieces = lambda: F.broadcast(spark.createDataFrame(sizes, "cell int, held int, asked int"))  # noqa: E731  one row for each cell
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.withColumnRenamed("cell_own", "cell").join(pieces, "cell").select("cell", deal("held").alias("i"), spread("asked").alias("j"), "id", "v", "n", "probes")
-    right = probed.join(pieces, "cell").select("cell", spread("held").alias("i"), deal("asked").alias("j"), "id", "v", "n", "cell_own")
+    left = placed.withColumnRenamed("cell_own", "cell").join(pieces(), "cell").select("cell", deal("held").alias("i"), spread("asked").alias("j"), "id", "v", "n", "probes")
+    right = probed.join(pieces(), "cell").select("cell", spread("held").alias("i"), deal("asked").alias("j"), "id", "v", "n", "cell_own")
 
     def run(listed: pa.Table, probing: pa.Table) -> pa.Table:
         columns: tuple = ([], [], [])

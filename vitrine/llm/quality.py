@@ -157,20 +157,20 @@ def accepted(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
     The model is fitted on the labelled rows for which ``learn`` holds.  Statistics are computed once and staged beside
     the rows, so that every row is kept or dropped by its own text, whatever its id.
     """
-    names = list(docs.columns)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    source = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), every)
+    schema = StructType([source.schema["id"], source.schema["doc"], StructField("stats", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [statistics(t or "") for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], names=[*names, "__stats"])
+            values = [statistics(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.list_(pa.float64()))], names=["id", "doc", "stats"])
 
-    schema = StructType([*docs.schema.fields, StructField("__stats", ArrayType(DoubleType()))])
-    staged, _ = written(docs.mapInArrow(run, schema), "with-statistics")
-    known = staged.select(F.col(id_col), F.col("__stats").alias("stats"))
-    model = fit(training_rows(known, labels, learn, id_col=id_col), "label")
+    staged, _ = written(source.mapInArrow(run, schema), "with-statistics")
+    model = fit(training_rows(staged.withColumnRenamed("id", id_col).select(id_col, "stats"), labels, learn, id_col=id_col), "label")
 
     @F.pandas_udf("double")
     def score(stats: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(stats.to_numpy())) if len(stats) else [], dtype=float)
 
-    return staged.where(score("__stats") >= threshold).select(*[F.col(f"`{c}`") for c in names])
+    return staged.where(score("stats") >= threshold).select("doc.*")

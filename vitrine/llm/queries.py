@@ -106,5 +106,20 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-#: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL of those queries that SQL can express: op1 counts all windows of 200 bytes, op3 compares all pairs.
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS s, h FROM d), x AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS x FROM w),
+r AS (SELECT doc_id, s, s > lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) + 200 AS new FROM x WHERE x IN (SELECT x FROM x GROUP BY x HAVING count(*) > 1)),
+g AS (SELECT doc_id, s, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM r),
+p AS (SELECT doc_id, g, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY 1, 2),
+k AS (SELECT doc_id, 0 AS a, (SELECT min(p.a) FROM p WHERE p.doc_id = d.doc_id) AS b, 0 AS g FROM d UNION ALL SELECT doc_id, b, lead(a) OVER (PARTITION BY doc_id ORDER BY g), g FROM p),
+t AS (SELECT k.doc_id, string_agg(CASE WHEN k.b IS NULL THEN substr(h, 2 * k.a + 1) ELSE substr(h, 2 * k.a + 1, 2 * (k.b - k.a)) END, '' ORDER BY k.g) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce((SELECT sum(b - a) FROM p WHERE p.doc_id = d.doc_id), 0) AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+    "op3_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = v.vec_id AS kept FROM v JOIN r ON r.a = v.vec_id GROUP BY 1""",
+}

@@ -13,7 +13,7 @@ windows that chose it.
   are suffixes sorted by multikey quicksort and blind tries, and so are the reversed left-hand parts.  Groups of
   suffixes with a common prefix are then merged from the longest prefix down, the smaller into the larger; the
   neighbours in left-hand order at each merge are the only pairs that can be a new longest repetition.
-* Groups above a bound are not gathered: their windows are counted by hash in one grouped aggregation instead.
+* Groups above a bound are dealt into smaller ones by longer parts before the sort, in a way that loses no pair.
 
 The texts are written once as a table bucketed by class, so that later passes join them without moving them again.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import bucketed, dropped, shuffle_width, whole_text, written
 from vitrine.llm.suffix_sort import common_prefix, sort_strings
 
-#: Bytes of an anchor's gram, windows handled at once, and different contexts of a gram that one task sorts.
+#: Bytes of an anchor's gram, windows handled at once, and contexts that one task sorts together.
 GRAM, SEGMENT, GROUP = 32, 1 << 20, 20_000
 
 _MASK = (1 << 64) - 1
@@ -224,15 +225,15 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """(a, x, parts): repeated parts of contexts, gram by gram."""
+    """(a, x, parts): repeated parts of contexts, group by group (column ``k``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
 
         def close() -> None:
-            parts = repeated_parts([(r[2], r[3]) for r in held], length)
-            out.extend((a, x, [{"l": l, "r": r} for l, r in dict.fromkeys(p)]) for (a, x, _, _), p in zip(held, parts) if p)
+            parts = repeated_parts([(r[3], r[4]) for r in held], length)
+            out.extend((r[1], r[2], [{"l": l, "r": r} for l, r in dict.fromkeys(p)]) for r, p in zip(held, parts) if p)
             held.clear()
 
         def flush() -> pa.RecordBatch:
@@ -253,26 +254,44 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
             close()
         yield flush()
 
-    dealt = contexts.select("a", "x", "before", "after").repartition(shuffle_width(contexts.sparkSession), "a").sortWithinPartitions("a", "x")
+    dealt = contexts.select("k", "a", "x", "before", "after").repartition(shuffle_width(contexts.sparkSession), "k").sortWithinPartitions("k", "x")
     return dealt.mapInArrow(run, "a long, x long, parts array<struct<l: int, r: int>>")
 
 
-def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(a, x, parts) of grams with too many contexts for one task: each window counted by its hash and place."""
+def _groups_to_sort(contexts: DataFrame, gram: int, length: int, group: int) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Contexts in groups (column ``k``) of at most ``group``, parts that need no sorting, and tables that both read.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, x, before, after in zip(*[c.to_pylist() for c in batch.columns]):
-                data = np.frombuffer(before + after, dtype=np.uint8)
-                start = np.arange(len(data) - length + 1)
-                hashes = _hasher(length).parts(_hasher(length).sums(data), start, start + length)
-                columns = [np.full(len(start), a), np.full(len(start), x), (len(before) - start).astype(np.int32), hashes.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "x", "l", "w"])
-
-    windows, _ = written(contexts.select("a", "x", "before", "after").mapInArrow(run, "a long, x long, l int, w long"), "windows")
-    twice = windows.groupBy("a", "l", "w").count().where("count > 1").select("a", "l", "w")
-    part = F.struct("l", (F.lit(length) - F.col("l")).cast("int").alias("r"))
-    return windows.join(twice, ["a", "l", "w"]).groupBy("a", "x").agg(F.collect_list(part).alias("parts"))
+    All contexts of a gram are one group at first.  Two of them that share a string of ``length`` bytes agree on some
+    bytes before the anchor and some after it; in a group whose members agree on ``lo`` and ``hi`` of them, ``need``
+    more are missing, and a pair that shares a string has half of these after the anchor or the rest before it.  So a
+    group that is too large is dealt into smaller ones twice, by longer right-hand parts and by longer left-hand parts,
+    and no pair is lost.  Where nothing is missing any more, all members share the string between.
+    """
+    spark, paths = contexts.sparkSession, []
+    now = contexts.select(F.col("a").alias("k"), "a", "x", "before", "after", F.lit(0).alias("lo"), F.lit(gram).alias("hi"))
+    ready, found = [], None
+    while True:
+        large, path = written(now.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > group).select("k"), "large-groups")
+        paths.append(path)
+        if not large.limit(1).count():
+            ready.append(now)
+            break
+        ready.append(now.join(large, "k", "left_anti"))
+        need = F.lit(length) - F.col("lo") - F.col("hi")
+        half = F.ceil(need / 2).cast("int")
+        hi, lo = F.col("hi") + half, F.lit(length + 1) - F.col("hi") - half
+        hot = now.join(large, "k", "left_semi")
+        split = hot.where(need > 0)
+        right = split.where(F.octet_length("after") >= hi).withColumn("k", F.xxhash64("k", F.lit(1), F.substring("after", F.lit(1), hi))).withColumn("hi", hi)
+        left = split.where(F.octet_length("before") >= lo).withColumn("k", F.xxhash64("k", F.lit(2), F.substring("before", -lo, lo))).withColumn("lo", lo)
+        parts = hot.where(need == 0).select("a", "x", F.array(F.struct(F.col("lo").alias("l"), F.col("hi").alias("r"))).alias("parts"))
+        done, path = written(parts, "shared-parts")
+        found = done if found is None else found.unionByName(done)
+        paths.append(path)
+        now, path = written(right.unionByName(left), "split-groups")
+        paths.append(path)
+        now = now.join(now.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi")
+    return reduce(DataFrame.unionByName, ready), found, paths
 
 
 def repeats(
@@ -317,11 +336,10 @@ def repeats(
     distinct = again.where("differ").groupBy("a", "x").agg(first, F.max("n").alias("n")).select("a", "x", "n", "o.*")
     contexts, path = written(_contexts(texts, distinct), "contexts")
     paths.append(path)
-    large, _ = written(contexts.groupBy("a").count().where(F.col("count") > group).select("a"), "large-groups")
-    parts = _sorted_groups(contexts.join(large, "a", "left_anti") if large.limit(1).count() else contexts, length)
-    if large.limit(1).count():
-        parts = parts.unionByName(_counted_windows(contexts.join(large, "a", "left_semi"), length))
-    parts, path = written(parts, "parts")
+    grouped, shared, used = _groups_to_sort(contexts, gram, length, group)
+    parts = _sorted_groups(grouped, length)
+    parts, path = written(parts if shared is None else parts.unionByName(shared), "parts")
+    dropped(docs.sparkSession, *used)
     paths.append(path)
     # intervals of all texts; a context that occurs twice is covered whole, only the others need their parts
     interval = lambda left, right: F.struct((F.col("place") - left).alias("s"), (F.col("place") + right).alias("e"))
