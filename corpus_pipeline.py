@@ -25,7 +25,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of SimHash near-duplicates."""
+    """Keep one document of each group of near-duplicates: SimHash finds texts whose five-word shingles may be similar by
+    0.8 or more, the shingles themselves decide."""
     return simhash.one_of_each(docs)
 
 

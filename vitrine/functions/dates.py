@@ -44,3 +44,17 @@ def modified_epoch(modified: Column, created: Column) -> Column:
 def pretty_date(col: Column) -> Column:
     """``March 5, 2020`` for an ISO date."""
     return F.date_format(col.try_cast("date"), "MMMM d, yyyy")
+
+
+#: How coverage of each kind is read: fixed values.
+VERBS = {
+    "video": "Watch at", "broadcast": "Watch at", "podcast": "Listen at", "pdf": "Read the PDF at", "archive": "View at", "aggregator": "View at",
+    "article": "Read the original at",
+}
+
+
+def coverage(name: str, outlet: Column, url: Column, kind: Column) -> Column:
+    """A sentence that says where coverage of ``name`` is found."""
+    verbs = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
+    verb = F.coalesce(F.try_element_at(verbs, kind), F.lit("Read at"))
+    return F.concat(F.lit(f"Coverage of {name} in "), outlet, F.lit(". "), verb, F.lit(" "), url)

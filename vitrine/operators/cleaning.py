@@ -51,8 +51,16 @@ def _issue(test: Column, name: str, level: str, message: str) -> Column:
     return F.when(test, F.struct(F.lit(name).alias("field"), F.lit(level).alias("level"), F.lit(message).alias("message")))
 
 
+#: Fields that a record must have where its table has them, and the signs that say where a work is signed: fixed values.
+REQUIRED = ("identifier", "work_type", "support", "framing", "owner", "location", "box", "transcription")
+SIGNATURES = ("↖", "↑", "↗", "←", "∅", "→", "↙", "↓", "↘")
+
+
 def validate_items(wide: DataFrame) -> DataFrame:
-    """Issues of wide records (id, title, date, category, height, width, signed, motifs): an array of structs."""
+    """Issues of wide records (id, title, date, category, height, width, signed, motifs): an array of structs.
+
+    Columns of ``REQUIRED``, ``mediums`` (array), ``media_count`` and ``signature`` are checked where the table has them.
+    """
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     number = lambda c: F.col(c).try_cast("double")
     year = F.regexp_extract("date", r"(\d{4})", 1).try_cast("int")
@@ -76,9 +84,51 @@ def validate_items(wide: DataFrame) -> DataFrame:
         _issue(F.size("motifs") == 0, "motifs", "warning", "missing"),
         _issue(F.size(F.array_distinct("motifs")) < F.size("motifs"), "motifs", "warning", "repeated"),
     ]
+    rules += [_issue(blank(name), name, "error", "missing") for name in REQUIRED if name in wide.columns]
+    if "mediums" in wide.columns:
+        rules.append(_issue(F.coalesce(F.size("mediums"), F.lit(0)) <= 0, "mediums", "error", "missing"))
+    if "media_count" in wide.columns:
+        rules.append(_issue(F.coalesce("media_count", F.lit(0)) == 0, "media", "error", "no image"))
+    if "signature" in wide.columns:
+        rules.append(_issue(blank("signature"), "signature", "error", "missing"))
+        rules.append(_issue(~blank("signature") & ~F.col("signature").isin(*SIGNATURES), "signature", "error", "unknown"))
     return wide.withColumn("issues", F.array_compact(F.array(*rules)))
 
 
+def publish_warnings(wide: DataFrame) -> Column:
+    """What a record that can be published still lacks: an array of fields, of those that its table has."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    none = [F.when(F.coalesce(F.size("motifs"), F.lit(0)) <= 0, "motifs")] if "motifs" in wide.columns else []
+    none += [F.when(blank(name), name) for name in ("transcription", "category", "box", "condition", "location") if name in wide.columns]
+    return F.array_compact(F.array(*none).cast("array<string>"))
+
+
+def bad_date(date: Column, signature: Column) -> Column:
+    """Whether a date is missing, unknown although the work is signed, a timestamp, or outside the years of the
+    collection."""
+    year = F.regexp_extract(date, r"(\d{4})", 1).try_cast("int")
+    stamp = date.rlike(r"^\d{4}:\d{2}:\d{2}\s+\d{2}:\d{2}:\d{2}$") | date.rlike(r"^\d{4}-\d{2}-\d{2}[T ]")
+    signed = F.coalesce((signature != "") & (signature != "∅"), F.lit(False))
+    return F.when(F.coalesce(date, F.lit("")) == "", True).when(date == "∅", signed).otherwise(stamp | F.coalesce((year < FIRST_YEAR) | (year > LAST_YEAR), F.lit(False)))
+
+
+def sprint_predicates(wide: DataFrame) -> DataFrame:
+    """(id, sixteen booleans): for each field of full records whether a clean-up sprint would offer the record.
+
+    ``wide``: id, identifier, date, work_type, support, condition, signature, motifs, transcription, mediums, height,
+    width, framing, owner, location, box, category, media_count.
+    """
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    number = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(r"^\d+(\.\d+)?$")
+    dated = ~blank("date") & (F.col("date") != "∅")
+    signature = blank("signature") | ~F.col("signature").isin(*SIGNATURES) | (dated & (F.col("signature") == "∅"))
+    found = {name: blank(name) for name in ("identifier", "work_type", "support", "condition", "transcription", "framing", "owner", "location", "box")}
+    found |= {"date": bad_date(F.col("date"), F.col("signature")), "signature": signature, "motifs": F.coalesce(F.size("motifs"), F.lit(0)) < 2}
+    found |= {"mediums": F.coalesce(F.size("mediums"), F.lit(0)) <= 0, "dimensions": ~number("height") | ~number("width")}
+    found |= {"category": blank("category") | ~F.col("category").isin("A", "B", "C", "D"), "media": F.coalesce("media_count", F.lit(0)) == 0}
+    return wide.select("id", *[test.alias(f"fix_{name}") for name, test in found.items()])
+
+
 def issue_queue(validated: DataFrame) -> DataFrame:
     """Items with errors, the most issues first."""
     errors = F.filter("issues", lambda x: x["level"] == "error")
@@ -121,6 +171,47 @@ def coerced(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return both.select(*[c for c in rows.columns if c != "value"], F.coalesce("exact", "spelled").alias("value"))
 
 
+def coerced_lists(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Values as the vocabulary spells them, as ``coerced``; a value that is a JSON list and no term keeps the members that
+    are terms, again as JSON; other values are left out.  ``rows`` need an id that tells them apart."""
+    terms = vocabulary.select("value").distinct()
+    single = coerced(rows, vocabulary)
+    listed = F.from_json("value", "array<string>")
+    several = rows.where(F.ltrim("value").startswith("[")).where(listed.isNotNull()).join(single.select("id"), "id", "left_anti")
+    parts = several.select("id", F.posexplode(listed).alias("pos", "part")).join(terms.withColumnRenamed("value", "part"), "part", "left_semi")
+    kept = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
+    made = F.to_json(F.coalesce(F.transform("p", lambda x: x["part"]), F.array().cast("array<string>")))
+    others = several.join(kept, "id", "left").select(*[c for c in rows.columns if c != "value"], made.alias("value"))
+    return single.unionByName(others.select(*single.columns))
+
+
+def removed_values(value: DataFrame, actions: DataFrame) -> DataFrame:
+    """The rows that ``clean_vocabulary`` takes away or changes, with the action: the backup of a cleaning."""
+    return value.join(actions.where(F.col("action").isin("drop", "canon", "split")).select("value", "action"), "value").select(*value.columns, "action")
+
+
+def ground_truth(items: DataFrame, subjects: DataFrame, actions: DataFrame, boxes: DataFrame, seeds: DataFrame, dates: DataFrame, last_early: int) -> DataFrame:
+    """(item_id, genuine, box_prior, year, early): what is known of every item, as a training set.
+
+    ``subjects``: item_id, value; ``actions``: value, action (canon, split, drop, nonvisual), target array, met exactly or
+    else in any case; ``boxes``: item_id, value; ``seeds``: category, seed, prior, the motif that a box once put on its
+    items, which then doesn't count as genuine, and what its items tend to show; ``dates``: item_id, year; items up to
+    ``last_early`` are early.
+    """
+    folded = actions.groupBy(F.lower("value").alias("key")).agg(F.min(F.struct("value", "action", "target")).alias("a"))
+    folded = folded.select("key", F.col("a.action").alias("any_action"), F.col("a.target").alias("any_target"))
+    boxed = boxes.select("item_id", box_category(F.col("value")).alias("category")).where("category != ''")
+    boxed = boxed.groupBy("item_id").agg(F.min("category").alias("category")).join(seeds, "category", "left")
+    read = subjects.withColumn("key", F.lower("value")).join(actions, "value", "left").join(folded, "key", "left")
+    read = read.select("item_id", "value", F.coalesce("action", "any_action").alias("action"), F.when(F.col("action").isNotNull(), F.col("target")).otherwise(F.col("any_target")).alias("target"))
+    real = read.join(boxed.select("item_id", "seed"), "item_id", "left").where(F.col("action").isin("canon", "split") & (F.col("seed").isNull() | (F.col("seed") != F.col("value"))))
+    genuine = real.select("item_id", F.explode("target").alias("motif")).groupBy("item_id").agg(F.array_sort(F.collect_set("motif")).alias("genuine"))
+    years = dates.groupBy("item_id").agg(F.min("year").alias("year"))
+    joined = items.select("item_id").distinct().join(genuine, "item_id", "left").join(boxed.select("item_id", "prior"), "item_id", "left").join(years, "item_id", "left")
+    none = F.array().cast("array<string>")
+    return joined.select("item_id", F.coalesce("genuine", none).alias("genuine"), F.col("prior").alias("box_prior"), "year", (F.col("item_id") <= last_early).alias("early"))
+
+
 def enrichment_values(results: DataFrame, present: DataFrame, force: bool = False, default: str = "") -> DataFrame:
     """Values to store out of results (item_id, status, answer): failed ones give none, an empty answer the default;
     several values in one answer become several rows; items in ``present`` keep theirs unless forced."""

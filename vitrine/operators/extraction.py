@@ -55,9 +55,14 @@ def phrase_matches(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select("item_id", "p.canonical", "p.type", F.col("p.trigger").alias("form"), "reps", F.lit(1).alias("tier"))
 
 
-def word_matches(words: DataFrame, dictionary: DataFrame, common: list[str]) -> DataFrame:
-    """Tier 2: single words of a text that are triggers."""
+def word_matches(words: DataFrame, dictionary: DataFrame, common: list[str], variants: DataFrame | None = None) -> DataFrame:
+    """Tier 2: single words of a text that are triggers.  ``variants`` (variant, canonical, type) are known misreadings,
+    which go before the dictionary and count although they are common words."""
     triggers = dictionary.where("tier = 2").select(F.col("trigger").alias("word"), "canonical", "type")
+    if variants is not None:
+        known = variants.select(F.upper("variant").alias("word"), "canonical", "type")
+        misread = words.join(known, "word").select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(2).alias("tier"))
+        return misread.unionByName(word_matches(words.join(known, "word", "left_anti"), dictionary, common))
     hit = words.where(~F.col("word").isin(common)).join(triggers, "word")
     return hit.select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(2).alias("tier"))
 
@@ -108,6 +113,11 @@ def scan(texts: DataFrame, dictionary: DataFrame, rules: DataFrame, common: list
     return by_priority([*tiers, context_matches(words, rules)])
 
 
+def scan_places(texts: DataFrame, dictionary: DataFrame, rules: DataFrame, common: list[str], default: str = "region") -> DataFrame:
+    """Places in the texts: as ``scan`` without the fuzzy tier; a place without a type is a ``default``."""
+    return scan(texts, dictionary, rules, common, False).withColumn("type", F.coalesce("type", F.lit(default)))
+
+
 def unmatched(words: DataFrame, matches: DataFrame, common: list[str], limit: int = 20) -> DataFrame:
     """(item_id, candidates, n): words of four or more letters that are neither common nor part of a match, in order,
     the first ``limit`` of them, and how many there are in all."""

@@ -54,6 +54,14 @@ def motif_details(items: DataFrame, motifs: DataFrame) -> DataFrame:
     return rated.join(items.select("item_id").distinct(), "item_id", "left_semi").withColumn("rank", F.row_number().over(order))
 
 
+def rarity_of(scores: DataFrame, ids: list[int]) -> DataFrame:
+    """(item_id, class) of at most 100 items of a table of scores; items that it doesn't have, or has without a class, are
+    left out."""
+    if len(ids) > 100:
+        raise ValueError("at most 100 ids can be asked for")
+    return scores.where(F.col("item_id").isin([int(i) for i in ids]) & F.col("class").isNotNull()).select("item_id", "class")
+
+
 def mention_profile(mentions: DataFrame, none: str = "NONE") -> DataFrame:
     """Per item and mention: the share of items with any mention that have it, and whether it is unique; ``none`` marks
     items that were read and have none, which don't count."""
@@ -70,13 +78,16 @@ def lexical_frequency(texts: DataFrame, item: str = "item_id", text: str = "text
     return words.groupBy("word").agg(F.count("*").alias("df"))
 
 
-def lexical_profile(texts: DataFrame, ids: DataFrame, top: int = 25) -> DataFrame:
-    """The rarest words of the given items against the corpus: (item_id, word, df, percent, rank).
+def lexical_profile(texts: DataFrame, ids: DataFrame | None = None, top: int = 25) -> DataFrame:
+    """The rarest words of the given items, or of all, against the corpus: (item_id, word, df, percent, rank).
 
     ``texts``: item_id, text, one row per item.  Ties keep the order of first sight in the text.
     """
     total = texts.agg(F.count("*").alias("total"))
-    asked = texts.join(ids, "item_id", "left_semi").select("item_id", F.posexplode(lexical_tokens(F.col("text"))).alias("pos", "word"))
-    joined = asked.join(lexical_frequency(texts), "word").crossJoin(F.broadcast(total))  # one row
+    asked = texts if ids is None else texts.join(ids, "item_id", "left_semi")
+    words = asked.select("item_id", F.posexplode(lexical_tokens(F.col("text"))).alias("pos", "word"))
+    # of all items: every word's frequency is that of the same rows
+    known = words.groupBy("word").agg(F.count("*").alias("df")) if ids is None else lexical_frequency(texts)
+    joined = words.join(known, "word").crossJoin(F.broadcast(total))  # one row
     ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "pos")))
     return ranked.where(F.col("rank") <= top).select("item_id", "word", "df", (F.col("df") * 100.0 / F.col("total")).alias("percent"), "rank")

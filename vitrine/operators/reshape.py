@@ -29,6 +29,32 @@ def storefront_rows(items: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
+def storefront_products(items: DataFrame, variants: DataFrame, vendor: str, host: str, site: str) -> DataFrame:
+    """All 27 columns of a storefront's import file, one row for each item.
+
+    ``items``: id, identifier, title, work_type, medium, height, width, date, motifs, signature, condition, provenance,
+    text, storage_id; a missing value is blank.  Prices are those of ``last_prices``.
+    """
+    priced = items.join(last_prices(variants), F.col("identifier") == F.col("sku"), "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    fixed = lambda value: F.lit(value)
+    image = F.coalesce(F.concat(F.lit(f"https://{host}/files/original/"), "storage_id", F.lit(".jpg")), F.lit(""))
+    size = F.when((text("height") != "") & (text("width") != ""), F.concat(text("height"), F.lit('" x '), text("width"), F.lit('"'))).otherwise("")
+    meta = lambda name, kind: f"Metafield: artwork.{name} [{kind}]"
+    line = "single_line_text_field"
+    columns = {
+        "Handle": slugify(text("identifier")), "Title": text("identifier"), "Body (HTML)": fixed(""), "Vendor": fixed(vendor), "Type": text("work_type"),
+        "Tags": F.coalesce(F.array_join("motifs", ", "), F.lit("")), "Published": fixed("TRUE"), "Image Src": image, "Image Alt Text": text("title"),
+        "Variant SKU": text("identifier"), "Variant Grams": fixed("0"), "Variant Inventory Tracker": fixed(""), "Variant Inventory Qty": fixed("1"),
+        "Variant Inventory Policy": fixed("deny"), "Variant Price": text("price"), "Variant Requires Shipping": fixed("TRUE"), "Status": fixed("draft"),
+        meta("catalog_number", line): text("identifier"), meta("catalog_url", "url"): F.concat(F.lit(f"https://{host}/s/{site}/item/"), F.col("id").cast("string")),
+        meta("medium", line): text("medium"), meta("dimensions", line): size, meta("year", line): text("date"), meta("original_image_url", "url"): image,
+        meta("signed", line): text("signature"), meta("condition", line): text("condition"), meta("provenance", line): text("provenance"),
+        meta("content_excerpt", line): F.replace(truncate_words(text("text"), 200), F.lit("\n"), F.lit(" ")),
+    }
+    return priced.select(*[c.alias(name) for name, c in columns.items()])
+
+
 def writing_rows(pieces: DataFrame, forms: dict[str, str], default: str = "Prose Poem") -> DataFrame:
     """Writings (id, form, text, year, outlet) with the form's name, an excerpt of 200 characters and a credit line."""
     table = F.create_map(*[x for k, v in forms.items() for x in (F.lit(k), F.lit(v))])

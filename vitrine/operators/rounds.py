@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.operators.search import seed_pairs
+
 
 def rounds_of(sets: DataFrame) -> DataFrame:
     """(name, round, set_id) of sets whose title is ``[Curate] name Round n``."""
@@ -46,3 +48,21 @@ def stratified_sample(items: DataFrame, stratum: str, size: int, order: str = "i
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
     ranked = items.withColumn("__place", place).where(F.col("__place") <= size)
     return ranked.orderBy("__place", stratum).limit(size).drop("__place")
+
+
+def era_sample(items: DataFrame, size: int) -> DataFrame:
+    """Items (id, early) of both eras in order of id: half of ``size`` from the late ones, as far as there are so many, and
+    the rest from the early ones; all items if they are no more than ``size``."""
+    ordered = lambda early: items.where("early" if early else "not early").orderBy("id")
+    some = items.limit(size + 1).count()  # no more is counted than decides
+    if some <= size:
+        return items.orderBy("id")
+    late = ordered(False).limit(size // 2)
+    return late.unionByName(ordered(True).limit(size - late.count())).orderBy("id")
+
+
+def next_round(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs of the next round, (a, b, score): the survivors of decided pairs, paired anew by similarity.  A round has
+    at most 200 items; fewer than two survivors have no next round and give no rows."""
+    left = [r["id"] for r in bracket_results(pairs).where("survives").select("id").distinct().limit(201).collect()]
+    return seed_pairs(vectors, left) if len(left) > 1 else seed_pairs(vectors, []).limit(0)

@@ -162,6 +162,24 @@ def new_terms(known: DataFrame, fresh: DataFrame) -> DataFrame:
     return keyed.join(known.select(F.lower("value").alias("key")).distinct(), "key", "left_anti").select("value")
 
 
+def run_summary(results: DataFrame, matches: DataFrame, least: int = 10) -> DataFrame:
+    """One row on an extraction run: items with enough text, items too short, items with and without matches, different
+    names, matches and repetitions.  ``results``: item_id, text; ``matches``: item_id, canonical, reps."""
+    per_item = matches.groupBy("item_id").agg(F.count("*").alias("matches"), F.sum("reps").alias("reps"))
+    names = matches.agg(F.countDistinct(F.lower("canonical")).alias("names"))
+    long_enough = F.coalesce(F.length(F.trim("text")) >= least, F.lit(False))
+    joined = results.join(per_item, "item_id", "left")
+    sums = joined.agg(
+        F.sum(F.when(long_enough, 1).otherwise(0)).alias("processed"),
+        F.sum(F.when(long_enough, 0).otherwise(1)).alias("too_short"),
+        F.sum(F.when(long_enough & (F.coalesce("matches", F.lit(0)) > 0), 1).otherwise(0)).alias("with_matches"),
+        F.sum(F.when(long_enough & F.col("matches").isNull(), 1).otherwise(0)).alias("without_matches"),
+        F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"),
+        F.coalesce(F.sum("reps"), F.lit(0)).alias("reps"),
+    )
+    return sums.crossJoin(F.broadcast(names))  # one row
+
+
 def batches(df: DataFrame, order: str, size: int = 500) -> DataFrame:
     """Number rows into batches of ``size`` in the order of a numeric key."""
     return row_numbers(df, order, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size)).drop("__n")

@@ -151,6 +151,14 @@ def band_totals(found: DataFrame) -> DataFrame:
     return found.groupBy("band").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("items"))
 
 
+def best_bands(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(best, items): items by the best band that a suggestion of theirs (id, band) has, high, medium or none; ``items``:
+    id."""
+    best = found.groupBy("id").agg(F.max(F.when(F.col("band") == "high", 2).when(F.col("band") == "medium", 1).otherwise(0)).alias("b"))
+    joined = items.select("id").distinct().join(best, "id", "left")
+    return joined.groupBy(F.when(F.col("b") == 2, "high").when(F.col("b") == 1, "medium").otherwise("none").alias("best")).agg(F.count("*").alias("items"))
+
+
 def label_scores(vectors: DataFrame, labels: DataFrame, prompts: DataFrame | None = None, k: int = 25) -> DataFrame:
     """(id, label, score, method) of all vectors (id, v) from labels (id, label) and, if given, prompt vectors (label, v)."""
     parts = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -162,7 +163,11 @@ def windowed_counts(spark, sf_dir):
 @register("streamed_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def streamed_upsert(spark, sf_dir):
     """The event table as a stream of files into a keyed table."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-streams"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:  # one machine, as in tests: its own folder is shared
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     folder = f"{folder.rstrip('/')}/vitrine/stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").repartition(4, "event_id").write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema

@@ -88,8 +88,7 @@ def lexical_frequency(spark, sf_dir):
   row_number() OVER (PARTITION BY item_id ORDER BY df, pos) AS rank FROM w JOIN d USING (word) QUALIFY rank <= 25""",
 )
 def lexical_profile(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    return rarity.lexical_profile(texts, texts.select("item_id")).withColumn("percent", F.round("percent", 6))
+    return rarity.lexical_profile(_texts(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
 
 
 def _vectors(spark, sf_dir):

@@ -1,7 +1,7 @@
 """The catalog model: items described by entity-attribute-value rows, and an adapter from the sample star schema.
 
 Tables (all DataFrames):
-  resource   id, title, template_id, is_public, created, modified
+  resource   id, title, template_id, class_id, is_public, created, modified
   value      resource_id, property_id, value
   member     item_id, set_id            item_set   id, title
   media      id, item_id, position, storage_id
@@ -57,6 +57,7 @@ def sample_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         F.col("p_partkey").alias("id"),
         F.col("p_name").alias("title"),
         F.lit(2).alias("template_id"),
+        (F.col("p_size") % 4 + 1).alias("class_id"),
         (F.col("p_size") % 5 != 0).alias("is_public"),
         F.expr("timestamp'2020-01-01 00:00:00' + make_interval(0, 0, 0, cast(p_partkey % 700 as int))").alias("created"),
         F.expr("timestamp'2021-01-01 00:00:00' + make_interval(0, 0, 0, cast(p_partkey % 500 as int))").alias("modified"),
@@ -109,7 +110,7 @@ def sample_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 SAMPLE_CATALOG_SQL = """
 first_year AS (SELECT l_partkey, CAST(year(min(o_orderdate)) AS VARCHAR) AS y
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey),
-resource AS (SELECT p_partkey AS id, p_name AS title, 2 AS template_id, p_size % 5 <> 0 AS is_public,
+resource AS (SELECT p_partkey AS id, p_name AS title, 2 AS template_id, p_size % 4 + 1 AS class_id, p_size % 5 <> 0 AS is_public,
   TIMESTAMP '2020-01-01' + to_days(CAST(p_partkey % 700 AS INTEGER)) AS created,
   TIMESTAMP '2021-01-01' + to_days(CAST(p_partkey % 500 AS INTEGER)) AS modified FROM part),
 value AS (
