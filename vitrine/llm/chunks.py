@@ -19,8 +19,8 @@ MEMO_ENTRIES, MEMO_CHARS = 800_000, 64
 #: The id of a line end in both byte-level vocabularies of the 50k family, for which the cuts above hold.
 LINE_END = 198
 
-#: Sentence marks: at the end of a chunk, after a letter or number, they are a token or several of their own.
-MARKS = ".,;:!?"
+#: ASCII marks but the apostrophe: at the end of a chunk, after a letter or number, they are tokens of their own.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 def chunked(text: str) -> list[str]:

@@ -280,8 +280,11 @@ def _verified(texts: DataFrame, radius: int, similarity: float, width: int, seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(batches):
-            every = [shingles(r[2], width, seed) for r in rows]
-            sets = [np.unique(x) for x in every]
+            values, sets = [], []
+            for r in rows:
+                every = shingles(r[2], width, seed)
+                values.append(majority(every))
+                sets.append(np.unique(every))
 
             def same(i: int, j: int) -> bool:
                 small, large = sorted((sets[i], sets[j]), key=len)  # noqa: B023
@@ -292,8 +295,8 @@ def _verified(texts: DataFrame, radius: int, similarity: float, width: int, seed
                 return both >= similarity * (len(small) + len(large) - both)
 
             tree = BKTree(radius, same)
-            for x in every:
-                tree.add(majority(x))
+            for value in values:
+                tree.add(value)
             found = [(rows[i][1], rows[r][1]) for i, r in tree.stars()]
             if found:
                 yield _pairs(found)
