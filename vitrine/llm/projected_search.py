@@ -26,7 +26,7 @@ from vitrine.llm.vectors import dimension, matrix, usable
 SHARD_ROWS, QUERY_ROWS = 16384, 4096
 
 #: Projected neighbours that are verified before the test is made again.
-PORTION = 64
+PORTION = 256
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -102,7 +102,7 @@ class Shard:
         scores, rows, limit, at = np.zeros(0), np.zeros(0, dtype=np.int64), np.inf, 0
         waiting, distance = np.zeros(0, dtype=np.int64), np.zeros(0)
         while at < len(leaves) and boxes[at] <= limit or len(distance) and distance.min() <= limit:
-            read = leaves[at : at + 8]
+            read = leaves[at : at + 32]
             if len(read):
                 new = np.concatenate([self.tree.order[start:stop] for start, stop in (self.tree.leaf_span[i] for i in read)])
                 new = new[self.ids[new] != own]
