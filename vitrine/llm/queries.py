@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import arrow_output, byte_bpe, histogram_shards, packing, pq_dedup, projected_search, quality, simhash, suffix_dedup, suffix_tree_lm
+from vitrine.llm import (
+    arrow_output,
+    byte_bpe,
+    conversation_repair,
+    histogram_shards,
+    packing,
+    pq_dedup,
+    projected_search,
+    quality,
+    ranked_search,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    suffix_tree_lm,
+)
 from vitrine.llm.common import remainder, written
 
 LIBRARY_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -93,6 +107,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, dropped_rows=F.col("gone"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    kinds = secret_scan.KINDS[: secret_scan.BASE_KINDS]
+
+    def of(*wanted):
+        return F.filter("spans", lambda s: s["kind"].isin(*wanted))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*kinds)).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_suffix_tree_lm": op2_suffix_tree_lm,
@@ -104,9 +141,14 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_projected_search": op9_projected_search,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_secret_scan": op13_secret_scan,
 }
 
-#: DuckDB SQL of those queries that SQL can express: op1 counts all windows of 200 bytes, op3 compares all pairs.
+#: DuckDB SQL of those queries that SQL can express: op1 counts all windows of 200 bytes, op3 compares all pairs, op11 goes
+#: from row to row with the best edits to each place of the pattern (inserted rows come before a row, so neither of two
+#: paths is the beginning of the other), op12 scores every document for every item.
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS s, h FROM d), x AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS x FROM w),
@@ -122,4 +164,31 @@ u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95),
 r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = v.vec_id AS kept FROM v JOIN r ON r.a = v.vec_id GROUP BY 1""",
+    "op11_conversation_repair": """WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT), 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+h AS (SELECT k.* EXCLUDE (s), xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS d FROM k, t),
+g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM (SELECT * FROM h WHERE d > 0 UNION ALL SELECT * FROM h WHERE d = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM g),
+f AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b, CASE WHEN x = '' THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd' WHEN right(x, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS e FROM o),
+n AS (SELECT * FROM (VALUES (0, 'u', 2), (0, 's', 1), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) n(q, r, p)),
+y AS (SELECT q AS q0, q, '' AS a, 0 AS c, CAST([] AS VARCHAR[]) AS w FROM range(4) z(q) UNION ALL SELECT q0, n.p, a || 'I', c + 5, list_append(w, CASE n.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END) FROM y JOIN n USING (q) WHERE n.r <> 's' AND c < 15),
+m AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS c, '' AS a, CAST([] AS VARCHAR[]) AS w FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, q, min(c), min_by(a, (c, a)), min_by(w, (c, a)) FROM (
+    SELECT m.conv_id, f.i, z.q, m.c + y.c + z.c AS c, m.a || y.a || z.l AS a, list_concat(list_concat(m.w, y.w), z.w) AS w
+    FROM m JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i + 1 JOIN y ON y.q0 = m.q,
+    LATERAL (SELECT y.q, 2 AS c, 'D' AS l, CAST([] AS VARCHAR[]) AS w UNION ALL SELECT n.p, CASE e WHEN 't' THEN 5 ELSE 0 END, 'K', [f.role || ':' || f.text] FROM n WHERE n.q = y.q AND n.r = f.r AND e NOT IN ('b', 'd')
+      UNION ALL SELECT n.p, CASE e WHEN 't' THEN 6 ELSE 1 END, 'R', [CASE n.r WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text] FROM n WHERE n.q = y.q AND n.r <> 's' AND e NOT IN ('b', 'd')) z) GROUP BY conv_id, i, q),
+l AS (SELECT conv_id, max(i) AS i FROM m GROUP BY 1),
+v AS (SELECT m.conv_id, m.c + y.c AS c, m.a || y.a AS a, list_concat(m.w, y.w) AS w FROM m JOIN l ON l.conv_id IS NOT DISTINCT FROM m.conv_id AND l.i = m.i JOIN y ON y.q0 = m.q WHERE y.q IN (0, 3)),
+b AS (SELECT conv_id, min(c) AS cost, min_by(a, (c, a)) AS audit, min_by(w, (c, a)) AS w FROM v GROUP BY 1),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (e = 'b') AS blank, count(*) FILTER (e = 'd') AS duplicate, count(*) FILTER (e = 't') AS truncated, count(*) FILTER (i > 1 AND b || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(coalesce(array_to_string(w, chr(10)), '')) AS repaired_sha256
+FROM b LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM b.conv_id""",
+    "op12_ranked_search": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0), p AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+f AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM p GROUP BY r, term), h AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+i AS (SELECT item_id, text, term, count(*) AS k FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY 1, 2, 3),
+x AS (SELECT item_id, i.text, r, doc_id, CAST(sum(k * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // total))))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN h USING (term), s GROUP BY item_id, i.text, r, doc_id),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
