@@ -39,6 +39,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(sizes > 0, dot(a, b) / sizes).otherwise(0.0)
 
 
+def usual_length(df: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector is as long as most are (of equally frequent lengths the shorter) and holds no null and no
+    component that is not finite; rows without a vector are left out."""
+    given = df.where(F.col(vector).isNotNull())
+    most = given.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()  # a row for each length
+    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    return given.where((F.size(vector) == (most["n"] if most else 0)) & ~F.exists(vector, bad))
+
+
 def load_vectors(df: DataFrame, vector: str, payload: list[str]) -> DataFrame:
     """Vectors at length one with some payload columns; rows without a vector are left out."""
     return df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(*payload, unit(F.col(vector)).alias(vector))

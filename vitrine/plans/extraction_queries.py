@@ -157,8 +157,8 @@ c AS (SELECT label, list(x ORDER BY p) AS total, max(n) AS n FROM s GROUP BY 1)"
 
 @register(
     "centroid_scores",
-    f"""WITH {UNIT_SQL} SELECT e.id, c.label, round(CASE WHEN e.id % 3 = 0 OR e.label <> c.label THEN list_inner_product(u, total) / sqrt(list_inner_product(total, total))
-  WHEN n > 1 THEN (list_inner_product(u, total) - list_inner_product(u, u)) / sqrt(list_inner_product(total, total) - 2 * list_inner_product(u, total) + list_inner_product(u, u)) END, 6) AS score FROM e, c""",
+    f"""WITH {UNIT_SQL} SELECT e.id, c.label, round(CASE WHEN e.id % 3 = 0 OR e.label <> c.label OR n = 1 THEN list_inner_product(u, total) / sqrt(list_inner_product(total, total))
+  ELSE (list_inner_product(u, total) - list_inner_product(u, u)) / sqrt(list_inner_product(total, total) - 2 * list_inner_product(u, total) + list_inner_product(u, u)) END, 6) AS score FROM e, c""",
 )
 def centroid_scores(spark, sf_dir):
     return sg.centroid_scores(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
@@ -224,13 +224,24 @@ def neighbour_votes(spark, sf_dir):
     return sg.neighbour_votes(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-COMBINED_SQL = NEAR_SQL + """, cs AS (SELECT e.id, c.label, CASE WHEN e.id % 3 = 0 OR e.label <> c.label THEN list_inner_product(u, total) / sqrt(list_inner_product(total, total))
-  WHEN n > 1 THEN (list_inner_product(u, total) - list_inner_product(u, u)) / sqrt(list_inner_product(total, total) - 2 * list_inner_product(u, total) + list_inner_product(u, u)) END AS score FROM e, c),
-zc AS (SELECT id, label, (score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-6) AS z FROM cs WHERE score IS NOT NULL WINDOW w AS (PARTITION BY label)),
-zk AS (SELECT id, label, (score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-6) AS z FROM votes WINDOW w AS (PARTITION BY label)),
-comb AS (SELECT coalesce(zc.id, zk.id) AS id, coalesce(zc.label, zk.label) AS label,
-  (coalesce(zc.z, 0) * 0.5 + coalesce(zk.z, 0) * 0.3) / (CASE WHEN zc.z IS NULL THEN 0 ELSE 0.5 END + CASE WHEN zk.z IS NULL THEN 0 ELSE 0.3 END) AS score,
-  CASE WHEN zk.z IS NULL OR zc.z >= zk.z THEN 'centroid' ELSE 'knn' END AS method FROM zc FULL JOIN zk ON zc.id = zk.id AND zc.label = zk.label)"""
+#: The matrix of items and labels, written out: a vote that nothing gives is 0, deviations are at least 1e-6.
+COMBINED_SQL = NEAR_SQL + """, cs AS (SELECT e.id, c.label, e.id % 3 <> 0 AS tagged, e.id % 3 <> 0 AND e.label = c.label AS own, coalesce(v.score, 0) AS sk,
+  CASE WHEN e.id % 3 = 0 OR e.label <> c.label OR n = 1 THEN list_inner_product(u, total) / sqrt(list_inner_product(total, total))
+  ELSE (list_inner_product(u, total) - list_inner_product(u, u)) / sqrt(list_inner_product(total, total) - 2 * list_inner_product(u, total) + list_inner_product(u, u)) END AS sc
+  FROM e CROSS JOIN c LEFT JOIN votes v ON v.id = e.id AND v.label = c.label),
+z AS (SELECT *, (sc - avg(sc) OVER w) / greatest(stddev_pop(sc) OVER w, 1e-6) AS zc, (sk - avg(sk) OVER w) / greatest(stddev_pop(sk) OVER w, 1e-6) AS zk FROM cs WINDOW w AS (PARTITION BY label)),
+comb AS (SELECT *, (zc * 0.5 + zk * 0.3) / 0.8 AS score, CASE WHEN zc >= zk THEN 'centroid' ELSE 'knn' END AS method FROM z)"""
+
+#: Bands and confidence from the labelled rows, scanned from the best score down.
+BANDS_SQL = """, r AS (SELECT label, score, CAST(own AS INTEGER) AS hit, row_number() OVER w AS n, sum(CAST(own AS INTEGER)) OVER w AS hits FROM comb WHERE tagged
+  WINDOW w AS (PARTITION BY label ORDER BY score DESC, own DESC ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT label, sum(hit) AS pos, CASE WHEN sum(hit) > 0 THEN round(avg(CASE WHEN n <= 10 THEN hit END), 3) END AS p10, CASE WHEN sum(hit) > 0 THEN round(avg(CASE WHEN n <= 25 THEN hit END), 3) END AS p25,
+  CASE WHEN sum(hit) > 0 THEN round(avg(CASE WHEN n <= 50 THEN hit END), 3) END AS p50, max(CASE WHEN n >= 5 AND hits / n >= 0.9 THEN n END) AS nh, max(CASE WHEN n >= 5 AND hits / n >= 0.6 THEN n END) AS nm FROM r GROUP BY 1),
+cuts AS (SELECT q.label, pos, p10, p25, p50, h.score AS high, h.n AS high_support, round(h.hits / h.n, 3) AS high_precision, m.score AS medium, m.n AS medium_support, round(m.hits / m.n, 3) AS medium_precision
+  FROM q LEFT JOIN r h ON h.label = q.label AND h.n = nh AND pos >= 5 LEFT JOIN r m ON m.label = q.label AND m.n = nm AND pos >= 5),
+b AS (SELECT comb.*, CASE WHEN score >= high THEN 'high' ELSE 'medium' END AS band,
+  (SELECT (sum(hit) + 1) / (count(*) + 2) FROM r WHERE r.label = comb.label AND r.score >= comb.score) AS confidence FROM comb JOIN cuts USING (label) WHERE score >= medium AND NOT own),
+tags AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY band, confidence DESC, label) AS rank FROM b QUALIFY rank <= 5)"""
 
 
 @register("label_scores", f"WITH {COMBINED_SQL} SELECT id, label, round(score, 5) AS score, method FROM comb")
@@ -239,16 +250,82 @@ def label_scores(spark, sf_dir):
     return sg.label_scores(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
 
 
+def _shown_tags(found):
+    rounded = [F.round(c, 5).alias(c) for c in found.columns if c in ("score", "confidence") or c.startswith("s_")]
+    return found.select("id", "label", "method", "band", "rank", *rounded)
+
+
 @register(
     "pre_tag",
-    f"""WITH {COMBINED_SQL}, cal AS (SELECT comb.label, comb.score, CAST(own.id IS NOT NULL AS INTEGER) AS hit FROM comb
-  LEFT JOIN (SELECT id, label FROM e WHERE id % 3 <> 0) own ON own.id = comb.id AND own.label = comb.label WHERE comb.id % 3 <> 0),
-r AS (SELECT *, row_number() OVER w AS n, sum(hit) OVER w / row_number() OVER w AS p FROM cal WINDOW w AS (PARTITION BY label ORDER BY score DESC, hit DESC ROWS UNBOUNDED PRECEDING)),
-cuts AS (SELECT label, arg_max(CASE WHEN p >= 0.9 THEN score END, CASE WHEN p >= 0.9 THEN n END) AS high, arg_max(CASE WHEN p >= 0.6 THEN score END, CASE WHEN p >= 0.6 THEN n END) AS medium
-  FROM r WHERE n >= 5 GROUP BY 1),
-b AS (SELECT comb.*, CASE WHEN score >= high THEN 'high' WHEN score >= medium THEN 'medium' ELSE 'low' END AS band FROM comb JOIN cuts USING (label)
-  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id % 3 <> 0 AND e.id = comb.id AND e.label = comb.label))
-SELECT id, label, round(score, 5) AS score, method, band, row_number() OVER (PARTITION BY id ORDER BY band, b.score DESC, label) AS rank FROM b WHERE band <> 'low' QUALIFY rank <= 5""",
+    f"WITH {COMBINED_SQL}{BANDS_SQL} SELECT id, label, round(score, 5) AS score, round(confidence, 5) AS confidence, method, band, rank, round(sc, 5) AS s_centroid, round(sk, 5) AS s_knn FROM tags",
 )
 def pre_tag(spark, sf_dir):
-    return sg.pre_tag(*_vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
+    return _shown_tags(sg.pre_tag(*_vectors(spark, sf_dir)))
+
+
+CALIBRATION_SQL = """SELECT cuts.label, pos < 5 AS uncalibrated, CAST(pos AS BIGINT) AS calib_pos, {known} AS centroid, p10, p25, p50, round(high, 5) AS high, high_support, high_precision,
+  round(medium, 5) AS medium, medium_support, medium_precision FROM cuts{joined}"""
+
+
+def _shown_calibration(found):
+    return found.withColumn("high", F.round("high", 5)).withColumn("medium", F.round("medium", 5))
+
+
+@register("calibration", f"WITH {COMBINED_SQL}{BANDS_SQL} {CALIBRATION_SQL.format(known='true', joined='')}")
+def calibration(spark, sf_dir):
+    """Thresholds and precision of every label."""
+    return _shown_calibration(sg.calibration(*_vectors(spark, sf_dir)))
+
+
+def _prompted(spark, sf_dir):
+    """Vectors, labels of which some are rare, uncertain labels, and a prompt vector for each label and for two more."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    labels = rows.where("id % 3 != 0 and (label > 3 or id % 40 < label * 2)").select("id", "label")
+    weak = rows.where("id % 7 = 0").select("id", "label")
+    prompts = rows.groupBy("label").agg(F.min_by("v", "id").alias("v")).unionByName(rows.where("label < 2").groupBy((F.col("label") + 100).alias("label")).agg(F.max_by("v", "id").alias("v")))
+    return rows.select("id", "v"), labels, prompts, weak
+
+
+#: The same with uncertain labels and prompts; labels 100 and 101 have no vectors of their own, so no centroid.
+PROMPTED_SQL = """e AS (SELECT vec_id AS id, label, vec_id % 3 <> 0 AND (label > 3 OR vec_id % 40 < label * 2) AS tagged, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+p AS (SELECT label, arg_min(u, id) AS p FROM e GROUP BY 1 UNION ALL SELECT label + 100, arg_max(u, id) FROM e WHERE label < 2 GROUP BY 1),
+g AS (SELECT label, count(*) AS n FROM e WHERE tagged GROUP BY 1), few AS (SELECT label, coalesce(g.n, 0) AS n FROM p LEFT JOIN g USING (label) WHERE coalesce(g.n, 0) < 8),
+m0 AS (SELECT id, label, u, 0 AS weak FROM e WHERE tagged UNION ALL SELECT id, label, u, 1 FROM e WHERE id % 7 = 0 AND label IN (SELECT label FROM few)),
+x0 AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS k FROM m0), s0 AS (SELECT label, list(x ORDER BY k) AS t FROM (SELECT label, k, sum(x) AS x FROM x0 GROUP BY 1, 2) GROUP BY 1),
+w0 AS (SELECT id, label, u, weak, list_inner_product(u, t) / sqrt(list_inner_product(t, t)) AS sim FROM m0 JOIN s0 USING (label)), q0 AS (SELECT label, quantile_cont(sim, 0.4) AS cut FROM w0 WHERE weak = 1 GROUP BY 1),
+m1 AS (SELECT w0.* FROM w0 LEFT JOIN q0 USING (label) WHERE weak = 0 OR sim >= cut), x1 AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS k FROM m1),
+s1 AS (SELECT label, list(x ORDER BY k) AS total FROM (SELECT label, k, sum(x) AS x FROM x1 GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT p.label, p, total, coalesce((SELECT count(*) FROM m1 WHERE m1.label = p.label), 0) AS n FROM p LEFT JOIN s1 USING (label)),
+d AS (SELECT a.id, b.id AS other, b.label, list_inner_product(a.u, b.u) AS score FROM e a JOIN e b ON a.id <> b.id AND b.tagged),
+k AS (SELECT *, greatest(score, 0) AS w FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 25),
+votes AS (SELECT id, label, s / t AS score FROM (SELECT id, label, sum(w) AS s FROM k GROUP BY 1, 2) JOIN (SELECT id, sum(w) AS t FROM k GROUP BY 1) USING (id) WHERE t > 0),
+cs AS (SELECT e.id, c.label, n > 0 AS known, tagged, tagged AND e.label = c.label AS own, coalesce(v.score, 0) AS sk, list_inner_product(u, p) AS st,
+  CASE WHEN n = 0 THEN 0 WHEN NOT tagged OR e.label <> c.label OR n = 1 THEN list_inner_product(u, total) / sqrt(list_inner_product(total, total))
+  ELSE (list_inner_product(u, total) - list_inner_product(u, u)) / sqrt(list_inner_product(total, total) - 2 * list_inner_product(u, total) + list_inner_product(u, u)) END AS sc
+  FROM e CROSS JOIN c LEFT JOIN votes v ON v.id = e.id AND v.label = c.label),
+z AS (SELECT *, (sc - avg(sc) OVER w) / greatest(stddev_pop(sc) OVER w, 1e-6) AS zc, (sk - avg(sk) OVER w) / greatest(stddev_pop(sk) OVER w, 1e-6) AS zk,
+  (st - avg(st) OVER w) / greatest(stddev_pop(st) OVER w, 1e-6) AS zt FROM cs WINDOW w AS (PARTITION BY label)),
+comb AS (SELECT *, CASE WHEN known THEN zc * 0.5 + zk * 0.3 + zt * 0.2 ELSE zk * 0.6 + zt * 0.4 END AS score,
+  CASE WHEN known AND zc >= greatest(zk, zt) THEN 'centroid' WHEN zk >= zt THEN 'knn' ELSE 'text' END AS method FROM z)"""
+
+
+@register("label_scores_prompted", f"WITH {PROMPTED_SQL} SELECT id, label, round(score, 5) AS score, method FROM comb")
+def label_scores_prompted(spark, sf_dir):
+    """Scores with prompts and uncertain labels."""
+    vectors, labels, prompts, weak = _prompted(spark, sf_dir)
+    return sg.label_scores(vectors, labels, prompts, weak=weak).withColumn("score", F.round("score", 5))
+
+
+@register(
+    "pre_tag_prompted",
+    f"WITH {PROMPTED_SQL}{BANDS_SQL} SELECT id, label, round(score, 5) AS score, round(confidence, 5) AS confidence, method, band, rank, round(sc, 5) AS s_centroid, round(sk, 5) AS s_knn, round(st, 5) AS s_text FROM tags",
+)
+def pre_tag_prompted(spark, sf_dir):
+    vectors, labels, prompts, weak = _prompted(spark, sf_dir)
+    return _shown_tags(sg.pre_tag(vectors, labels, prompts, weak=weak))
+
+
+@register("calibration_prompted", f"WITH {PROMPTED_SQL}{BANDS_SQL} {CALIBRATION_SQL.format(known='n > 0', joined=' JOIN c USING (label)')}")
+def calibration_prompted(spark, sf_dir):
+    vectors, labels, prompts, weak = _prompted(spark, sf_dir)
+    return _shown_calibration(sg.calibration(vectors, labels, prompts, weak=weak))
