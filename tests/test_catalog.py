@@ -50,7 +50,7 @@ def test_pairs_are_a_greedy_matching(spark):
     assert len(pairs) == 10 and len(found) == 11
     assert sorted(itertools.chain.from_iterable((r["a"], r["b"]) if r["b"] is not None else (r["a"],) for r in found)) == list(range(21))
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
-    edges = sorted(((round(float(unit[a] @ unit[b]), 4), a, b) for a, b in itertools.combinations(vectors, 2)), reverse=True)
+    edges = sorted(((float(unit[a] @ unit[b]), a, b) for a, b in itertools.combinations(vectors, 2)), reverse=True)
     used, want = set(), set()
     for s, a, b in edges:
         if a not in used and b not in used:

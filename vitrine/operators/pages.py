@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.operators.search import boosted, fused, lexical_search, similar
+from vitrine.operators.word_index import indexed_search
 
 
 def hydrated(hits: DataFrame, metadata: DataFrame, id_col: str = "id") -> DataFrame:
@@ -60,15 +61,20 @@ def extremes(df: DataFrame, score: str, size: int = 5, id_col: str = "item_id")
 
 
 def search_items(
-    docs: DataFrame, vectors: DataFrame, query: str, source: int, mode: str = "hybrid", limit: int = 20, offset: int = 0, weight: float = 0.6, most: int = 50
+    docs: DataFrame, vectors: DataFrame, query: str, source: int, mode: str = "hybrid", limit: int = 20, offset: int = 0, weight: float = 0.6, most: int = 50, index: str | None = None
 ) -> DataFrame:
     """Search in a mode: semantic (near a source vector), exact (words) or hybrid (both, boosted and fused).
 
     ``docs``: id, text, tags; ``vectors``: id, vector.  Exact scores fall evenly over the page.  At most ``most``
-    candidates of each kind are fused.  Returns (id, score), best first.
+    candidates of each kind are fused.  With an ``index`` (a folder of ``word_index``) words are looked up there, and no
+    text is read but those of the candidates.  Returns (id, score), best first.
     """
+
+    def words(size: int, skipped: int = 0) -> DataFrame:
+        return indexed_search(docs.sparkSession, index, query, size, skipped) if index else lexical_search(docs, query, size, skipped)
+
     if mode == "exact":
-        found = lexical_search(docs, query, limit, offset)
+        found = words(limit, offset)
         size = found.count()  # at most a page
         place = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1
         return found.select("id", (1 - place / max(size, 1)).alias("score"))
@@ -77,5 +83,5 @@ def search_items(
         return near.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
     named = near.join(docs.select("id", "tags", F.col("text").alias("blob")), "id")
     better = boosted(named, query).select("id", F.col("boosted").alias("score"))
-    both = fused(better, lexical_search(docs, query, most), weight)
+    both = fused(better, words(most), weight)
     return both.select("id", F.col("normal").alias("score")).orderBy(F.desc("score"), "id").offset(offset).limit(limit)

@@ -62,7 +62,7 @@ def era_sample(items: DataFrame, size: int) -> DataFrame:
 
 
 def next_round(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs of the next round, (a, b, score): the survivors of decided pairs, paired anew by similarity.  A round has
-    at most 200 items; fewer than two survivors have no next round and give no rows."""
-    left = [r["id"] for r in bracket_results(pairs).where("survives").select("id").distinct().limit(201).collect()]
-    return seed_pairs(vectors, left) if len(left) > 1 else seed_pairs(vectors, []).limit(0)
+    """The pairs of the next round, (a, b, score): the survivors of decided pairs, paired anew by similarity.  Fewer than
+    two survivors have no next round and give no rows."""
+    left = bracket_results(pairs).where("survives").select("id").distinct()
+    return seed_pairs(vectors, left if left.limit(2).count() > 1 else left.limit(0))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import folded_words, query_phrases, tokenize
+from vitrine.operators.running import running_sums
+from vitrine.operators.staging import staged
+from vitrine.operators.vector_cells import CELL_ROWS, nearest
 
 #: Vectors on either side of a task that compares blocks.
 BLOCK_ROWS = 16384
@@ -81,48 +80,25 @@ def similar(
     return scored.orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def similar_all(df: DataFrame, k: int, candidates: DataFrame | None = None, id_col: str = "id", vector: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_all(
+    df: DataFrame, k: int, candidates: DataFrame | None = None, id_col: str = "id", vector: str = "vector", block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """The ``k`` most similar others of every item among ``candidates`` (by default all items): (id, other, score, rank),
     ties to the smaller id; rows with the same id are not others of each other.
 
-    Both sides are dealt into blocks of about ``block_rows`` rows, however many there are; each pair of blocks is one
-    task, a matrix product that gives only its best ``k`` of every row, and the best of all blocks are kept.
+    Null ids and vectors are left out, and vectors that are not as long as most of ``df`` or hold a component that is null
+    or not finite.  Cells of near vectors that cannot hold one of the best are not looked into (``vector_cells``); no task
+    meets more than ``block_rows`` rows of either side.
     """
+    usual = usual_length(df, vector)
+    length = usual.select(F.size(vector)).first()
 
     def clean(side: DataFrame) -> DataFrame:
         return side.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"))
 
-    def dealt(side: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        return side.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own), every.alias(other), "id", "v")
-
-    left = clean(df)
-    right = left if candidates is None else clean(candidates)
-    sizes = [max(1, math.ceil(side.count() / block_rows)) for side in ((left,) if candidates is None else (left, right))]
-    rows = dealt(left, "i", sizes[0], "j", sizes[-1])
-    columns = dealt(right, "j", sizes[-1], "i", sizes[0])
-
-    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or two.empty:
-            return pd.DataFrame({"id": [], "other": [], "score": []})
-        ids, order = one.id.to_numpy(), np.argsort(two.id.to_numpy(), kind="stable")
-        others, b = two.id.to_numpy()[order], np.stack(two.v.to_numpy()[order])
-        parts = []
-        for at in range(0, len(ids), 256):
-            scores = np.stack(one.v.to_numpy()[at : at + 256]) @ b.T
-            scores[ids[at : at + 256, None] == others[None, :]] = -np.inf
-            least = np.partition(scores, max(len(others) - k, 0), axis=1)[:, max(len(others) - k, 0)]
-            row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-            value = scores[row, column]
-            sort = np.lexsort((column, -value, row))  # ties at the k-th place go to the smaller id
-            row, column, value = row[sort], column[sort], value[sort]
-            top = np.arange(len(row)) - np.searchsorted(row, row) < k
-            parts.append(pd.DataFrame({"id": ids[at : at + 256][row[top]], "other": others[column[top]], "score": value[top]}))
-        return pd.concat(parts)
-
-    found = rows.groupBy("i", "j").cogroup(columns.groupBy("i", "j")).applyInPandas(best, "id long, other long, score double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    queries = clean(usual)
+    members = queries if candidates is None else clean(usual_length(candidates.where(F.size(vector) == (length[0] if length else 0)), vector))
+    return nearest(queries, members, k, cell_rows, block_rows)
 
 
 def _frequency(words: Column, phrase: list[str]) -> Column:
@@ -192,30 +168,65 @@ def fused(semantic: DataFrame, lexical: DataFrame, weight: float = 0.6, k: int =
     return joined.select(id_col, "score", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("normal"), *payload)
 
 
-def seed_pairs(df: DataFrame, ids: list[int], id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """Greedy pairing of at most 200 items by similarity: (a, b, score), and (a, null, null) for those left over.
+def seed_pairs(df: DataFrame, ids: DataFrame | list[int] | None = None, id_col: str = "id", vector: str = "vector", k: int = 8, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Greedy pairing of any number of items by similarity: (a, b, score), and (a, null, null) for those left over.
+
+    Pairs are taken from the most similar down; of equal ones (to twelve decimals) those with larger ids.  Items of one
+    direction are paired at once, the largest ids first.  Then in rounds every free item looks for its best free partner,
+    and the pairs that are best for both ends are taken: just those that greedy choice would take, whatever the order of
+    the rest.  Partners come from each item's ``k`` nearest; an item whose list is used up waits until the free items'
+    lists are made anew, twice as long where nothing could be taken.
 
-    Pairs are taken from the most similar down; of equal ones those with larger ids.  The list is an explicit choice of
-    a user, so its pairs (at most 19900) are ranked at once.
+    ``ids``: a list, or a table with the id; by default all.  Rows without an id are left out, and of rows with equal ids
+    the one with the largest vector counts; items without a usable vector are left over.
     """
-    if len(ids) > 200:
-        raise ValueError("at most 200 items can be paired")
-    pool = df.where(F.col(id_col).isin([int(i) for i in ids])).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    left, right = pool.select(F.col("id").alias("a"), F.col("v").alias("va")), pool.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    scored = left.join(right, F.col("a") < F.col("b")).where("va is not null and vb is not null")
-    scored = scored.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 4).alias("score"))
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = pd.concat([pd.DataFrame({"a": [], "b": [], "score": []}), *batches]).sort_values(["score", "a", "b"], ascending=False)
-        used, out = set(), []
-        for a, b, score in edges.itertuples(index=False):
-            if a not in used and b not in used:
-                used |= {a, b}
-                out.append((a, b, score))
-        yield pd.DataFrame(out, columns=["a", "b", "score"])
-
-    pairs = scored.coalesce(1).mapInPandas(greedy, "a long, b long, score double")
-    taken = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    spark = df.sparkSession
+    kind = dict(df.dtypes)[id_col]
+    pool = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(vector).alias("vector"))
+    if ids is not None:
+        wanted = spark.createDataFrame([(int(i),) for i in ids], f"id {kind}") if isinstance(ids, list) else ids.toDF("id")
+        pool = pool.join(wanted.distinct(), "id", "left_semi")
+    pool = staged(pool, "pool")
+    taken = [_same_direction(usual_length(pool, "vector"))]
+
+    def without(rows: DataFrame, pairs: DataFrame, column: str = "id") -> DataFrame:
+        return rows.join(pairs.select(F.explode(F.array("a", "b")).alias(column)), column, "left_anti")
+
+    free = staged(without(usual_length(pool, "vector"), taken[0]), "free")
+    while (left := free.count()) > 1:
+        before = len(taken)
+        shown = similar_all(free, k, cell_rows=cell_rows).select("id", "other", F.round("score", 12).alias("score"))
+        last = F.when((F.count("*") >= k) & F.lit(k < left - 1), F.min("score")).alias("last")
+        # of a list that is full, more items may have the last score than it shows
+        edges = shown.join(shown.groupBy("id").agg(last), "id").where(F.col("last").isNull() | (F.col("score") > F.col("last")))
+        edges = staged(edges.select("id", "other", "score"), "edges")
+        while not (new := staged(_best_for_both(edges), "pairs")).isEmpty():
+            taken.append(new)
+            edges = staged(without(without(edges, new), new, "other").select("id", "other", "score"), "edges")
+        if len(taken) == before:
+            k *= 2
+        for pairs in taken[before:]:
+            free = without(free, pairs)
+        free = staged(free, "free")
+    pairs = reduce(DataFrame.unionByName, taken).withColumn("score", F.round("score", 4))
     none = F.lit(None)
-    rest = pool.join(taken, "id", "left_anti").select(F.col("id").alias("a"), none.cast("long").alias("b"), none.cast("double").alias("score"))
-    return pairs.unionByName(rest)
+    return pairs.unionByName(without(pool, pairs).select(F.col("id").alias("a"), none.cast(kind).alias("b"), none.cast("double").alias("score")))
+
+
+def _same_direction(vectors: DataFrame) -> DataFrame:
+    """Pairs (a, b, score 1) of the items whose vectors have one direction, in order of id from the largest."""
+    size = norm(F.col("vector"))
+    told = F.sha2(F.array_join(F.transform(unit(F.col("vector")), lambda x: F.round(x, 12).cast("string")), " "), 256)
+    same = vectors.where(size > 0).select(told.alias("key"), "id", F.lit(1).alias("one"))
+    several = same.join(same.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi")
+    ranked = running_sums(several, "key", "id", {"place": "one"})
+    pairs = ranked.groupBy("key", F.ceil(F.col("place") / 2)).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    return staged(pairs.select("a", "b", F.lit(1.0).alias("score")), "pairs")
+
+
+def _best_for_both(edges: DataFrame) -> DataFrame:
+    """The pairs (a < b) that are the best edge of both ends, by score, then larger ids; ``edges``: id, other, score."""
+    order = F.struct("score", F.least("id", "other"), F.greatest("id", "other"))
+    best = edges.groupBy("id").agg(F.max_by("other", order).alias("other"), F.max("score").alias("score"))
+    back = best.select(F.col("other").alias("id"), F.col("id").alias("other"))
+    return best.join(back, ["id", "other"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "score")

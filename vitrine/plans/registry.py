@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MODULES = ("items_queries", "statistics_queries", "search_queries", "cleaning_queries", "extraction_queries", "other_queries", "curation_queries", "record_queries")
+MODULES = ("items_queries", "statistics_queries", "search_queries", "cleaning_queries", "extraction_queries", "other_queries", "curation_queries", "record_queries", "index_queries")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
