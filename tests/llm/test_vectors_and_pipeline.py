@@ -121,6 +121,29 @@ def test_search_of_equal_vectors_goes_by_id(spark):
     assert [r["vec_id"] for r in found] == [0, 1, 2, 3, 4]
 
 
+def test_projected_search_of_very_large_and_small_vectors(spark):
+    """Squares of such components overflow or vanish; neighbours are found all the same."""
+    rng = np.random.default_rng(9)
+    for size in (1e200, 1e-200):
+        points = rng.normal(size=(300, 6))
+        table = spark.createDataFrame([(i, (v * (size if i < 290 else size * 1e-3)).tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+        asked = table.where("vec_id >= 280").withColumn("embedding", projected_search.F.transform("embedding", lambda x: x * projected_search.F.lit(1 / size)))
+        found = projected_search.nearest(table, asked, k=5)
+        got = {r["query_id"]: [] for r in found.collect()}
+        for r in found.orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert len(got) == 20
+        rows = {r["vec_id"]: np.array(r["embedding"]) for r in table.collect()}
+        hits = 0
+        for q in asked.collect():
+            want = sorted(((-float(rows[i] @ np.array(q["embedding"])), i) for i in rows if i != q["vec_id"]))[:5]
+            hits += len({i for _, i in want} & {i for i, _ in got[q["vec_id"]]})
+            assert all(s == pytest.approx(float(rows[i] @ np.array(q["embedding"]))) for i, s in got[q["vec_id"]])
+        assert hits >= 90
+    both = projected_search.nearest(table.withColumn("embedding", projected_search.F.transform("embedding", lambda x: x * 1e300 * 1e100)), table, k=3)
+    assert both.count() == 900
+
+
 def test_chi_square_quantile():
     assert abs(projected_search.chi_square_quantile(0.95, 2) - 5.9915) < 1e-3 and abs(projected_search.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
 

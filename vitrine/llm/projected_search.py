@@ -25,8 +25,9 @@ from vitrine.llm.vectors import dimension, matrix, usable
 #: Candidates and queries that meet in one task.
 SHARD_ROWS, QUERY_ROWS = 16384, 4096
 
-#: Projected neighbours that are verified before the test is made again.
-PORTION = 256
+#: Leaves read (each time twice as many, so that a query which prunes little takes few steps and one which prunes much
+#: reads little), and projected neighbours verified, before the test is made again.
+LEAVES, PORTION = 16, 256
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -79,44 +80,67 @@ class KDTree:
         return order, distance[order]
 
 
+def _power(largest: float) -> int:
+    """The power of two to divide by where a component is so large or small that squares would overflow or vanish, else 0."""
+    power = math.frexp(largest)[1]
+    return power if abs(power) > 300 else 0
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, neighbours joined."""
+    out: list[tuple[int, int]] = []
+    for start, stop in spans:
+        if out and out[-1][1] == start:
+            out[-1] = (out[-1][0], stop)
+        else:
+            out.append((start, stop))
+    return out
+
+
 class Shard:
     """The candidates of one task: their projections in a kd-tree, and how to search them.  ``centre`` and ``top`` are the
     mean of all candidates and the largest squared distance from it."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, centre: np.ndarray, top: float, dims: int, confidence: float, seed: int):
-        self.ids, self.points, self.centre, self.top = ids, points, centre, top
+        self.centre, self.top = centre, top
         self.project = np.random.default_rng(seed).standard_normal((points.shape[1] + 1, dims))
         moved = points - centre
         lift = np.sqrt(np.maximum(top - (moved * moved).sum(axis=1), 0))
-        self.places = np.column_stack([moved, lift]) @ self.project
-        self.tree = KDTree(self.places)
+        places = np.column_stack([moved, lift]) @ self.project
+        self.tree = KDTree(places)
+        # in the order of the leaves, so that a leaf is one slice
+        self.ids, self.points, self.places = ids[self.tree.order], points[self.tree.order], places[self.tree.order]
+        self.half = (self.places * self.places).sum(axis=1) / 2
         self.stop_at = chi_square_quantile(confidence, dims)
         self.longest, self.verified = math.sqrt((points * points).sum(axis=1).max()), 0
 
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best ``k`` found for a query, itself left out."""
+        power = _power(float(np.abs(query).max()))
+        query = np.ldexp(query, -power)
         scale = math.sqrt(self.top / float(query @ query))
         place, offset = scale * query @ self.project[:-1], float(query @ self.centre)
         leaves, boxes = self.tree.leaves(place)
         slack = 1e-12 * self.longest * math.sqrt(float(query @ query))  # rounding must not break ties
-        scores, rows, limit, at = np.zeros(0), np.zeros(0, dtype=np.int64), np.inf, 0
+        scores, rows, limit, at, step = np.zeros(0), np.zeros(0, dtype=np.int64), np.inf, 0, LEAVES
         waiting, distance = np.zeros(0, dtype=np.int64), np.zeros(0)
+        square = float(place @ place)
         while at < len(leaves) and boxes[at] <= limit or len(distance) and distance.min() <= limit:
-            read = leaves[at : at + 32]
-            if len(read):
-                new = np.concatenate([self.tree.order[start:stop] for start, stop in (self.tree.leaf_span[i] for i in read)])
-                new = new[self.ids[new] != own]
-                gap = self.places[new] - place
-                waiting, distance = np.append(waiting, new), np.append(distance, (gap * gap).sum(axis=1))
-                at += len(read)
+            spans = [self.tree.leaf_span[i] for i in np.sort(leaves[at : at + step])]
+            if spans:
+                gaps = [self.half[a:b] - self.places[a:b] @ place for a, b in _joined(spans)]
+                new = np.concatenate([np.arange(a, b) for a, b in _joined(spans)])
+                gap = np.maximum(2 * np.concatenate(gaps) + square, 0.0)
+                near = np.flatnonzero((gap <= limit) & (self.ids[new] != own))
+                waiting, distance = np.append(waiting, new[near]), np.append(distance, gap[near])
+                at, step = at + len(spans), 2 * step
             bound = boxes[at] if at < len(leaves) else np.inf
             ready = np.flatnonzero(distance <= min(bound, limit))
-            ready = ready[np.argsort(distance[ready], kind="stable")]
+            ready = ready[np.argsort(distance[ready])]
             for lo in range(0, len(ready), PORTION):
-                part = ready[lo : lo + PORTION]
-                if distance[part[0]] > limit:
+                if distance[ready[lo]] > limit:
                     break
-                some = waiting[part]
+                some = np.sort(waiting[ready[lo : lo + PORTION]])
                 self.verified += len(some)
                 scores, rows = np.append(scores, self.points[some] @ query), np.append(rows, some)
                 if len(rows) >= k:
@@ -128,7 +152,8 @@ class Shard:
             waiting, distance = waiting[left], distance[left]
         exact = (self.points[rows] * query).sum(axis=1)  # row by row, so that equal vectors tie exactly
         first = np.lexsort((self.ids[rows], -exact))[:k]
-        return self.ids[rows[first]], exact[first]
+        with np.errstate(over="ignore"):
+            return self.ids[rows[first]], np.ldexp(exact[first], power)
 
 
 def nearest(
@@ -154,7 +179,14 @@ def nearest(
     clean = clean.where(usable("v") & (F.size("v") == size) & F.col("id").isNotNull())
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = asked.where(usable("v") & (F.size("v") == size) & F.col("id").isNotNull()).dropDuplicates(["id"])
-    means = clean.agg(F.count("*").alias("n"), *[F.avg(F.get("v", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(size)]).first()
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    averages = [F.avg(F.get("v", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(size)]
+    means = clean.agg(F.count("*").alias("n"), largest.alias("largest"), *averages).first()
+    power = _power(means["largest"] or 1.0)
+    if power:  # dividing by a power of two changes no digit
+        half, rest = 2.0 ** -(power // 2), 2.0 ** -(power - power // 2)
+        clean = clean.withColumn("v", F.transform("v", lambda x: x.cast("double") * half * rest))
+        means = clean.agg(F.count("*").alias("n"), *averages).first()
     n, centre = means["n"], np.array([means[f"m{i}"] or 0.0 for i in range(size)])
     apart = F.zip_with("v", F.array(*[F.lit(float(x)) for x in centre]).cast("array<double>"), lambda x, m: x.cast("double") - m)
     square = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x * x)
@@ -172,6 +204,8 @@ def nearest(
             shard = Shard(points["id"].to_numpy(), matrix(points["v"]), centre, top, dims, confidence, seed)
             for own, query in zip(wanted["id"].to_pylist(), matrix(wanted["v"])):
                 found, scores = shard.best(own, query, k)
+                with np.errstate(over="ignore"):
+                    scores = np.ldexp(scores, power)
                 for held, values in zip(out, ([own] * len(found), found.tolist(), scores.tolist())):
                     held.extend(values)
         kinds = [pa.int64(), pa.int64(), pa.float64()]
