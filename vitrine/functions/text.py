@@ -87,9 +87,10 @@ def snippet(col: Column, limit: int = 240) -> Column:
 
 
 def preprocess(col: Column) -> Column:
-    """Rejoin words broken at line ends, turn line ends into spaces, collapse spaces."""
-    joined = F.regexp_replace(col, r"-\s*\n\s*", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"\n", " "), r"\s+", " "))
+    """Line ends as spaces, words of two or more letters broken by a hyphen rejoined, spaces collapsed."""
+    flat = F.replace(F.replace(col, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
+    joined = F.regexp_replace(flat, r"([A-Za-z]{2,})-\s+([A-Za-z]{2,})", "$1$2")
+    return F.trim(F.regexp_replace(joined, r"\s+", " "))
 
 
 def sanitize_ocr(col: Column, cap: int = 1500) -> Column:

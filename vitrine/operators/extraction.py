@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import preprocess, upper_words
+from vitrine.operators.dictionary import of_names as build_dictionary  # noqa: F401
+
+#: Bytes of the phrases that are in every task at once.
+PHRASE_BYTES = 1 << 23
 
 
 def words_of(texts: DataFrame) -> DataFrame:
@@ -16,55 +23,86 @@ def words_of(texts: DataFrame) -> DataFrame:
     return rows.groupBy("item_id", "word").agg(F.count("*").alias("reps"))
 
 
-def build_dictionary(names: DataFrame, ambiguous: list[str], fuzzy_length: int = 7) -> DataFrame:
-    """Triggers of canonical names (canonical, type): (trigger, canonical, type, tier, fuzzy).
+def _placed(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with a place for each trigger; one without any has its triggers in the order of their text."""
+    return dictionary if "place" in dictionary.columns else dictionary.withColumn("place", F.col("trigger"))
+
+
+def _finders(phrases: list[str]) -> ahocorasick.Automaton:
+    """A trie with failure links over the phrases."""
+    finder = ahocorasick.Automaton()
+    for i, phrase in enumerate(phrases):
+        finder.add_word(phrase, (i, len(phrase)))
+    finder.make_automaton()
+    return finder
 
-    Names of several words are found whole (tier 1) and by their last word of four or more letters that isn't ambiguous
-    (tier 2); single words in tier 2.  Of two names with one trigger the smaller stays.  ``fuzzy`` marks long triggers.
-    """
-    upper = names.select(F.upper(F.trim("canonical")).alias("u"), "canonical", "type").withColumn("words", F.split("u", r"\s+"))
-    whole = upper.where(F.size("words") > 1).select(F.col("u").alias("trigger"), "canonical", "type", F.lit(1).alias("tier"))
-    last = upper.withColumn("trigger", F.element_at("words", -1)).where((F.length("trigger") >= 4) & ~F.col("trigger").isin(ambiguous))
-    single = last.select("trigger", "canonical", "type", F.lit(2).alias("tier"))
-    every = whole.unionByName(single).groupBy("trigger", "tier").agg(F.min(F.struct("canonical", "type")).alias("n"))
-    return every.select("trigger", "n.canonical", "n.type", "tier", ((F.col("tier") == 2) & (F.length("trigger") >= fuzzy_length)).alias("fuzzy"))
 
+def occurrences_of(text: str, finder: ahocorasick.Automaton) -> dict[int, int]:
+    """How often each phrase occurs in a text: occurrences that do not overlap others of the same phrase, from the left."""
+    counts: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for last, (i, size) in finder.iter(text):
+        if last - size + 1 > ends.get(i, -1):
+            counts[i] = counts.get(i, 0) + 1
+            ends[i] = last
+    return counts
 
-def phrase_matches(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Tier 1: phrases that occur anywhere in a text, in any case.
 
-    Texts and phrases meet on the end of a word and the beginning of the next one: what a phrase has around its first
-    space is also around a space of any text that holds it.  A text's candidates come together as one array, beside
-    which it is searched in place, so every text is joined once.
+def phrase_matches(texts: DataFrame, dictionary: DataFrame, raw: bool = False, block_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """Tier 1: phrases that occur anywhere in a text, in any case.  ``raw``: the texts are taken as they are.
+
+    The phrases are dealt into blocks of about ``block_bytes``; a block is a trie with failure links in every task, which
+    walks each text once and gives all its phrases, however many there are.  Texts are not moved.
     """
-    first, second = F.split_part("trigger", F.lit(" "), F.lit(1)), F.split_part("trigger", F.lit(" "), F.lit(2))
-    phrases = dictionary.where("tier = 1").select("trigger", "canonical", "type", first.alias("a"), second.alias("b")).where("a != '' and b != ''")
-    phrases = phrases.withColumn("x", F.least(F.length("a"), F.lit(2))).withColumn("y", F.least(F.length("b"), F.lit(3)))
-    joint = lambda a, b, x, y: F.concat(F.right(a, x), F.lit(" "), F.left(b, y))
-    known = phrases.select(joint(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("key"), F.struct("trigger", "canonical", "type").alias("p"))
-    shapes = [(r["x"], r["y"]) for r in phrases.select("x", "y").distinct().collect()]  # six at most
-    upper = texts.select("item_id", F.upper(preprocess(F.col("text"))).alias("t"))
-    words = F.split("t", " ")
-    nexts = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    keys = [F.zip_with(F.slice(words, F.lit(1), F.size(nexts)), nexts, lambda a, b: joint(a, b, F.lit(x), F.lit(y))) for x, y in shapes]  # noqa: B023
-    around = upper.select("item_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *keys))).alias("key"))
-    candidates = around.join(known, "key").groupBy("item_id").agg(F.collect_list("p").alias("c"))
-    reps = lambda p: ((F.length("t") - F.length(F.replace("t", p["trigger"]))) / F.length(p["trigger"])).cast("long")
-    hits = F.transform(F.filter("c", lambda p: F.contains(F.col("t"), p["trigger"])), lambda p: F.struct(p.alias("p"), reps(p).alias("reps")))
-    found = upper.join(candidates, "item_id").select("item_id", F.inline(hits))
-    return found.select("item_id", "p.canonical", "p.type", F.col("p.trigger").alias("form"), "reps", F.lit(1).alias("tier"))
+    spark = texts.sparkSession
+    phrases = _placed(dictionary).where("tier = 1").select("trigger", "canonical", "type", "place")
+    size = phrases.agg(F.sum(F.octet_length("trigger"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    dealt = phrases.withColumn("block", F.pmod(F.xxhash64("trigger"), F.lit(blocks)))
+    upper = texts.select("item_id", F.upper(F.col("text") if raw else preprocess(F.col("text"))).alias("t")).where("t is not null")
+    kind = dict(upper.dtypes)["item_id"]
+    parts = []
+    for block in range(blocks):
+        rows = dealt.where(F.col("block") == block).select("trigger").collect() if blocks > 1 else dealt.select("trigger").collect()  # about block_bytes
+        words = [r["trigger"] for r in rows]
+        if words:
+            parts.append(upper.mapInArrow(_walker(spark.sparkContext.broadcast(words)), f"item_id {kind}, form string, reps long"))
+    none = spark.createDataFrame([], f"item_id {kind}, form string, reps long")
+    found = reduce(DataFrame.unionByName, parts) if parts else none
+    named = phrases.withColumnRenamed("trigger", "form")
+    return found.join(named, "form").select("item_id", "canonical", "type", "form", "reps", F.lit(1).alias("tier"), "place")
+
+
+def _walker(shared):
+    """What a task does: every text through the trie of the shared phrases."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        finder = _finders(words)
+        for batch in batches:
+            rows, forms, reps = [], [], []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                for i, n in occurrences_of(text, finder).items():
+                    rows.append(r)
+                    forms.append(words[i])
+                    reps.append(n)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([ids, pa.array(forms, pa.string()), pa.array(reps, pa.int64())], names=["item_id", "form", "reps"])
+
+    return walk
 
 
 def word_matches(words: DataFrame, dictionary: DataFrame, common: list[str], variants: DataFrame | None = None) -> DataFrame:
     """Tier 2: single words of a text that are triggers.  ``variants`` (variant, canonical, type) are known misreadings,
     which go before the dictionary and count although they are common words."""
-    triggers = dictionary.where("tier = 2").select(F.col("trigger").alias("word"), "canonical", "type")
+    dictionary = _placed(dictionary)
+    triggers = dictionary.where("tier = 2").select(F.col("trigger").alias("word"), "canonical", "type", "place")
     if variants is not None:
-        known = variants.select(F.upper("variant").alias("word"), "canonical", "type")
-        misread = words.join(known, "word").select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(2).alias("tier"))
+        known = variants.select(F.upper("variant").alias("word"), "canonical", "type", F.lit(None).cast(dictionary.schema["place"].dataType).alias("place"))
+        misread = words.join(known, "word").select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(2).alias("tier"), "place")
         return misread.unionByName(word_matches(words.join(known, "word", "left_anti"), dictionary, common))
     hit = words.where(~F.col("word").isin(common)).join(triggers, "word")
-    return hit.select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(2).alias("tier"))
+    return hit.select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(2).alias("tier"), "place")
 
 
 def _deletions(col: Column) -> Column:
@@ -73,49 +111,71 @@ def _deletions(col: Column) -> Column:
     return F.array_distinct(F.array_append(shorter, col))
 
 
-def fuzzy_matches(words: DataFrame, dictionary: DataFrame, common: list[str], least: int = 7) -> DataFrame:
-    """Tier 3: long words one edit away from a long trigger.
+def fuzzy_matches(words: DataFrame, dictionary: DataFrame, common: list[str], least: int = 7, taken: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
+    """Tier 3: long words one edit away from a long trigger, of several the one that was written first.  Words that are
+    triggers or known ``variants`` themselves are not misread; names that an item has by an earlier tier (``taken``:
+    item_id, canonical) leave the word to the next trigger.
 
     Two words at most one edit apart share a form with at most one letter left out, so the pairs come from an equality
     join; the distance itself is checked after."""
-    vocabulary = words.select("word").distinct().where((F.length("word") >= least) & ~F.col("word").isin(common))
-    triggers = dictionary.where("fuzzy").select("trigger", "canonical", "type")
+    exact = dictionary.where("tier = 2").select(F.col("trigger").alias("word"))
+    if variants is not None:
+        exact = exact.unionByName(variants.select(F.upper("variant").alias("word")))
+    vocabulary = words.select("word").distinct().where((F.length("word") >= least) & ~F.col("word").isin(common)).join(exact, "word", "left_anti")
+    triggers = _placed(dictionary).where((F.col("tier") == 3) & (F.length("trigger") >= least)).select("trigger", "canonical", "type", "place")
     left = vocabulary.select("word", F.explode(_deletions(F.col("word"))).alias("form"))
-    right = triggers.select("trigger", "canonical", "type", F.explode(_deletions(F.col("trigger"))).alias("form"))
-    near = left.join(right, "form").select("word", "trigger", "canonical", "type").distinct()
-    near = near.where(F.levenshtein("word", "trigger", 1) == 1).groupBy("word").agg(F.min(F.struct("trigger", "canonical", "type")).alias("n"))
-    hit = words.join(near, "word")
-    return hit.select("item_id", "n.canonical", "n.type", F.col("word").alias("form"), "reps", F.lit(3).alias("tier"))
-
-
-def context_matches(words: DataFrame, rules: DataFrame, least: int = 2) -> DataFrame:
+    right = triggers.select("trigger", "canonical", "type", "place", F.explode(_deletions(F.col("trigger"))).alias("form"))
+    near = left.join(right, "form").select("word", "trigger", "canonical", "type", "place").distinct().where(F.levenshtein("word", "trigger", 1) == 1)
+    if taken is None:
+        near = near.groupBy("word").agg(F.min_by(F.struct("canonical", "type", "place"), "place").alias("n"))
+        hit = words.join(near, "word")
+    else:
+        open_ = words.join(near, "word").join(taken.select("item_id", "canonical").distinct(), ["item_id", "canonical"], "left_anti")
+        hit = open_.groupBy("item_id", "word").agg(F.min_by(F.struct("canonical", "type", "place"), "place").alias("n"), F.max("reps").alias("reps"))
+    return hit.select("item_id", "n.canonical", "n.type", F.col("word").alias("form"), "reps", F.lit(3).alias("tier"), "n.place")
+
+
+def context_matches(words: DataFrame, rules: DataFrame, least: int = 2, inside: bool = False) -> DataFrame:
     """Tier 4: ambiguous words with at least ``least`` of their context words in the same text.  ``rules``: word,
-    canonical, type, context array."""
-    hit = words.join(rules, "word").select("item_id", "word", "canonical", "type", "reps", F.explode("context").alias("other"))
-    found = hit.join(words.select("item_id", F.col("word").alias("other")), ["item_id", "other"])
-    counted = found.groupBy("item_id", "word", "canonical", "type").agg(F.countDistinct("other").alias("n"), F.max("reps").alias("reps"))
+    canonical, type, context array.  ``inside``: a context word may also lie within a word of the text."""
+    hit = words.join(rules, "word").select("item_id", "word", "canonical", "type", "reps", F.explode(F.array_distinct("context")).alias("other"))
+    if inside:
+        # only the texts that have the word are looked at again, each of their words once for each rule
+        wanted = rules.select("word", F.explode(F.array_distinct("context")).alias("other"))
+        near = words.select("item_id", F.col("word").alias("said")).distinct().join(hit.select("item_id", "word").distinct(), "item_id")
+        found = near.join(wanted, "word").where(F.contains("said", "other")).select("item_id", "word", "other").distinct()
+        counted = hit.join(found, ["item_id", "word", "other"])
+    else:
+        counted = hit.join(words.select("item_id", F.col("word").alias("other")), ["item_id", "other"])
+    counted = counted.groupBy("item_id", "word", "canonical", "type").agg(F.countDistinct("other").alias("n"), F.max("reps").alias("reps"))
     return counted.where(F.col("n") >= least).select("item_id", "canonical", "type", F.col("word").alias("form"), "reps", F.lit(4).alias("tier"))
 
 
 def by_priority(tiers: list[DataFrame]) -> DataFrame:
-    """One match per item and canonical name: the lowest tier's, of several forms there the smallest."""
-    every = reduce(DataFrame.unionByName, tiers)
-    best = F.min(F.struct("tier", "form", "type", "reps")).alias("m")
+    """One match per item and canonical name: the lowest tier's; of several forms there, of phrases the one that was
+    written first, else the smallest."""
+    order = F.when(F.col("tier") == 1, F.col("place")) if any("place" in t.columns for t in tiers) else F.lit(None)
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tiers)
+    best = F.min(F.struct("tier", order.alias("o"), "form", "type", "reps")).alias("m")
     return every.groupBy("item_id", "canonical").agg(best).select("item_id", "canonical", "m.type", "m.form", "m.reps", "m.tier")
 
 
-def scan(texts: DataFrame, dictionary: DataFrame, rules: DataFrame, common: list[str], fuzzy: bool = True) -> DataFrame:
-    """All tiers over the texts."""
-    words = words_of(texts)
-    tiers = [phrase_matches(texts, dictionary), word_matches(words, dictionary, common)]
+def scan(texts: DataFrame, dictionary: DataFrame, rules: DataFrame, common: list[str], fuzzy: bool = True, variants: DataFrame | None = None, raw: bool = False, inside: bool = False) -> DataFrame:
+    """All tiers over the texts, each for the names that earlier ones have not found in a text."""
+    read = texts if raw else texts.select("item_id", preprocess(F.col("text")).alias("text"))
+    words = words_of(read)
+    tiers = [phrase_matches(read, dictionary, True), word_matches(words, dictionary, common, variants)]
     if fuzzy:
-        tiers.append(fuzzy_matches(words, dictionary, common))
-    return by_priority([*tiers, context_matches(words, rules)])
+        taken = reduce(DataFrame.unionByName, [t.select("item_id", "canonical") for t in tiers])
+        tiers.append(fuzzy_matches(words, dictionary, common, taken=taken, variants=variants))
+    return by_priority([*tiers, context_matches(words, rules, inside=inside)])
 
 
 def scan_places(texts: DataFrame, dictionary: DataFrame, rules: DataFrame, common: list[str], default: str = "region") -> DataFrame:
-    """Places in the texts: as ``scan`` without the fuzzy tier; a place without a type is a ``default``."""
-    return scan(texts, dictionary, rules, common, False).withColumn("type", F.coalesce("type", F.lit(default)))
+    """Places in the texts, taken as they are: as ``scan`` without the fuzzy tier, context words also within other words; a
+    place without a type is a ``default``."""
+    found = scan(texts, dictionary, rules, common, False, raw=True, inside=True)
+    return found.withColumn("type", F.coalesce("type", F.lit(default)))
 
 
 def unmatched(words: DataFrame, matches: DataFrame, common: list[str], limit: int = 20) -> DataFrame:

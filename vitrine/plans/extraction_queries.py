@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vitrine.operators import dictionary
 from vitrine.operators import extraction as ex
 from vitrine.operators import suggestion as sg
 from vitrine.operators.numbering import row_numbers
@@ -35,11 +37,11 @@ def text_words(spark, sf_dir):
 
 @register(
     "word_matches",
-    f"WITH {NAMES_SQL}, {WORDS_SQL} SELECT item_id, word AS canonical, 'name' AS type, word AS form, reps, 2 AS tier FROM words SEMI JOIN names USING (word) WHERE length(word) >= 4 AND word <> 'THAT'",
+    f"WITH {NAMES_SQL}, {WORDS_SQL} SELECT item_id, word AS canonical, 'name' AS type, word AS form, reps, 2 AS tier FROM words SEMI JOIN names USING (word) WHERE word <> 'THAT'",
 )
 def word_matches(spark, sf_dir):
     names = _words(spark, sf_dir).select(F.col("word").alias("canonical"), F.lit("name").alias("type"))
-    return ex.word_matches(ex.words_of(_texts(spark, sf_dir)), ex.build_dictionary(names, []), ["THAT"])
+    return ex.word_matches(ex.words_of(_texts(spark, sf_dir)), ex.build_dictionary(names, []), ["THAT"]).drop("place")
 
 
 def _phrases(spark, sf_dir):
@@ -51,23 +53,53 @@ def _phrases(spark, sf_dir):
 @register(
     "phrase_matches",
     """WITH p AS (SELECT DISTINCT regexp_extract(upper(replace(text, 'ß', 'ss')), '^\\s*([A-Z]{2,} [A-Z]{2,})', 1) AS c FROM documents), q AS (SELECT c FROM p WHERE c <> ''),
-t AS (SELECT doc_id AS item_id, upper(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, 'ß', 'ss'), '-\\s*\\n\\s*', '', 'g'), '\\n', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM documents)
+t AS (SELECT doc_id AS item_id, upper(trim(regexp_replace(regexp_replace(replace(replace(replace(text, 'ß', 'ss'), chr(10), ' '), chr(13), ''), '([A-Za-z]{2,})-\\s+([A-Za-z]{2,})', '\\1\\2', 'g'), '\\s+', ' ', 'g'))) AS t FROM documents)
 SELECT item_id, c AS canonical, 'phrase' AS type, c AS form, (length(t) - length(replace(t, c, ''))) // length(c) AS reps, 1 AS tier
 FROM t JOIN q ON contains(t, c)""",
 )
 def phrase_matches(spark, sf_dir):
-    return ex.phrase_matches(_texts(spark, sf_dir), ex.build_dictionary(_phrases(spark, sf_dir), []))
+    return ex.phrase_matches(_texts(spark, sf_dir), ex.build_dictionary(_phrases(spark, sf_dir), [])).drop("place")
 
 
 @register(
     "fuzzy_matches",
-    f"""WITH {NAMES_SQL}, {WORDS_SQL}, v AS (SELECT DISTINCT word FROM words WHERE length(word) >= 7), n AS (SELECT word AS t FROM names WHERE length(word) >= 7),
+    f"""WITH {NAMES_SQL}, {WORDS_SQL}, v AS (SELECT DISTINCT word FROM words WHERE length(word) >= 7 AND word NOT IN (SELECT word FROM names)), n AS (SELECT word AS t FROM names WHERE length(word) >= 7),
 near AS (SELECT word, min(t) AS t FROM v JOIN n ON abs(length(word) - length(t)) <= 1 AND levenshtein(word, t) = 1 GROUP BY 1)
 SELECT item_id, t AS canonical, 'name' AS type, word AS form, reps, 3 AS tier FROM words JOIN near USING (word)""",
 )
 def fuzzy_matches(spark, sf_dir):
     names = _words(spark, sf_dir).select(F.col("word").alias("canonical"), F.lit("name").alias("type"))
-    return ex.fuzzy_matches(ex.words_of(_texts(spark, sf_dir)), ex.build_dictionary(names, []), [])
+    return ex.fuzzy_matches(ex.words_of(_texts(spark, sf_dir)), ex.build_dictionary(names, []), []).drop("place")
+
+
+#: Names and mentions of parts, then suppliers' names and triggers; the rules of precedence written out.
+DICTIONARY_SQL = """a AS (SELECT p_name AS canonical, min(p_partkey) AS pos, arg_min(p_brand, p_partkey) AS type FROM part GROUP BY 1),
+w AS (SELECT *, string_split(canonical, ' ') AS w FROM a), m AS (SELECT DISTINCT a.canonical, pos, upper(m) AS t FROM a JOIN (SELECT p_name, unnest([p_type, p_brand || ' ' || p_type, p_type || ' a b c d', 'ab']) AS m FROM part) ON p_name = a.canonical),
+b AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'Sup ' || s_name END AS canonical, s_name AS type, ['promo', 'x' || s_suppkey, 'ring'] AS singles, ['Promo Two', s_name || ' inc'] AS multis FROM supplier),
+x AS (SELECT 1 AS tier, upper(canonical) AS t, canonical, 0 AS s, pos, 0 AS k FROM w WHERE len(w) > 1
+  UNION ALL SELECT unnest([2, 3]), upper(w[-1]), canonical, 0, pos, 1 FROM w WHERE upper(w[-1]) <> 'BOLT' AND (len(w) = 1 OR length(w[-1]) >= 4)
+  UNION ALL SELECT CASE WHEN len(string_split(t, ' ')) > 1 THEN 1 ELSE 2 END, t, canonical, 0, pos, 2 FROM m WHERE len(string_split(t, ' ')) BETWEEN 2 AND 4 OR (len(string_split(t, ' ')) = 1 AND t <> 'BOLT' AND length(t) >= 4)
+  UNION ALL SELECT unnest([2, 3]), t, canonical, 1, pos, 0 FROM (SELECT upper(unnest(singles)) AS t, canonical, pos FROM b) WHERE t <> 'BOLT'
+  UNION ALL SELECT 1, upper(unnest(multis)), canonical, 1, pos, 1 FROM b UNION ALL SELECT 1, upper(canonical), canonical, 1, pos, 2 FROM b WHERE contains(canonical, ' ')),
+y AS (SELECT * FROM x WHERE NOT (tier = 3 AND s = 0 AND t = 'GEAR')),
+f AS (SELECT tier, t, coalesce(arg_max(canonical, (pos, k, t)) FILTER (s = 0), arg_min(canonical, (pos, k, t)) FILTER (s = 1)) AS canonical, min((s, pos, k)) AS place FROM y GROUP BY 1, 2),
+c AS (SELECT canonical, arg_min(type, (s, pos)) AS type FROM (SELECT canonical, type, 0 AS s, pos FROM a UNION ALL SELECT canonical, type, 1, pos FROM b) GROUP BY 1)"""
+
+
+@register("built_dictionary", f"WITH {DICTIONARY_SQL} SELECT t AS trigger, f.canonical, type, tier, CAST(dense_rank() OVER (ORDER BY place, t) AS BIGINT) AS place FROM f JOIN c USING (canonical)")
+def built_dictionary(spark, sf_dir):
+    """Triggers of parts found before, in their order, and of suppliers where nothing has them yet."""
+    part = table(spark, sf_dir, "part")
+    said = F.array("p_type", F.concat_ws(" ", "p_brand", "p_type"), F.concat("p_type", F.lit(" a b c d")), F.lit("ab"))
+    prior = part.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("canonical"), F.col("p_brand").alias("type"), F.explode(said).alias("mention"))
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    more = table(spark, sf_dir, "supplier").select(
+        key.alias("pos"), F.when(key % 3 == 0, name).otherwise(F.concat(F.lit("Sup "), name)).alias("canonical"), name.alias("type"),
+        F.array(F.lit("promo"), F.concat(F.lit("x"), key.cast("string")), F.lit("ring")).alias("singles"), F.array(F.lit("Promo Two"), F.concat(name, F.lit(" inc"))).alias("multis"),
+    )
+    found = dictionary.build(prior, more, ("BOLT",), ("GEAR",))
+    order = F.dense_rank().over(Window.orderBy("place.source", "place.pos", "place.step", "trigger"))  # the triggers of two small tables
+    return found.select("trigger", "canonical", "type", "tier", order.cast("long").alias("place"))
 
 
 RULES = [("THE", "The One", "sort", ["AND", "OF", "DER"]), ("DIE", "Die", "sort", ["UND", "DER", "DE"])]
@@ -85,6 +117,19 @@ def context_matches(spark, sf_dir):
     return ex.context_matches(ex.words_of(_texts(spark, sf_dir)), rules)
 
 
+@register(
+    "place_context",
+    f"""WITH {WORDS_SQL}, r AS (SELECT unnest([{{'word': 'THE', 'c': 'The One', 'x': ['AND', 'OF', 'DER']}}, {{'word': 'DIE', 'c': 'Die', 'x': ['UND', 'DER', 'DE']}}]) AS r),
+h AS (SELECT item_id, words.word, r.c AS canonical, reps, unnest(r.x) AS other FROM words JOIN r ON words.word = r.word)
+SELECT h.item_id, canonical, 'sort' AS type, h.word AS form, max(h.reps) AS reps, 4 AS tier FROM h JOIN words o ON o.item_id = h.item_id AND contains(o.word, h.other)
+GROUP BY ALL HAVING count(DISTINCT other) >= 2""",
+)
+def place_context(spark, sf_dir):
+    """Context words also within other words."""
+    rules = spark.createDataFrame(RULES, "word string, canonical string, type string, context array<string>")
+    return ex.context_matches(ex.words_of(_texts(spark, sf_dir)), rules, inside=True)
+
+
 @register("dictionary_scan")
 def dictionary_scan(spark, sf_dir):
     """All tiers with their priority; each tier has its own SQL above, and their priority a test."""
@@ -104,7 +149,7 @@ def unmatched_words(spark, sf_dir):
     return ex.unmatched(words, matches, []).withColumn("candidates", F.array_join("candidates", "|"))
 
 
-REPORT = f"{NAMES_SQL}, {WORDS_SQL}, m AS (SELECT * FROM words SEMI JOIN names USING (word) WHERE length(word) >= 4)"
+REPORT = f"{NAMES_SQL}, {WORDS_SQL}, m AS (SELECT * FROM words SEMI JOIN names USING (word))"
 
 
 @register(

@@ -230,7 +230,7 @@ def rarity_lookup(spark, sf_dir):
 
 @register(
     "run_summary",
-    f"""WITH {NAMES_SQL}, {WORDS_SQL}, m AS (SELECT * FROM words SEMI JOIN names USING (word) WHERE length(word) >= 4), p AS (SELECT item_id, count(*) AS c, sum(reps) AS reps FROM m GROUP BY 1),
+    f"""WITH {NAMES_SQL}, {WORDS_SQL}, m AS (SELECT * FROM words SEMI JOIN names USING (word)), p AS (SELECT item_id, count(*) AS c, sum(reps) AS reps FROM m GROUP BY 1),
 d AS (SELECT doc_id, length(trim(text, ' ')) >= 10 AS long, c, reps FROM documents LEFT JOIN p ON item_id = doc_id)
 SELECT CAST(count_if(long) AS BIGINT) AS processed, CAST(count_if(NOT long) AS BIGINT) AS too_short, CAST(count_if(long AND c > 0) AS BIGINT) AS with_matches, CAST(count_if(long AND c IS NULL) AS BIGINT) AS without_matches,
   CAST(coalesce(sum(c), 0) AS BIGINT) AS matches, CAST(coalesce(sum(reps), 0) AS BIGINT) AS reps, (SELECT count(DISTINCT lower(word)) FROM m) AS names FROM d""",
@@ -243,11 +243,11 @@ def run_summary(spark, sf_dir):
 
 @register(
     "best_bands",
-    """WITH b AS (SELECT user_id AS id, max(CASE WHEN value >= 80 THEN 2 WHEN value >= 40 THEN 1 ELSE 0 END) AS b FROM events WHERE event_id % 40 = 0 GROUP BY 1)
+    """WITH b AS (SELECT user_id AS id, max(CASE WHEN value >= 80 THEN 2 WHEN value >= 40 THEN 1 ELSE 0 END) AS b FROM events GROUP BY 1)
 SELECT CASE b WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'none' END AS best, count(*) AS items FROM customer LEFT JOIN b ON id = c_custkey GROUP BY 1""",
 )
 def best_bands(spark, sf_dir):
-    found = table(spark, sf_dir, "events").where("event_id % 40 = 0").select(F.col("user_id").alias("id"), sg.band(F.col("value"), F.lit(80.0), F.lit(40.0)).alias("band"))
+    found = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), sg.band(F.col("value"), F.lit(80.0), F.lit(40.0)).alias("band"))
     return sg.best_bands(found, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
 
 
@@ -264,12 +264,12 @@ def era_sample(spark, sf_dir):
 @register(
     "misread_words",
     f"""WITH {NAMES_SQL}, {WORDS_SQL} SELECT item_id, CASE word WHEN 'THE' THEN 'Thee' ELSE word END AS canonical, CASE word WHEN 'THE' THEN 'form' ELSE 'name' END AS type, word AS form, reps, 2 AS tier
-FROM words WHERE word = 'THE' OR (word IN (SELECT word FROM names) AND length(word) >= 4 AND word <> 'THAT')""",
+FROM words WHERE word = 'THE' OR (word IN (SELECT word FROM names) AND word <> 'THAT')""",
 )
 def misread_words(spark, sf_dir):
     names = _words(spark, sf_dir).select(F.col("word").alias("canonical"), F.lit("name").alias("type"))
     variants = spark.createDataFrame([("the", "Thee", "form")], "variant string, canonical string, type string")
-    return extraction.word_matches(extraction.words_of(_texts(spark, sf_dir)), extraction.build_dictionary(names, []), ["THAT", "THE"], variants)
+    return extraction.word_matches(extraction.words_of(_texts(spark, sf_dir)), extraction.build_dictionary(names, []), ["THAT", "THE"], variants).drop("place")
 
 
 @register("place_scan")
