@@ -42,8 +42,9 @@ def modified_epoch(modified: Column, created: Column) -> Column:
 
 
 def pretty_date(col: Column) -> Column:
-    """``March 5, 2020`` for an ISO date."""
-    return F.date_format(col.try_cast("date"), "MMMM d, yyyy")
+    """``March 5, 2020`` for an ISO date of year, month and day; any other text as it is."""
+    day = F.when(col.cast("string").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), col.cast("string").try_cast("date"))
+    return F.coalesce(F.date_format(day, "MMMM d, yyyy"), col.cast("string"))
 
 
 #: How coverage of each kind is read: fixed values.

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 #: English words that carry no meaning of their own: fixed values.
 STOPWORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by "
-    "can could did do does doing down during each few for from further get got had has have having he her here hers herself "
-    "him himself his how i if in into is it its itself just let may me might more most my myself no nor not now of off on "
-    "once only or other our ours ourselves out over own same shall she should so some such than that the their theirs them "
-    "themselves then there these they this those through to too under until up us very was we were what when where which "
-    "while who whom why will with would you your yours yourself yourselves"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between", "both", "but", "by",
+    "can", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "get", "got", "had", "has", "have", "having", "he", "her", "here", "hers", "herself",
+    "him", "himself", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "let", "may", "me", "might", "more", "most", "my", "myself", "no", "nor", "not", "now", "of", "off", "on",
+    "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "shall", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them",
+    "themselves", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "us", "very", "was", "we", "were", "what", "when", "where", "which",
+    "while", "who", "whom", "why", "will", "with", "would", "you", "your", "yours", "yourself", "yourselves",
+)
 
 
 def _folds() -> tuple[str, str]:
@@ -75,9 +75,11 @@ def slugify(col: Column) -> Column:
 
 
 def truncate_words(col: Column, limit: int) -> Column:
-    """At most ``limit`` characters, cut back to a word boundary, with an ellipsis where something was cut."""
-    cut = F.regexp_replace(F.substring(col, 1, limit), r"\s+\S*\z", "")
-    return F.when(F.length(col) <= limit, col).otherwise(F.concat(cut, F.lit("…")))
+    """At most ``limit`` characters; where something is cut, the last word that is left goes too, whole or not, and an
+    ellipsis follows.  A single word stays."""
+    cut = F.substring(col, 1, limit)
+    shorter = F.when(cut.rlike(r"\S\s+\S+\s*\z"), F.regexp_replace(cut, r"\s+\S+\s*\z", "")).otherwise(F.regexp_replace(cut, r"^\s+|\s+\z", ""))
+    return F.when(F.length(col) <= limit, col).otherwise(F.concat(shorter, F.lit("…")))
 
 
 def snippet(col: Column, limit: int = 240) -> Column:
@@ -114,8 +116,17 @@ def box_category(col: Column) -> Column:
 
 
 def collapse_initials(col: Column) -> Column:
-    """``T. S. Eliot`` as ``T.S. Eliot``."""
-    return F.regexp_replace(col, r"\b([A-Z])\.\s+(?=[A-Z]\.)", "$1.")
+    """``T. S. Eliot`` as ``T.S. Eliot``: pairs of initials from the left, so of three the third stays apart."""
+    return F.regexp_replace(col, r"([A-Z]\.) +([A-Z]\.)", "$1$2")
+
+
+def canonical_name(col: Column, overrides: dict[str, str]) -> Column:
+    """A name with collapsed initials, or the form that ``overrides`` has for it, whatever its case."""
+    name = collapse_initials(col)
+    if not overrides:
+        return name
+    known = F.create_map(*[F.lit(x) for given, form in overrides.items() for x in (given.lower(), form)])
+    return F.coalesce(F.try_element_at(known, F.lower(name)), name)
 
 
 def mention_name(col: Column) -> Column:
@@ -133,10 +144,23 @@ def catalog_id(year: Column, number: Column) -> Column:
     return F.concat(F.lit("JS-"), F.coalesce(F.lpad(year.cast("string"), 4, "0"), F.lit("0000")), F.lit("-T"), number.cast("string"))
 
 
+def _plain(number: Column) -> Column:
+    """To one decimal, without a trailing ``.0``."""
+    return F.regexp_replace(F.format_number(F.round(number, 1), 1), r"\.0$|,", "")
+
+
 def both_units(inches: Column) -> Column:
     """A length in inches and centimetres, without a trailing ``.0``."""
-    plain = lambda x: F.regexp_replace(F.format_number(x, 1), r"\.0$|,", "")
-    return F.concat(plain(inches), F.lit(" in ("), plain(F.round(inches * 2.54, 1)), F.lit(" cm)"))
+    return F.concat(_plain(inches), F.lit(" in ("), _plain(inches * 2.54), F.lit(" cm)"))
+
+
+def dimensions(height: Column, width: Column, extent: Column) -> Column:
+    """``h × w in (h × w cm)`` from texts that are numbers, one length where only one is, else the extent as it is."""
+    shape = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+    number = lambda c: F.when(c.cast("string").rlike(shape), F.trim(c.cast("string")).try_cast("double"))
+    h, w = number(height), number(width)
+    both = F.concat(_plain(h), F.lit(" × "), _plain(w), F.lit(" in ("), _plain(h * 2.54), F.lit(" × "), _plain(w * 2.54), F.lit(" cm)"))
+    return F.coalesce(both, both_units(F.coalesce(h, w)), F.when(extent != "", extent))
 
 
 def split_values(col: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,59 +49,97 @@ def action_report(value: DataFrame, actions: DataFrame) -> DataFrame:
 FIRST_YEAR, LAST_YEAR = 1989, 2024
 
 
-def _issue(test: Column, name: str, level: str, message: str) -> Column:
-    return F.when(test, F.struct(F.lit(name).alias("field"), F.lit(level).alias("level"), F.lit(message).alias("message")))
+#: Signs that say where a work is signed, and what dates and numbers must not or must look like: fixed values.
+SIGNATURES = ("↖", "↑", "↗", "←", "∅", "→", "↙", "↓", "↘")
+EXIF_STAMP, ISO_STAMP, BARE_NUMBER = r"^\d{4}:\d{2}:\d{2}\s+\d{2}:\d{2}:\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ]", r"^\d+(\.\d+)?$"
+#: Fields that may not be empty, in the order of a record's checks.
+REQUIRED = ("identifier", "work_type", "support", "framing", "owner", "location", "box", "transcription")
 
 
-#: Fields that a record must have where its table has them, and the signs that say where a work is signed: fixed values.
-REQUIRED = ("identifier", "work_type", "support", "framing", "owner", "location", "box", "transcription")
-SIGNATURES = ("↖", "↑", "↗", "←", "∅", "→", "↙", "↓", "↘")
+def _value(name: str) -> Column:
+    """A field without white space at its ends; null is empty."""
+    return F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
+def _values(name: str) -> Column:
+    """The values of a repeatable field that are not blank."""
+    given = F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    return F.filter(given, lambda x: x != "")
+
+
+def _year(date: Column) -> Column:
+    return F.regexp_extract(date, r"(\d{4})", 1).try_cast("int")
+
+
+def _stamp(date: Column) -> Column:
+    return date.rlike(EXIF_STAMP) | date.rlike(ISO_STAMP)
 
 
 def validate_items(wide: DataFrame) -> DataFrame:
-    """Issues of wide records (id, title, date, category, height, width, signed, motifs): an array of structs.
+    """Records with ``issues``: an array of (field, level, message), all of level error.
 
-    Columns of ``REQUIRED``, ``mediums`` (array), ``media_count`` and ``signature`` are checked where the table has them.
+    Checked are the columns that the table has, of identifier, work_type, mediums, support, height, width, signature, date,
+    framing, owner, location, motifs, media_count, box, transcription and category; mediums and motifs are arrays, and any
+    array of texts may not repeat a value.  Values are taken without white space at their ends, null as empty.
     """
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    number = lambda c: F.col(c).try_cast("double")
-    year = F.regexp_extract("date", r"(\d{4})", 1).try_cast("int")
-    dated = ~blank("date") & ~F.col("date").isin("∅", "undated")
-    rules = [
-        _issue(blank("title"), "title", "error", "missing"),
-        _issue(blank("date"), "date", "error", "missing"),
-        _issue(F.col("date").rlike("->|→"), "date", "error", "arrow"),
-        _issue(F.col("date").rlike(r"^\d{4}:\d{2}:\d{2}"), "date", "error", "camera timestamp"),
-        _issue(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}T"), "date", "error", "timestamp"),
-        _issue(dated & (year < FIRST_YEAR), "date", "warning", "too early"),
-        _issue(dated & (year > LAST_YEAR), "date", "warning", "too late"),
-        _issue(blank("category"), "category", "error", "missing"),
-        _issue(~blank("category") & ~F.col("category").isin("A", "B", "C", "D"), "category", "error", "unknown"),
-        _issue(~blank("height") & number("height").isNull(), "height", "error", "not a number"),
-        _issue(~blank("width") & number("width").isNull(), "width", "error", "not a number"),
-        _issue(blank("height"), "height", "warning", "missing"),
-        _issue(blank("width"), "width", "warning", "missing"),
-        _issue(F.col("signed") & ~dated, "date", "warning", "signed but undated"),
-        _issue(~F.col("signed") & dated, "signed", "warning", "dated but unsigned"),
-        _issue(F.size("motifs") == 0, "motifs", "warning", "missing"),
-        _issue(F.size(F.array_distinct("motifs")) < F.size("motifs"), "motifs", "warning", "repeated"),
-    ]
-    rules += [_issue(blank(name), name, "error", "missing") for name in REQUIRED if name in wide.columns]
-    if "mediums" in wide.columns:
-        rules.append(_issue(F.coalesce(F.size("mediums"), F.lit(0)) <= 0, "mediums", "error", "missing"))
-    if "media_count" in wide.columns:
-        rules.append(_issue(F.coalesce("media_count", F.lit(0)) == 0, "media", "error", "no image"))
-    if "signature" in wide.columns:
-        rules.append(_issue(blank("signature"), "signature", "error", "missing"))
-        rules.append(_issue(~blank("signature") & ~F.col("signature").isin(*SIGNATURES), "signature", "error", "unknown"))
-    return wide.withColumn("issues", F.array_compact(F.array(*rules)))
+    rules: list[Column] = []
+
+    def check(name: str, test: Column, message: str, needs: tuple[str, ...] = ()) -> None:
+        if all(c in wide.columns for c in needs or (name,)):
+            rules.append(F.when(test, F.struct(F.lit("media" if name == "media_count" else name).alias("field"), F.lit("error").alias("level"), F.lit(message).alias("message"))))
+
+    def missing(*names: str) -> None:
+        for name in names:
+            check(name, _value(name) == "", "missing")
+
+    date, signature = _value("date"), _value("signature")
+    plain = ~_stamp(date)
+    dated, signed = (date != "") & (date != "∅"), (signature != "") & (signature != "∅")
+    missing("identifier", "work_type")
+    check("mediums", F.size(_values("mediums")) == 0, "missing")
+    missing("support")
+    for name in ("height", "width"):
+        missing(name)
+        check(name, (_value(name) != "") & ~_value(name).rlike(BARE_NUMBER), "non-numeric")
+    missing("signature")
+    check("signature", (signature != "") & ~signature.isin(*SIGNATURES), "invalid")
+    missing("date")
+    check("date", date.rlike(EXIF_STAMP), "EXIF timestamp")
+    check("date", ~date.rlike(EXIF_STAMP) & date.rlike(ISO_STAMP), "ISO timestamp")
+    check("date", plain & (_year(date) < FIRST_YEAR), f"pre-{FIRST_YEAR}")
+    check("date", plain & (_year(date) > LAST_YEAR), "posthumous")
+    missing("framing", "owner", "location")
+    check("motifs", F.size(_values("motifs")) == 0, "missing")
+    check("media_count", F.coalesce(F.col("media_count"), F.lit(0)) == 0 if "media_count" in wide.columns else F.lit(False), "no image")
+    missing("box", "transcription", "category")
+    check("category", (_value("category") != "") & ~_value("category").isin("A", "B", "C", "D"), "invalid")
+    check("date", signed & ~dated, "signed but undated", ("date", "signature"))
+    check("signature", dated & ~signed, "dated but unsigned", ("date", "signature"))
+    for name, kind in wide.dtypes:
+        if kind == "array<string>":
+            check(name, F.size(F.array_distinct(_values(name))) < F.size(_values(name)), "duplicate values")
+    none = F.array().cast("array<struct<field:string,level:string,message:string>>")
+    return wide.withColumn("issues", F.array_compact(F.array(*rules)) if rules else none)
+
+
+def publish_ready(wide: DataFrame) -> Column:
+    """Whether a record that is not public yet may be published: it has an image, a number, a type, a medium, a support, a
+    height and a width that are bare numbers, a known signature, framing, an owner, and a date that is no timestamp and
+    whose year, if it has one, is one of the collection's.  ``wide``: full records; without ``is_public`` none is public.
+    """
+    date, year = _value("date"), _year(_value("date"))
+    there = [_value(name) != "" for name in ("identifier", "work_type", "support", "framing", "owner")]
+    sizes = [_value(name).rlike(BARE_NUMBER) for name in ("height", "width")]
+    fits = (date != "") & ~_stamp(date) & F.coalesce((year >= FIRST_YEAR) & (year <= LAST_YEAR), F.lit(True))
+    new = ~F.coalesce(F.col("is_public").cast("boolean"), F.lit(False)) if "is_public" in wide.columns else F.lit(True)
+    rest = [new, F.coalesce(F.col("media_count"), F.lit(0)) > 0, F.size(_values("mediums")) > 0, _value("signature").isin(*SIGNATURES), fits]
+    return reduce(Column.__and__, there + sizes + rest)
 
 
 def publish_warnings(wide: DataFrame) -> Column:
     """What a record that can be published still lacks: an array of fields, of those that its table has."""
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    none = [F.when(F.coalesce(F.size("motifs"), F.lit(0)) <= 0, "motifs")] if "motifs" in wide.columns else []
-    none += [F.when(blank(name), name) for name in ("transcription", "category", "box", "condition", "location") if name in wide.columns]
+    none = [F.when(F.size(_values("motifs")) == 0, "motifs")] if "motifs" in wide.columns else []
+    none += [F.when(_value(name) == "", name) for name in ("transcription", "category", "box", "condition", "location") if name in wide.columns]
     return F.array_compact(F.array(*none).cast("array<string>"))
 
 
@@ -135,11 +175,6 @@ def issue_queue(validated: DataFrame) -> DataFrame:
     return validated.where(F.size(errors) > 0).select("id", F.size("issues").alias("n"), F.size(errors).alias("errors")).orderBy(F.desc("n"), "id")
 
 
-def publish_ready(validated: DataFrame) -> Column:
-    """No errors."""
-    return ~F.exists("issues", lambda x: x["level"] == "error")
-
-
 def transition_violations(df: DataFrame) -> DataFrame:
     """Rule breaks of submissions (status, item_id, reason)."""
     known = F.col("status").isin("new", "accepted", "rejected")
@@ -190,28 +225,53 @@ def removed_values(value: DataFrame, actions: DataFrame) -> DataFrame:
     return value.join(actions.where(F.col("action").isin("drop", "canon", "split")).select("value", "action"), "value").select(*value.columns, "action")
 
 
+def _first(rows: DataFrame, value: str) -> DataFrame:
+    """(item_id, value): of each item's rows the first by ``pos``, or the least value where rows have no place."""
+    order = "pos" if "pos" in rows.columns else value
+    return rows.groupBy("item_id").agg(F.min_by(value, order).alias(value))
+
+
+def _judged(subjects: DataFrame, actions: DataFrame, boxes: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(subjects with what becomes of them: seeded, drop, nonvisual, canon, split; each item's box category with its seed and
+    prior)."""
+    folded = actions.groupBy(F.lower("value").alias("key")).agg(F.min(F.struct("value", "action", "target")).alias("a"))
+    folded = folded.select("key", F.col("a.action").alias("any_action"), F.col("a.target").alias("any_target"))
+    boxed = _first(boxes.withColumn("category", box_category(F.col("value"))).where("category != ''"), "category").join(seeds, "category", "left")
+    read = subjects.withColumn("key", F.lower("value")).join(actions, "value", "left").join(folded, "key", "left").join(boxed.select("item_id", "seed"), "item_id", "left")
+    exact = F.col("action").isNotNull()
+    action, target = F.coalesce("action", "any_action"), F.when(exact, F.col("target")).otherwise(F.col("any_target"))
+    became = F.when(action.isNotNull() & (F.col("seed") == F.col("value")), "seeded").otherwise(action)
+    return read.select("item_id", "value", became.alias("action"), target.alias("target")), boxed
+
+
 def ground_truth(items: DataFrame, subjects: DataFrame, actions: DataFrame, boxes: DataFrame, seeds: DataFrame, dates: DataFrame, last_early: int) -> DataFrame:
     """(item_id, genuine, box_prior, year, early): what is known of every item, as a training set.
 
     ``subjects``: item_id, value; ``actions``: value, action (canon, split, drop, nonvisual), target array, met exactly or
     else in any case; ``boxes``: item_id, value; ``seeds``: category, seed, prior, the motif that a box once put on its
     items, which then doesn't count as genuine, and what its items tend to show; ``dates``: item_id, year; items up to
-    ``last_early`` are early.
+    ``last_early`` are early.  Of several boxes or years that can be read the first by ``pos`` counts, where boxes and
+    dates have that column.
     """
-    folded = actions.groupBy(F.lower("value").alias("key")).agg(F.min(F.struct("value", "action", "target")).alias("a"))
-    folded = folded.select("key", F.col("a.action").alias("any_action"), F.col("a.target").alias("any_target"))
-    boxed = boxes.select("item_id", box_category(F.col("value")).alias("category")).where("category != ''")
-    boxed = boxed.groupBy("item_id").agg(F.min("category").alias("category")).join(seeds, "category", "left")
-    read = subjects.withColumn("key", F.lower("value")).join(actions, "value", "left").join(folded, "key", "left")
-    read = read.select("item_id", "value", F.coalesce("action", "any_action").alias("action"), F.when(F.col("action").isNotNull(), F.col("target")).otherwise(F.col("any_target")).alias("target"))
-    real = read.join(boxed.select("item_id", "seed"), "item_id", "left").where(F.col("action").isin("canon", "split") & (F.col("seed").isNull() | (F.col("seed") != F.col("value"))))
+    judged, boxed = _judged(subjects, actions, boxes, seeds)
+    real = judged.where(F.col("action").isin("canon", "split"))
     genuine = real.select("item_id", F.explode("target").alias("motif")).groupBy("item_id").agg(F.array_sort(F.collect_set("motif")).alias("genuine"))
-    years = dates.groupBy("item_id").agg(F.min("year").alias("year"))
+    years = _first(dates.where("year is not null and year != 0"), "year")
     joined = items.select("item_id").distinct().join(genuine, "item_id", "left").join(boxed.select("item_id", "prior"), "item_id", "left").join(years, "item_id", "left")
     none = F.array().cast("array<string>")
     return joined.select("item_id", F.coalesce("genuine", none).alias("genuine"), F.col("prior").alias("box_prior"), "year", (F.col("item_id") <= last_early).alias("early"))
 
 
+def ground_truth_counters(subjects: DataFrame, actions: DataFrame, boxes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(counter, n) of ``ground_truth``: rows that a box put there, that are dropped and that show nothing, and for each
+    ``motif:name`` the items that genuinely have it."""
+    judged, _ = _judged(subjects, actions, boxes, seeds)
+    names = F.create_map(*[F.lit(x) for x in ("seeded", "box_derived_rows", "drop", "junk_rows", "nonvisual", "nonvisual_rows")])
+    rows = judged.where(F.col("action").isin("seeded", "drop", "nonvisual")).groupBy("action").agg(F.count("*").alias("n")).select(F.element_at(names, F.col("action")).alias("counter"), "n")
+    motifs = judged.where(F.col("action").isin("canon", "split")).select("item_id", F.explode("target").alias("m")).distinct()
+    return rows.unionByName(motifs.groupBy(F.concat(F.lit("motif:"), F.col("m")).alias("counter")).agg(F.count("*").alias("n")))
+
+
 def enrichment_values(results: DataFrame, present: DataFrame, force: bool = False, default: str = "") -> DataFrame:
     """Values to store out of results (item_id, status, answer): failed ones give none, an empty answer the default;
     several values in one answer become several rows; items in ``present`` keep theirs unless forced."""

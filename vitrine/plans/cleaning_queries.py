@@ -162,7 +162,7 @@ def _records(spark, sf_dir):
         F.element_at(F.array(*[F.lit(c) for c in ("A", "B", "X", "")]), (key % 4 + 1).cast("int")).alias("category"),
         F.when(key % 5 == 0, "tall").otherwise("12").alias("height"),
         F.when(key % 3 == 0, "").otherwise("9.5").alias("width"),
-        (key % 2 == 0).alias("signed"),
+        F.when(key % 2 == 0, "↗").otherwise("∅").alias("signature"),
         F.when(key % 9 == 0, F.array().cast("array<string>")).when(key % 4 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("motifs"),
     )
 
@@ -172,13 +172,10 @@ RECORDS_SQL = """r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THE
   ['A', 'B', 'X', ''][o_orderkey % 4 + 1] AS category, o_orderkey % 5 = 0 AS bad_height, o_orderkey % 3 = 0 AS no_width, o_orderkey % 2 = 0 AS signed,
   CASE WHEN o_orderkey % 9 = 0 THEN 0 WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS motifs FROM orders),
 y AS (SELECT *, TRY_CAST(regexp_extract(date, '(\\d{4})', 1) AS INTEGER) AS year, date NOT IN ('', '∅') AS dated FROM r),
-i AS (SELECT id, list_filter([
-  CASE WHEN title = '' THEN 'title:error:missing' END, CASE WHEN date = '' THEN 'date:error:missing' END, CASE WHEN contains(date, '->') THEN 'date:error:arrow' END,
-  CASE WHEN dated AND year < 1989 THEN 'date:warning:too early' END, CASE WHEN dated AND year > 2024 THEN 'date:warning:too late' END,
-  CASE WHEN category = '' THEN 'category:error:missing' END, CASE WHEN category = 'X' THEN 'category:error:unknown' END,
-  CASE WHEN bad_height THEN 'height:error:not a number' END, CASE WHEN no_width THEN 'width:warning:missing' END,
-  CASE WHEN signed AND NOT dated THEN 'date:warning:signed but undated' END, CASE WHEN NOT signed AND dated THEN 'signed:warning:dated but unsigned' END,
-  CASE WHEN motifs = 0 THEN 'motifs:warning:missing' END, CASE WHEN motifs = 2 THEN 'motifs:warning:repeated' END], lambda x: x IS NOT NULL) AS issues FROM y)"""
+i AS (SELECT id, list_filter([CASE WHEN bad_height THEN 'height:error:non-numeric' END, CASE WHEN no_width THEN 'width:error:missing' END, CASE WHEN date = '' THEN 'date:error:missing' END,
+  CASE WHEN year < 1989 THEN 'date:error:pre-1989' WHEN year > 2024 THEN 'date:error:posthumous' END, CASE WHEN motifs = 0 THEN 'motifs:error:missing' END,
+  CASE category WHEN '' THEN 'category:error:missing' WHEN 'X' THEN 'category:error:invalid' END, CASE WHEN signed AND NOT dated THEN 'date:error:signed but undated' END,
+  CASE WHEN NOT signed AND dated THEN 'signature:error:dated but unsigned' END, CASE WHEN motifs = 2 THEN 'motifs:error:duplicate values' END], lambda x: x IS NOT NULL) AS issues FROM y)"""
 
 
 @register("validate_items", f"WITH {RECORDS_SQL} SELECT id, array_to_string(issues, '|') AS issues FROM i")
@@ -195,12 +192,6 @@ def issue_queue(spark, sf_dir):
     return cleaning.issue_queue(cleaning.validate_items(_records(spark, sf_dir)))
 
 
-@register("publish_ready", f"WITH {RECORDS_SQL} SELECT id FROM i WHERE len(list_filter(issues, lambda x: contains(x, ':error:'))) = 0")
-def publish_ready(spark, sf_dir):
-    found = cleaning.validate_items(_records(spark, sf_dir))
-    return found.where(cleaning.publish_ready(found)).select("id")
-
-
 @register(
     "transition_violations",
     """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'unknown status' WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'accepted without item'

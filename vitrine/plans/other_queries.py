@@ -43,7 +43,7 @@ def storefront_rows(spark, sf_dir):
 @register(
     "writing_rows",
     """SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'Poem' WHEN 'de' THEN 'Gedicht' ELSE 'Prose Poem' END AS form,
-  CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substr(text, 1, 200), '\\s+\\S*$', '') || '…' END AS excerpt,
+  CASE WHEN length(text) <= 200 THEN text WHEN regexp_matches(substr(text, 1, 200), '\\S\\s+\\S+\\s*$') THEN regexp_replace(substr(text, 1, 200), '\\s+\\S+\\s*$', '') || '…' ELSE regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g') || '…' END AS excerpt,
   source || ', ' || (1990 + doc_id % 30) AS credit FROM documents""",
 )
 def writing_rows(spark, sf_dir):

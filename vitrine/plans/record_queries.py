@@ -84,12 +84,12 @@ def _full(spark, sf_dir):
     date = F.when(key % 11 == 0, "").when(key % 13 == 0, "∅").when(key % 17 == 0, "1999:01:02 10:11:12").when(key % 19 == 0, "1950").otherwise(F.date_format("o_orderdate", "yyyy"))
     return table(spark, sf_dir, "orders").select(
         key.alias("id"), some(7, "Title").alias("title"), date.alias("date"), F.element_at(F.array(*[F.lit(c) for c in ("A", "B", "X", "")]), (key % 4 + 1).cast("int")).alias("category"),
-        F.when(key % 5 == 0, "tall").otherwise("12").alias("height"), some(3, "9.5").alias("width"), (key % 2 == 0).alias("signed"),
+        F.when(key % 5 == 0, "tall").otherwise("12").alias("height"), some(3, "9.5").alias("width"),
         F.when(key % 9 == 0, none).when(key % 4 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("motifs"),
         some(8, "N").alias("identifier"), some(6, "Drawing").alias("work_type"), some(10, "Paper").alias("support"), some(12, "Good").alias("condition"),
         F.when(key % 14 == 0, "").when(key % 15 == 0, "x").when(key % 2 == 0, "↗").otherwise("∅").alias("signature"), some(16, "words").alias("transcription"),
         F.when(key % 18 == 0, none).otherwise(F.array(F.lit("Ink"))).alias("mediums"), some(20, "Unframed").alias("framing"), some(21, "Owner").alias("owner"),
-        some(22, "Here").alias("location"), some(23, "Box 1").alias("box"), F.when(key % 24 == 0, 0).otherwise(2).alias("media_count"),
+        some(22, "Here").alias("location"), some(23, "Box 1").alias("box"), F.when(key % 24 == 0, 0).otherwise(2).alias("media_count"), (key % 25 == 0).alias("is_public"),
     )
 
 
@@ -110,22 +110,34 @@ def sprint_predicates(spark, sf_dir):
     return cleaning.sprint_predicates(_full(spark, sf_dir))
 
 
-@register(
-    "validate_full",
-    f"""WITH {FULL_SQL} SELECT id, array_to_string(list_sort(list_filter([CASE WHEN id % 8 = 0 THEN 'identifier:missing' END, CASE WHEN id % 6 = 0 THEN 'work_type:missing' END,
-  CASE WHEN id % 10 = 0 THEN 'support:missing' END, CASE WHEN id % 20 = 0 THEN 'framing:missing' END, CASE WHEN id % 21 = 0 THEN 'owner:missing' END,
-  CASE WHEN id % 22 = 0 THEN 'location:missing' END, CASE WHEN id % 23 = 0 THEN 'box:missing' END, CASE WHEN id % 16 = 0 THEN 'transcription:missing' END,
-  CASE WHEN id % 18 = 0 THEN 'mediums:missing' END, CASE WHEN id % 24 = 0 THEN 'media:no image' END, CASE WHEN sign = '' THEN 'signature:missing' WHEN sign = 'x' THEN 'signature:unknown' END],
-  lambda x: x IS NOT NULL)), '|') AS issues FROM r""",
-)
+#: The checks of a record in their order, and what may be published, rule by rule.
+ISSUES_SQL = FULL_SQL + """, y AS (SELECT *, regexp_matches(date, '^\\d{4}:\\d{2}:\\d{2}\\s+\\d{2}:\\d{2}:\\d{2}$') AS exif, TRY_CAST(nullif(regexp_extract(date, '\\d{4}'), '') AS INTEGER) AS year,
+  date NOT IN ('', '∅') AS dated, sign NOT IN ('', '∅') AS signed FROM r),
+i AS (SELECT *, list_filter([CASE WHEN id % 8 = 0 THEN 'identifier:missing' END, CASE WHEN id % 6 = 0 THEN 'work_type:missing' END, CASE WHEN id % 18 = 0 THEN 'mediums:missing' END, CASE WHEN id % 10 = 0 THEN 'support:missing' END,
+  CASE WHEN id % 5 = 0 THEN 'height:non-numeric' END, CASE WHEN id % 3 = 0 THEN 'width:missing' END, CASE sign WHEN '' THEN 'signature:missing' WHEN 'x' THEN 'signature:invalid' END,
+  CASE WHEN date = '' THEN 'date:missing' WHEN exif THEN 'date:EXIF timestamp' WHEN year < 1989 THEN 'date:pre-1989' WHEN year > 2024 THEN 'date:posthumous' END, CASE WHEN id % 20 = 0 THEN 'framing:missing' END,
+  CASE WHEN id % 21 = 0 THEN 'owner:missing' END, CASE WHEN id % 22 = 0 THEN 'location:missing' END, CASE WHEN motifs = 0 THEN 'motifs:missing' END, CASE WHEN id % 24 = 0 THEN 'media:no image' END,
+  CASE WHEN id % 23 = 0 THEN 'box:missing' END, CASE WHEN id % 16 = 0 THEN 'transcription:missing' END, CASE category WHEN '' THEN 'category:missing' WHEN 'X' THEN 'category:invalid' END,
+  CASE WHEN signed AND NOT dated THEN 'date:signed but undated' END, CASE WHEN dated AND NOT signed THEN 'signature:dated but unsigned' END, CASE WHEN motifs = 2 THEN 'motifs:duplicate values' END], lambda x: x IS NOT NULL) AS issues FROM y)"""
+
+
+@register("validate_full", f"WITH {ISSUES_SQL} SELECT id, array_to_string(issues, '|') AS issues FROM i")
 def validate_full(spark, sf_dir):
-    """The issues of the fields that only full records have."""
-    own = [*cleaning.REQUIRED, "mediums", "media", "signature"]
-    found = F.filter("issues", lambda x: x["field"].isin(*own) & (x["level"] == "error"))
-    listed = F.array_sort(F.transform(found, lambda x: F.concat_ws(":", x["field"], x["message"])))
+    """All issues of full records, in the order of the checks."""
+    listed = F.transform("issues", lambda x: F.concat_ws(":", x["field"], x["message"]))
     return cleaning.validate_items(_full(spark, sf_dir)).select("id", F.array_join(listed, "|").alias("issues"))
 
 
+@register(
+    "publish_ready",
+    f"""WITH {ISSUES_SQL} SELECT id FROM y WHERE id % 25 <> 0 AND id % 24 <> 0 AND id % 8 <> 0 AND id % 6 <> 0 AND id % 18 <> 0 AND id % 10 <> 0 AND id % 5 <> 0 AND id % 3 <> 0 AND sign NOT IN ('', 'x') AND date <> '' AND NOT exif
+  AND coalesce(year BETWEEN 1989 AND 2024, true) AND id % 20 <> 0 AND id % 21 <> 0""",
+)
+def publish_ready(spark, sf_dir):
+    full = _full(spark, sf_dir)
+    return full.where(cleaning.publish_ready(full)).select("id")
+
+
 @register(
     "publish_warnings",
     f"""WITH {FULL_SQL} SELECT id, array_to_string(list_filter([CASE WHEN motifs = 0 THEN 'motifs' END, CASE WHEN id % 16 = 0 THEN 'transcription' END, CASE WHEN category = '' THEN 'category' END,
@@ -183,6 +195,21 @@ def ground_truth(spark, sf_dir):
     return found.withColumn("genuine", F.array_join("genuine", "|"))
 
 
+@register(
+    "ground_truth_counters",
+    """WITH w AS (SELECT p_partkey AS item_id, p_type, unnest(string_split(p_name, ' ')) AS v FROM part), seeds AS (SELECT p_type, max(split_part(p_name, ' ', 1)) AS seed FROM part WHERE p_type <> 'PROMO' GROUP BY 1),
+j AS (SELECT w.*, CASE WHEN seed = v THEN 'seeded' ELSE ['canon', 'split', 'drop', 'nonvisual'][length(v) % 4 + 1] END AS action FROM w LEFT JOIN seeds USING (p_type)),
+m AS (SELECT DISTINCT item_id, unnest(CASE action WHEN 'canon' THEN [upper(v[1]) || v[2:]] WHEN 'split' THEN [v || '1', v || '2'] ELSE [] END) AS m FROM j)
+SELECT CASE action WHEN 'seeded' THEN 'box_derived_rows' WHEN 'drop' THEN 'junk_rows' ELSE 'nonvisual_rows' END AS counter, count(*) AS n FROM j WHERE action IN ('seeded', 'drop', 'nonvisual') GROUP BY 1
+UNION ALL SELECT 'motif:' || m, count(*) FROM m GROUP BY 1""",
+)
+def ground_truth_counters(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    boxes = part.select(F.col("p_partkey").alias("item_id"), F.concat("p_type", F.lit(" (box "), F.col("p_size").cast("string"), F.lit(")")).alias("value"))
+    seeds = part.where("p_type != 'PROMO'").groupBy(F.lower("p_type").alias("category")).agg(F.max(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("seed"), F.concat(F.lit("like "), F.max("p_type")).alias("prior"))
+    return cleaning.ground_truth_counters(_motifs(spark, sf_dir).withColumnRenamed("motif", "value"), _actions(spark, sf_dir), boxes, seeds)
+
+
 META = "Metafield: artwork.{} [{}]"
 
 
@@ -197,7 +224,7 @@ SELECT 'p-' || id AS "Handle", i.sku AS "Title", '' AS "Body (HTML)", 'The Studi
   'https://x/s/studio/item/' || id AS "{META.format('catalog_url', 'url')}", p_brand AS "{META.format('medium', 'single_line_text_field')}", size AS "{META.format('dimensions', 'single_line_text_field')}",
   CAST(2000 + p_size AS VARCHAR) AS "{META.format('year', 'single_line_text_field')}", img AS "{META.format('original_image_url', 'url')}", '' AS "{META.format('signed', 'single_line_text_field')}",
   'good' AS "{META.format('condition', 'single_line_text_field')}", '' AS "{META.format('provenance', 'single_line_text_field')}",
-  replace(CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substr(text, 1, 200), '\\s+\\S*$', '') || '…' END, chr(10), ' ') AS "{META.format('content_excerpt', 'single_line_text_field')}"
+  replace(CASE WHEN length(text) <= 200 THEN text WHEN regexp_matches(substr(text, 1, 200), '\\S\\s+\\S+\\s*$') THEN regexp_replace(substr(text, 1, 200), '\\s+\\S+\\s*$', '') || '…' ELSE regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g') || '…' END, chr(10), ' ') AS "{META.format('content_excerpt', 'single_line_text_field')}"
 FROM i LEFT JOIN v ON v.sku = replace(i.sku, ' ', '')""",
 )
 def storefront_products(spark, sf_dir):
