@@ -58,9 +58,8 @@ def upper_words(col: Column) -> Column:
 
 def lexical_tokens(col: Column) -> Column:
     """Distinct lower-case words of two or more letters that are not stopwords, in the order of first sight."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("([a-z]+)")))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    words = F.regexp_extract_all(F.lower(col), F.lit("([a-z]{2,})"))  # runs: single letters have no second one beside them
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def occurrences(col: Column, word: str, whole: bool = True) -> Column:

@@ -105,6 +105,44 @@ def category_facets(catalog: Catalog, facets: list[Facet], base: DataFrame | Non
     return reduce(DataFrame.unionByName, parts)
 
 
+def available(catalog: Catalog, base: DataFrame, kind: str, prop: int | None = None, names: DataFrame | None = None) -> DataFrame:
+    """(id, label, n): what the items of ``base`` (id) offer to choose from, the most frequent first, then by label.
+
+    ``kind``: resource_class, resource_template or item_set, with their ids; or a type of property query, for one property
+    or for all: eq, neq, in, nin give values, res and nres linked items (``id title``), ex and nex properties (``id
+    name``), by value rows, with id 0.  ``names`` (id, label) are the names of classes, templates or properties; without
+    them labels are the ids.
+    """
+    mine = base.select(F.col("id").alias("__id")).distinct()
+    inside = lambda df, c: df.join(mine, F.col(c) == F.col("__id"), "left_semi")
+
+    def named(counted: DataFrame, table: DataFrame | None) -> DataFrame:
+        if table is None:
+            return counted.withColumn("label", F.col("id").cast("string"))
+        return counted.join(F.broadcast(table.select("id", "label")), "id")  # names of classes, templates or properties
+
+    if kind in ("resource_class", "resource_template"):
+        key = {"resource_class": "class_id", "resource_template": "template_id"}[kind]
+        counted = inside(catalog.resource, "id").where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+        found = named(counted, names).select("id", "label", "n")
+    elif kind == "item_set":
+        counted = inside(catalog.member, "item_id").groupBy(F.col("set_id").alias("id")).agg(F.count("*").alias("n"))
+        found = counted.join(catalog.item_set.select("id", F.col("title").alias("label")), "id").select("id", "label", "n")
+    elif kind in ("res", "nres"):
+        linked = inside(catalog.link, "item_id").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n")).join(catalog.exhibition.select("id", "title"), "id")
+        found = linked.groupBy(F.concat_ws(" ", F.col("id").cast("string"), "title").alias("label")).agg(F.sum("n").alias("n")).select(F.lit(0).alias("id"), "label", "n")
+    else:
+        value = inside(catalog.value, "resource_id")
+        value = value if prop is None else value.where(F.col("property_id") == prop)
+        if kind in ("ex", "nex"):
+            counted = value.groupBy(F.col("property_id").alias("id")).agg(F.count("*").alias("n"))
+            label = F.concat_ws(" ", F.col("id").cast("string"), *([] if names is None else ["label"]))
+            found = named(counted, names).select(F.lit(0).alias("id"), label.alias("label"), "n")
+        else:
+            found = value.where(F.col("value").isNotNull()).groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n")).select(F.lit(0).alias("id"), "label", "n")
+    return found.orderBy(F.desc("n"), "label")
+
+
 def texts_outside_sets(catalog: Catalog, prop: int, sets: Iterable[int], least: int = 10) -> DataFrame:
     """(item_id, text): values of a property with at least ``least`` characters, white space at their ends aside, of items
     that are in none of the sets."""

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import lexical_tokens
+from vitrine.operators.staging import staged
+
+#: Words that every task of a lexical profile knows.
+COMMON_WORDS = 1024
 
 #: Motifs that count less because they come from storage labels or are not visual: fixed weights.
 VISUAL, BOXED, OTHER = 1.0, 0.7, 0.85
@@ -78,16 +82,26 @@ def lexical_frequency(texts: DataFrame, item: str = "item_id", text: str = "text
     return words.groupBy("word").agg(F.count("*").alias("df"))
 
 
-def lexical_profile(texts: DataFrame, ids: DataFrame | None = None, top: int = 25) -> DataFrame:
+def lexical_profile(texts: DataFrame, ids: DataFrame | None = None, top: int = 25, most: int = COMMON_WORDS) -> DataFrame:
     """The rarest words of the given items, or of all, against the corpus: (item_id, word, df, percent, rank).
 
-    ``texts``: item_id, text, one row per item.  Ties keep the order of first sight in the text.
+    ``texts``: item_id, text, one row per item.  Ties keep the order of first sight in the text.  Texts are read once, into
+    lists of words.  The ``most`` most frequent words, in over so many items as no other word, are known to every task;
+    they are the last in any list, so they are looked at only where an item has fewer than ``top`` others, and only the
+    others are moved to meet their frequencies.
     """
-    total = texts.agg(F.count("*").alias("total"))
-    asked = texts if ids is None else texts.join(ids, "item_id", "left_semi")
-    words = asked.select("item_id", F.posexplode(lexical_tokens(F.col("text"))).alias("pos", "word"))
-    # of all items: every word's frequency is that of the same rows
-    known = words.groupBy("word").agg(F.count("*").alias("df")) if ids is None else lexical_frequency(texts)
-    joined = words.join(known, "word").crossJoin(F.broadcast(total))  # one row
-    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "pos")))
-    return ranked.where(F.col("rank") <= top).select("item_id", "word", "df", (F.col("df") * 100.0 / F.col("total")).alias("percent"), "rank")
+    spark = texts.sparkSession
+    read = staged(texts.select("item_id", lexical_tokens(F.col("text")).alias("words")), "words")
+    total = read.count()
+    known = staged(read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "frequencies")
+    first = known.orderBy(F.desc("df"), "word").limit(most + 1).collect()  # a bounded vocabulary
+    cut = first[most]["df"] if len(first) > most else 0
+    common = spark.createDataFrame([(r["word"], r["df"]) for r in first if r["df"] > cut], "word string, df long")
+    asked = read if ids is None else read.join(ids.select("item_id").distinct(), "item_id", "left_semi")
+    one = F.broadcast(common.agg(F.collect_list("word").alias("common")))  # one row
+    parts = asked.crossJoin(one).select("item_id", F.array_except("words", "common").alias("rare"), F.array_intersect("words", "common").alias("frequent"))
+    rare = parts.select("item_id", F.posexplode("rare").alias("pos", "word")).join(known.where(F.col("df") <= cut), "word")
+    frequent = parts.where(F.size("rare") < top).select("item_id", F.posexplode("frequent").alias("pos", "word")).join(F.broadcast(common), "word")
+    both = rare.select("item_id", "word", "df", "pos").unionByName(frequent.select("item_id", "word", "df", "pos"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "pos")))
+    return ranked.where(F.col("rank") <= top).select("item_id", "word", "df", (F.col("df") * 100.0 / total).alias("percent"), "rank")

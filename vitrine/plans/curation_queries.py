@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import is_noise, upper_words
-from vitrine.operators import cleaning, extraction, items, pages, rounds
+from vitrine.operators import cleaning, extraction, facets, items, pages, rounds
 from vitrine.operators import suggestion as sg
 from vitrine.plans.cleaning_queries import RECORDS_SQL, _records
 from vitrine.plans.extraction_queries import UP, _texts
@@ -248,12 +250,30 @@ def band_totals(spark, sf_dir):
     return sg.band_totals(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), band.alias("band")))
 
 
+PUBLIC = "(SELECT id FROM resource WHERE is_public)"
+
+
+@register("available_values", WITH + f"SELECT value, count(*) AS n FROM value WHERE property_id = 8 AND resource_id IN {PUBLIC} GROUP BY 1")
+def available_values(spark, sf_dir):
+    catalog = sample_catalog(spark, sf_dir)
+    base = items.public_items(catalog.resource).select("id")
+    return facets.available(catalog, base, "eq", 8).select(F.col("label").alias("value"), "n")
+
+
 @register(
-    "available_values",
-    WITH + "SELECT value, count(*) AS n FROM value WHERE property_id = 8 AND resource_id IN (SELECT id FROM resource WHERE is_public) GROUP BY 1",
+    "available_choices",
+    WITH + f"""SELECT 'class' AS kind, class_id AS id, 'Class ' || class_id AS label, count(*) AS n FROM resource WHERE id IN {PUBLIC} GROUP BY ALL
+UNION ALL SELECT 'template', template_id, CAST(template_id AS VARCHAR), count(*) FROM resource WHERE id IN {PUBLIC} GROUP BY ALL
+UNION ALL SELECT 'set', set_id, title, count(*) FROM member JOIN item_set ON item_set.id = set_id WHERE item_id IN {PUBLIC} GROUP BY ALL
+UNION ALL SELECT 'linked', 0, target_id || ' ' || title, count(*) FROM link JOIN exhibition ON exhibition.id = target_id WHERE item_id IN {PUBLIC} GROUP BY ALL
+UNION ALL SELECT 'property', 0, property_id || ' ' || ['work type', 'motif'][CASE property_id WHEN 8 THEN 1 ELSE 2 END], count(*) FROM value WHERE property_id IN (3, 8) AND resource_id IN {PUBLIC} GROUP BY ALL""",
 )
-def available_values(spark, sf_dir):
+def available_choices(spark, sf_dir):
+    """Classes, templates, sets, linked items and properties of the public items, with counts."""
     catalog = sample_catalog(spark, sf_dir)
     base = items.public_items(catalog.resource).select("id")
-    value = catalog.value.where("property_id = 8").join(base, F.col("resource_id") == F.col("id"), "left_semi")
-    return value.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+    classes = catalog.resource.select(F.col("class_id").alias("id"), F.concat(F.lit("Class "), F.col("class_id").cast("string")).alias("label")).distinct()
+    properties = spark.createDataFrame([(8, "work type"), (3, "motif")], "id int, label string")
+    asked = {"class": ("resource_class", classes), "template": ("resource_template", None), "set": ("item_set", None), "linked": ("res", None), "property": ("ex", properties)}
+    parts = [facets.available(catalog, base, kind, None, names).select(F.lit(name).alias("kind"), F.col("id").cast("long"), "label", "n") for name, (kind, names) in asked.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import text
 from vitrine.operators import items as it
 from vitrine.operators import reshape
+from vitrine.operators.staging import shared_folder
 from vitrine.plans.items_queries import WIDE_SQL, WITH
 from vitrine.plans.registry import register
 from vitrine.sources import io
@@ -163,15 +163,28 @@ def windowed_counts(spark, sf_dir):
 @register("streamed_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def streamed_upsert(spark, sf_dir):
     """The event table as a stream of files into a keyed table."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # one machine, as in tests: its own folder is shared
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    folder = f"{folder.rstrip('/')}/vitrine/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/vitrine/stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").repartition(4, "event_id").write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
     state = ingest.VersionedTable(spark, f"{folder}/state", schema)
     query = ingest.ingest(ingest.read_stream(spark, f"{folder}/in", schema, 1), state, ["user_id"], "event_id", f"{folder}/checkpoint")
     query.awaitTermination()
     return state.read()
+
+
+@register(
+    "streamed_fields",
+    "SELECT event_id AS item_id, p AS property_id, max(ts) AS ts FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'click'), (VALUES (3), (91)) c(p) GROUP BY 1, 2",
+)
+def streamed_fields(spark, sf_dir):
+    """New media as files arriving, one of them twice: the fields to fill in, each once."""
+    folder = f"{shared_folder(spark)}/vitrine/stream-{uuid.uuid4().hex}"
+    kind = F.when(F.col("event_type") == "click", "image/png").otherwise("text/plain").alias("media_type")
+    media = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), kind, F.col("ts").cast("timestamp").alias("ts"))
+    media.repartition(3, "item_id").write.parquet(f"{folder}/in/first")
+    spark.read.parquet(f"{folder}/in/first").where("item_id % 2 = 0").coalesce(1).write.parquet(f"{folder}/in/again")
+    configured = spark.createDataFrame([(3,), (91,)], "property_id int")
+    state = ingest.VersionedTable(spark, f"{folder}/state", spark.createDataFrame([], "item_id long, property_id int, ts timestamp").schema)
+    stream = ingest.read_stream(spark, f"{folder}/in/*", spark.read.parquet(f"{folder}/in/first").schema, 2)
+    ingest.trigger_enrichment(stream, configured, state, f"{folder}/checkpoint", "10000 days").awaitTermination()
+    return state.read()

@@ -42,6 +42,36 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
     return Catalog(**{name: spark.read.parquet(f"{path}/{name}") for name in Catalog.__dataclass_fields__})
 
 
+#: The numeric column by which each table is read in pieces.
+KEYS = {"resource": "id", "value": "resource_id", "member": "item_id", "item_set": "id", "media": "id", "link": "item_id", "exhibition": "id"}
+
+
+def read_table(spark: SparkSession, url: str, name: str, key: str, pieces: int = 8, driver: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """A database table by JDBC, in ``pieces`` ranges of a numeric key, each read by its own task with its own connection.
+
+    The database gives the key's bounds, which only divide the table: rows beyond them and null keys are read too.  What
+    is filtered and selected later is pushed into the ranges' queries, so a high-water mark or a list of properties is
+    looked up there.
+    """
+    reader = spark.read.format("jdbc").option("url", url).options(**(options or {}))
+    if driver:
+        reader = reader.option("driver", driver)
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    bounds = reader.option("query", f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {name}").load().first()
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**(options or {}))
+    if driver:
+        reader = reader.option("driver", driver)
+    if bounds[0] is not None and bounds[0] < bounds[1]:
+        reader = reader.option("partitionColumn", key).option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1] + 1)).option("numPartitions", str(pieces))
+    found = reader.load()
+    return found.toDF(*[c.lower() for c in found.columns])
+
+
+def read_catalog_jdbc(spark: SparkSession, url: str, pieces: int = 8, driver: str | None = None, prefix: str = "", options: dict[str, str] | None = None) -> Catalog:
+    """Scan catalog tables in a database; ``prefix`` stands before their names."""
+    return Catalog(**{name: read_table(spark, url, f"{prefix}{name}", key, pieces, driver, options) for name, key in KEYS.items()})
+
+
 def sample_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """Map the sample tables to the catalog model: parts are items, their columns and the words of their names values,
     suppliers item sets, order lines media and links, orders exhibitions."""

@@ -112,6 +112,17 @@ def fields_to_enrich(media: DataFrame, configured: DataFrame) -> DataFrame:
     return media.where(F.col("media_type").startswith("image/")).crossJoin(F.broadcast(configured)).select("item_id", "property_id")
 
 
+def trigger_enrichment(media: DataFrame, configured: DataFrame, table: VersionedTable, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+    """For every new image of a stream (item_id, media_type, ts), a row (item_id, property_id, ts) for each configured field.
+
+    A file that arrives again within ``late`` is left out by the stream's own state, what that lets through by the keyed
+    table, which keeps one row for each item and field.  Media older than the latest by more than ``late`` are left out.
+    """
+    fields = media.where(F.col("media_type").startswith("image/")).withWatermark("ts", late).crossJoin(F.broadcast(configured))
+    fresh = fields.select("item_id", "property_id", "ts").dropDuplicatesWithinWatermark(["item_id", "property_id"])
+    return ingest(fresh, table, ["item_id", "property_id"], "ts", checkpoint)
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events (ts, event_type) per window and type; works on a stream, where later events than ``late`` are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
