@@ -393,6 +393,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_id_names_with_a_space(spark, docs):
+    some = docs.limit(5).withColumnRenamed("doc_id", "my id")
+    assert byte_bpe.decode(byte_bpe.encode(some, RANKS, public_tokenizers.PATTERN, "my id"), RANKS, public_tokenizers.PATTERN, "my id").columns[0] == "my id"
+    assert packing.pack(some, PATH, id_col="my id").select("my id").count() >= 5
+    assert simhash.with_fingerprints(some, id_col="my id").count() == 5 and quality.with_statistics(some, id_col="my id").count() == 5
+
+
 # operator 10
 
 

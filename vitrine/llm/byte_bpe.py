@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.record_batch([batch.column(0).slice(a, b - a), lists], names=[id_col, "ids"])
 
     kept = docs.select(F.col(id_col), whole_text(text_col).alias("__text"))
-    return kept.mapInArrow(run, f"{id_col} {dict(kept.dtypes)[id_col]}, ids array<int>")
+    return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -196,4 +196,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.record_batch([batch.column(0), lists, decoded.cast(pa.binary())], names=[id_col, ids_col, "decoded"])
 
     kept = encoded.select(id_col, ids_col)
-    return kept.mapInArrow(run, f"{id_col} {dict(kept.dtypes)[id_col]}, {ids_col} array<int>, decoded binary")
+    return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, `{ids_col}` array<int>, decoded binary")

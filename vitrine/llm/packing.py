@@ -200,5 +200,5 @@ def pack(
         packer.close()
         yield from flush()
 
-    schema = f"{id_col} {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = f"`{id_col}` {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return kept.mapInArrow(run, schema)

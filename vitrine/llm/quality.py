@@ -74,7 +74,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=[id_col, "stats"])
 
     kept = docs.select(F.col(id_col), whole_text(text_col).alias("__text"))
-    return kept.mapInArrow(run, f"{id_col} {dict(kept.dtypes)[id_col]}, stats array<double>")
+    return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, stats array<double>")
 
 
 @dataclass
@@ -141,7 +141,7 @@ def scored(stats: DataFrame, model: Discriminant, id_col: str = "doc_id") -> Dat
                 yield pa.record_batch([batch.column(0), pa.array(model.score(x))], names=[id_col, "score"])
 
     kept = stats.select(id_col, "stats")
-    return kept.mapInArrow(run, f"{id_col} {dict(kept.dtypes)[id_col]}, score double")
+    return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, score double")
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, learn, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:

@@ -73,7 +73,7 @@ def with_fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: s
             yield pa.record_batch([batch.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=[id_col, "fp"])
 
     kept = docs.select(F.col(id_col), whole_text(text_col).alias("__text"))
-    return kept.mapInArrow(run, f"{id_col} {dict(kept.dtypes)[id_col]}, fp long")
+    return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, fp long")
 
 
 class BKTree:
