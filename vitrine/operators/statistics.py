@@ -76,7 +76,7 @@ def facet_counts(catalog: Catalog, ids: DataFrame, eq: list[int], linked: bool =
 def needle_counts(catalog: Catalog, prop: int, needles: DataFrame) -> DataFrame:
     """Items per needle whose value of a property contains it; ``needles``: a bounded list of search terms, column ``needle``."""
     value = catalog.value.where(F.col("property_id") == prop)
-    hit = value.join(F.broadcast(needles), F.col("value").contains(F.col("needle")))
+    hit = value.join(needles, F.col("value").contains(F.col("needle")))
     return hit.groupBy("needle").agg(F.countDistinct("resource_id").alias("items"))
 
 

@@ -98,13 +98,13 @@ def autocomplete(spark, sf_dir):
 
 @register(
     "few_shot",
-    """WITH t AS (SELECT user_id AS id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS tags FROM events WHERE event_id % 3 = 0 GROUP BY 1 HAVING count(DISTINCT event_type) >= 2)
+    """WITH t AS (SELECT user_id AS id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS tags FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 2)
 SELECT id, id AS rank, tags FROM t ORDER BY id LIMIT 5""",
 )
 def few_shot(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     candidates = events.select(F.col("user_id").alias("id"), F.col("user_id").alias("rank")).distinct()
-    tags = events.where("event_id % 3 = 0").select(F.col("user_id").alias("id"), F.col("event_type").alias("tag"))
+    tags = events.select(F.col("user_id").alias("id"), F.col("event_type").alias("tag"))
     return pages.few_shot(candidates, tags).withColumn("tags", F.array_join("tags", "|"))
 
 

@@ -19,7 +19,7 @@ from vitrine.streaming import ingest
 
 @register(
     "storefront_rows",
-    """WITH v AS (SELECT 'P' || l_partkey AS sku, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+    """WITH v AS (SELECT 'P' || l_partkey AS sku, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem GROUP BY 1)
 SELECT trim(regexp_replace(lower(p_name || ' P' || p_partkey), '[^a-z0-9]+', '-', 'g'), '-') AS handle, p_name AS title,
   (SELECT string_agg(DISTINCT w, ', ' ORDER BY w) FROM (SELECT unnest(string_split(p_name, ' ')) AS w)) AS tags, p_type || ' on ' || p_brand AS label,
   p_size || ' x ' || (p_size + 1) AS size, 'P' || p_partkey AS sku, coalesce(CAST(CAST(price AS DECIMAL(12,2)) AS VARCHAR), '') AS price
@@ -32,7 +32,7 @@ def storefront_rows(spark, sf_dir):
         F.col("p_type").alias("medium"), F.col("p_brand").alias("support"), F.col("p_size").alias("height"), (F.col("p_size") + 1).alias("width"),
         F.split("p_name", " ").alias("motifs"),
     )
-    variants = table(spark, sf_dir, "lineitem").where("l_partkey % 3 != 0").select(
+    variants = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("sku"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),

@@ -215,7 +215,7 @@ META = "Metafield: artwork.{} [{}]"
 
 @register(
     "storefront_products",
-    f"""WITH v AS (SELECT 'P' || l_partkey AS sku, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1),
+    f"""WITH v AS (SELECT 'P' || l_partkey AS sku, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem GROUP BY 1),
 i AS (SELECT p_partkey AS id, 'P ' || p_partkey AS sku, p_name, p_type, p_brand, p_size, CASE WHEN p_size % 2 = 0 THEN p_size || '" x ' || (p_size + 1) || '"' ELSE '' END AS size, 'https://x/files/original/f' || p_partkey || '.jpg' AS img,
   coalesce(text, '') AS text FROM part LEFT JOIN documents ON doc_id = p_partkey)
 SELECT 'p-' || id AS "Handle", i.sku AS "Title", '' AS "Body (HTML)", 'The Studio' AS "Vendor", p_type AS "Type", array_to_string(string_split(p_name, ' '), ', ') AS "Tags", 'TRUE' AS "Published", img AS "Image Src",
@@ -236,7 +236,7 @@ def storefront_products(spark, sf_dir):
         F.split("p_name", " ").alias("motifs"), none.alias("signature"), F.lit("good").alias("condition"), none.alias("provenance"), "text",
         F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("storage_id"),
     )
-    variants = table(spark, sf_dir, "lineitem").where("l_partkey % 3 != 0").select(
+    variants = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P "), F.col("l_partkey").cast("string")).alias("sku"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")
     )
     return reshape.storefront_products(items, variants, "The Studio", "x", "studio")

@@ -181,11 +181,11 @@ def distinct_terms(spark, sf_dir):
 
 @register(
     "new_terms",
-    """SELECT min(p_type) AS value FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size < 3 AND p_partkey < 40) GROUP BY lower(p_type)""",
+    """SELECT min(p_type) AS value FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size < 3) GROUP BY lower(p_type)""",
 )
 def new_terms(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumnRenamed("p_type", "value")
-    return st.new_terms(part.where("p_size < 3 and p_partkey < 40").select(F.upper("value").alias("value")), part.select("value"))
+    return st.new_terms(part.where("p_size < 3").select(F.upper("value").alias("value")), part.select("value"))
 
 
 @register("batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS batch FROM documents")
