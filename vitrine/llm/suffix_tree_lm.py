@@ -113,17 +113,21 @@ def packed(array, kind: type) -> bytes:
         return b""
     if raw.dtype.kind == "i" and raw.min() >= 0 or raw.dtype.kind == "u":
         raw = raw.astype(np.min_scalar_type(int(raw.max())))
-    planes = raw.view(np.uint8).reshape(len(raw), -1).T if raw.itemsize > 1 else raw.view(np.uint8)  # bytes of one weight lie together
-    return raw.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    flat, planes = raw.view(np.uint8), np.empty((raw.itemsize, len(raw)), dtype=np.uint8)
+    for i in range(raw.itemsize):  # bytes of one weight lie together; plane by plane, as a transposed copy is many times slower
+        planes[i] = flat[i :: raw.itemsize]
+    return raw.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.data)
 
 
 def unpacked(blob: bytes | None, kind: type) -> np.ndarray:
     if not blob:
         return np.zeros(0, dtype=kind)
     found = np.dtype(blob[:1].decode())
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), dtype=np.uint8)
-    flat = planes if found.itemsize == 1 else np.ascontiguousarray(planes.reshape(found.itemsize, -1).T).reshape(-1)
-    return flat.view(found).astype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), dtype=np.uint8).reshape(found.itemsize, -1)
+    flat = np.empty(planes.size, dtype=np.uint8)
+    for i in range(found.itemsize):
+        flat[i :: found.itemsize] = planes[i]
+    return flat.view(found).astype(kind, copy=False)
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,14 +258,16 @@ def _dealt(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _short(keys: np.ndarray) -> bytes:
-    """The low 48 bits of keys: enough to tell those of one bucket apart."""
-    return keys.astype("<i8").view(np.uint16).reshape(-1, 4)[:, :3].tobytes()
+    """The low 48 bits of keys: enough to tell those of one bucket apart.  First the low 32 of all, then the others."""
+    return keys.astype("<u4").tobytes() + (keys >> 32).astype("<u2").tobytes()
 
 
 def _long(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 4), dtype=np.uint16)
-    out[:, :3] = np.frombuffer(blob, dtype=np.uint16).reshape(-1, 3)
-    return out.reshape(-1).view("<i8")
+    n = len(blob) // 6
+    out = np.frombuffer(blob, dtype="<u2", count=n, offset=4 * n).astype("<i8")
+    out <<= 32
+    out |= np.frombuffer(blob, dtype="<u4", count=n)
+    return out
 
 
 def _asked(chunks: DataFrame, questions: Callable[[Chunk], Iterator[tuple[int, np.ndarray, np.ndarray]]], width: int, least: int) -> DataFrame:
@@ -298,8 +304,8 @@ def _answered(questions: DataFrame, weights: DataFrame, width: int, least: int)
 
     def entries(keys: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], int, int]:
         _, first, to = grouped(np.concatenate(keys))
-        sums = np.zeros(len(first), dtype=np.int64)
-        np.add.at(sums, to, np.concatenate([unpacked(c, np.int64) for c in counts]))
+        # doubles hold counts of up to 2 to the 53rd exactly
+        sums = np.bincount(to, weights=np.concatenate([unpacked(c, np.int64) for c in counts]), minlength=len(first)).astype(np.int64)
         said = 2 * np.where(sums >= least, sums, 0)
         answer = said[to]
         answer[first] += said > 0
