@@ -254,6 +254,10 @@ def test_arrow_files(spark, rows, docs, none, tokenizer):
         n = -(-m["ids"] // 64)
         parts = [reader.sequence(i) for i in range(n)]
         assert all(len(ids) == len(mask) == 64 for ids, mask in parts)
+        for i, (ids, mask) in enumerate(parts):
+            seen, bits = reader.views(i)
+            assert (seen == ids).all() and (np.unpackbits(bits, bitorder="little").astype(bool) == mask).all()
+            assert not seen.flags.owndata and not bits.flags.owndata and not bits.flags.writeable
         flat, mask = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         assert mask.sum() == m["ids"] and mask[: m["ids"]].all()
         assert flat[: m["ids"]].astype("<u4").tobytes() == reader.span(0, m["ids"])

@@ -1,9 +1,9 @@
 """Operator 5: token ids in Arrow stream files of equal-length sequences.
 
 Documents are sorted by id across partitions; each task encodes its range and writes one shard: an Arrow file whose
-record batches hold fixed-size lists of ids and of mask bytes, and an index file with each document's place.  Batches
+record batches hold fixed-size lists of ids and of mask bits, and an index file with each document's place.  Batches
 all hold the same number of sequences, so sequence i lies in batch i // rows at row i % rows; a reader maps the file
-and slices ids and mask without copying.  Only the last sequence of a shard is padded, where its mask is 0.
+and slices ids and mask bits without copying.  Only the last sequence of a shard is padded, where its mask is false.
 
 A task may run twice.  Every attempt writes under its own name, and only the attempt whose row reaches the manifest is
 read; files of lost attempts are never looked at.
@@ -37,7 +37,7 @@ class ShardWriter:
         files.create_dir(root, recursive=True)
         self.length, self.dtype = length, np.dtype(dtype)
         kind = pa.from_numpy_dtype(self.dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
         self.sinks = [files.open_output_stream(f"{root}/{name}{kind}") for kind in (".arrow", ".index.arrow")]
         self.body = pa.ipc.new_file(self.sinks[0], self.schema)
@@ -63,8 +63,8 @@ class ShardWriter:
         while len(flat) - at >= block or final and at < len(flat):
             part = flat[at : at + block]
             at += len(part)
-            real = np.ones(-(-len(part) // self.length) * self.length, dtype=np.uint8)
-            real[len(part) :] = 0
+            real = np.ones(-(-len(part) // self.length) * self.length, dtype=bool)
+            real[len(part) :] = False
             padded = np.zeros(len(real), self.dtype)
             padded[: len(part)] = part
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, real)]
@@ -94,11 +94,22 @@ class ShardReader:
             self.at, self.batch = i, self.body.get_batch(i)
         return self.batch
 
+    def views(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of sequence i and the bits of its mask, the lowest bit of a byte first; both are views of the file.  A
+        sequence's length must be a multiple of eight for its bits to begin with a byte."""
+        if self.length % 8:
+            raise ValueError("masks of this length do not begin with a byte")
+        batch, row = self._batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
+        bits = batch.column(1).values
+        first = (bits.offset + row * self.length) // 8
+        ids = batch.column(0).values.to_numpy()[row * self.length : (row + 1) * self.length]
+        return ids, np.frombuffer(bits.buffers()[1], dtype=np.uint8)[first : first + self.length // 8]
+
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of sequence i and its mask of booleans, both views of the file."""
+        """Ids of sequence i (a view of the file) and its mask as booleans, made from the file's bits."""
         batch, row = self._batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
         part = slice(row * self.length, (row + 1) * self.length)
-        return batch.column(0).values.to_numpy()[part], batch.column(1).values.to_numpy()[part].view(bool)
+        return batch.column(0).values.to_numpy()[part], batch.column(1).values[part].to_numpy(zero_copy_only=False)
 
     def span(self, start: int, n: int) -> bytes:
         """Ids ``start`` to ``start + n`` of the shard's real ids, as little-endian unsigned 32-bit integers."""
