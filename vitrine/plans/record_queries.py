@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitrine.functions import dates, text
 from vitrine.functions.dates import coverage
 from vitrine.operators import cleaning, extraction, facets, rarity, reshape, rounds
 from vitrine.operators import statistics as st
@@ -189,9 +190,9 @@ def ground_truth(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     boxes = part.select(F.col("p_partkey").alias("item_id"), F.concat("p_type", F.lit(" (box "), F.col("p_size").cast("string"), F.lit(")")).alias("value"))
     seeds = part.where("p_type != 'PROMO'").groupBy(F.lower("p_type").alias("category")).agg(F.max(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("seed"), F.concat(F.lit("like "), F.max("p_type")).alias("prior"))
-    dates = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("item_id"), (F.col("p_size") + 1990).alias("year"))
+    years = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("item_id"), (F.col("p_size") + 1990).alias("year"))
     subjects = _motifs(spark, sf_dir).withColumnRenamed("motif", "value")
-    found = cleaning.ground_truth(_items(spark, sf_dir), subjects, _actions(spark, sf_dir), boxes, seeds, dates, 40)
+    found = cleaning.ground_truth(_items(spark, sf_dir), subjects, _actions(spark, sf_dir), boxes, seeds, years, 40)
     return found.withColumn("genuine", F.array_join("genuine", "|"))
 
 
@@ -315,3 +316,45 @@ def coverage_lines(spark, sf_dir):
     kind = F.element_at(F.array(F.lit("video"), F.lit("pdf"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int"))
     address = F.concat(F.lit("https://x/"), F.col("event_id").cast("string"))
     return table(spark, sf_dir, "events").select("event_id", coverage("A. Name", F.col("event_type"), address, kind).alias("line"))
+
+
+#: A number to one decimal without a trailing .0.
+SHORT = "regexp_replace(printf('%.1f', round({}, 1)), '\\.0$', '')"
+
+
+@register(
+    "dimension_labels",
+    f"""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_size AS DOUBLE) END AS h, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS w FROM part)
+SELECT id, CASE WHEN h IS NOT NULL AND w IS NOT NULL THEN {SHORT.format('h')} || ' × ' || {SHORT.format('w')} || ' in (' || {SHORT.format('h * 2.54')} || ' × ' || {SHORT.format('w * 2.54')} || ' cm)'
+  WHEN h IS NOT NULL OR w IS NOT NULL THEN {SHORT.format('coalesce(h, w)')} || ' in (' || {SHORT.format('coalesce(h, w) * 2.54')} || ' cm)' ELSE 'about ' || id END AS label FROM p""",
+)
+def dimension_labels(spark, sf_dir):
+    """Two lengths, one, or the extent as it is written."""
+    key = F.col("p_partkey")
+    height = F.when(key % 5 > 0, F.col("p_size").cast("string")).otherwise("tall")
+    width = F.when(key % 3 > 0, F.col("p_retailprice").cast("string"))
+    extent = F.concat(F.lit("about "), key.cast("string"))
+    return table(spark, sf_dir, "part").select(key.alias("id"), text.dimensions(height, width, extent).alias("label"))
+
+
+@register(
+    "press_dates",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%B %-d, %Y') WHEN 1 THEN strftime(ts, '%Y') ELSE 'in ' || event_type END AS shown FROM events""",
+)
+def press_dates(spark, sf_dir):
+    """Dates written out; what is no whole date stays as it is."""
+    key = F.col("event_id")
+    written = F.when(key % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(key % 3 == 1, F.date_format("ts", "yyyy")).otherwise(F.concat(F.lit("in "), "event_type"))
+    return table(spark, sf_dir, "events").select("event_id", dates.pretty_date(written).alias("shown"))
+
+
+@register(
+    "canonical_names",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'T.S. ' || event_type WHEN 1 THEN 'A.B. C. ' || event_type WHEN 2 THEN 'The Visitor' ELSE event_type END AS name FROM events""",
+)
+def canonical_names(spark, sf_dir):
+    """Initials collapsed in pairs, some names replaced whatever their case."""
+    kind = F.col("event_type")
+    forms = F.array(F.concat(F.lit("T. S. "), kind), F.concat(F.lit("A. B. C. "), kind), F.lit("V. Isitor"), kind)
+    given = F.element_at(forms, (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.canonical_name(given, {"v. isitor": "The Visitor"}).alias("name"))
