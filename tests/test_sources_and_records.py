@@ -42,6 +42,10 @@ def test_suggestions_are_written_by_item(spark, tmp_path):
     io.write_suggestions(found.coalesce(1), f"file://{tmp_path}/out")
     got = {r["item_id"]: [s["label"] for s in r["suggestions"]] for f in (tmp_path / "out").glob("*.json") for r in map(json.loads, f.read_text().splitlines())}
     assert got == {1: ["a", "b"], 2: ["a"]}
+    more = found.withColumn("confidence", F.lit(0.123456)).withColumn("method", F.lit("knn")).withColumn("s_knn", F.col("score"))
+    items = spark.createDataFrame([(1, "t1"), (3, "t3")], "item_id long, thumb string")
+    shown = {r["item_id"]: (r["thumb"], [tuple(s) for s in r["suggestions"]]) for r in io.suggestion_records(more, items).collect()}
+    assert shown == {1: ("t1", [("a", 0.9, "high", 0.1235, "knn", 0.9), ("b", 0.5, "medium", 0.1235, "knn", 0.5)]), 3: ("t3", [])}
 
 
 def test_loaded_vectors_have_length_one(spark):

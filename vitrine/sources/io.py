@@ -37,16 +37,27 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
 
 
-def suggestion_records(found: DataFrame) -> DataFrame:
-    """One record per item: (item_id, suggestions array<struct<label, score, band>>), best first."""
-    entries = F.array_sort(F.collect_list(F.struct("rank", "label", "score", "band")))
+def suggestion_records(found: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """One record per item: (item_id, suggestions array<struct<label, score, band, ...>>), best first.
+
+    Of confidence, method and the methods' scores (``s_``) those are shown that the suggestions have, numbers to four
+    decimals.  With ``items`` (item_id and other columns, such as a thumbnail) every item has a record, without
+    suggestions an empty list, and keeps its columns.
+    """
+    shown = ["label", "score", "band", *[c for c in found.columns if c in ("confidence", "method") or c.startswith("s_")]]
+    entries = F.array_sort(F.collect_list(F.struct("rank", *shown)))
     rows = found.groupBy(F.col("id").alias("item_id")).agg(entries.alias("e"))
-    return rows.select("item_id", F.transform("e", lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score"), x["band"].alias("band"))).alias("suggestions"))
+    short = lambda x, c: F.round(x[c], 4) if c == "confidence" or c.startswith("s_") else x[c]
+    records = rows.select("item_id", F.transform("e", lambda x: F.struct(*[short(x, c).alias(c) for c in shown])).alias("suggestions"))
+    if items is None:
+        return records
+    none = F.array().cast(records.schema["suggestions"].dataType)
+    return items.join(records, "item_id", "left").withColumn("suggestions", F.coalesce("suggestions", none))
 
 
-def write_suggestions(found: DataFrame, path: str) -> None:
+def write_suggestions(found: DataFrame, path: str, items: DataFrame | None = None) -> None:
     """JSON lines, one item each."""
-    suggestion_records(found).write.mode("overwrite").json(path)
+    suggestion_records(found, items).write.mode("overwrite").json(path)
 
 
 def review_lines(records: DataFrame) -> DataFrame:
