@@ -285,7 +285,7 @@ q AS (SELECT label, sum(hit) AS pos, CASE WHEN sum(hit) > 0 THEN round(avg(CASE
 cuts AS (SELECT q.label, pos, p10, p25, p50, h.score AS high, h.n AS high_support, round(h.hits / h.n, 3) AS high_precision, m.score AS medium, m.n AS medium_support, round(m.hits / m.n, 3) AS medium_precision
   FROM q LEFT JOIN r h ON h.label = q.label AND h.n = nh AND pos >= 5 LEFT JOIN r m ON m.label = q.label AND m.n = nm AND pos >= 5),
 b AS (SELECT comb.*, CASE WHEN score >= high THEN 'high' ELSE 'medium' END AS band,
-  (SELECT (sum(hit) + 1) / (count(*) + 2) FROM r WHERE r.label = comb.label AND r.score >= comb.score) AS confidence FROM comb JOIN cuts USING (label) WHERE score >= medium AND NOT own),
+  (SELECT (coalesce(sum(hit), 0) + 1) / (count(*) + 2) FROM r WHERE r.label = comb.label AND r.score >= comb.score) AS confidence FROM comb JOIN cuts USING (label) WHERE score >= medium AND NOT own),
 tags AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY band, confidence DESC, label) AS rank FROM b QUALIFY rank <= 5)"""
 
 
