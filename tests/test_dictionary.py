@@ -76,3 +76,31 @@ def test_tiers_follow_each_other(spark):
     }
     places = {(r["item_id"], r["canonical"]) for r in extraction.scan_places(df, known, rules, []).collect()}
     assert (5, "Charlie Parker") in places and (2, "Charlie Parker") in places and (1, "Charlie Parker") not in places
+
+
+def _moved(spark, make):
+    """The plan's shuffles that carry words."""
+    plan = make()._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ("word" in line or "canonical" in line or "form" in line)]
+
+
+def test_a_scan_in_one_pass_gives_what_the_tiers_give_one_by_one(spark):
+    texts = [(1, "The RED HOUSE and the red house, painters"), (1, "und die Painterz der the of"), (2, None), (3, "PAINTERS pointers of the and"), (4, ""), (None, "red house")]
+    df = spark.createDataFrame(texts, "item_id int, text string")
+    names = spark.createDataFrame([("red house", "t"), ("painters", None), ("big pointers", "p")], "canonical string, type string")
+    rules = spark.createDataFrame([("THE", "The", "k", ["AND", "OF"]), ("DIE", "Die", "k", ["UND", "DER", "NE"])], "word string, canonical string, type string, context array<string>")
+    known = extraction.build_dictionary(names, [])
+    for more in ({}, {"fuzzy": False, "raw": True, "inside": True}):
+        one, several = (sorted(map(repr, extraction.scan(df, known, rules, ["OF"], block_bytes=n, **more).where("item_id is not null").collect())) for n in (1 << 20, 8))
+        assert one == several and len(one) > 5
+    assert not _moved(spark, lambda: extraction.scan(df, known, rules, ["OF"]))
+
+
+def test_words_and_their_matches_are_not_moved(spark):
+    df = spark.createDataFrame([(1, "red red house"), (1, "Red"), (2, None)], "item_id int, text string")
+    words = extraction.words_of(df)
+    assert sorted(map(tuple, words.collect())) == [(1, "HOUSE", 1), (1, "RED", 3)]
+    known = extraction.build_dictionary(spark.createDataFrame([("red", "t"), ("red house", "t")], "canonical string, type string"), [])
+    assert not _moved(spark, lambda: words)
+    assert not _moved(spark, lambda: extraction.word_matches(words, known, []))
+    assert not _moved(spark, lambda: extraction.phrase_matches(df, known))

@@ -168,7 +168,8 @@ def run_summary(results: DataFrame, matches: DataFrame, least: int = 10) -> Data
     per_item = matches.groupBy("item_id").agg(F.count("*").alias("matches"), F.sum("reps").alias("reps"))
     names = matches.agg(F.countDistinct(F.lower("canonical")).alias("names"))
     long_enough = F.coalesce(F.length(F.trim("text")) >= least, F.lit(False))
-    joined = results.join(per_item, "item_id", "left")
+    joined = results.select("item_id", long_enough.alias("__long")).join(per_item, "item_id", "left")  # no text is moved
+    long_enough = F.col("__long")
     sums = joined.agg(
         F.sum(F.when(long_enough, 1).otherwise(0)).alias("processed"),
         F.sum(F.when(long_enough, 0).otherwise(1)).alias("too_short"),
