@@ -142,3 +142,25 @@ def test_pairing_in_rounds_is_greedy(spark, k):
 def test_registered_pairing(spark):
     vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert {(r["a"], r["b"]) for r in registry.QUERIES["seeded_pairs"](spark, SF).collect()} == greedy(vectors)
+
+
+def test_a_vector_is_moved_for_few_packs_and_not_for_each_cell(spark, monkeypatch):
+    """300 vectors without clusters: each looks into nearly all of 100 cells, in at most nine packs of near ones."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(300, 16))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, v array<double>")
+    seen, written = [], vector_cells.staged
+
+    def staged(rows, name):
+        made = written(rows, name)
+        if name == "probes":
+            seen.append(made.count())
+        return made
+
+    monkeypatch.setattr(vector_cells, "staged", staged)
+    found = {(r["id"], r["rank"]): r["other"] for r in vector_cells.nearest(df, df, 4, cell_rows=3).collect()}
+    assert seen[1] <= 300 * 16
+    scores = data @ data.T
+    np.fill_diagonal(scores, -2)
+    assert found == {(i, n + 1): int(j) for i in range(300) for n, j in enumerate(np.argsort(-scores[i])[:4])}
