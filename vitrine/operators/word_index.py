@@ -8,15 +8,18 @@ update adds a batch: of an id that comes again only the last batch counts, so it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import folded_words, query_phrases
 
-#: Buckets of words, and parts of a bucket by document, so that a word that all documents have is not one task's.
-BUCKETS, PARTS = 256, 16
+#: Buckets of words, and rows of a batch of postings.  Documents are dealt by id, and a task writes its own documents' part of
+#: each bucket: postings are not moved, and a word that all documents have is not one task's.
+BUCKETS, BATCH_ROWS = 64, 1 << 16
 
 
 def _bucket(word: Column) -> Column:
@@ -31,6 +34,34 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, word, at) of documents (id, words): where each word of a document stands, in order."""
+    for batch in batches:
+        rows, words, places = [], [], []
+
+        def made() -> pa.RecordBatch:
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            return pa.record_batch([ids, pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["id", "word", "at"])
+
+        for r, said in enumerate(batch.column(1).to_pylist()):
+            at: dict[str, list[int]] = {}
+            for i, word in enumerate(said):
+                at.setdefault(word, []).append(i)
+            rows.extend([r] * len(at))
+            words.extend(at.keys())
+            places.extend(at.values())
+            if len(rows) >= BATCH_ROWS:
+                yield made()
+                rows, words, places = [], [], []
+        yield made()
+
+
+def _write_postings(rows: DataFrame, target: str) -> None:
+    """Postings (id, word, at) by bucket, each task's own in order."""
+    dealt = rows.select(_bucket(F.col("word")).alias("bucket"), "word", "id", "at")
+    dealt.sortWithinPartitions("bucket", "word", "id").write.mode("overwrite").partitionBy("bucket").parquet(target)
+
+
 def _last_batch(spark: SparkSession, path: str) -> int:
     totals = _table(spark, path, "totals")
     return totals.agg(F.max("batch")).first()[0] if totals is not None else 0
@@ -48,9 +79,8 @@ def index_documents(docs: DataFrame, path: str, text: str = "text", id_col: str
     version = F.col("version").cast("int") if "version" in docs.columns else F.lit(None).cast("int")
     one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), version.alias("version"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     one = one.groupBy("id").agg(F.max(F.struct("text", "version")).alias("d")).select("id", "d.version", folded_words(F.col("d.text")).alias("words"))
-    posted = one.select("id", F.posexplode("words").alias("at", "word")).groupBy("word", "id").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    dealt = posted.withColumn("bucket", _bucket(F.col("word"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-    dealt.sortWithinPartitions("bucket", "word", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
+    kind = dict(one.dtypes)["id"]
+    _write_postings(one.select("id", "words").mapInArrow(_posted, f"id {kind}, word string, at array<int>"), f"{path}/postings/batch={number}")
     one.select("id", "version", F.size("words").alias("n")).write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
     fresh = spark.read.parquet(f"{path}/documents/batch={number}")
     before = _current(spark, path, number)
@@ -70,8 +100,8 @@ def _current(spark: SparkSession, path: str, below: int | None = None) -> DataFr
 def compacted(spark: SparkSession, path: str, target: str) -> None:
     """Write the index at ``path`` to ``target`` as one batch, without the words of replaced documents."""
     now = _current(spark, path)
-    kept = _table(spark, path, "postings").join(now.select("id", "batch"), ["id", "batch"], "left_semi").select("bucket", "word", "id", "at")
-    kept.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "word", "id").write.partitionBy("bucket").parquet(f"{target}/postings/batch=1")
+    kept = _table(spark, path, "postings").join(now.select("id", "batch"), ["id", "batch"], "left_semi").select("id", "word", "at")
+    _write_postings(kept, f"{target}/postings/batch=1")  # where the documents' words have met them
     now.select("id", "version", "n").write.parquet(f"{target}/documents/batch=1")
     now.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).coalesce(1).write.parquet(f"{target}/totals/batch=1")
 
