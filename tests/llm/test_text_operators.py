@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -426,3 +427,36 @@ def test_ids_equal_the_libraries(text):
     reference, library = test_ids_equal_the_libraries.made
     assert np.frombuffer(memo.encode([text])[0], dtype="<u4").tolist() == reference.encode_ordinary(text)
     assert np.frombuffer(chunks.library_encoder(PATH).encode([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_each_different_chunk_of_a_batch_is_looked_up_once(tokenizer):
+    """400 texts of 500 words, of which 50 differ; before, each word was looked up, twice where a text had a new one."""
+    seen = []
+    encoder = chunks.ChunkEncoder(chunks.library_encoder(PATH).encode_parts, chunks.library_encoder(PATH).encode_text)
+
+    class Counted(type(encoder.memo)):
+        def get(self, key, *other):
+            seen.append(key)
+            return super().get(key, *other)
+
+        def __getitem__(self, key):
+            seen.append(key)
+            return super().__getitem__(key)
+
+    encoder.memo = Counted()
+    texts = [" ".join(f"w{(i * j) % 50}," for j in range(500)) for i in range(400)]
+    found = encoder.encode(texts)
+    assert len(seen) < 1000
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in found[:3]] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[:3]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["the", "Éa", "x!", "x", "\n", "\n\n", " ", "\t", "\tab", "it's", "漢字", "😀.", "y" * 70, "y" * 70 + ".", "\u2009" + "z" * 70, "\x00", "12"]), max_size=12).map(" ".join), max_size=8))
+def test_batches_of_texts_equal_the_library(texts):
+    """Mixed batches, as a list and as a column, with a memo of two halves that is full after three chunks."""
+    made = chunks.library_encoder(PATH)
+    encoder = chunks.ChunkEncoder(made.encode_parts, made.encode_text, entries=3)
+    want = [made.encode_text(t).tolist() for t in texts]
+    for given_as in (texts, pa.array(["other", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(given_as)] == want
+    assert all(len(c) <= chunks.MEMO_CHARS for c in {**encoder.memo, **encoder.older})

@@ -9,13 +9,17 @@ worker.  Texts with any other white space are encoded whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks in each half of a worker's memo (about 170 bytes each), and the longest chunk that is kept.
 MEMO_ENTRIES, MEMO_CHARS = 800_000, 64
 
+#: Bytes of texts that are encoded at once.
+SLICE_BYTES = 4_000_000
+
 #: The id of a line end in both byte-level vocabularies of the 50k family, for which the cuts above hold.
 LINE_END = 198
 
@@ -23,10 +27,11 @@ LINE_END = 198
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
-def chunked(text: str) -> list[str]:
-    """Chunks of ``text`` after a line end has been set before it: a chunk starting with a line end is the first of its
-    line, any other has a space before it that isn't part of the chunk."""
-    return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+def chunked(texts: pa.Array) -> pa.Array:
+    """The lists of chunks of ``texts`` (large_string) after a line end has been set before each: a chunk starting with a
+    line end is the first of its line, any other has a space before it that isn't part of the chunk."""
+    line_end, nothing = pa.scalar("\n", texts.type), pa.scalar("", texts.type)
+    return pc.split_pattern(pc.binary_join_element_wise(line_end, pc.replace_substring(texts, "\n", " \n"), nothing), " ")
 
 
 def is_safe(chunk: str) -> bool:
@@ -35,18 +40,6 @@ def is_safe(chunk: str) -> bool:
     return bool(visible) and not visible[0].isspace() and not visible[-1].isspace()
 
 
-class _Memo(dict):
-    """Ids of chunks, None for those that can't be cut safely; notes the chunks that it doesn't have."""
-
-    def __init__(self):
-        self.missing: list[str] = []
-        self.long: list[str] = []
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.missing.append(chunk)
-        return b""
-
-
 class ChunkEncoder:
     """Encodes batches of texts to little-endian unsigned 32-bit ids.
 
@@ -57,25 +50,30 @@ class ChunkEncoder:
 
     def __init__(self, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_text: Callable[[str], np.ndarray], entries: int = MEMO_ENTRIES):
         self.encode_parts, self.encode_text, self.entries = encode_parts, encode_text, entries
-        self.memo = _Memo()
-        self.older: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _raw(self, text: str) -> bytes:
         return np.asarray(self.encode_text(text), dtype="<u4").tobytes()
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        ended, wanted = [], {}
+    def _learn(self, chunks: Iterable[str]) -> list[str]:
+        """Put the ids of ``chunks`` into the memo, none for those that can't be cut safely; returns those too long to stay."""
+        ended, wanted, unsafe = [], {}, []
         for chunk in chunks:
             body = chunk[1:] if chunk[:1] == "\n" else chunk
             if not (body.isprintable() and body) and not is_safe(chunk):  # nothing printable is white space here
-                self.memo[chunk] = None
+                self.memo[chunk] = b""
+                unsafe.append(chunk)
                 continue
             core = chunk.rstrip(MARKS)
             if core != chunk and core[-1:].isalnum():
                 ended.append((chunk, core, chunk[len(core) :]))
                 if core in self.memo:
                     continue
+                if core in self.older:
+                    self.memo[core] = self.older[core]
+                    continue
                 chunk = core
             wanted[chunk] = None
         for opening in ("\n", " "):
@@ -91,51 +89,66 @@ class ChunkEncoder:
             if marks not in self.marks:
                 self.marks[marks] = self._raw(marks)
             self.memo[chunk] = self.memo[core] + self.marks[marks]
-        self.memo.long += [c for c in {**wanted, **dict.fromkeys(x for x, _, _ in ended)} if len(c) > MEMO_CHARS]
+        return [c for c in {**wanted, **dict.fromkeys(x for x, _, _ in ended), **dict.fromkeys(unsafe)} if len(c) > MEMO_CHARS]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        """The ids of different chunks, none for those that can't be cut safely."""
         if len(self.memo) > self.entries:
-            self.older, self.memo = self.memo, _Memo()
-        memo, cut, out, again = self.memo, [chunked(t) for t in texts], [b""] * len(texts), []
-        for i, chunks in enumerate(cut):
-            before = len(memo.missing)
-            try:
-                out[i] = b"".join(map(memo.__getitem__, chunks))[4:]
-            except TypeError:
-                again.append(i)
-            else:
-                if len(memo.missing) > before:
-                    again.append(i)
-        while missing := set(memo.missing):
-            memo.missing.clear()
-            known = missing.intersection(self.older)
-            memo.update(zip(known, map(self.older.__getitem__, known)))
-            self._learn(missing - known)
-            for i in again:
-                try:
-                    out[i] = b"".join(map(memo.__getitem__, cut[i]))[4:]
-                except TypeError:  # a chunk that can't be cut safely
-                    out[i] = b""
-            for chunk in memo.long:
-                del memo[chunk]
-            memo.long.clear()
-        for i in again:
-            if not out[i]:
-                out[i] = self._raw(texts[i])
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, distinct))
+        missing = [c for c, ids in zip(distinct, found) if ids is None]
+        before = list(map(older.get, missing))
+        memo.update((c, ids) for c, ids in zip(missing, before) if ids is not None)
+        long = self._learn(c for c, ids in zip(missing, before) if ids is None)
+        found = [memo[c] if ids is None else ids for c, ids in zip(distinct, found)]
+        for chunk in long:
+            del memo[chunk]
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as bytes.  Each different chunk of these texts is looked up once."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(texts):
+            return []
+        cut = chunked(texts)
+        coded = cut.flatten().dictionary_encode()
+        together = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        known = self._ids(pc.binary_join(together, pa.scalar(" ", texts.type))[0].as_py().split(" "))
+        place = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), dtype="<u4")
+        each = sizes[place]
+        ends = np.cumsum(each)
+        raw = ids[np.arange(each.sum()) + np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - each), each)].tobytes()
+        firsts = np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))])
+        bounds = (np.concatenate([[0], ends])[firsts] * 4).tolist()
+        out = [raw[a + 4 : b] for a, b in zip(bounds, bounds[1:])]  # without the line end set before the text
+        for i in np.unique(np.searchsorted(firsts, np.flatnonzero(each == 0), side="right") - 1).tolist():
+            out[i] = self._raw(texts[i].as_py())
         return out
 
 
+def ranges(sizes: Iterable[int], most: int) -> Iterable[tuple[int, int]]:
+    """Ranges of consecutive texts with about ``most`` of the sizes' sum, at least one text each."""
+    start = end = total = 0
+    for end, size in enumerate(sizes, 1):
+        total += size
+        if total >= most:
+            yield start, end
+            start, total = end, 0
+    if start < end:
+        yield start, end
+
+
 def slices(texts: list[str], chars: int = 500_000) -> Iterable[tuple[int, int]]:
     """Ranges of consecutive texts of about ``chars`` characters, at least one text each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    return ranges(map(len, texts), chars)
+
+
+def pieces(texts: pa.Array, size: int = SLICE_BYTES) -> Iterable[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``size`` bytes, at least one text each."""
+    return ranges(pc.binary_length(texts).to_pylist(), size)
 
 
 _LOADED: dict[str, ChunkEncoder] = {}

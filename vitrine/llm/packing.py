@@ -189,8 +189,8 @@ def pack(
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks.slices(texts):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in chunks.pieces(texts):
                 for key, ids in zip(keys[a:b], encoder.encode(texts[a:b])):
                     packer.add(key, ids + end)
                 if packer.fresh >= BATCH_PIECES:
