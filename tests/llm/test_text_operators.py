@@ -460,3 +460,11 @@ def test_batches_of_texts_equal_the_library(texts):
     for given_as in (texts, pa.array(["other", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(given_as)] == want
     assert all(len(c) <= chunks.MEMO_CHARS for c in {**encoder.memo, **encoder.older})
+
+
+def test_a_column_is_encoded_in_pieces_of_bounded_bytes():
+    texts = pa.array(["é" * n for n in (0, 3, 50, 1, 1, 0, 200, 2, 0)])
+    found = list(chunks.pieces(texts, 100))
+    assert [i for a, b in found for i in range(a, b)] == list(range(9))
+    assert all(sum(len(t.as_py().encode()) for t in texts[a : b - 1]) < 100 for a, b in found) and found[0] == (0, 3)
+    assert list(chunks.pieces(texts[:0])) == [] and list(chunks.pieces(texts[5:6])) == [(0, 1)]
