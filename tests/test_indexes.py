@@ -175,3 +175,34 @@ def test_an_index_is_written_without_moving_its_postings(spark, tmp_path):
     moved = store.executorList(False).apply(0).totalShuffleWrite() - before
     assert moved < docs.selectExpr("sum(length(text))").first()[0]
     assert spark.read.parquet(f"file://{tmp_path}/i/postings").count() == 200_000
+
+
+def test_stored_files_grow_with_rows_and_not_with_cells(spark, tmp_path):
+    """900 vectors in 90 cells: two files, or a few for each block of 150; a search reads the folders that it needs."""
+    rng = np.random.default_rng(5)
+    data = clustered(rng, 900, spread=0.02) + [(5000 + i, [0.0] * 12) for i in range(3)]
+    df = spark.createDataFrame(data, "id long, vector array<double>").repartition(4).select("id", search.unit(search.F.col("vector")).alias("v"))
+    vector_cells.store(df, f"file://{tmp_path}/a", cell_rows=10)
+    vector_cells.store(df, f"file://{tmp_path}/b", cell_rows=10, block_rows=150)
+    assert len(list((tmp_path / "a" / "vectors").rglob("*.parquet"))) == 2
+    assert len(list((tmp_path / "b" / "vectors").rglob("*.parquet"))) <= 20
+    assert len(list((tmp_path / "b" / "vectors").glob("pack=*"))) >= 7
+    for q in (data[7][1], rng.normal(size=12).tolist(), [0.0] * 12):
+        want = [tuple(r) for r in search.vector_search(df, q, 40, vector="v").collect()]
+        for name in ("a", "b"):
+            found = vector_cells.stored_search(spark, f"file://{tmp_path}/{name}", q, 40)
+            assert [(r["id"], pytest.approx(r["score"])) for r in found.collect()] == want
+    near = vector_cells.stored_search(spark, f"file://{tmp_path}/b", data[7][1], 5)
+    assert len(near.inputFiles()) >= 1 and near.count() == 5
+    zeros = df.where("id >= 5000")
+    vector_cells.store(zeros, f"file://{tmp_path}/z")
+    assert [r["id"] for r in vector_cells.stored_search(spark, f"file://{tmp_path}/z", [1.0] * 12, 2).collect()] == [5000, 5001]
+
+
+def test_a_vectors_length_is_made_once(spark):
+    """Not once, or twice, for each component."""
+    made = search.unit(search.F.col("v")).alias("u")  # its usual name would repeat it
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],), ([1.0, None],)], "v array<double>")
+    plan = df.select(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("SQRT(") == 1
+    assert [r[0] for r in df.select(made).collect()] == [[0.6, 0.8], [0.0, 0.0], None, [], [1.0, None]]
