@@ -9,6 +9,7 @@ from vitrine.functions.dates import coverage
 from vitrine.operators import cleaning, extraction, facets, rarity, reshape, rounds
 from vitrine.operators import statistics as st
 from vitrine.operators import suggestion as sg
+from vitrine.operators.staging import staged
 from vitrine.plans.extraction_queries import NAMES_SQL, RULES, WORDS_SQL, _phrases, _texts, _words
 from vitrine.plans.items_queries import WITH
 from vitrine.plans.registry import register
@@ -305,7 +306,7 @@ def place_scan(spark, sf_dir):
     """All tiers but the fuzzy one, names without a type as regions; each tier has SQL of its own, a test holds the type."""
     names = _words(spark, sf_dir).select(F.col("word").alias("canonical"), F.lit(None).cast("string").alias("type")).unionByName(_phrases(spark, sf_dir))
     rules = spark.createDataFrame(RULES, "word string, canonical string, type string, context array<string>")
-    return extraction.scan_places(_texts(spark, sf_dir), extraction.build_dictionary(names, ["THAT"]), rules, ["THAT"])
+    return extraction.scan_places(_texts(spark, sf_dir), extraction.build_dictionary(staged(names, "names"), ["THAT"]), rules, ["THAT"])
 
 
 @register(
